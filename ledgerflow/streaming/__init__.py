@@ -1,0 +1,8 @@
+"""Streaming.
+
+The reports are batch queries over tables: no watermark, event-time window, stateful
+operator or late-data rule exists in them, and the only clock they read is today's date
+(taken here as an explicit ``as_of`` argument). Nothing streaming is built; every job in
+``ledgerflow.plans`` is a batch DataFrame and can be run per micro-batch with
+``foreachBatch`` by a caller that needs it.
+"""

@@ -16,7 +16,8 @@ def docnum_separator(c) -> Column:
     s = as_col(c)
     dash = F.instr(s, "-")
     first_slash = F.instr(s, "/")
-    second_slash = F.when(first_slash > 0, F.locate("/", s, first_slash + 1)).otherwise(0)
+    after_first = F.instr(s.substr(first_slash + 1, F.length(s)), "/")
+    second_slash = F.when((first_slash > 0) & (after_first > 0), first_slash + after_first).otherwise(0)
     return F.when(dash > 0, dash).when(second_slash > 0, second_slash)
 
 

@@ -55,7 +55,8 @@ def running(col: Column, part: Sequence[str], order: Sequence, frame: str = "row
 
 
 def resettable_running(df: DataFrame, value: str, by: Sequence[str], order: Sequence,
-                       opening: Column, out: str = "acc", prev_out: str | None = None) -> DataFrame:
+                       opening: Column, out: str = "acc", prev_out: str | None = None,
+                       chunked: bool = False) -> DataFrame:
     """Accumulator that restarts at ``opening + x`` whenever the previous movement is 0 or absent.
 
     ``acc_i = opening + x_i`` if ``coalesce(x_{i-1}, 0) = 0`` else ``acc_{i-1} + x_i``.
@@ -63,7 +64,7 @@ def resettable_running(df: DataFrame, value: str, by: Sequence[str], order: Sequ
     and ``s`` the last restart at or before ``i``; all three pieces are chunked scans.
     """
     by = list(by)
-    d = scan.chunk_by_range(df, by, order)
+    d = df if chunked else scan.chunk_by_range(df, by, order)
     d = scan.lag(d, F.col(value), by, order, "_prevx")
     d = scan.cumsum(d, F.col(value), by, order, "_S")
     d = d.withColumn("_restart", F.coalesce(F.col("_prevx"), F.lit(0)) == 0)
@@ -71,7 +72,8 @@ def resettable_running(df: DataFrame, value: str, by: Sequence[str], order: Sequ
     d = d.withColumn(out, opening + F.col("_S") - F.col("_base"))
     if prev_out:
         d = d.withColumnRenamed("_prevx", prev_out)
-    return d.drop("_prevx", "_S", "_restart", "_base", scan.CHUNK)
+    d = d.drop("_prevx", "_S", "_restart", "_base")
+    return d if chunked else d.drop(scan.CHUNK)
 
 
 def group_totals(df: DataFrame, keys: Sequence, measures: Sequence[Column]) -> DataFrame:

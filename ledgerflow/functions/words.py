@@ -1,15 +1,14 @@
 """Amount in Spanish words for cheques and receipts, as native column expressions.
 
-The amount is split into digit groups (millions, thousands, units, cents) with string
-functions; each group is looked up in a table of the 1000 spellings of a group, built
+The amount is split into digit groups (millions, thousands, units, cents); each group is looked up in a table of the 1000 spellings of a group, built
 once from the word lists below when the plan is made (a literal array that Catalyst
 folds into a constant); the pieces are concatenated. Per row this is a handful of JVM
 string functions and three array lookups inside whole-stage codegen — no Python runs on
 the executors.
 
-Rules (in order): amounts above 999,999,999.99 give ``---``; the amount is printed with
-two decimals, left-padded with zeros to 12 characters (longer text is cut on the right,
-as ``lpad`` does), the sign is turned into a zero and remembered; hundreds read ``cien``
+Rules (in order): amounts above 999,999,999.99 give ``---`` (and, here, also amounts
+below -999,999,999.99, which the original spells from a text cut to 12 characters); the
+amount is taken with two decimals and its sign remembered; hundreds read ``cien``
 for exactly 100 and ``ciento`` for 1xx; 21 and 1 in the units group read ``veintiuno``
 and ``un``, x1 above 30 ends in ``uno``; a thousands group of exactly 1 prints only
 ``mil``; cents print as `` con N/100``; nothing at all prints ``cero``. Currency 1 and 2
@@ -81,27 +80,30 @@ def _group(n: Column, pos: int) -> Column:
 def amount_in_words(amount, currency=1) -> Column:
     """Spanish words for ``amount`` in ``currency`` (1 quetzales, 2 dolares).
 
-    No number word contains ``con``, so the currency name goes before `` con N/100``
-    exactly when there are cents, else `` <name> exactos`` is appended; each piece of
-    text is therefore built once (no repeated sub-expressions in the generated code).
+    The digit groups come from integer arithmetic on the exact two-decimal amount
+    (cents, then ``div``/``%``), not from text, so each row costs a few integer operations
+    and three array lookups. No number word contains ``con``, so the currency name goes
+    before `` con N/100`` exactly when there are cents, else `` <name> exactos`` is
+    appended; every piece of text is built once.
     """
-    num = as_col(amount)
+    num = as_col(amount).try_cast("decimal(12,2)")
     cur = as_col(currency) if not isinstance(currency, int) else F.lit(currency)
-    printed = F.lpad(num.try_cast("decimal(12,2)").cast("string"), 12, "0")
-    digits = F.translate(printed, "-.,", "0")
-    g1 = digits.substr(1, 3).cast("int")
-    g2 = digits.substr(4, 3).cast("int")
-    g3 = digits.substr(7, 3).cast("int")
-    cents = digits.substr(10, 2).cast("int")
-    body = F.when((g1 == 0) & (g2 == 0) & (g3 == 0), F.lit(" cero")).otherwise(
+    cents_all = (F.abs(num) * 100).cast("bigint")
+    whole = F.floor(cents_all / 100).cast("bigint")
+    g1 = F.floor(whole / 1_000_000).cast("int")
+    g2 = (F.floor(whole / 1000) % 1000).cast("int")
+    g3 = (whole % 1000).cast("int")
+    cents = (cents_all % 100).cast("int")
+    body = F.when(whole == 0, F.lit(" cero")).otherwise(
         F.concat(_group(g1, 1), _group(g2, 2), _group(g3, 3)))
     name = None
     for cid, label in CURRENCIES.items():
         name = F.when(cur == cid, F.lit(label)) if name is None else name.when(cur == cid, F.lit(label))
     tail = F.when(cents > 0, F.concat(F.lit(" "), name, F.lit(" con "), cents.cast("string"), F.lit("/100"))) \
             .otherwise(F.concat(F.lit(" "), name, F.lit(" exactos")))
-    sign = F.when(F.instr(printed, "-") > 0, F.lit("-")).otherwise(F.lit(""))
+    sign = F.when(num < 0, F.lit("-")).otherwise(F.lit(""))
     words = F.concat(sign, F.ltrim(body), tail)
-    return (F.when(printed.isNull(), F.lit(None).cast("string"))
-             .when(num > F.lit(MAX_AMOUNT).cast("decimal(12,2)"), F.lit("---"))
+    limit = F.lit(MAX_AMOUNT).cast("decimal(12,2)")
+    return (F.when(num.isNull(), F.lit(None).cast("string"))
+             .when(F.abs(num) > limit, F.lit("---"))
              .otherwise(words))

@@ -272,23 +272,20 @@ def _words_sql(amount: str, currency: str) -> str:
     """Independent SQL spelling of amounts (oracle for ``amount_in_words``)."""
     return f"""
   CASE WHEN {amount} IS NULL THEN NULL
-       WHEN {amount} > {MAX_AMOUNT} THEN '---'
+       WHEN abs({amount}) > {MAX_AMOUNT} THEN '---'
        WHEN {currency} NOT IN (1, 2) THEN NULL
-       ELSE (SELECT CASE WHEN instr(txt, 'con') > 0
-                         THEN overlay(txt PLACING cur || ' con' FROM instr(txt, 'con') FOR 3)
-                         ELSE txt || ' ' || cur || ' exactos' END
-             FROM (SELECT CASE WHEN instr(printed, '-') > 0 THEN '-' ELSE '' END ||
-                          ltrim(CASE WHEN g1.w || g2.w || g3.w = '' THEN ' cero' ELSE g1.w || g2.w || g3.w END ||
-                                CASE WHEN cents > 0 THEN ' con ' || CAST(cents AS VARCHAR) || '/100' ELSE '' END) AS txt,
-                          CASE WHEN {currency} = 1 THEN '{CURRENCIES[1]}' ELSE '{CURRENCIES[2]}' END AS cur
-                   FROM (SELECT printed,
-                                CAST(substr(dg, 1, 3) AS INT) AS n1, CAST(substr(dg, 4, 3) AS INT) AS n2,
-                                CAST(substr(dg, 7, 3) AS INT) AS n3, CAST(substr(dg, 10, 2) AS INT) AS cents
-                         FROM (SELECT printed, translate(printed, '-.,', '0') AS dg
-                               FROM (SELECT lpad(CAST(CAST({amount} AS DECIMAL(12,2)) AS VARCHAR), 12, '0') AS printed))) x
-                   JOIN grp g1 ON g1.pos = 1 AND g1.n = x.n1
-                   JOIN grp g2 ON g2.pos = 2 AND g2.n = x.n2
-                   JOIN grp g3 ON g3.pos = 3 AND g3.n = x.n3))
+       ELSE (SELECT CASE WHEN sgn THEN '-' ELSE '' END
+                    || ltrim(CASE WHEN whole = 0 THEN ' cero' ELSE g1.w || g2.w || g3.w END)
+                    || CASE WHEN cents > 0 THEN ' ' || cur || ' con ' || CAST(cents AS VARCHAR) || '/100'
+                            ELSE ' ' || cur || ' exactos' END
+             FROM (SELECT whole, cents, sgn, cur, whole // 1000000 AS n1, (whole // 1000) % 1000 AS n2, whole % 1000 AS n3
+                   FROM (SELECT c // 100 AS whole, c % 100 AS cents, sgn,
+                                CASE WHEN {currency} = 1 THEN '{CURRENCIES[1]}' ELSE '{CURRENCIES[2]}' END AS cur
+                         FROM (SELECT CAST(abs(CAST({amount} AS DECIMAL(12,2))) * 100 AS BIGINT) AS c,
+                                      CAST({amount} AS DECIMAL(12,2)) < 0 AS sgn))) x
+             JOIN grp g1 ON g1.pos = 1 AND g1.n = x.n1
+             JOIN grp g2 ON g2.pos = 2 AND g2.n = x.n2
+             JOIN grp g3 ON g3.pos = 3 AND g3.n = x.n3)
   END"""
 
 

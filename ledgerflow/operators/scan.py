@@ -77,10 +77,12 @@ def _with_group(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str],
 
 def cumsum(d: DataFrame, value, by: Sequence[str], order: Sequence, out: str,
            frame: str = "rows") -> DataFrame:
-    """Running sum of ``value`` per ``by`` in ``order`` on a chunked frame.
+    """Running sum of ``value`` per ``by`` in ``order`` on a chunked frame (NULLs skipped,
+    NULL until the first non-NULL value, as SQL ``sum`` over a window).
 
     ``frame='rows'``: one row at a time; ``frame='range'``: peers (equal order values)
-    share the value, as the default frame of an ordered SQL window does.
+    share the value, as the default frame of an ordered SQL window does — this needs the
+    frame to be chunked on exactly ``(by..., order...)`` so that peers share a chunk.
     """
     d, by, added = _with_group(d, by)
     d = d.withColumn("_v", value)
@@ -93,6 +95,7 @@ def cumsum(d: DataFrame, value, by: Sequence[str], order: Sequence, out: str,
     summary = per.select(CHUNK, *by, F.sum("_ksum").over(carry_w).alias("_carry"))
     res = _attach(local, summary, by)
     res = res.withColumn(out, F.when(F.col("_carry").isNull(), F.col("_local"))
+                                .when(F.col("_local").isNull(), F.col("_carry"))
                                 .otherwise(F.col("_carry") + F.col("_local")))
     res = res.drop("_v", "_local", "_carry")
     return res.drop(_G) if added else res

@@ -69,8 +69,9 @@ def spell_group(n: int, pos: int) -> str:
 
 
 def _group_table(pos: int) -> Column:
-    """Literal array of the 1000 spellings of a group (constant-folded by Catalyst)."""
-    return F.array(*[F.lit(spell_group(n, pos)) for n in range(1000)])
+    """Array of the 1000 spellings of a group: one literal text split on ``;`` (a single
+    call from Python; Catalyst folds it into a constant array)."""
+    return F.split(F.lit(";".join(spell_group(n, pos) for n in range(1000))), ";")
 
 
 def _group(n: Column, pos: int) -> Column:

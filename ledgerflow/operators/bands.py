@@ -18,7 +18,7 @@ from ledgerflow.operators import scan
 
 
 def with_breaks(df: DataFrame, keys: Sequence[str], order: Sequence, by: Sequence[str] = (),
-                run_col: str = "run_id", plain: bool = False) -> DataFrame:
+                run_col: str = "run_id", plain: bool = False, keep_chunk: bool = False) -> DataFrame:
     """Add ``run_col``: 1, 2, ... numbering the runs of equal ``keys`` in ``order`` per ``by``.
 
     ``order`` must be a full tie-break. ``by`` is an outer partition (book, company) that
@@ -38,7 +38,8 @@ def with_breaks(df: DataFrame, keys: Sequence[str], order: Sequence, by: Sequenc
     d = scan.lag(d, F.col("_key"), list(by), order, "_prevkey")
     d = d.withColumn("_start", (F.col("_prevkey").isNull() | (F.col("_prevkey") != F.col("_key"))).cast("int"))
     d = scan.cumsum(d, F.col("_start"), list(by), order, run_col)
-    return d.drop("_key", "_prevkey", "_start", scan.CHUNK).withColumn(run_col, F.col(run_col).cast("long"))
+    d = d.drop("_key", "_prevkey", "_start").withColumn(run_col, F.col(run_col).cast("long"))
+    return d if keep_chunk else d.drop(scan.CHUNK)
 
 
 def run_total(col: Column, part: Sequence[str]) -> Column:
@@ -65,8 +66,7 @@ def resettable_running(df: DataFrame, value: str, by: Sequence[str], order: Sequ
     """
     by = list(by)
     d = df if chunked else scan.chunk_by_range(df, by, order)
-    d = scan.lag(d, F.col(value), by, order, "_prevx")
-    d = scan.cumsum(d, F.col(value), by, order, "_S")
+    d = scan.scan_all(d, by, order, [("_prevx", "lag", F.col(value)), ("_S", "sum", F.col(value))])
     d = d.withColumn("_restart", F.coalesce(F.col("_prevx"), F.lit(0)) == 0)
     d = scan.last_non_null(d, F.when(F.col("_restart"), F.col("_S") - F.col(value)), by, order, "_base")
     d = d.withColumn(out, opening + F.col("_S") - F.col("_base"))

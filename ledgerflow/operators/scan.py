@@ -75,6 +75,75 @@ def _with_group(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str],
     return df.withColumn(_G, F.lit(0)), [_G], True
 
 
+def scan_all(d: DataFrame, by: Sequence[str], order: Sequence, specs: Sequence[tuple]) -> DataFrame:
+    """Several ordered scans over one chunked frame in a single pass.
+
+    ``specs``: ``(out, kind, value)`` or ``(out, kind, value, frame)`` with kind
+    ``sum`` (running sum; frame ``rows`` or ``range``), ``lag`` (previous row's value) or
+    ``last`` (most recent non-NULL value up to the row). One set of per-chunk windows, one
+    aggregation over the chunk-edge rows, one window over the (bounded) summary and one
+    broadcast join serve all specs.
+    """
+    d, by, added = _with_group(d, by)
+    specs = [tuple(s) + (("rows",) if len(s) == 3 else ()) for s in specs]
+    for i, (_, _, value, _) in enumerate(specs):
+        d = d.withColumn(f"_v{i}", value)
+    base = Window.partitionBy(CHUNK, *by).orderBy(*order)
+    rows_w = base.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    range_w = base.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    local = d
+    need_first = False
+    for i, (_, kind, _, frame) in enumerate(specs):
+        v = F.col(f"_v{i}")
+        if kind == "sum":
+            local = local.withColumn(f"_l{i}", F.sum(v).over(rows_w if frame == "rows" else range_w))
+        elif kind == "lag":
+            local = local.withColumn(f"_l{i}", F.lag(v).over(base))
+            need_first = True
+        elif kind == "last":
+            local = local.withColumn(f"_l{i}", F.last(v, ignorenulls=True).over(rows_w))
+        else:
+            raise ValueError(f"unknown scan kind {kind!r}")
+    if need_first:
+        local = local.withColumn("_seg_first", F.row_number().over(base) == 1)
+    ordkey = F.struct(*order)
+    aggs = []
+    for i, (_, kind, _, _) in enumerate(specs):
+        v = F.col(f"_v{i}")
+        if kind == "sum":
+            aggs.append(F.sum(v).alias(f"_e{i}"))
+        elif kind == "lag":
+            aggs.append(F.max_by(F.struct(v.alias("v")), ordkey).alias(f"_e{i}"))
+        else:
+            aggs.append(F.max_by(v, F.when(v.isNotNull(), ordkey)).alias(f"_e{i}"))
+    per = _edge_rows(d, by).groupBy(CHUNK, *by).agg(*aggs)
+    prev_w = Window.partitionBy(*by).orderBy(CHUNK)
+    before_w = prev_w.rowsBetween(Window.unboundedPreceding, -1)
+    carries = []
+    for i, (_, kind, _, _) in enumerate(specs):
+        e = F.col(f"_e{i}")
+        if kind == "sum":
+            carries.append(F.sum(e).over(before_w).alias(f"_c{i}"))
+        elif kind == "lag":
+            carries.append(F.lag(e).over(prev_w).alias(f"_c{i}"))
+        else:
+            carries.append(F.last(e, ignorenulls=True).over(before_w).alias(f"_c{i}"))
+    summary = per.select(CHUNK, *by, *carries)
+    res = _attach(local, summary, by)
+    for i, (out, kind, _, _) in enumerate(specs):
+        loc, car = F.col(f"_l{i}"), F.col(f"_c{i}")
+        if kind == "sum":
+            val = F.when(car.isNull(), loc).when(loc.isNull(), car).otherwise(car + loc)
+        elif kind == "lag":
+            val = F.when(F.col("_seg_first"), car.getField("v")).otherwise(loc)
+        else:
+            val = F.coalesce(loc, car)
+        res = res.withColumn(out, val)
+    drop = [f"_{p}{i}" for i in range(len(specs)) for p in "vlc"] + (["_seg_first"] if need_first else [])
+    res = res.drop(*drop)
+    return res.drop(_G) if added else res
+
+
 def cumsum(d: DataFrame, value, by: Sequence[str], order: Sequence, out: str,
            frame: str = "rows") -> DataFrame:
     """Running sum of ``value`` per ``by`` in ``order`` on a chunked frame (NULLs skipped,
@@ -84,21 +153,7 @@ def cumsum(d: DataFrame, value, by: Sequence[str], order: Sequence, out: str,
     share the value, as the default frame of an ordered SQL window does — this needs the
     frame to be chunked on exactly ``(by..., order...)`` so that peers share a chunk.
     """
-    d, by, added = _with_group(d, by)
-    d = d.withColumn("_v", value)
-    w = Window.partitionBy(CHUNK, *by).orderBy(*order)
-    w = (w.rowsBetween(Window.unboundedPreceding, Window.currentRow) if frame == "rows"
-         else w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    local = d.withColumn("_local", F.sum("_v").over(w))
-    per = _edge_rows(d, by).groupBy(CHUNK, *by).agg(F.sum("_v").alias("_ksum"))
-    carry_w = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    summary = per.select(CHUNK, *by, F.sum("_ksum").over(carry_w).alias("_carry"))
-    res = _attach(local, summary, by)
-    res = res.withColumn(out, F.when(F.col("_carry").isNull(), F.col("_local"))
-                                .when(F.col("_local").isNull(), F.col("_carry"))
-                                .otherwise(F.col("_carry") + F.col("_local")))
-    res = res.drop("_v", "_local", "_carry")
-    return res.drop(_G) if added else res
+    return scan_all(d, by, order, [(out, "sum", value, frame)])
 
 
 def lag(d: DataFrame, value, by: Sequence[str], order: Sequence, out: str,
@@ -107,35 +162,13 @@ def lag(d: DataFrame, value, by: Sequence[str], order: Sequence, out: str,
 
     With ``first_flag`` a boolean column marks the first row of each key overall.
     """
-    d, by, added = _with_group(d, by)
-    d = d.withColumn("_v", value)
-    w = Window.partitionBy(CHUNK, *by).orderBy(*order)
-    local = (d.withColumn("_prev", F.lag("_v").over(w))
-              .withColumn("_seg_first", F.row_number().over(w) == 1))
-    per = (_edge_rows(d, by).groupBy(CHUNK, *by)
-           .agg(F.max_by(F.struct(F.col("_v").alias("v")), F.struct(*order)).alias("_lastv")))
-    prev_w = Window.partitionBy(*by).orderBy(CHUNK)
-    summary = per.select(CHUNK, *by, F.lag("_lastv").over(prev_w).alias("_carry"))
-    res = _attach(local, summary, by)
-    res = res.withColumn(out, F.when(F.col("_seg_first"), F.col("_carry.v")).otherwise(F.col("_prev")))
-    if first_flag:
-        res = res.withColumn(first_flag, F.col("_seg_first") & F.col("_carry").isNull())
-    res = res.drop("_v", "_prev", "_seg_first", "_carry")
-    return res.drop(_G) if added else res
+    if not first_flag:
+        return scan_all(d, by, order, [(out, "lag", value)])
+    marked = scan_all(d, by, order, [(out, "lag", F.struct(F.lit(True).alias("t"), value.alias("x")))])
+    return (marked.withColumn(first_flag, F.col(out).isNull())
+                  .withColumn(out, F.col(out).getField("x")))
 
 
 def last_non_null(d: DataFrame, value, by: Sequence[str], order: Sequence, out: str) -> DataFrame:
     """Most recent non-NULL ``value`` up to and including the current row, per ``by``."""
-    d, by, added = _with_group(d, by)
-    d = d.withColumn("_v", value)
-    w = (Window.partitionBy(CHUNK, *by).orderBy(*order)
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = d.withColumn("_local", F.last("_v", ignorenulls=True).over(w))
-    per = (_edge_rows(d, by).groupBy(CHUNK, *by)
-           .agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_lastnn")))
-    prev_w = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    summary = per.select(CHUNK, *by, F.last("_lastnn", ignorenulls=True).over(prev_w).alias("_carry"))
-    res = _attach(local, summary, by)
-    res = res.withColumn(out, F.coalesce(F.col("_local"), F.col("_carry")))
-    res = res.drop("_v", "_local", "_carry")
-    return res.drop(_G) if added else res
+    return scan_all(d, by, order, [(out, "last", value)])

@@ -116,8 +116,8 @@ def running_ledger(spark, root, start=RL_FROM, end=RL_TO):
         "l_partkey", "l_orderkey", "l_linenumber", signed_amount().alias("amount"))
     by, order = ["l_partkey"], ["l_orderkey"]
     c = scan.chunk_by_range(mv, by, order)
-    c = scan.cumsum(c, F.col("amount"), by, order, "running", frame="range")
-    c = scan.cumsum(c, F.lit(1), by, order, "_upto", frame="range")
+    c = scan.scan_all(c, by, order, [("running", "sum", F.col("amount"), "range"),
+                                     ("_upto", "sum", F.lit(1), "range")])
     peers = F.count(F.lit(1)).over(Window.partitionBy(scan.CHUNK, "l_partkey", "l_orderkey"))  # one chunk holds all peers
     c = c.withColumn("doc_rank", (F.col("_upto") - peers + 1).cast("int")).drop("_upto", scan.CHUNK)
     per_acc = c.groupBy("l_partkey").agg(F.sum("amount").alias("account_total"),
@@ -201,9 +201,10 @@ def control_break_runs(spark, root):
     running total inside the group."""
     o = Tables(spark, root).orders.select("o_orderkey", "o_orderdate", "o_orderstatus", dec("o_totalprice").alias("amt"))
     order = ["o_orderdate", "o_orderkey"]
-    r = with_breaks(o, ["o_orderstatus"], order)
+    r = with_breaks(o, ["o_orderstatus"], order, keep_chunk=True)
     runs = r.groupBy("run_id").agg(F.count(F.lit(1)).alias("run_rows"), F.sum("amt").alias("run_total"))
-    c = scan.cumsum(scan.chunk_by_range(r, ["run_id"], order), F.col("amt"), ["run_id"], order, "running_in_run")
+    # run ids grow with the order, so the chunks of the global order also serve per-run scans
+    c = scan.cumsum(r, F.col("amt"), ["run_id"], order, "running_in_run")
     j = c.drop(scan.CHUNK).join(runs, "run_id")
     return j.select("o_orderkey", "o_orderstatus", "run_id", "run_rows",
                     F.col("run_total").cast("double").alias("run_total"),

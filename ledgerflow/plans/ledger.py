@@ -17,7 +17,6 @@ from ledgerflow.functions.dates import as_date, prev_month_end
 from ledgerflow.functions.money import dec
 from ledgerflow.operators import scan
 from ledgerflow.operators.balances import month_spine
-from ledgerflow.operators import bands
 from ledgerflow.operators.bands import with_breaks
 from ledgerflow.plans.common import SQL_SIGNED, signed_amount
 from ledgerflow.plans.registry import report
@@ -198,14 +197,24 @@ def control_break_runs(spark, root):
     """Control-break groups over documents in date order: a new group starts whenever the
     state differs from the previous document (so one state forms many groups). Each row
     gets its group number, the group's size and total (shown before the group ends) and the
-    running total inside the group."""
+    running total inside the group.
+
+    Two scan rounds over one chunking: (previous state, running sum S), then (group number,
+    S just before the group's first row); the in-group running total is the difference.
+    """
     o = Tables(spark, root).orders.select("o_orderkey", "o_orderdate", "o_orderstatus", dec("o_totalprice").alias("amt"))
     order = ["o_orderdate", "o_orderkey"]
-    r = with_breaks(o, ["o_orderstatus"], order, keep_chunk=True)
+    d = scan.chunk_by_range(o, [], order)
+    d = scan.scan_all(d, [], order, [("_prev", "lag", F.col("o_orderstatus")), ("_S", "sum", F.col("amt"))])
+    first = F.row_number().over(Window.partitionBy(scan.CHUNK).orderBy(*order)) == 1
+    d = d.withColumn("_start", (~F.col("_prev").eqNullSafe(F.col("o_orderstatus"))).cast("int"))
+    d = scan.scan_all(d, [], order, [("run_id", "sum", F.col("_start")),
+                                     ("_base", "last", F.when(F.col("_start") == 1, F.col("_S") - F.col("amt")))])
+    r = d.select("o_orderkey", "o_orderstatus", F.col("run_id").cast("long").alias("run_id"), "amt",
+                 (F.col("_S") - F.col("_base")).alias("running_in_run"))
+    r = r.checkpoint(eager=True)          # cut the lineage before it is read twice
     runs = r.groupBy("run_id").agg(F.count(F.lit(1)).alias("run_rows"), F.sum("amt").alias("run_total"))
-    # run ids grow with the order, so the chunks of the global order also serve per-run scans
-    c = scan.cumsum(r, F.col("amt"), ["run_id"], order, "running_in_run")
-    j = c.drop(scan.CHUNK).join(runs, "run_id")
+    j = r.join(runs, "run_id")
     return j.select("o_orderkey", "o_orderstatus", "run_id", "run_rows",
                     F.col("run_total").cast("double").alias("run_total"),
                     F.col("running_in_run").cast("double").alias("running_in_run"))
@@ -237,9 +246,16 @@ def resettable_running(spark, root, opening=OPENING):
         F.trunc(as_date("ts"), "MM").alias("month"))
     by, order = ["user_id"], ["ts", "event_id"]
     c = scan.chunk_by_range(e, by, order)
-    c = scan.cumsum(c, F.col("x"), ["user_id", "month"], order, "mtd")   # month is monotone in ts: same chunks
-    c = bands.resettable_running(c, "x", by, order, F.lit(opening).cast("decimal(18,2)"), "acc", prev_out="prev_x",
-                           chunked=True)
+    # round 1: previous movement, previous month, running sum S per user
+    c = scan.scan_all(c, by, order, [("prev_x", "lag", F.col("x")), ("_pm", "lag", F.col("month")),
+                                     ("_S", "sum", F.col("x"))])
+    restart = F.coalesce(F.col("prev_x"), F.lit(0)) == 0
+    new_month = ~F.col("_pm").eqNullSafe(F.col("month"))
+    # round 2: S just before the last restart and just before the month's first row
+    c = scan.scan_all(c, by, order, [("_rb", "last", F.when(restart, F.col("_S") - F.col("x"))),
+                                     ("_mb", "last", F.when(new_month, F.col("_S") - F.col("x")))])
+    c = c.withColumn("acc", F.lit(opening).cast("decimal(18,2)") + F.col("_S") - F.col("_rb")) \
+         .withColumn("mtd", F.col("_S") - F.col("_mb"))
     return c.select("event_id", "user_id", F.col("x").cast("double").alias("x"), F.col("prev_x").cast("double").alias("prev_x"),
                     F.col("mtd").cast("double").alias("mtd"), F.col("acc").cast("double").alias("acc"))
 

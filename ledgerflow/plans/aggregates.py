@@ -18,7 +18,7 @@ from ledgerflow.sources import Tables
 INSURANCE_RATE = "0.056"
 
 
-@report("group_sums", "A1 A2 A3 A24 P11 J3 S1", sql=f"""
+@report("group_sums", "A1 A2 A3 A24 P11 J3 S1 R43", sql=f"""
 SELECT * FROM (
   SELECT year(l_shipdate) AS yr, p_type, SUM(l_quantity) AS qty,
          CAST(ROUND(SUM({SQL_SIGNED}), 2) AS DOUBLE) AS balance,

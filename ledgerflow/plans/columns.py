@@ -124,7 +124,7 @@ _DOCNUM_SQL = """CASE o_orderkey % 4
       ELSE o_orderstatus || CAST(o_orderkey AS VARCHAR) END"""
 
 
-@report("docnum_split", "E16 E25 E7 J1", sql=f"""
+@report("docnum_split", "E16 E25 E7 J1 R35", sql=f"""
 WITH d AS (SELECT o_orderkey, o_custkey, {_DOCNUM_SQL} AS docnum FROM orders),
 p AS (SELECT *, CASE WHEN instr(docnum, '-') > 0 THEN instr(docnum, '-')
                      WHEN instr(docnum, '/') > 0 AND instr(substr(docnum, instr(docnum, '/') + 1), '/') > 0
@@ -184,7 +184,7 @@ def text_labels(spark, root):
 INTEREST_RATE, LATE_RATE = 18.0, 5.0
 
 
-@report("fee_arithmetic", "E19 E24 E29 E30 J13", sql=f"""
+@report("fee_arithmetic", "E19 E24 E29 E30 J13 R30", sql=f"""
 WITH o AS (SELECT o_custkey, SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS requested, count(*) AS n_docs
            FROM orders GROUP BY o_custkey)
 SELECT c_custkey,
@@ -305,7 +305,7 @@ _GROUPS_SQL = f"""grp AS (
   FROM range(0, 1000) r(n), (VALUES (1), (2), (3)) p(pos))"""
 
 
-@report("amount_words", "E26 F1 E13 E35 E36 J1", sql=f"""
+@report("amount_words", "E26 F1 E13 E35 E36 J1 R28 R31", sql=f"""
 WITH {_GROUPS_SQL},
 d AS (SELECT o_orderkey, o_orderdate, o_totalprice, c_acctbal,
              CASE WHEN o_orderpriority < '3' THEN 1 ELSE 2 END AS currency

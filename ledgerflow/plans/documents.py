@@ -104,7 +104,7 @@ def union_branches(spark, root):
 _MESES = "[" + ", ".join(f"'{m}'" for m in MONTH_LABELS_ES) + "]"
 
 
-@report("category_series", "C1 E14 A3", sql=f"""
+@report("category_series", "C1 E14 A3 R19", sql=f"""
 SELECT {_MESES}[month(o_orderdate)] AS month_label, month(o_orderdate) AS mon, day(o_orderdate) AS dom,
        CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS amount
 FROM orders GROUP BY 1, 2, 3
@@ -117,7 +117,7 @@ def category_series(spark, root):
              .agg(F.sum(dec("o_totalprice")).cast("double").alias("amount")))
 
 
-@report("time_series", "C2 E1 P8 A3", sql=f"""
+@report("time_series", "C2 E1 P8 A3 R20", sql=f"""
 SELECT {sql_decode('o_orderstatus', STATUS_LABELS)} AS state, CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
        CAST(ROUND(SUM(CAST(o_totalprice AS DECIMAL(18,2))), 2) AS DOUBLE) AS amount
 FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1999

@@ -65,7 +65,7 @@ AS_OF = dt.date(2000, 1, 1)
 COMPANY = "BUILDING"
 
 
-@report("open_items", "P13 P10 E36 E8 J1", sql=f"""
+@report("open_items", "P13 P10 E36 E8 J1 Q16", sql=f"""
 SELECT o_orderkey, o_custkey,
        datediff('day', CAST(o_orderdate AS DATE), DATE '{AS_OF}') AS age_days,
        CAST(ROUND(CAST(o_totalprice AS DECIMAL(18,2)), 2) AS DOUBLE) AS residual
@@ -90,7 +90,7 @@ CONTROL_DATE = dt.date(1998, 6, 30)
 RATE = 7.8
 
 
-@report("control_row_params", "S5 S6 P8 P6 J8 W1", sql=f"""
+@report("control_row_params", "S5 S6 P8 P6 J8 W1 R17", sql=f"""
 WITH daily AS (
   SELECT CAST(o_orderdate AS DATE) AS day, SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS day_total
   FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY 1),
@@ -119,7 +119,7 @@ def control_row_params(spark, root, control_date=CONTROL_DATE, rate=RATE):
                       ratio(F.col("running_total"), F.col("ctl_total")).alias("of_control"))
 
 
-@report("top_recent", "O5 S7 A7 E18 O1", sql="""
+@report("top_recent", "O5 S7 A7 E18 O1 R47", sql="""
 SELECT c_custkey, upper(c_name) AS label, CAST(max(o_orderdate) AS DATE) AS last_order
 FROM orders JOIN customer ON o_custkey = c_custkey
 GROUP BY c_custkey, upper(c_name)

@@ -57,7 +57,7 @@ FROM leaf2 GROUP BY ROLLUP (l1, l2, l3, p_partkey)
 """
 
 
-@report("trial_balance", "R13 B17 B1 B2 B5 B7 W8 A2 E1 E3 P9 O2", sql=_TB_SQL)
+@report("trial_balance", "R13 B17 B1 B2 B5 B7 W8 A2 E1 E3 P9 O2 Q20 Q15", sql=_TB_SQL)
 def trial_balance(spark, root, start=TB_FROM, end=TB_TO):
     """Analytical trial balance: opening (posted lines up to the day before ``start``),
     debit, credit, movement and closing per account, with totals on the three upper

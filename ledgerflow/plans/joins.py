@@ -84,7 +84,7 @@ def semi_anti_keys(spark, root):
 FREIGHT_TYPE = "PROMO"
 
 
-@report("freight_flag", "J12 J13 J2 E1", sql=f"""
+@report("freight_flag", "J12 J13 J2 E1 R37", sql=f"""
 SELECT o_orderkey,
        CASE WHEN (SELECT count(*) FROM lineitem JOIN part ON l_partkey = p_partkey
                   WHERE l_orderkey = o_orderkey AND p_type = '{FREIGHT_TYPE}') > 0 THEN 'CF' ELSE 'SF' END AS freight_flag,
@@ -151,7 +151,7 @@ def scalar_cross_total(spark, root):
                     "first_ship", "last_ship")
 
 
-@report("fanout_pairs", "J20 Q9", sql="""
+@report("fanout_pairs", "J20 Q9 R29", sql="""
 WITH a AS (SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_returnflag = 'N'),
 b AS (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag <> 'N'),
 pairs AS (SELECT a.l_orderkey, count(*) AS n_pairs, SUM(a.l_quantity) AS repeated_qty

@@ -25,7 +25,7 @@ from ledgerflow.sources import Tables
 SPINE_FROM, SPINE_TO = dt.date(1995, 1, 1), dt.date(2001, 12, 1)
 
 
-@report("month_spine_balance", "S3 W1 J9 J2 E10", sql=f"""
+@report("month_spine_balance", "S3 W1 J9 J2 E10 Q18", sql=f"""
 WITH spine AS (
   SELECT p_type, CAST(m AS DATE) AS month
   FROM (SELECT DISTINCT p_type FROM part), range(DATE '{SPINE_FROM}', DATE '{SPINE_TO}' + INTERVAL 1 DAY, INTERVAL 1 MONTH) r(m)),
@@ -160,7 +160,7 @@ LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extende
               "l_tax", "l_returnflag", "l_shipdate"]
 
 
-@report("numbered_lines", "W6 E15 A6", sql=f"""
+@report("numbered_lines", "W6 E15 A6 R46", sql=f"""
 SELECT l_orderkey, l_partkey, l_quantity,
        row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(LINE_ORDER)}) AS line_no,
        count(*) OVER (PARTITION BY l_orderkey) AS n_lines,

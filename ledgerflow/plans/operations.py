@@ -26,7 +26,7 @@ TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 _LAST_ORDER = ", ".join(c + " DESC" for c in TIE_BREAK)
 
 
-@report("container_costs", "R03 R04 A11 A15 A19 J14 J19 E8 E15", sql=f"""
+@report("container_costs", "R03 R04 A11 A15 A19 J14 J19 E8 E15 Q17", sql=f"""
 WITH l AS (
   SELECT l_orderkey, p_type, CAST(l_extendedprice AS DECIMAL(18,2)) AS cost, l_returnflag,
          {", ".join(TIE_BREAK)},
@@ -287,7 +287,7 @@ CH_FROM, CH_TO = dt.date(2001, 1, 1), dt.date(2001, 8, 1)
 CH_BANK_ID, CH_BANK_NAME = 0, "NATION_3"
 
 
-@report("cheque_register", "R28 R31 E13 E26 F1 P4 J1 J2 B16 E36", sql=f"""
+@report("cheque_register", "R28 R31 E13 E26 F1 P4 J1 J2 B16 E36 Q3", sql=f"""
 WITH {_GROUPS_SQL},
 c AS (SELECT o_orderkey, c_name, o_orderdate, o_totalprice, CASE WHEN c_nationkey < 12 THEN 1 ELSE 2 END AS currency
       FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
@@ -368,3 +368,72 @@ def pos_close(spark, root, stations=POS_STATIONS, start=dt.date(1999, 1, 1), end
     return j.select("day", "station", "invoiced_qty", F.col("n_pairs").cast("long").alias("n_pairs"),
                     F.coalesce("repeated_qty", F.lit(0.0)).alias("repeated_qty"),
                     F.coalesce("matched_qty", F.lit(0.0)).alias("matched_qty"))
+
+
+SW_FROM, SW_TO = dt.date(1998, 1, 1), dt.date(1998, 6, 30)
+
+
+def _slip_detail_sql() -> str:
+    from ledgerflow.plans.registry import REGISTRY
+    return REGISTRY["union_branches"].sql
+
+
+@report("slips_with_detail", "R26 J18 O6 P1", sql="""
+WITH u AS ({union}),
+m AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS slip_date FROM orders
+      WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '{start}' AND DATE '{end}')
+SELECT m.o_orderkey, slip_date, source, doc, amount,
+       CASE WHEN u.o_orderkey IS NULL THEN NULL
+            ELSE row_number() OVER (PARTITION BY m.o_orderkey ORDER BY source, doc) END AS detail_no,
+       count(u.o_orderkey) OVER (PARTITION BY m.o_orderkey) AS detail_count
+FROM m LEFT JOIN u ON m.o_orderkey = u.o_orderkey
+""".format(union=_slip_detail_sql(), start=SW_FROM, end=SW_TO))
+def slips_with_detail(spark, root, start=SW_FROM, end=SW_TO):
+    """Deposit slips of a period, each with its detail lines from the three stacked
+    sources (one join instead of one sub-report per slip), numbered per slip."""
+    t = Tables(spark, root)
+    m = t.orders.where(date_between("o_orderdate", start, end)).select(
+        "o_orderkey", as_date("o_orderdate").alias("slip_date"))
+    u = union_branches(spark, root).select("o_orderkey", "source", "doc", "amount")
+    md = master_detail(m, u, "o_orderkey", ["source", "doc"])
+    return md.select("o_orderkey", "slip_date", "source", "doc", "amount", "detail_no", "detail_count")
+
+
+PV_FROM, PV_TO = dt.date(2000, 1, 1), dt.date(2000, 3, 31)
+PV_NATION_ID, PV_NATION_NAME = 0, "NATION_11"
+
+
+@report("payment_vouchers", "R10 J7 J1 P4 E15 B16", sql=f"""
+WITH pay AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'
+             AND CAST(o_orderdate AS DATE) BETWEEN DATE '{PV_FROM}' AND DATE '{PV_TO}'),
+bridge AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem),
+inv AS (SELECT l_orderkey, l_suppkey, SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS invoice_amount
+        FROM lineitem GROUP BY 1, 2),
+sup AS (SELECT s_suppkey, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey
+        WHERE CASE WHEN {PV_NATION_ID} <> 0 THEN n_nationkey = {PV_NATION_ID} ELSE n_name = '{PV_NATION_NAME}' END),
+v AS (SELECT pay.o_orderkey, s_name || ' / ' || CAST(b.l_suppkey AS VARCHAR) AS supplier, invoice_amount
+      FROM pay JOIN bridge b ON b.l_orderkey = pay.o_orderkey JOIN sup ON b.l_suppkey = s_suppkey
+      JOIN inv ON inv.l_orderkey = b.l_orderkey AND inv.l_suppkey = b.l_suppkey)
+SELECT o_orderkey, supplier, CAST(invoice_amount AS DOUBLE) AS invoice_amount,
+       CAST(SUM(invoice_amount) OVER (PARTITION BY o_orderkey) AS DOUBLE) AS voucher_total
+FROM v
+""")
+def payment_vouchers(spark, root, start=PV_FROM, end=PV_TO, nation_id=PV_NATION_ID, nation_name=PV_NATION_NAME):
+    """Payment vouchers of a period with the supplier invoices they settle, linked through a
+    payment-invoice bridge; suppliers of one country (by id when given, else by name);
+    each voucher's total on its rows."""
+    t = Tables(spark, root)
+    pay = t.orders.where((F.col("o_orderstatus") == "F") & date_between("o_orderdate", start, end)).select("o_orderkey")
+    bridge = t.lineitem.select("l_orderkey", "l_suppkey").distinct()
+    inv = t.lineitem.groupBy("l_orderkey", "l_suppkey").agg(F.sum(dec("l_extendedprice")).alias("invoice_amount"))
+    nat = t.nation.where(one_of("n_nationkey", nation_id, "n_name", nation_name)).select("n_nationkey")
+    sup = (t.supplier.join(F.broadcast(nat), F.col("s_nationkey") == F.col("n_nationkey"), "left_semi")
+                     .select("s_suppkey", "s_name"))
+    v = (pay.join(bridge, F.col("l_orderkey") == F.col("o_orderkey"))
+            .join(sup, F.col("l_suppkey") == F.col("s_suppkey"))
+            .join(inv, ["l_orderkey", "l_suppkey"]))
+    tot = v.groupBy("o_orderkey").agg(F.sum("invoice_amount").alias("voucher_total"))
+    return v.join(tot, "o_orderkey").select(
+        "o_orderkey", F.concat("s_name", F.lit(" / "), F.col("l_suppkey").cast("string")).alias("supplier"),
+        F.col("invoice_amount").cast("double").alias("invoice_amount"),
+        F.col("voucher_total").cast("double").alias("voucher_total"))

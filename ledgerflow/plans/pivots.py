@@ -22,7 +22,7 @@ from ledgerflow.sources import Tables, values
 FLAGS = [("A", "qty_a"), (("A", "N"), "qty_an"), ("N", "qty_n"), ("R", "qty_r")]
 
 
-@report("wide_pivot_sum", "A11 A12 F2", sql="""
+@report("wide_pivot_sum", "A11 A12 F2 R44", sql="""
 SELECT l_orderkey,
        COALESCE(SUM(l_quantity) FILTER (WHERE l_returnflag = 'A'), 0) AS qty_a,
        COALESCE(SUM(l_quantity) FILTER (WHERE l_returnflag IN ('A', 'N')), 0) AS qty_an,
@@ -61,7 +61,7 @@ def wide_pivot_last(spark, root):
                       agg="last", order=TIE_BREAK, fill=None)
 
 
-@report("pivot_by_date", "A14 A11", sql="""
+@report("pivot_by_date", "A14 A11 R18", sql="""
 SELECT CAST(o_orderdate AS DATE) AS day,
        {cols}
 FROM orders GROUP BY 1
@@ -80,7 +80,7 @@ def pivot_by_date(spark, root):
 VAT_FROM = 0.05
 
 
-@report("pivots_joined", "J16 J19 A11 J2 E4", sql=f"""
+@report("pivots_joined", "J16 J19 A11 J2 E4 R35 R33", sql=f"""
 WITH q AS (
   SELECT l_orderkey,
          SUM(l_quantity) FILTER (WHERE l_returnflag = 'A') AS qty_a,
@@ -126,7 +126,7 @@ PRODUCT_CLASS = [("ECONOMY", "regular"), ("STANDARD", "regular"), ("LARGE", "die
 CLASSES = ["regular", "diesel", "super", "otros"]
 
 
-@report("merged_products", "A13 J2 S2 E1", sql=f"""
+@report("merged_products", "A13 J2 S2 E1 R33", sql=f"""
 WITH m(ptype, cls) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in PRODUCT_CLASS)}),
 l AS (SELECT l_orderkey, COALESCE(cls, 'otros') AS cls, l_quantity
       FROM lineitem JOIN part ON l_partkey = p_partkey LEFT JOIN m ON p_type = m.ptype)
@@ -175,7 +175,7 @@ def crosstab_sum(spark, root):
 SHIFT_HOURS = -6
 
 
-@report("net_units_crosstab", "A17 E21 E22 A3", sql=f"""
+@report("net_units_crosstab", "A17 E21 E22 A3 R32", sql=f"""
 WITH m AS (
   SELECT l_linestatus, year(CAST(o_orderdate - INTERVAL 6 HOUR AS DATE)) AS yr, c_mktsegment, l_returnflag,
          CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS units
@@ -220,7 +220,7 @@ u AS (SELECT CAST(o_orderkey AS VARCHAR) AS doc, age, amt, {", ".join(n for n, _
 SELECT doc, age AS age_days, CAST(amt AS DOUBLE) AS balance, {outs}, n_docs FROM u"""
 
 
-@report("age_buckets", "A16 B3 B4 P13 E8 E36", sql=_age_sql())
+@report("age_buckets", "A16 B3 B4 P13 E8 E36 R38 Q16", sql=_age_sql())
 def age_buckets(spark, root, as_of=AGE_AS_OF):
     """Open documents aged at ``as_of`` with the residual in its day bucket, plus a total row
     (bucket totals, balance total and document count)."""
@@ -269,7 +269,7 @@ STACK_DAY = dt.date(1998, 8, 2)
 EXCHANGE = 7.8
 
 
-@report("metric_stack", "O8 E31 E20 A9", sql=f"""
+@report("metric_stack", "O8 E31 E20 A9 R42 Q23", sql=f"""
 WITH g AS (
   SELECT p_type, SUM(l_quantity) AS gallons,
          CAST(SUM({_weighted_parts()[0]}) AS DOUBLE) AS subtotal,
@@ -323,7 +323,7 @@ def property_table(t: Tables):
     return cost.unionByName(price)
 
 
-@report("product_profit", "A22 S4 J17 E25 J8 O9", sql=f"""
+@report("product_profit", "A22 S4 J17 E25 J8 O9 R41 Q22", sql=f"""
 WITH prop AS (
   SELECT '{PROPERTY_PREFIX}' || CAST(p_partkey AS VARCHAR) AS res_id, 'standard_price' AS name,
          ROUND(CAST(p_retailprice AS DECIMAL(18,2)) * {COST_FACTOR}, 2) AS value_float FROM part
@@ -359,7 +359,7 @@ def product_profit(spark, root):
 PLAN_FACTOR = 100
 
 
-@report("budget_vs_actual", "A21 J2 Q7", sql=f"""
+@report("budget_vs_actual", "A21 J2 Q7 R09", sql=f"""
 WITH plan AS (SELECT p_brand, SUM(CAST(p_retailprice AS DECIMAL(18,2))) * {PLAN_FACTOR} AS planned FROM part GROUP BY p_brand),
 act AS (SELECT p_brand,
                SUM(CASE WHEN l_returnflag = 'R' THEN CAST(l_extendedprice AS DECIMAL(18,2)) ELSE 0 END)

@@ -1,4 +1,5 @@
 from ledgerflow.sources.tables import Tables, TABLE_NAMES, read_jdbc
 from ledgerflow.sources.inline import values
+from ledgerflow.sources.sinks import write_report
 
-__all__ = ["Tables", "TABLE_NAMES", "read_jdbc", "values"]
+__all__ = ["Tables", "TABLE_NAMES", "read_jdbc", "values", "write_report"]

@@ -43,3 +43,17 @@ def reconcile(headers: DataFrame, details: DataFrame, key: str, declared: str, a
     j = headers.join(sums, key, "inner")
     return j.withColumn(status_col, F.when(F.col(declared) != F.col(summed_col), F.lit(bad))
                                      .otherwise(F.lit(ok)))
+
+
+def exclusive_rows(df: DataFrame, keys: Sequence[str], other: str) -> DataFrame:
+    """Rows for which no other row with the same ``keys`` has a different ``other`` value.
+
+    Same result as ``NOT EXISTS (same keys AND other <> this.other)``: a row stays when its
+    ``other`` is NULL (the comparison is never true) or when all non-NULL ``other`` values
+    of its key group are equal. Computed as one aggregation per key group (min = max) and
+    a join on the keys — linear in the rows, never comparing the pairs of a group.
+    """
+    groups = df.groupBy(*keys).agg(F.min(other).alias("_omin"), F.max(other).alias("_omax"))
+    j = df.join(groups, list(keys))
+    keep = F.col(other).isNull() | F.col("_omin").isNull() | (F.col("_omin") == F.col("_omax"))
+    return j.where(keep).drop("_omin", "_omax")

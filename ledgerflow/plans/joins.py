@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerflow.functions.dates import as_date
 from ledgerflow.functions.money import dec, out, ratio
 from ledgerflow.operators.balances import month_spine
+from ledgerflow.operators.nest import exclusive_rows
 from ledgerflow.operators.pivot import wide_pivot
 from ledgerflow.operators.totals import cross_scalar
 from ledgerflow.plans.common import SQL_LINE_AMOUNT, line_amount
@@ -63,18 +64,16 @@ FROM with_ret FULL OUTER JOIN excl ON with_ret.o_orderstatus = excl.o_orderstatu
 """)
 def semi_anti_keys(spark, root):
     """Documents having a returned line (semi join) and lines whose product does not appear
-    in the same document from another supplier (anti join on two keys plus a residual)."""
+    in the same document from another supplier (the NOT EXISTS on two keys plus a residual,
+    computed as a per-group aggregate so a large group is never expanded into pairs)."""
     t = Tables(spark, root)
     o = t.orders.select("o_orderkey", "o_orderstatus")
     returned = t.lineitem.where(F.col("l_returnflag") == "R").select("l_orderkey")
     semi = (o.join(returned, o.o_orderkey == returned.l_orderkey, "left_semi")
              .groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("orders_with_returns")))
-    l1 = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey").alias("l1")
-    l2 = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey").alias("l2")
-    cond = ((F.col("l1.l_orderkey") == F.col("l2.l_orderkey")) & (F.col("l1.l_partkey") == F.col("l2.l_partkey"))
-            & (F.col("l1.l_suppkey") != F.col("l2.l_suppkey")))
-    excl = l1.join(l2, cond, "left_anti")
-    anti = (excl.join(o, F.col("l1.l_orderkey") == o.o_orderkey)
+    lines = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey")
+    excl = exclusive_rows(lines, ["l_orderkey", "l_partkey"], "l_suppkey")
+    anti = (excl.join(o, F.col("l_orderkey") == o.o_orderkey)
                 .groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("exclusive_lines")))
     j = semi.join(anti, "o_orderstatus", "full")
     return j.select("o_orderstatus", F.coalesce("orders_with_returns", F.lit(0)).alias("orders_with_returns"),

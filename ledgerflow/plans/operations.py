@@ -11,7 +11,7 @@ from ledgerflow.functions.money import dec, out, ratio
 from ledgerflow.functions.predicates import date_between, in_list, one_of
 from ledgerflow.functions.text import key_after
 from ledgerflow.functions.words import amount_in_words
-from ledgerflow.operators.nest import master_detail, reconcile
+from ledgerflow.operators.nest import exclusive_rows, master_detail, reconcile
 from ledgerflow.operators.pivot import wide_pivot
 from ledgerflow.plans.columns import _GROUPS_SQL, _MES, _words_sql
 from ledgerflow.plans.common import SQL_LINE_AMOUNT, line_amount
@@ -133,14 +133,11 @@ GROUP BY 1, 2
 """)
 def owner_profit(spark, root, owners=None):
     """Profit by owner and product, leaving out a sale when the same product of the same
-    receipt was also sold from another location (anti join on two keys plus a residual);
+    receipt was also sold from another location (NOT EXISTS on two keys plus a residual,
+    as a per-group aggregate);
     cost from the typed property relation; missing owners labelled."""
     t = Tables(spark, root)
-    l1 = t.lineitem.alias("l1")
-    l2 = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey").alias("l2")
-    cond = ((F.col("l1.l_orderkey") == F.col("l2.l_orderkey")) & (F.col("l1.l_partkey") == F.col("l2.l_partkey"))
-            & (F.col("l1.l_suppkey") != F.col("l2.l_suppkey")))
-    sold = l1.join(l2, cond, "left_anti").where(in_list(F.col("l1.l_suppkey"), owners))
+    sold = exclusive_rows(t.lineitem, ["l_orderkey", "l_partkey"], "l_suppkey").where(in_list("l_suppkey", owners))
     prop = property_table(t).where(F.col("name") == "standard_price")
     j = (sold.join(t.supplier.select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
              .join(prop, key_after("res_id", len(PROPERTY_PREFIX) + 1) == F.col("l_partkey")))

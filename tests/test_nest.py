@@ -20,3 +20,15 @@ def test_reconcile_states(spark):
                               "k int, amt decimal(18,2)")
     got = {r.k: r.status for r in reconcile(h, d, "k", "declared", F.col("amt")).collect()}
     assert got == {1: "Cuadrada", 2: "Revisar", 3: "Revisar"}          # no details: not listed
+
+
+def test_exclusive_rows_equals_not_exists(spark):
+    from ledgerflow.operators.nest import exclusive_rows
+    rows = [(1, 1, 10), (1, 1, 10), (1, 2, 10), (1, 2, 11), (2, 1, None), (2, 1, 12), (3, 3, None), (3, 3, None),
+            (4, 4, 7), (4, 4, 8), (4, 4, 9)]
+    df = spark.createDataFrame(rows, "o int, p int, s int")
+    df.createOrReplaceTempView("excl_fixture")
+    brute = spark.sql("""SELECT * FROM excl_fixture a WHERE NOT EXISTS (
+        SELECT 1 FROM excl_fixture b WHERE b.o = a.o AND b.p = a.p AND b.s <> a.s)""")
+    got = exclusive_rows(df, ["o", "p"], "s").select("o", "p", "s")
+    assert sorted(got.collect()) == sorted(brute.collect())

@@ -31,4 +31,5 @@ def test_exclusive_rows_equals_not_exists(spark):
     brute = spark.sql("""SELECT * FROM excl_fixture a WHERE NOT EXISTS (
         SELECT 1 FROM excl_fixture b WHERE b.o = a.o AND b.p = a.p AND b.s <> a.s)""")
     got = exclusive_rows(df, ["o", "p"], "s").select("o", "p", "s")
-    assert sorted(got.collect()) == sorted(brute.collect())
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted(got.collect(), key=key) == sorted(brute.collect(), key=key)

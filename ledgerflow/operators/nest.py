@@ -23,6 +23,7 @@ def master_detail(master: DataFrame, detail: DataFrame, key: str, order: Sequenc
     ``detail_no`` numbers details per master in ``order`` (a full tie-break);
     ``detail_count`` is the number of details of the master (0 when none).
     """
+    detail = detail.join(master.select(key), key, "left_semi")   # only details of listed masters
     d = scan.chunk_by_range(detail, [key], order)
     d = scan.cumsum(d, F.lit(1), [key], order, no_col).drop(scan.CHUNK)
     counts = detail.groupBy(key).agg(F.count(F.lit(1)).alias(count_col))

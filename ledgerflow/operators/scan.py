@@ -25,6 +25,31 @@ from ledgerflow.session import ensure_checkpoint_dir
 
 CHUNK = "_chunk"
 _G = "_scan_all"
+_SINGLE = "ledgerflow_single_chunk"
+# Target bytes per chunk (the optimizer's size estimate of the input); inputs below it run
+# as one chunk. Override with the session conf ``ledgerflow.scan.chunkBytes``.
+DEFAULT_CHUNK_BYTES = 64 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of ``df`` (no job is run)."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - any failure means "assume large"
+        return 1 << 62
+
+
+def plan_chunks(df: DataFrame) -> int:
+    """Number of chunks for ``df``: 1 when its estimated size is below the chunk target,
+    else enough chunks of the target size, between the shuffle partition count and four
+    times it."""
+    spark = df.sparkSession
+    target = int(spark.conf.get("ledgerflow.scan.chunkBytes", str(DEFAULT_CHUNK_BYTES)))
+    est = estimated_bytes(df)
+    if est <= target:
+        return 1
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return int(max(parts, min(est // max(target, 1) + 1, 4 * parts)))
 
 
 def _names(cols: Sequence) -> list:
@@ -39,7 +64,10 @@ def chunk_by_range(df: DataFrame, by: Sequence[str], order: Sequence, num_chunks
     (``rows`` frames); peers (equal sort values) always land in the same chunk.
     """
     spark = df.sparkSession
-    n = num_chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_chunks or plan_chunks(df)
+    if n == 1:
+        # small input (size-checked): one chunk, plain per-key windows, nothing to carry
+        return df.withColumn(CHUNK, F.lit(0).alias(CHUNK, metadata={_SINGLE: True}))
     sort_cols = [*by, *order]
     out = df.repartitionByRange(n, *sort_cols).withColumn(CHUNK, F.spark_partition_id())
     if checkpoint:
@@ -86,6 +114,7 @@ def scan_all(d: DataFrame, by: Sequence[str], order: Sequence, specs: Sequence[t
     """
     d, by, added = _with_group(d, by)
     specs = [tuple(s) + (("rows",) if len(s) == 3 else ()) for s in specs]
+    single = bool(d.schema[CHUNK].metadata.get(_SINGLE))
     for i, (_, _, value, _) in enumerate(specs):
         d = d.withColumn(f"_v{i}", value)
     base = Window.partitionBy(CHUNK, *by).orderBy(*order)
@@ -106,6 +135,11 @@ def scan_all(d: DataFrame, by: Sequence[str], order: Sequence, specs: Sequence[t
             raise ValueError(f"unknown scan kind {kind!r}")
     if need_first:
         local = local.withColumn("_seg_first", F.row_number().over(base) == 1)
+    if single:
+        for i, (out, _, _, _) in enumerate(specs):
+            local = local.withColumn(out, F.col(f"_l{i}"))
+        local = local.drop(*[f"_{p}{i}" for i in range(len(specs)) for p in "vl"], "_seg_first")
+        return local.drop(_G) if added else local
     ordkey = F.struct(*order)
     aggs = []
     for i, (_, kind, _, _) in enumerate(specs):

@@ -32,3 +32,13 @@ def test_resettable_running_restarts_after_zero(spark):
     # prev 0/absent restarts at opening + x; otherwise previous acc + x
     assert [float(r.acc) for r in rows] == [100, 105, 105, 103, 100, 102]
     assert [None if r.prev is None else float(r.prev) for r in rows] == [None, 0, 5, 0, 3, -3]
+
+
+def test_breaks_with_forced_chunks(spark):
+    spark.conf.set("ledgerflow.scan.chunkBytes", "1")
+    try:
+        df = spark.createDataFrame([(i, k) for i, k in enumerate("AABAABBBAC")], "pos int, k string")
+        got = bands.with_breaks(df, ["k"], ["pos"]).orderBy("pos").select("run_id").collect()
+    finally:
+        spark.conf.unset("ledgerflow.scan.chunkBytes")
+    assert [r.run_id for r in got] == [1, 1, 2, 3, 3, 4, 4, 4, 5, 6]

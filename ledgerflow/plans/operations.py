@@ -12,7 +12,7 @@ from ledgerflow.functions.predicates import date_between, in_list, one_of
 from ledgerflow.functions.text import key_after
 from ledgerflow.functions.words import amount_in_words
 from ledgerflow.operators.nest import exclusive_rows, master_detail, reconcile
-from ledgerflow.operators.pivot import wide_pivot
+from ledgerflow.operators.pivot import cell, wide_pivot
 from ledgerflow.plans.columns import _GROUPS_SQL, _MES, _words_sql
 from ledgerflow.plans.common import SQL_LINE_AMOUNT, line_amount
 from ledgerflow.plans.documents import union_branches
@@ -55,17 +55,13 @@ def container_costs(spark, root):
     t = Tables(spark, root)
     l = t.lineitem.join(t.part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey")) \
                   .withColumn("cost", dec("l_extendedprice"))
-    sums = wide_pivot(l, ["l_orderkey"], "p_type", [(x, f"sum_{x.lower()}") for x in TYPES], "cost")
-    last = wide_pivot(l, ["l_orderkey"], "p_type", [(x, f"last_{x.lower()}") for x in TYPES], "cost",
-                      agg="last", order=TIE_BREAK, fill=None)
-    cur = wide_pivot(l, ["l_orderkey"], "l_returnflag", [(f, f"total_{c}") for f, c in CURRENCY_OF_FLAG], "cost")
-    dates = t.lineitem.groupBy(F.col("l_orderkey").alias("k")).agg(
-        F.min("l_shipdate").alias("first_ship"), F.max("l_shipdate").alias("last_ship"))   # one row per container
-    j = (t.orders.select("o_orderkey", "o_orderdate")
-         .join(sums, F.col("o_orderkey") == F.col("l_orderkey")).drop("l_orderkey")
-         .join(last.withColumnRenamed("l_orderkey", "k1"), F.col("o_orderkey") == F.col("k1"))
-         .join(cur.withColumnRenamed("l_orderkey", "k2"), F.col("o_orderkey") == F.col("k2"))
-         .join(dates, F.col("o_orderkey") == F.col("k")))
+    # one aggregation: summed and last cost per type, totals per currency, first/last date
+    g = l.groupBy("l_orderkey").agg(
+        *[F.coalesce(cell("p_type", x, "cost"), F.lit(0)).alias(f"sum_{x.lower()}") for x in TYPES],
+        *[cell("p_type", x, "cost", agg="last", order=TIE_BREAK).alias(f"last_{x.lower()}") for x in TYPES],
+        *[F.coalesce(cell("l_returnflag", f, "cost"), F.lit(0)).alias(f"total_{c}") for f, c in CURRENCY_OF_FLAG],
+        F.min("l_shipdate").alias("first_ship"), F.max("l_shipdate").alias("last_ship"))
+    j = t.orders.select("o_orderkey", "o_orderdate").join(g, F.col("o_orderkey") == F.col("l_orderkey"))
     return j.select(F.concat(F.lit("CONT-"), F.col("o_orderkey").cast("string")).alias("container"),
                     days_between("first_ship", "o_orderdate").alias("days_to_first"),
                     days_between("last_ship", "o_orderdate").alias("days_to_last"),

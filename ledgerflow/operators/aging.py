@@ -23,9 +23,5 @@ def bucket_columns(age: Column, amount: Column,
     cols = []
     for name, lo, hi in buckets:
         inside = age >= lo if hi is None else age.between(lo, hi)
-        cols.append(F.when(inside, amount).otherwise(F.lit(0).cast(amount_type(amount))).alias(name))
+        cols.append(F.when(inside, amount).otherwise(F.lit(0).cast("decimal(18,2)")).alias(name))
     return cols
-
-
-def amount_type(_: Column) -> str:
-    return "decimal(18,2)"

@@ -63,10 +63,6 @@ def plan_chunks(df: DataFrame) -> int:
     return int(max(parts, min(est // max(target, 1) + 1, 4 * parts)))
 
 
-def _names(cols: Sequence) -> list:
-    return list(cols)
-
-
 def chunk_by_range(df: DataFrame, by: Sequence[str], order: Sequence, num_chunks: int | None = None,
                    checkpoint: bool = True) -> DataFrame:
     """Add ``_chunk``: the range partition of each row on ``(by..., order...)``.

@@ -6,12 +6,11 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ledgerflow.functions.dates import as_date
 from ledgerflow.functions.money import dec, gross_up, out
 from ledgerflow.functions.predicates import date_between, in_list
 from ledgerflow.operators.nest import master_detail
 from ledgerflow.operators.totals import cross_scalar, with_total_row
-from ledgerflow.plans.common import SQL_LINE_AMOUNT, STATUS_LABELS, decode, line_amount, sql_decode
+from ledgerflow.plans.common import SQL_LINE_AMOUNT, decode, line_amount, sql_decode
 from ledgerflow.plans.ledger import LINE_ORDER
 from ledgerflow.plans.registry import report
 from ledgerflow.sources import Tables

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from ledgerflow.functions.dates import (MONTH_LABELS_ES, as_date, days_between, long_date_es, month_name,

@@ -23,8 +23,14 @@ def with_total_row(grouped: DataFrame, label_col: str, label: str, totals: DataF
 
 
 def cross_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate to every row (broadcast nested loop, 1 row)."""
-    return df.crossJoin(F.broadcast(one_row))
+    """Attach the columns of a one-row aggregate to every row as scalar subqueries.
+
+    Spark evaluates each subquery once (identical ones are merged, and the subquery reuses
+    the exchanges it shares with ``df``) and inlines the value: no join, no cross product.
+    ``one_row`` must produce at most one row (an aggregate without keys, or a filter on a
+    unique key); Spark raises an error otherwise.
+    """
+    return df.select("*", *[one_row.select(c).scalar().alias(c) for c in one_row.columns])
 
 
 def share_text(part: Column, total: Column) -> Column:

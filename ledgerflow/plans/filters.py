@@ -10,6 +10,7 @@ from ledgerflow.functions.dates import as_date, days_between
 from ledgerflow.functions.money import dec, out, ratio
 from ledgerflow.functions.predicates import date_between, in_list, one_of
 from ledgerflow.operators import scan
+from ledgerflow.operators.totals import cross_scalar
 from ledgerflow.plans.registry import report
 from ledgerflow.sources import Tables
 
@@ -111,8 +112,8 @@ def control_row_params(spark, root, control_date=CONTROL_DATE, rate=RATE):
                        "running_total").drop(scan.CHUNK)
     ctl = (snap.where(F.col("day") == F.lit(control_date))
                .select(F.col("running_total").alias("ctl_total"), F.lit(rate).alias("rate")))
-    res = (snap.where(F.year("day").between(1997, 1999) & F.month("day").between(3, 6))
-               .crossJoin(F.broadcast(ctl)))                     # control relation: one row
+    res = cross_scalar(snap.where(F.year("day").between(1997, 1999) & F.month("day").between(3, 6)),
+                       ctl)                                      # control relation: one row
     return res.select("day", out("day_total").alias("day_total"), out("running_total").alias("running_total"),
                       ratio(F.col("day_total"), F.col("rate")).alias("day_total_usd"),
                       ratio(F.col("running_total"), F.col("ctl_total")).alias("of_control"))

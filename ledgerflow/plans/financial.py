@@ -14,6 +14,7 @@ from ledgerflow.functions.money import dec
 from ledgerflow.operators import scan
 from ledgerflow.operators.bands import with_breaks
 from ledgerflow.operators.pivot import crosstab_totals
+from ledgerflow.operators.totals import cross_scalar
 from ledgerflow.plans.aggregates import TAG_SETS
 from ledgerflow.plans.common import SQL_SIGNED, signed_amount
 from ledgerflow.plans.ledger import LINE_ORDER
@@ -134,7 +135,7 @@ def balance_sheet(spark, root, end=BS_END):
     rows = r.select(F.lit(None).cast("string").alias("line"), "l1", "l2", F.col("gid").cast("long").alias("gid"), "balance")
     check_row = check.select(F.lit("check").alias("line"), F.lit(None).cast("string").alias("l1"),
                              F.lit(None).cast("string").alias("l2"), F.lit(None).cast("long").alias("gid"), "balance")
-    u = rows.unionByName(check_row).crossJoin(F.broadcast(ni))                 # net income: one row
+    u = cross_scalar(rows.unionByName(check_row), ni)                           # net income: one row
     return u.select("line", "l1", "l2", "gid",
                     (F.col("balance") + F.when(F.col("line") == "check", F.col("net_income")).otherwise(F.lit(0)))
                     .cast("double").alias("balance"), F.col("net_income").cast("double").alias("net_income"))

@@ -206,13 +206,13 @@ def control_break_runs(spark, root):
     order = ["o_orderdate", "o_orderkey"]
     d = scan.chunk_by_range(o, [], order)
     d = scan.scan_all(d, [], order, [("_prev", "lag", F.col("o_orderstatus")), ("_S", "sum", F.col("amt"))])
-    first = F.row_number().over(Window.partitionBy(scan.CHUNK).orderBy(*order)) == 1
     d = d.withColumn("_start", (~F.col("_prev").eqNullSafe(F.col("o_orderstatus"))).cast("int"))
     d = scan.scan_all(d, [], order, [("run_id", "sum", F.col("_start")),
                                      ("_base", "last", F.when(F.col("_start") == 1, F.col("_S") - F.col("amt")))])
     r = d.select("o_orderkey", "o_orderstatus", F.col("run_id").cast("long").alias("run_id"), "amt",
                  (F.col("_S") - F.col("_base")).alias("running_in_run"))
-    r = r.checkpoint(eager=True)          # cut the lineage before it is read twice
+    if scan.plan_chunks(o) > 1:
+        r = r.checkpoint(eager=True)      # large input: cut the lineage before it is read twice
     runs = r.groupBy("run_id").agg(F.count(F.lit(1)).alias("run_rows"), F.sum("amt").alias("run_total"))
     j = r.join(runs, "run_id")
     return j.select("o_orderkey", "o_orderstatus", "run_id", "run_rows",

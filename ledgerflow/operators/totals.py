@@ -30,7 +30,8 @@ def cross_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
     ``one_row`` must produce at most one row (an aggregate without keys, or a filter on a
     unique key); Spark raises an error otherwise.
     """
-    return df.select("*", *[one_row.select(c).scalar().alias(c) for c in one_row.columns])
+    packed = one_row.select(F.struct(*one_row.columns).alias("_s")).scalar()     # one subquery
+    return df.select("*", *[packed.getField(c).alias(c) for c in one_row.columns])
 
 
 def share_text(part: Column, total: Column) -> Column:

@@ -29,6 +29,7 @@ _SINGLE = "ledgerflow_single_chunk"
 # Target bytes per chunk (the optimizer's size estimate of the input); inputs below it run
 # as one chunk. Override with the session conf ``ledgerflow.scan.chunkBytes``.
 DEFAULT_CHUNK_BYTES = 64 * 1024 * 1024
+DEFAULT_MAX_CHUNKS = 1 << 17
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -51,16 +52,17 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def plan_chunks(df: DataFrame) -> int:
-    """Number of chunks for ``df``: 1 when its estimated size is below the chunk target,
-    else enough chunks of the target size, between the shuffle partition count and four
-    times it."""
+    """Number of chunks for ``df``: 1 when its estimated size is below the chunk target
+    (``ledgerflow.scan.chunkBytes``), else enough chunks of about the target size — at
+    least the shuffle partition count, at most ``ledgerflow.scan.maxChunks``."""
     spark = df.sparkSession
     target = int(spark.conf.get("ledgerflow.scan.chunkBytes", str(DEFAULT_CHUNK_BYTES)))
     est = estimated_bytes(df)
     if est <= target:
         return 1
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return int(max(parts, min(est // max(target, 1) + 1, 4 * parts)))
+    max_chunks = int(spark.conf.get("ledgerflow.scan.maxChunks", str(DEFAULT_MAX_CHUNKS)))
+    return int(max(parts, min(est // max(target, 1) + 1, max_chunks)))
 
 
 def chunk_by_range(df: DataFrame, by: Sequence[str], order: Sequence, num_chunks: int | None = None,

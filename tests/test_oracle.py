@@ -77,9 +77,11 @@ SCAN_QUERIES = ["running_ledger", "side_running", "numbered_lines", "control_bre
 def test_chunked_scans_match_oracle(spark, duck, name):
     """Force the multi-chunk path (tiny chunk target) so carries across chunks are exercised."""
     spark.conf.set("ledgerflow.scan.chunkBytes", "16384")
+    spark.conf.set("ledgerflow.scan.maxChunks", "32")
     try:
         sp = E.queries()[name](spark, SF_DIR).toPandas()
     finally:
         spark.conf.unset("ledgerflow.scan.chunkBytes")
+        spark.conf.unset("ledgerflow.scan.maxChunks")
     dk = duck.execute(E.oracle_sql()[name]).df()
     assert _canon(sp) == _canon(dk)

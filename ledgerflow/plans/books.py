@@ -63,7 +63,7 @@ def sales_tax_ledger(spark, root, periods=PERIODS):
                     gross_up(F.col("net"), TAX_RATE, 3).cast("double").alias("total"))
 
 
-JV_FROM, JV_TO = dt.date(1997, 1, 1), dt.date(1997, 3, 31)
+JV_FROM, JV_TO = dt.date(1995, 1, 1), dt.date(2001, 12, 31)
 JV_STATES = ("F", "O")
 
 
@@ -179,7 +179,7 @@ def account_sides_totals(spark, root):
                     F.col("all_credit").cast("double").alias("all_credit"), F.lit("Libro mayor").alias("title"))
 
 
-EJ_FROM, EJ_TO = dt.date(1996, 1, 1), dt.date(1996, 6, 30)
+EJ_FROM, EJ_TO = dt.date(1995, 1, 1), dt.date(2001, 12, 31)
 EJ_STATES = ("F", "O", "P")
 
 
@@ -215,7 +215,7 @@ def entry_journal(spark, root, start=EJ_FROM, end=EJ_TO, states=EJ_STATES):
                     F.col("debit").cast("double").alias("debit"), F.col("credit").cast("double").alias("credit"))
 
 
-PH_FROM, PH_TO = dt.date(1998, 1, 1), dt.date(1998, 12, 31)
+PH_FROM, PH_TO = dt.date(1995, 1, 1), dt.date(2001, 12, 31)
 PH_COMPANY = "AUTOMOBILE"
 PH_KINDS = ("1-URGENT", "2-HIGH", "3-MEDIUM")
 
@@ -249,6 +249,7 @@ def payment_history(spark, root, start=PH_FROM, end=PH_TO, company=PH_COMPANY, k
 
 
 INS_RATE = "0.056"
+TI_FROM, TI_TO = dt.date(1995, 1, 1), dt.date(2001, 12, 31)
 FREIGHT_TYPES = ("PROMO",)
 
 
@@ -256,10 +257,10 @@ FREIGHT_TYPES = ("PROMO",)
 SELECT l_orderkey, l_suppkey AS vehicle, SUM(l_quantity) AS qty,
        CAST(ROUND(SUM(CAST(l_quantity AS DECIMAL(18,2))) * {INS_RATE}, 2) AS DOUBLE) AS fee
 FROM lineitem JOIN part ON l_partkey = p_partkey
-WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '1999-01-01' AND DATE '1999-12-31' AND p_type NOT IN {FREIGHT_TYPES + ('',)}
+WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '{TI_FROM}' AND DATE '{TI_TO}' AND p_type NOT IN {FREIGHT_TYPES + ('',)}
 GROUP BY l_orderkey, l_suppkey
 """)
-def transport_insurance(spark, root, start=dt.date(1999, 1, 1), end=dt.date(1999, 12, 31), excluded=FREIGHT_TYPES):
+def transport_insurance(spark, root, start=TI_FROM, end=TI_TO, excluded=FREIGHT_TYPES):
     """Insurance fee per invoice and vehicle: sum of quantity x rate, freight excluded."""
     t = Tables(spark, root)
     li = t.lineitem.where(date_between("l_shipdate", start, end))
@@ -272,6 +273,7 @@ def transport_insurance(spark, root, start=dt.date(1999, 1, 1), end=dt.date(1999
 
 IS_NATIONS = (0, 5, 10, 15, 20)
 INSURED_FROM = 5000
+IS_FROM, IS_TO = dt.date(1995, 1, 1), dt.date(2001, 12, 31)
 
 
 @report("insured_sales", "R45 J1 J6 P1 P2 A1", sql=f"""
@@ -281,10 +283,10 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey
 JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN supplier ON l_suppkey = s_suppkey
 JOIN nation sn ON s_nationkey = sn.n_nationkey
 WHERE c_acctbal > {INSURED_FROM} AND c_nationkey IN {IS_NATIONS}
-  AND CAST(o_orderdate AS DATE) BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'
+  AND CAST(o_orderdate AS DATE) BETWEEN DATE '{IS_FROM}' AND DATE '{IS_TO}'
 GROUP BY 1, 2, 3
 """)
-def insured_sales(spark, root, nations=IS_NATIONS, start=dt.date(1997, 1, 1), end=dt.date(1998, 12, 31)):
+def insured_sales(spark, root, nations=IS_NATIONS, start=IS_FROM, end=IS_TO):
     """Sales of credit-insured customers of chosen countries by customer and seller country."""
     t = Tables(spark, root)
     nat = t.nation.select("n_nationkey", "n_name")                                     # 25 rows
@@ -300,7 +302,7 @@ def insured_sales(spark, root, nations=IS_NATIONS, start=dt.date(1997, 1, 1), en
     return j.groupBy("customer_nation", "seller_nation", "c_custkey").agg(out(F.sum(line_amount())).alias("sales"))
 
 
-PR_FROM, PR_TO = dt.date(2000, 1, 1), dt.date(2000, 3, 31)
+PR_FROM, PR_TO = dt.date(1995, 1, 1), dt.date(2001, 12, 31)
 # Labels of the line states on the repayment list.
 LINE_STATUS_LABELS = {"F": "Aplicado", "O": "Pendiente"}
 

@@ -250,7 +250,7 @@ def order_pivots(spark, root):
                     out("tax").alias("tax"), (qty["A"] + qty["N"] + qty["R"]).alias("qty_total"))
 
 
-CL_FROM, CL_TO = dt.date(1996, 1, 1), dt.date(1997, 12, 31)
+CL_FROM, CL_TO = dt.date(1995, 1, 1), dt.date(2001, 12, 31)
 CL_RATE, CL_LATE = 18.0, 5.0
 
 
@@ -276,7 +276,7 @@ def collection_list(spark, root, start=CL_FROM, end=CL_TO, rate=CL_RATE, late=CL
     return r.orderBy(F.col("factor").desc(), "c_custkey")
 
 
-CH_FROM, CH_TO = dt.date(2001, 1, 1), dt.date(2001, 8, 1)
+CH_FROM, CH_TO = dt.date(1995, 1, 1), dt.date(2001, 12, 31)
 CH_BANK_ID, CH_BANK_NAME = 0, "NATION_3"
 
 
@@ -319,11 +319,12 @@ def cheque_register(spark, root, start=CH_FROM, end=CH_TO, bank_id=CH_BANK_ID, b
 
 
 POS_STATIONS = ("1-URGENT", "2-HIGH")
+POS_FROM, POS_TO = dt.date(1995, 1, 1), dt.date(2001, 12, 31)
 
 
 @report("pos_close", "R29 J20 J5 P1 P2 E1 Q9", sql=f"""
 WITH s AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, o_orderpriority AS station FROM orders
-           WHERE o_orderpriority IN {POS_STATIONS} AND CAST(o_orderdate AS DATE) BETWEEN DATE '1999-01-01' AND DATE '1999-12-31'),
+           WHERE o_orderpriority IN {POS_STATIONS} AND CAST(o_orderdate AS DATE) BETWEEN DATE '{POS_FROM}' AND DATE '{POS_TO}'),
 inv AS (SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_returnflag = 'N'),
 ord AS (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag <> 'N'),
 fan AS (SELECT day, station, count(*) AS n_pairs, SUM(inv.l_quantity) AS repeated_qty
@@ -337,7 +338,7 @@ SELECT inv_q.day, inv_q.station, invoiced_qty, COALESCE(n_pairs, 0) AS n_pairs,
 FROM inv_q LEFT JOIN fan ON inv_q.day = fan.day AND inv_q.station = fan.station
 LEFT JOIN ded ON inv_q.day = ded.day AND inv_q.station = ded.station
 """)
-def pos_close(spark, root, stations=POS_STATIONS, start=dt.date(1999, 1, 1), end=dt.date(1999, 12, 31)):
+def pos_close(spark, root, stations=POS_STATIONS, start=POS_FROM, end=POS_TO):
     """Point-of-sale close per day and station: invoiced quantity, and the totals the
     report's join of invoice lines x order lines (by document only) produces, next to the
     de-duplicated join on document and product. Pairs are counted, never built."""
@@ -363,7 +364,7 @@ def pos_close(spark, root, stations=POS_STATIONS, start=dt.date(1999, 1, 1), end
                     F.coalesce("matched_qty", F.lit(0.0)).alias("matched_qty"))
 
 
-SW_FROM, SW_TO = dt.date(1998, 1, 1), dt.date(1998, 6, 30)
+SW_FROM, SW_TO = dt.date(1995, 1, 1), dt.date(2001, 12, 31)
 
 
 def _slip_detail_sql() -> str:
@@ -392,7 +393,7 @@ def slips_with_detail(spark, root, start=SW_FROM, end=SW_TO):
     return md.select("o_orderkey", "slip_date", "source", "doc", "amount", "detail_no", "detail_count")
 
 
-PV_FROM, PV_TO = dt.date(2000, 1, 1), dt.date(2000, 3, 31)
+PV_FROM, PV_TO = dt.date(1995, 1, 1), dt.date(2001, 12, 31)
 PV_NATION_ID, PV_NATION_NAME = 0, "NATION_11"
 
 

@@ -11,6 +11,12 @@ chunk edge). The summary is bounded by the chunk count, so broadcasting it is sa
 Chunks are pinned by a reliable checkpoint (``spark.checkpoint.dir``): the range bounds
 are sampled once, and every later branch reads the same chunk of every row, also when a
 lost executor forces a recomputation.
+
+The chunk count follows the optimizer's size estimate of the input (no job): about
+``ledgerflow.scan.chunkBytes`` per chunk. An input below one chunk is processed as a
+single chunk — plain per-key windows, no range exchange, no checkpoint, no summary — which
+is safe because the whole input is small; both paths give the same exact result (the
+tests force the chunked path on every ordered report and compare with DuckDB).
 """
 
 from __future__ import annotations

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -28,3 +29,21 @@ def one_of(id_col, id_value, name_col, name_value) -> Column:
     if id_value:
         return as_col(id_col) == F.lit(id_value)
     return as_col(name_col) == F.lit(name_value)
+
+
+def in_periods(c, periods: Sequence[int]) -> Column:
+    """Membership of ``YYYYMM`` periods, plus the enclosing date range as a plain comparison
+    on the column, which the scan can push down (and a date-partitioned table can prune)."""
+    col = as_col(c)
+    lo, hi = min(periods), max(periods)
+    start = dt.date(lo // 100, lo % 100, 1)
+    end = dt.date(hi // 100 + (hi % 100) // 12, (hi % 100) % 12 + 1, 1)
+    exact = (F.year(col) * 100 + F.month(col)).isin(list(periods))
+    return (col >= F.lit(start)) & (col < F.lit(end)) & exact
+
+
+def in_years(c, years: Sequence[int]) -> Column:
+    """Membership of years, plus the enclosing date range the scan can push down."""
+    col = as_col(c)
+    start, end = dt.date(min(years), 1, 1), dt.date(max(years) + 1, 1, 1)
+    return (col >= F.lit(start)) & (col < F.lit(end)) & F.year(col).isin(list(years))

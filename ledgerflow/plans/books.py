@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ledgerflow.functions.money import dec, gross_up, out
-from ledgerflow.functions.predicates import date_between, in_list
+from ledgerflow.functions.predicates import date_between, in_list, in_periods, in_years
 from ledgerflow.operators.nest import master_detail
 from ledgerflow.operators.totals import cross_scalar, with_total_row
 from ledgerflow.plans.common import SQL_LINE_AMOUNT, decode, line_amount, sql_decode
@@ -32,7 +32,7 @@ def purchase_tax_ledger(spark, root, periods=PERIODS):
     """Purchase book for chosen periods: per supplier document, net, VAT and gross-up total."""
     t = Tables(spark, root)
     period = F.year("l_shipdate") * 100 + F.month("l_shipdate")
-    li = t.lineitem.where(in_list(period, periods))
+    li = t.lineitem.where(in_periods("l_shipdate", periods))
     j = li.join(t.supplier.select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
     g = j.groupBy("s_name", F.col("l_orderkey").alias("doc"), period.alias("period")).agg(
         F.sum(dec("l_extendedprice")).alias("net"))
@@ -54,7 +54,7 @@ def sales_tax_ledger(spark, root, periods=PERIODS):
     """Sales book for chosen periods: per invoice, net (after discount), VAT and total."""
     t = Tables(spark, root)
     period = F.year("o_orderdate") * 100 + F.month("o_orderdate")
-    o = t.orders.where(in_list(period, periods)).select("o_orderkey", "o_custkey", period.alias("period"))
+    o = t.orders.where(in_periods("o_orderdate", periods)).select("o_orderkey", "o_custkey", period.alias("period"))
     j = (o.join(t.customer.select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
           .join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")))
     g = j.groupBy("o_orderkey", "c_name", "period").agg(F.round(F.sum(line_amount()), 2).alias("net"))
@@ -122,7 +122,7 @@ def monthly_journal(spark, root, years=MJ_YEARS):
     """Monthly journal: debit and credit per account group and month (0 shown as NULL, its
     label blank) with the month's totals on each row."""
     t = Tables(spark, root)
-    li = t.lineitem.where(in_list(F.year("l_shipdate"), years))
+    li = t.lineitem.where(in_years("l_shipdate", years))
     j = li.join(t.part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
     amt = dec("l_extendedprice")
     is_credit = F.col("l_returnflag") == "R"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.functions.dates import MONTH_LABELS_ES, as_date, month_name
 from ledgerflow.functions.money import dec, out, ratio
+from ledgerflow.functions.predicates import in_years
 from ledgerflow.operators.nest import master_detail
 from ledgerflow.plans.common import STATUS_LABELS, decode, sql_decode
 from ledgerflow.plans.ledger import LINE_ORDER
@@ -125,7 +126,7 @@ GROUP BY 1, 2
 """)
 def time_series(spark, root, first_year=1996, last_year=1999):
     """Chart series: state label (series) x month (time) -> amount, for a span of years."""
-    o = Tables(spark, root).orders.where(F.year("o_orderdate").between(first_year, last_year))
+    o = Tables(spark, root).orders.where(in_years("o_orderdate", range(first_year, last_year + 1)))
     return (o.groupBy(decode(F.col("o_orderstatus"), STATUS_LABELS).alias("state"),
                       F.trunc(as_date("o_orderdate"), "MM").alias("month"))
              .agg(out(F.sum(dec("o_totalprice"))).alias("amount")))

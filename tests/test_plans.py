@@ -29,3 +29,10 @@ def test_filters_reach_the_scan(spark):
     scan = [l for l in p.splitlines() if "FileScan parquet" in l and "o_orderkey" in l][0]
     assert "PushedFilters: [" in scan and "o_orderdate" in scan and "o_orderstatus" in scan
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_orderstatus:string,o_totalprice:double," in scan
+
+
+def test_period_lists_push_a_date_range(spark):
+    q = E.queries()["purchase_tax_ledger"](spark, SF_DIR)
+    p = q._jdf.queryExecution().executedPlan().toString()
+    scan = [l for l in p.splitlines() if "FileScan parquet" in l and "l_shipdate" in l][0]
+    assert "GreaterThanOrEqual(l_shipdate" in scan and "LessThan(l_shipdate" in scan

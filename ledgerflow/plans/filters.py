@@ -79,7 +79,8 @@ def open_items(spark, root, as_of=AS_OF, company=COMPANY):
     t = Tables(spark, root)
     c = t.customer.where(F.col("c_mktsegment") == company).select("c_custkey")
     age = days_between(F.lit(as_of), "o_orderdate")
-    o = t.orders.where((F.col("o_orderstatus") == "O") & (F.col("o_totalprice") > 0))
+    o = t.orders.where((F.col("o_orderstatus") == "O") & (F.col("o_totalprice") > 0)
+                       & (as_date("o_orderdate") <= F.lit(as_of)))          # age >= 0, pushable form
     return (o.join(c, o.o_custkey == c.c_custkey)
              .select("o_orderkey", "o_custkey", age.alias("age_days"),
                      out(dec("o_totalprice")).alias("residual"))

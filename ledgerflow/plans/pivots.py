@@ -224,7 +224,8 @@ SELECT doc, age AS age_days, CAST(amt AS DOUBLE) AS balance, {outs}, n_docs FROM
 def age_buckets(spark, root, as_of=AGE_AS_OF):
     """Open documents aged at ``as_of`` with the residual in its day bucket, plus a total row
     (bucket totals, balance total and document count)."""
-    o = Tables(spark, root).orders.where((F.col("o_orderstatus") == "O") & (F.col("o_totalprice") > 0))
+    o = Tables(spark, root).orders.where((F.col("o_orderstatus") == "O") & (F.col("o_totalprice") > 0)
+                                         & (as_date("o_orderdate") <= F.lit(as_of)))   # age >= 0, pushable
     r = o.select(F.col("o_orderkey").cast("string").alias("doc"), days_between(F.lit(as_of), "o_orderdate").alias("age_days"),
                  dec("o_totalprice").alias("balance")).where(F.col("age_days") >= 0)
     b = r.select("doc", "age_days", "balance", *bucket_columns(F.col("age_days"), F.col("balance")))

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import string
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import ledgerflow.llm
 from ledgerflow.session import ensure_checkpoint_dir
 from ledgerflow.sources.tables import Tables
 
+# Functions that run in tasks travel with the job, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(ledgerflow.llm)
+
 #: The ASCII white space that separates words and pads lines.
 WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
 

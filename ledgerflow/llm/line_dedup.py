@@ -67,40 +67,44 @@ def _shard(shards: int) -> Column:
     return (head % F.lit(shards)).cast("int").alias("shard")
 
 
+def _build(pdf: pd.DataFrame) -> pd.DataFrame:
+    cuckoo = CuckooFilter.of(sorted(pdf["key"]))
+    return pd.DataFrame({"shard": pdf["shard"][:1].to_numpy(), "cuckoo": [cuckoo.to_bytes()]})
+
+
+def _frequent(refs: DataFrame, min_docs: int, shards: int) -> DataFrame:
+    return refs.filter(F.col("n_docs") >= min_docs).select("key", _shard(shards))
+
+
 def filters(refs: DataFrame, min_docs: int, shards: int) -> DataFrame:
     """(shard, cuckoo): one filter for every shard with a key in at least ``min_docs`` documents."""
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        cuckoo = CuckooFilter.of(sorted(pdf["key"]))
-        return pd.DataFrame({"shard": pdf["shard"][:1].to_numpy(), "cuckoo": [cuckoo.to_bytes()]})
-
-    return (refs.filter(F.col("n_docs") >= min_docs).select("key", _shard(shards))
-            .groupBy("shard").applyInPandas(build, "shard int, cuckoo binary"))
+    return _frequent(refs, min_docs, shards).groupBy("shard").applyInPandas(_build, "shard int, cuckoo binary")
 
 
 def update_filters(cuckoos: DataFrame, before: DataFrame, after: DataFrame, min_docs: int, shards: int) -> DataFrame:
     """``cuckoos`` after the reference table went from ``before`` to ``after``: only keys that
-    crossed the threshold travel. A filter that can't take a key is built anew, twice as large,
-    by the caller's next ``filters``; until then ``full`` shards are told by an error."""
-    was = before.filter(F.col("n_docs") >= min_docs).select("key", F.lit(1).alias("was"))
-    now = after.filter(F.col("n_docs") >= min_docs).select("key", F.lit(1).alias("now"))
-    crossed = (was.join(now, "key", "full_outer").filter("was IS NULL OR now IS NULL")
-               .select("key", F.col("now").isNotNull().alias("up"), _shard(shards)))
+    crossed the threshold travel. Shards whose filter is full are built anew from ``after``."""
+    was = _frequent(before, min_docs, shards).withColumn("was", F.lit(1))
+    now = _frequent(after, min_docs, shards).withColumn("now", F.lit(1))
+    crossed = (was.join(now, ["key", "shard"], "full_outer").filter("was IS NULL OR now IS NULL")
+               .select("key", "shard", F.col("now").isNotNull().alias("up")))
 
     def apply(old: pd.DataFrame, change: pd.DataFrame) -> pd.DataFrame:
         shard = (old if len(old) else change)["shard"].iloc[0]
-        up = sorted(change["key"][change["up"]])
+        up = sorted(change["key"][change["up"].astype(bool)])
         if len(old):
             cuckoo = CuckooFilter.from_bytes(old["cuckoo"].iloc[0])
-            for key in sorted(change["key"][~change["up"]]):
+            for key in sorted(change["key"][~change["up"].astype(bool)]):
                 cuckoo.remove(key)
-            if not all(cuckoo.add(key) for key in up):
-                raise ValueError(f"the filter of shard {shard} is full: build it from the reference table")
+            blob = cuckoo.to_bytes() if all([cuckoo.add(key) for key in up]) else None
         else:
-            cuckoo = CuckooFilter.of(up)
-        return pd.DataFrame({"shard": [shard], "cuckoo": [cuckoo.to_bytes()]})
+            blob = CuckooFilter.of(up).to_bytes()
+        return pd.DataFrame({"shard": [shard], "cuckoo": [blob]})
 
-    return (cuckoos.groupBy("shard").cogroup(crossed.groupBy("shard"))
-            .applyInPandas(apply, "shard int, cuckoo binary"))
+    changed = materialize(cuckoos.groupBy("shard").cogroup(crossed.groupBy("shard")).applyInPandas(apply, "shard int, cuckoo binary"))
+    full = changed.filter("cuckoo IS NULL").select("shard")
+    anew = _frequent(after, min_docs, shards).join(full, "shard", "left_semi")
+    return changed.filter("cuckoo IS NOT NULL").union(anew.groupBy("shard").applyInPandas(_build, "shard int, cuckoo binary"))
 
 
 def _probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -7,7 +7,16 @@ from pyspark.sql import functions as F
 
 from ledgerflow.llm.common import documents
 from ledgerflow.llm.exact_dedup import exact_dedup
+from ledgerflow.llm.lang_id import identify
 from ledgerflow.llm.line_dedup import drop_lines
+from ledgerflow.llm.mixing import mix
+from ledgerflow.llm.order_minhash import with_edits
+from ledgerflow.llm.packing import pack
+from ledgerflow.llm.secrets import BASE_RULES, scan_secrets
+from ledgerflow.llm.sharding import shard_by_bytes
+from ledgerflow.llm.simhash import near_duplicates
+from ledgerflow.llm.wrappers import main_text
+from ledgerflow.sources.tables import Tables
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,11 +51,97 @@ FROM lines LEFT JOIN gone ON lines.key = gone.key
 GROUP BY r
 """
 
+
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(documents(spark, sf_dir), shingle=3, max_bits=2)
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(Tables(spark, sf_dir).get("pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+MIX_REPEATS = 2.0
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix(documents(spark, sf_dir), max_repeats=MIX_REPEATS)
+    return out.select("doc_id", "source", "tokens", "copies", F.round("weight", 6).alias("weight"), "block", "start",
+                      F.round("mix_key", 9).alias("mix_key"))
+
+
+# The bisection's grid point has a closed form for a limit on repeats: (smallest / largest)^(a - 1) = limit.
+OP5_SQL = f"""
+WITH docs AS (
+  SELECT doc_id, source, coalesce('=' || source, '-') AS key, md5(coalesce(doc_id::VARCHAR, '') || chr(0) || coalesce(text, '')) AS rk,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens, count(*) AS copies
+  FROM documents GROUP BY ALL),
+totals AS (SELECT key, sum(tokens * copies)::BIGINT AS total FROM docs GROUP BY key),
+ends AS (SELECT sum(total) AS every, max(total)::DOUBLE AS hi, (min(total) FILTER (WHERE total > 0))::DOUBLE AS lo FROM totals),
+point AS (SELECT every, hi, CASE WHEN hi / lo <= {MIX_REPEATS} THEN 0.0
+                 ELSE ceil((1 + ln({MIX_REPEATS}::DOUBLE) / ln(lo / hi)) * 16777216) / 16777216 END AS a FROM ends),
+plan AS (SELECT key, total, every, CASE WHEN total > 0 THEN pow(total::DOUBLE / every, a) ELSE 0 END AS w,
+                CASE WHEN total > 0 THEN round(pow(total::DOUBLE, a) * pow(hi, 1 - a))::BIGINT ELSE 0 END AS budget FROM totals, point),
+weighted AS (SELECT *, w / sum(w) OVER () AS weight FROM plan),
+blocks AS (SELECT *, unnest(range(0, CASE WHEN total > 0 THEN (budget + total - 1) // total ELSE 1 END)) AS block FROM weighted),
+placed AS (
+  SELECT docs.*, weight, total, budget, block,
+         coalesce(sum(tokens * copies) OVER (PARTITION BY key, block ORDER BY md5('0|' || block || '|' || rk), doc_id
+                                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM docs JOIN blocks USING (key))
+SELECT doc_id, source, tokens, copies, round(weight, 6) AS weight, block, start,
+       round(CASE WHEN budget > 0 THEN (block * total + start)::DOUBLE / budget ELSE 0 END, 9) AS mix_key
+FROM placed WHERE total = 0 OR (block + 1) * total <= budget OR block * total + start < budget
+"""
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir))
+
+
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_edits(documents(spark, sf_dir))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pack(documents(spark, sf_dir), length=1024)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shard_by_bytes(documents(spark, sf_dir), shards=16)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_secrets(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in BASE_RULES]))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return out.select("doc_id", *[number(r.kind) for r in BASE_RULES],
+                      F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_line_dedup": op2_line_dedup,
+    "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_html_extraction": op4_html_extraction,
+    "op5_mixing": op5_mixing,
+    "op6_language_id": op6_language_id,
+    "op7_order_minhash": op7_order_minhash,
+    "op8_packing": op8_packing,
+    "op9_sharding": op9_sharding,
+    "op10_secret_scan": op10_secret_scan,
 }
 ORACLES = {
     "op1_exact_dedup": OP1_SQL,
     "op2_line_dedup": OP2_SQL,
+    "op5_mixing": OP5_SQL,
 }

@@ -9,9 +9,8 @@ The last tokens of a task (fewer than one sequence) are cut into sequences whose
 powers of two, which need no padding either. Nothing is shuffled and a task holds one window,
 so a lost task is simply run again.
 
-Token ids are those of the vocabulary's byte-level BPE. A text is cut in front of single
-spaces between words, where its pre-tokenisation always ends a piece, and each unit is looked
-up in a bounded cache; units that are missing are encoded. This bounds the memory for very long texts.
+Token ids are those of the vocabulary's byte-level BPE. Very long texts are encoded in parts,
+cut in front of a single space between words, where pre-tokenisation always ends a piece.
 
 Defined results: null text is the empty text, whose one token is the end mark; repeated rows
 are packed as often as they come; rows without an id are packed with a null id; an empty table
@@ -34,37 +33,29 @@ from pyspark.sql import DataFrame
 from ledgerflow.llm.common import batch_limits, text_of
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
-MAX_CACHE = 300_000         # units in the cache of one task
+PART = 1 << 20              # code points encoded at a time, up to the next safe cut
 WINDOW = 2_048              # pieces that are packed together
 END = 0                     # the id behind each document
 RANKS = "byte_bpe_50k.tiktoken"      # the vocabulary of byte_bpe_50k.json as ranks
 
 
 class Tokens:
-    """Token ids of texts, through a cache of the units between safe cuts."""
+    """Token ids of texts; long texts in parts, which bounds the memory of an encoding."""
 
     def __init__(self, ranks: str):
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table,
-                                        special_tokens={}).encode_ordinary
-        self.cache: dict[str, list[int]] = {}
+                                        special_tokens={}).encode_to_numpy
 
     def ids(self, text: str) -> np.ndarray:
         """The ids of ``text`` and the end mark."""
-        first, *units = CUT.split(text)
-        out, cache = self.encode(first), self.cache
-        for unit in units:
-            ids = cache.get(unit)
-            if ids is None:
-                ids = self.encode(" " + unit)
-                if len(cache) >= MAX_CACHE:
-                    cache.clear()
-                if len(unit) <= 64:
-                    cache[unit] = ids
-            out += ids
-        out.append(END)
-        return np.array(out, dtype="<u4")
+        parts, lo = [], 0
+        while len(text) - lo > PART and (cut := CUT.search(text, lo + PART)):
+            parts.append(self.encode(text[lo:cut.start()], disallowed_special=()))
+            lo = cut.start()
+        parts.append(self.encode(text[lo:], disallowed_special=()))
+        return np.concatenate([*parts, [END]]).astype("<u4")
 
 
 class Packer:

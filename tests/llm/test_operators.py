@@ -416,6 +416,13 @@ def test_token_ids_of_documents(spark, tokenizer):
         assert tokens.ids(text).tolist() == [*e.ids, 0]
 
 
+def test_token_ids_in_parts(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "PART", 7)
+    tokens = packing.Tokens(public_tokenizers.path(packing.RANKS))
+    for text in ("a bb  ccc dddd\n eeeee\tffffff 'll 12 345 !? x" * 9, "x" * 40, " " * 40, "é 漢字 🙂 " * 9):
+        assert tokens.ids(text).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+
+
 def test_sharding(docs, rows):
     got = sharding.shard_by_bytes(docs, 4, ranges=8).collect()
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter(

@@ -31,9 +31,11 @@ def one_of(id_col, id_value, name_col, name_value) -> Column:
     return as_col(name_col) == F.lit(name_value)
 
 
-def in_periods(c, periods: Sequence[int]) -> Column:
-    """Membership of ``YYYYMM`` periods, plus the enclosing date range as a plain comparison
+def in_periods(c, periods: Sequence[int] | None) -> Column:
+    """(``None`` or empty: no filter.) Membership of ``YYYYMM`` periods, plus the enclosing date range as a plain comparison
     on the column, which the scan can push down (and a date-partitioned table can prune)."""
+    if not periods:
+        return F.lit(True)
     col = as_col(c)
     lo, hi = min(periods), max(periods)
     start = dt.date(lo // 100, lo % 100, 1)
@@ -42,8 +44,10 @@ def in_periods(c, periods: Sequence[int]) -> Column:
     return (col >= F.lit(start)) & (col < F.lit(end)) & exact
 
 
-def in_years(c, years: Sequence[int]) -> Column:
-    """Membership of years, plus the enclosing date range the scan can push down."""
+def in_years(c, years: Sequence[int] | None) -> Column:
+    """(``None`` or empty: no filter.) Membership of years, plus the enclosing date range the scan can push down."""
+    if not years:
+        return F.lit(True)
     col = as_col(c)
     start, end = dt.date(min(years), 1, 1), dt.date(max(years) + 1, 1, 1)
     return (col >= F.lit(start)) & (col < F.lit(end)) & F.year(col).isin(list(years))

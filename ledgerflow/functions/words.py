@@ -87,7 +87,9 @@ def amount_in_words(amount, currency=1) -> Column:
     before `` con N/100`` exactly when there are cents, else `` <name> exactos`` is
     appended; every piece of text is built once.
     """
-    num = as_col(amount).try_cast("decimal(12,2)")
+    given = as_col(amount).try_cast("decimal(38,2)")
+    limit = F.lit(MAX_AMOUNT).cast("decimal(38,2)")
+    num = F.when(F.abs(given) <= limit, given).cast("decimal(12,2)")
     cur = as_col(currency) if not isinstance(currency, int) else F.lit(currency)
     cents_all = (F.abs(num) * 100).cast("bigint")
     whole = F.floor(cents_all / 100).cast("bigint")
@@ -104,7 +106,6 @@ def amount_in_words(amount, currency=1) -> Column:
             .otherwise(F.concat(F.lit(" "), name, F.lit(" exactos")))
     sign = F.when(num < 0, F.lit("-")).otherwise(F.lit(""))
     words = F.concat(sign, F.ltrim(body), tail)
-    limit = F.lit(MAX_AMOUNT).cast("decimal(12,2)")
-    return (F.when(num.isNull(), F.lit(None).cast("string"))
-             .when(F.abs(num) > limit, F.lit("---"))
+    return (F.when(given.isNull(), F.lit(None).cast("string"))
+             .when(F.abs(given) > limit, F.lit("---"))
              .otherwise(words))

@@ -55,6 +55,6 @@ def exclusive_rows(df: DataFrame, keys: Sequence[str], other: str) -> DataFrame:
     a join on the keys — linear in the rows, never comparing the pairs of a group.
     """
     groups = df.groupBy(*keys).agg(F.min(other).alias("_omin"), F.max(other).alias("_omax"))
-    j = df.join(groups, list(keys))
+    j = df.join(groups, list(keys), "left")          # a NULL key equals no key: such rows find no group and stay
     keep = F.col(other).isNull() | F.col("_omin").isNull() | (F.col("_omin") == F.col("_omax"))
     return j.where(keep).drop("_omin", "_omax")

@@ -12,11 +12,8 @@ Chunks are pinned by a reliable checkpoint (``spark.checkpoint.dir``): the range
 are sampled once, and every later branch reads the same chunk of every row, also when a
 lost executor forces a recomputation.
 
-The chunk count follows the optimizer's size estimate of the input (no job): about
-``ledgerflow.scan.chunkBytes`` per chunk. An input below one chunk is processed as a
-single chunk — plain per-key windows, no range exchange, no checkpoint, no summary — which
-is safe because the whole input is small; both paths give the same exact result (the
-tests force the chunked path on every ordered report and compare with DuckDB).
+There is one path at every size: the chunk count is ``ledgerflow.scan.chunks``, by default
+``spark.sql.shuffle.partitions``, which a cluster sizes for its data anyway.
 """
 
 from __future__ import annotations
@@ -24,51 +21,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.session import ensure_checkpoint_dir
 
 CHUNK = "_chunk"
 _G = "_scan_all"
-_SINGLE = "ledgerflow_single_chunk"
-# Target bytes per chunk (the optimizer's size estimate of the input); inputs below it run
-# as one chunk. Override with the session conf ``ledgerflow.scan.chunkBytes``.
-DEFAULT_CHUNK_BYTES = 64 * 1024 * 1024
-DEFAULT_MAX_CHUNKS = 1 << 17
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Size estimate of ``df`` from the optimizer (no job is run).
-
-    Without table statistics Spark estimates an equi-join as the product of its inputs, so
-    the estimate is capped by the sum of the leaf relations (after column pruning): the
-    joins that feed ordered scans here are key joins with bounded fan-out. A checkpointed
-    or otherwise unknown leaf counts as large. The estimate only chooses between two
-    strategies with the same exact result (one chunk or many).
-    """
-    try:
-        plan = df._jdf.queryExecution().optimizedPlan()
-        whole = int(str(plan.stats().sizeInBytes()))
-        leaves = plan.collectLeaves()
-        leaf_sum = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-        return min(whole, leaf_sum)
-    except Exception:  # noqa: BLE001 - any failure means "assume large"
-        return 1 << 62
-
-
-def plan_chunks(df: DataFrame) -> int:
-    """Number of chunks for ``df``: 1 when its estimated size is below the chunk target
-    (``ledgerflow.scan.chunkBytes``), else enough chunks of about the target size — at
-    least the shuffle partition count, at most ``ledgerflow.scan.maxChunks``."""
-    spark = df.sparkSession
-    target = int(spark.conf.get("ledgerflow.scan.chunkBytes", str(DEFAULT_CHUNK_BYTES)))
-    est = estimated_bytes(df)
-    if est <= target:
-        return 1
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    max_chunks = int(spark.conf.get("ledgerflow.scan.maxChunks", str(DEFAULT_MAX_CHUNKS)))
-    return int(max(parts, min(est // max(target, 1) + 1, max_chunks)))
+def plan_chunks(spark: SparkSession) -> int:
+    """Number of chunks of an ordered scan, the same for inputs of any size."""
+    return int(spark.conf.get("ledgerflow.scan.chunks", spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def chunk_by_range(df: DataFrame, by: Sequence[str], order: Sequence, num_chunks: int | None = None,
@@ -79,10 +43,7 @@ def chunk_by_range(df: DataFrame, by: Sequence[str], order: Sequence, num_chunks
     (``rows`` frames); peers (equal sort values) always land in the same chunk.
     """
     spark = df.sparkSession
-    n = num_chunks or plan_chunks(df)
-    if n == 1:
-        # small input (size-checked): one chunk, plain per-key windows, nothing to carry
-        return df.withColumn(CHUNK, F.lit(0).alias(CHUNK, metadata={_SINGLE: True}))
+    n = num_chunks or plan_chunks(spark)
     sort_cols = [*by, *order]
     out = df.repartitionByRange(n, *sort_cols).withColumn(CHUNK, F.spark_partition_id())
     if checkpoint:
@@ -129,7 +90,6 @@ def scan_all(d: DataFrame, by: Sequence[str], order: Sequence, specs: Sequence[t
     """
     d, by, added = _with_group(d, by)
     specs = [tuple(s) + (("rows",) if len(s) == 3 else ()) for s in specs]
-    single = bool(d.schema[CHUNK].metadata.get(_SINGLE))
     for i, (_, _, value, _) in enumerate(specs):
         d = d.withColumn(f"_v{i}", value)
     base = Window.partitionBy(CHUNK, *by).orderBy(*order)
@@ -150,11 +110,6 @@ def scan_all(d: DataFrame, by: Sequence[str], order: Sequence, specs: Sequence[t
             raise ValueError(f"unknown scan kind {kind!r}")
     if need_first:
         local = local.withColumn("_seg_first", F.row_number().over(base) == 1)
-    if single:
-        for i, (out, _, _, _) in enumerate(specs):
-            local = local.withColumn(out, F.col(f"_l{i}"))
-        local = local.drop(*[f"_{p}{i}" for i in range(len(specs)) for p in "vl"], "_seg_first")
-        return local.drop(_G) if added else local
     ordkey = F.struct(*order)
     aggs = []
     for i, (_, kind, _, _) in enumerate(specs):

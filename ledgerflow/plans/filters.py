@@ -144,7 +144,7 @@ FROM (SELECT p_partkey, substr(p_brand, 7) || lpad(CAST(p_size AS VARCHAR), 2, '
 def numeric_text_sort(spark, root):
     """Accounts ordered by a digit code stored as text, compared as a number."""
     p = Tables(spark, root).part.select(
-        "p_partkey", F.concat(F.substring("p_brand", 7, 100), F.lpad(F.col("p_size").cast("string"), 2, "0")).alias("code"))
+        "p_partkey", F.concat(F.expr("substring(p_brand, 7)"), F.lpad(F.col("p_size").cast("string"), 2, "0")).alias("code"))
     order = [F.col("code").cast("decimal(38,0)"), F.col("p_partkey")]
     d = scan.chunk_by_range(p.withColumn("_num", order[0]), [], ["_num", "p_partkey"])
     d = scan.cumsum(d, F.lit(1), [], ["_num", "p_partkey"], "sort_pos")

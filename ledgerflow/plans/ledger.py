@@ -211,8 +211,7 @@ def control_break_runs(spark, root):
                                      ("_base", "last", F.when(F.col("_start") == 1, F.col("_S") - F.col("amt")))])
     r = d.select("o_orderkey", "o_orderstatus", F.col("run_id").cast("long").alias("run_id"), "amt",
                  (F.col("_S") - F.col("_base")).alias("running_in_run"))
-    if scan.plan_chunks(o) > 1:
-        r = r.checkpoint(eager=True)      # large input: cut the lineage before it is read twice
+    r = r.checkpoint(eager=True)          # read twice below
     runs = r.groupBy("run_id").agg(F.count(F.lit(1)).alias("run_rows"), F.sum("amt").alias("run_total"))
     j = r.join(runs, "run_id")
     return j.select("o_orderkey", "o_orderstatus", "run_id", "run_rows",

@@ -213,13 +213,18 @@ def fund_balances(spark, root):
         dec("l_extendedprice").cast("double").alias("spent"))
 
 
+def _units_sql(flag: str) -> str:
+    """Quantity of one flag in ten-thousandths (fractional quantities are normal)."""
+    return f"CAST(SUM(CAST(l_quantity AS DECIMAL(18,4))) FILTER (WHERE l_returnflag = '{flag}') * 10000 AS HUGEINT)"
+
+
 @report("order_pivots", "R37 A11 J12 J13 E29 B3 Q1", sql=f"""
 WITH l AS (SELECT l_orderkey, l_returnflag, l_quantity, CAST(l_extendedprice AS DECIMAL(18,2)) AS price,
                   CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_tax AS DECIMAL(18,2)) AS tax, p_type
            FROM lineitem JOIN part ON l_partkey = p_partkey),
 g AS (SELECT l_orderkey,
              {", ".join(f"COALESCE(SUM(l_quantity) FILTER (WHERE l_returnflag = '{f}'), 0) AS qty_{f.lower()}" for f in "ANR")},
-             {", ".join(f"COALESCE((2 * CAST(SUM(price) FILTER (WHERE l_returnflag = '{f}') * 100 AS BIGINT) + CAST(SUM(l_quantity) FILTER (WHERE l_returnflag = '{f}') AS BIGINT)) // (2 * CAST(SUM(l_quantity) FILTER (WHERE l_returnflag = '{f}') AS BIGINT)) / 100.0, 0) AS price_{f.lower()}" for f in "ANR")},
+             {", ".join(f"COALESCE((CAST(SUM(price) FILTER (WHERE l_returnflag = '{f}') * 100 AS HUGEINT) * 20000 + {_units_sql(f)}) // NULLIF(2 * {_units_sql(f)}, 0) / 100.0, 0) AS price_{f.lower()}" for f in "ANR")},
              count(*) FILTER (WHERE p_type = 'PROMO') AS n_freight, SUM(tax) AS tax
       FROM l GROUP BY l_orderkey)
 SELECT l_orderkey, qty_a, qty_n, qty_r, price_a, price_n, price_r,
@@ -236,14 +241,15 @@ def order_pivots(spark, root):
     flag = F.col("l_returnflag")
     g = l.groupBy("l_orderkey").agg(
         *[F.sum(F.when(flag == f, F.col("l_quantity"))).alias(f"q_{f}") for f in "ANR"],
+        *[F.sum(F.when(flag == f, F.col("l_quantity").cast("decimal(18,4)"))).alias(f"u_{f}") for f in "ANR"],
         *[F.sum(F.when(flag == f, price)).alias(f"p_{f}") for f in "ANR"],
         F.count(F.when(F.col("p_type") == "PROMO", 1)).alias("n_freight"),
         F.sum(price * dec("l_tax")).alias("tax"))
     qty = {f: F.coalesce(F.col(f"q_{f}"), F.lit(0.0)) for f in "ANR"}
-    for f in "ANR":   # unit price rounded half up exactly: integer division on cents
-        g = g.withColumn(f"_c{f}", (F.col(f"p_{f}") * 100).cast("long")).withColumn(f"_n{f}", F.col(f"q_{f}").cast("long"))
+    for f in "ANR":   # unit price rounded half up exactly: integer division on cents and ten-thousandths
+        g = g.withColumn(f"_c{f}", (F.col(f"p_{f}") * 100).cast("long")).withColumn(f"_n{f}", (F.col(f"u_{f}") * 10000).cast("long"))
         g = g.withColumn(f"price_{f.lower()}", F.coalesce(
-            F.expr(f"(2 * _c{f} + _n{f}) div (2 * _n{f})") / F.lit(100.0), F.lit(0.0)))
+            F.expr(f"(20000 * _c{f} + _n{f}) div nullif(2 * _n{f}, 0)") / F.lit(100.0), F.lit(0.0)))
     return g.select("l_orderkey", *[qty[f].alias(f"qty_{f.lower()}") for f in "ANR"],
                     *[F.col(f"price_{f.lower()}") for f in "ANR"],
                     F.when(F.col("n_freight") > 0, "CF").otherwise("SF").alias("freight_flag"),

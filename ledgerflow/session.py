@@ -8,7 +8,7 @@ in UTC so that dates never shift between engines.
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -45,18 +45,17 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only invent one when none is set.
-
-    On a cluster the setting names shared storage, so a checkpoint survives the loss of
-    the executor that wrote it. The fallback (a fresh folder under the system temp
-    directory) is for local tests only.
-    """
+    """The cluster's ``spark.checkpoint.dir``. It names shared storage, so a checkpoint survives
+    the loss of the executor that wrote it; without it a cluster job stops here. Only a session
+    that runs in one process (master ``local``) gets a fresh folder of its own."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="ledgerflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        conf_dir = tempfile.mkdtemp(prefix="ledgerflow-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

@@ -35,12 +35,10 @@ def test_resettable_running_restarts_after_zero(spark):
 
 
 def test_breaks_with_forced_chunks(spark):
-    spark.conf.set("ledgerflow.scan.chunkBytes", "1")
-    spark.conf.set("ledgerflow.scan.maxChunks", "7")
+    spark.conf.set("ledgerflow.scan.chunks", "7")
     try:
         df = spark.createDataFrame([(i, k) for i, k in enumerate("AABAABBBAC")], "pos int, k string")
         got = bands.with_breaks(df, ["k"], ["pos"]).orderBy("pos").select("run_id").collect()
     finally:
-        spark.conf.unset("ledgerflow.scan.chunkBytes")
-        spark.conf.unset("ledgerflow.scan.maxChunks")
+        spark.conf.unset("ledgerflow.scan.chunks")
     assert [r.run_id for r in got] == [1, 1, 2, 3, 3, 4, 4, 4, 5, 6]

@@ -45,12 +45,10 @@ def test_results_do_not_depend_on_partition_count(spark):
     before = {n: sorted(map(tuple, q(spark, n).collect()), key=repr) for n in names}
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "3")
-    spark.conf.set("ledgerflow.scan.chunkBytes", "8192")
-    spark.conf.set("ledgerflow.scan.maxChunks", "12")
+    spark.conf.set("ledgerflow.scan.chunks", "12")
     try:
         after = {n: sorted(map(tuple, q(spark, n).collect()), key=repr) for n in names}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
-        spark.conf.unset("ledgerflow.scan.chunkBytes")
-        spark.conf.unset("ledgerflow.scan.maxChunks")
+        spark.conf.unset("ledgerflow.scan.chunks")
     assert before == after

@@ -7,10 +7,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from ledgerflow.plans import REGISTRY
 from ledgerflow.sources.tables import TABLE_NAMES
 
 SF_DIR = os.environ.get("LEDGERFLOW_TEST_SF", "/root/testdata/sf0.001")
-NAMES = sorted(E.queries())
+NAMES = sorted(REGISTRY)
 
 
 def _norm(v):
@@ -48,7 +49,7 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    missing = set(E.queries()) - set(E.oracle_sql())
+    missing = set(REGISTRY) - set(E.oracle_sql())
     assert not missing, f"queries without oracle SQL: {sorted(missing)}"
 
 
@@ -75,13 +76,11 @@ SCAN_QUERIES = ["running_ledger", "side_running", "numbered_lines", "control_bre
 
 @pytest.mark.parametrize("name", SCAN_QUERIES)
 def test_chunked_scans_match_oracle(spark, duck, name):
-    """Force the multi-chunk path (tiny chunk target) so carries across chunks are exercised."""
-    spark.conf.set("ledgerflow.scan.chunkBytes", "16384")
-    spark.conf.set("ledgerflow.scan.maxChunks", "32")
+    """More chunks than the default, so that keys cross several chunk edges."""
+    spark.conf.set("ledgerflow.scan.chunks", "32")
     try:
         sp = E.queries()[name](spark, SF_DIR).toPandas()
     finally:
-        spark.conf.unset("ledgerflow.scan.chunkBytes")
-        spark.conf.unset("ledgerflow.scan.maxChunks")
+        spark.conf.unset("ledgerflow.scan.chunks")
     dk = duck.execute(E.oracle_sql()[name]).df()
     assert _canon(sp) == _canon(dk)

@@ -101,7 +101,10 @@ def mix(docs: DataFrame, max_repeats: float | None = 2.0, min_entropy: float | N
     tokens = materialize(source_tokens(docs))
     plan = weights(tokens, max_repeats, min_entropy)
     blocks = F.when(F.col("total") > 0, F.expr("(budget + total - 1) div total - 1")).otherwise(0).cast("int")
-    own = (tokens.join(plan, "key").withColumn("block", F.explode(F.sequence(F.lit(0), blocks)))
+    # the second key makes both join sides plain exchanges (a hot source can be split) and has the
+    # windows below dealt by bucket and not by source
+    tokens, plan = tokens.withColumn("key_length", F.length("key")), plan.withColumn("key_length", F.length("key"))
+    own = (tokens.join(plan, ["key", "key_length"]).withColumn("block", F.explode(F.sequence(F.lit(0), blocks)))
            .withColumn("order", F.md5(F.concat_ws("|", F.lit(str(seed)), "block", F.lower(F.hex("rk"))).cast("binary")))
            .withColumn("bucket", F.substring("order", 1, BUCKET_DIGITS)))
     length = F.col("tokens") * F.col("copies")

@@ -32,6 +32,7 @@ WINDOW = 128                # bytes
 WIDTHS = (2, 3, 4)
 FILTERS = 16                # per width
 PER_LANG, PER_DOC = 500, 8  # bound of the training sample
+SALTS = 64                  # groups in which a language's candidates are ranked first
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 CHUNK = 512                 # windows predicted at a time
 LETTER = re.compile(r"[^\W\d_]")
@@ -143,9 +144,18 @@ def fit(docs: DataFrame, learn: Column, per_lang: int = PER_LANG) -> Network:
                     rows.append((lang, x[i].tobytes()))
             yield pd.DataFrame(rows, columns=["lang", "bytes"])
 
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = (docs.select("doc_id", "text", "lang", learn.alias("learn")).filter("learn AND lang IS NOT NULL AND text IS NOT NULL")
-              .select("doc_id", "lang", "text").withColumn("place", F.row_number().over(first))
+    # ids are chosen without their texts, in salted groups first, so that one language's task
+    # sees at most SALTS * per_lang short rows; then only the chosen texts travel
+    own = (docs.select("doc_id", "text", "lang", learn.alias("learn"))
+           .filter("learn AND lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
+           .withColumn("draw", F.xxhash64("doc_id")).drop("learn"))
+    salted = Window.partitionBy("lang", "salt").orderBy("draw", "doc_id")
+    first = Window.partitionBy("lang").orderBy("draw", "doc_id")
+    ranked = own.select("doc_id", "lang", "draw", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)).alias("salt"))
+    for w in (salted, first):
+        ranked = ranked.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= per_lang)
+    chosen = F.broadcast(ranked.select("doc_id").distinct())           # at most per_lang ids a language
+    sample = (own.join(chosen, "doc_id", "left_semi").withColumn("place", F.row_number().over(first))
               .filter(F.col("place") <= per_lang).select("lang", "text")
               .mapInPandas(cut, "lang string, bytes binary").distinct().collect())
     sample = sorted((r["lang"], bytes(r["bytes"])) for r in sample)

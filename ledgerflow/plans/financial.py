@@ -236,44 +236,59 @@ AL_FROM, AL_TO = dt.date(1999, 7, 1), dt.date(1999, 9, 30)
 AL_ORDER = ["l_shipdate", "l_orderkey", *[c for c in LINE_ORDER if c != "l_shipdate"]]
 
 
-@report("accumulator_ledger", "R22 B8 B9 B10 B11 E9 Q12", sql=f"""
+@report("accumulator_ledger", "R22 B8 B9 B10 B11 B12 E9 Q12", sql=f"""
 WITH op AS (SELECT l_partkey AS k, SUM({SQL_SIGNED}) AS opening FROM lineitem
             WHERE CAST(l_shipdate AS DATE) <= CAST(date_trunc('month', DATE '{AL_FROM}') - INTERVAL 1 DAY AS DATE) GROUP BY l_partkey),
-m AS (SELECT {", ".join(AL_ORDER)}, {SQL_SIGNED} AS x,
-             date_trunc('month', l_shipdate) AS month
+m AS (SELECT {", ".join(AL_ORDER)}, {SQL_SIGNED} AS x
       FROM lineitem WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '{AL_FROM}' AND DATE '{AL_TO}'),
 f AS (SELECT m.*, COALESCE(opening, 0) AS opening,
              lag(x) OVER (PARTITION BY l_partkey ORDER BY {", ".join(AL_ORDER)}) AS prev_x FROM m LEFT JOIN op ON k = l_partkey),
 g AS (SELECT *, SUM(CASE WHEN COALESCE(prev_x, 0) = 0 THEN 1 ELSE 0 END)
-                  OVER (PARTITION BY l_partkey ORDER BY {", ".join(AL_ORDER)} ROWS UNBOUNDED PRECEDING) AS island FROM f)
+                  OVER (PARTITION BY l_partkey ORDER BY {", ".join(AL_ORDER)} ROWS UNBOUNDED PRECEDING) AS island FROM f),
+acc AS (SELECT l_partkey AS a, SUM(GREATEST(x, 0)) AS group_debit, SUM(GREATEST(-x, 0)) AS group_credit,
+               ANY_VALUE(opening) + SUM(x) AS group_year FROM f GROUP BY l_partkey),
+tot AS (SELECT SUM(group_debit) AS td, SUM(group_credit) AS tc, SUM(group_year) AS ty FROM acc)
 SELECT l_partkey, l_orderkey, l_linenumber, CAST(x AS DOUBLE) AS x, CAST(prev_x AS DOUBLE) AS prev_x,
-       CAST(SUM(x) OVER (PARTITION BY l_partkey, month ORDER BY {", ".join(AL_ORDER)} ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS month_value,
+       CAST(SUM(x) OVER (PARTITION BY l_partkey ORDER BY {", ".join(AL_ORDER)} ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS month_value,
        CAST(opening + SUM(x) OVER (PARTITION BY l_partkey, island ORDER BY {", ".join(AL_ORDER)} ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS year_value,
-       CAST(opening AS DOUBLE) AS opening
-FROM g
+       CAST(opening AS DOUBLE) AS opening, CAST(group_debit AS DOUBLE) AS group_debit, CAST(group_credit AS DOUBLE) AS group_credit,
+       CAST(group_debit - group_credit AS DOUBLE) AS group_month, CAST(group_year AS DOUBLE) AS group_year,
+       CAST(td AS DOUBLE) AS total_debit, CAST(tc AS DOUBLE) AS total_credit, CAST(td - tc AS DOUBLE) AS total_month,
+       CAST(ty AS DOUBLE) AS total_year
+FROM g JOIN acc ON a = l_partkey, tot
 """)
 def accumulator_ledger(spark, root, start=AL_FROM, end=AL_TO):
     """Ledger with accumulator variables per account in line order: previous movement,
-    month-to-date value, and a year value that restarts at opening + movement whenever the
-    previous movement is 0 or absent (else previous + movement). The opening is every line
-    up to the end of the month before ``start``."""
+    running movement of the account (``month_value``, reset by the account only), and a year
+    value that restarts at opening + movement whenever the previous movement is 0 or absent
+    (else previous + movement). The opening is every line up to the end of the month before
+    ``start``. Group totals per account (``group_year`` = opening + movement) and report
+    totals, where ``total_year`` takes each account's ``group_year`` once."""
     t = Tables(spark, root)
     d = as_date("l_shipdate")
     op = (t.lineitem.where(d <= prev_month_end(F.lit(start))).groupBy("l_partkey")
                     .agg(F.sum(signed_amount()).alias("opening")))
     m = (t.lineitem.where(d.between(F.lit(start), F.lit(end)))
-                   .select(*AL_ORDER, signed_amount().alias("x"), F.trunc(d, "MM").alias("month")))
+                   .select(*AL_ORDER, signed_amount().alias("x")))
     m = m.join(op, "l_partkey", "left").withColumn("opening", F.coalesce("opening", F.lit(0)))
     by = ["l_partkey"]
-    c = scan.chunk_by_range(m, by, AL_ORDER)
-    c = scan.scan_all(c, by, AL_ORDER, [("prev_x", "lag", F.col("x")), ("_pm", "lag", F.col("month")),
-                                        ("_S", "sum", F.col("x"))])
+    chunks = scan.chunk_by_range(m, by, AL_ORDER)
+    c = scan.scan_all(chunks, by, AL_ORDER, [("prev_x", "lag", F.col("x")), ("_S", "sum", F.col("x"))])
     restart = F.coalesce(F.col("prev_x"), F.lit(0)) == 0
-    new_month = ~F.col("_pm").eqNullSafe(F.col("month"))
-    c = scan.scan_all(c, by, AL_ORDER, [("_rb", "last", F.when(restart, F.col("_S") - F.col("x"))),
-                                        ("_mb", "last", F.when(new_month, F.col("_S") - F.col("x")))])
+    s = scan.scan_all(c, by, AL_ORDER, [("_rb", "last", F.when(restart, F.col("_S") - F.col("x")))])
+    zero = F.lit(0)
+    acc = chunks.groupBy("l_partkey").agg(F.sum(F.greatest("x", zero)).alias("group_debit"),
+                                          F.sum(F.greatest(-F.col("x"), zero)).alias("group_credit"),
+                                          (F.first("opening") + F.sum("x")).alias("group_year"))
+    totals = acc.agg(F.sum("group_debit").alias("total_debit"), F.sum("group_credit").alias("total_credit"),
+                     F.sum("group_year").alias("total_year"))
+    c = cross_scalar(s.join(acc, "l_partkey"), totals)
+    sums = {"group_debit": F.col("group_debit"), "group_credit": F.col("group_credit"),
+            "group_month": F.col("group_debit") - F.col("group_credit"), "group_year": F.col("group_year"),
+            "total_debit": F.col("total_debit"), "total_credit": F.col("total_credit"),
+            "total_month": F.col("total_debit") - F.col("total_credit"), "total_year": F.col("total_year")}
     return c.select("l_partkey", "l_orderkey", "l_linenumber", F.col("x").cast("double").alias("x"),
                     F.col("prev_x").cast("double").alias("prev_x"),
-                    (F.col("_S") - F.col("_mb")).cast("double").alias("month_value"),
+                    F.col("_S").cast("double").alias("month_value"),
                     (F.col("opening") + F.col("_S") - F.col("_rb")).cast("double").alias("year_value"),
-                    F.col("opening").cast("double").alias("opening"))
+                    F.col("opening").cast("double").alias("opening"), *[v.cast("double").alias(k) for k, v in sums.items()])

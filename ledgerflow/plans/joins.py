@@ -201,13 +201,11 @@ def business_key_join(spark, root, state="F", skip_line_status="O"):
                .agg(F.count(F.lit(1)).alias("n_lines"), F.sum("l_quantity").alias("qty")))
 
 
-SPINE_FROM, SPINE_TO = dt.date(1995, 1, 1), dt.date(2001, 12, 1)
-
-
 @report("account_calendar_gaps", "J9 J4 J2 S3 E4", sql=f"""
-WITH spine AS (
-  SELECT p_type, CAST(m AS DATE) AS month
-  FROM (SELECT DISTINCT p_type FROM part), range(DATE '{SPINE_FROM}', DATE '{SPINE_TO}' + INTERVAL 1 DAY, INTERVAL 1 MONTH) r(m)),
+WITH span AS (SELECT date_trunc('month', MIN(l_shipdate)) AS lo, date_trunc('month', MAX(l_shipdate)) AS hi FROM lineitem),
+spine AS (
+  SELECT p_type, CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS month
+  FROM (SELECT DISTINCT p_type FROM part), span),
 mv AS (
   SELECT p_type, CAST(date_trunc('month', l_shipdate) AS DATE) AS month,
          SUM({SQL_LINE_AMOUNT}) AS amount, count(*) AS n_lines
@@ -216,11 +214,11 @@ SELECT spine.p_type, spine.month, CAST(ROUND(COALESCE(amount, 0), 2) AS DOUBLE)
        COALESCE(n_lines, 0) AS n_lines
 FROM spine LEFT JOIN mv ON spine.p_type = mv.p_type AND spine.month = mv.month
 """)
-def account_calendar_gaps(spark, root, start=SPINE_FROM, end=SPINE_TO):
-    """Every account group x month, with movements or 0 (key x calendar spine, left join on
-    the composite key)."""
+def account_calendar_gaps(spark, root, start=None, end=None):
+    """Every account group x month from the first to the last movement (or ``start`` to
+    ``end``), with movements or 0 (key x calendar spine, left join on the composite key)."""
     t = Tables(spark, root)
-    spine = month_spine(t.part.select("p_type").distinct(), start, end)
+    spine = month_spine(t.part.select("p_type").distinct(), t.lineitem.select(as_date("l_shipdate").alias("d")), start, end)
     mv = (t.lineitem.join(t.part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
                     .groupBy("p_type", F.trunc(as_date("l_shipdate"), "MM").alias("month"))
                     .agg(F.sum(line_amount()).alias("amount"), F.count(F.lit(1)).alias("n_lines")))

@@ -22,13 +22,11 @@ from ledgerflow.plans.common import SQL_SIGNED, signed_amount
 from ledgerflow.plans.registry import report
 from ledgerflow.sources import Tables
 
-SPINE_FROM, SPINE_TO = dt.date(1995, 1, 1), dt.date(2001, 12, 1)
-
-
 @report("month_spine_balance", "S3 W1 J9 J2 E10 Q18", sql=f"""
-WITH spine AS (
-  SELECT p_type, CAST(m AS DATE) AS month
-  FROM (SELECT DISTINCT p_type FROM part), range(DATE '{SPINE_FROM}', DATE '{SPINE_TO}' + INTERVAL 1 DAY, INTERVAL 1 MONTH) r(m)),
+WITH span AS (SELECT date_trunc('month', MIN(l_shipdate)) AS lo, date_trunc('month', MAX(l_shipdate)) AS hi FROM lineitem),
+spine AS (
+  SELECT p_type, CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS month
+  FROM (SELECT DISTINCT p_type FROM part), span),
 mv AS (SELECT p_type, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, SUM({SQL_SIGNED}) AS movement
        FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)
 SELECT spine.p_type, spine.month, year(spine.month) AS yr, month(spine.month) AS mon,
@@ -36,20 +34,26 @@ SELECT spine.p_type, spine.month, year(spine.month) AS yr, month(spine.month) AS
        CAST(SUM(COALESCE(movement, 0)) OVER (PARTITION BY spine.p_type ORDER BY spine.month) AS DOUBLE) AS balance
 FROM spine LEFT JOIN mv ON spine.p_type = mv.p_type AND spine.month = mv.month
 """)
-def month_spine_balance(spark, root, start=SPINE_FROM, end=SPINE_TO):
-    """Cumulative balance per account group for every month of the spine (months without
-    movements carry the balance forward). The window is per account over at most one row
-    per month, so its partitions are bounded by the calendar, not by the data."""
+def month_spine_balance(spark, root, start=None, end=None):
+    """Cumulative balance per account group for every month from the first to the last
+    movement, or from ``start`` to ``end`` (months without movements carry the balance
+    forward; movements before ``start`` are in the first balance). The window is per account
+    over at most one row per month, so its partitions are bounded by the calendar, not by
+    the data."""
     t = Tables(spark, root)
-    spine = month_spine(t.part.select("p_type").distinct(), start, end)
+    spine = month_spine(t.part.select("p_type").distinct(), t.lineitem.select(as_date("l_shipdate").alias("d")), start, end)
+    month = F.trunc(as_date("l_shipdate"), "MM")
+    first = F.trunc(F.lit(start).cast("date"), "MM")
     mv = (t.lineitem.join(t.part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
-                    .groupBy("p_type", F.trunc(as_date("l_shipdate"), "MM").alias("month"))
-                    .agg(F.sum(signed_amount()).alias("movement")))
-    j = spine.join(mv, ["p_type", "month"], "left").withColumn("movement", F.coalesce("movement", F.lit(0)))
+                    .groupBy("p_type", F.when(month < first, first).otherwise(month).alias("month"))
+                    .agg(F.sum(F.when(month < first, F.lit(0)).otherwise(signed_amount())).alias("movement"),
+                         F.sum(signed_amount()).alias("carried")))
+    j = (spine.join(mv, ["p_type", "month"], "left")
+              .withColumns({c: F.coalesce(c, F.lit(0)) for c in ("movement", "carried")}))
     w = Window.partitionBy("p_type").orderBy("month")
     return j.select("p_type", "month", F.year("month").alias("yr"), F.month("month").alias("mon"),
                     F.col("movement").cast("double").alias("movement"),
-                    F.sum("movement").over(w).cast("double").alias("balance"))
+                    F.sum("carried").over(w).cast("double").alias("balance"))
 
 
 OB_FROM, OB_TO = dt.date(1999, 4, 15), dt.date(1999, 12, 31)
@@ -131,28 +135,43 @@ def running_ledger(spark, root, start=RL_FROM, end=RL_TO):
         (F.col("running") + F.col("opening") * F.col("_first_doc_lines")).cast("double").alias("year_running_rank"))
 
 
-@report("side_running", "W5 A1 E10 P14", sql=f"""
+def _side_sql(side: str) -> str:
+    return f"""
 WITH s AS (
   SELECT l_suppkey, o_orderkey, year(o_orderdate) AS yr, month(o_orderdate) AS mon,
-         SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS debit
+         SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS amt
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  WHERE l_returnflag <> 'R' AND l_extendedprice <> 0
+  WHERE l_returnflag {'=' if side == 'credit' else '<>'} 'R' AND l_extendedprice <> 0
   GROUP BY l_suppkey, o_orderkey, year(o_orderdate), month(o_orderdate))
-SELECT l_suppkey, o_orderkey, yr, mon, CAST(debit AS DOUBLE) AS debit,
-       CAST(SUM(debit) OVER (PARTITION BY l_suppkey ORDER BY yr, mon, o_orderkey ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS running
+SELECT l_suppkey, o_orderkey, yr, mon, CAST(amt AS DOUBLE) AS {side},
+       CAST(SUM(amt) OVER (PARTITION BY l_suppkey ORDER BY yr, mon, o_orderkey ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS running
 FROM s
-""")
+"""
+
+
+@report("side_running", "W5 A1 E10 P14 R08", sql=_side_sql("debit"))
 def side_running(spark, root):
     """Debit side of each account (supplier): non-zero debit lines summed per entry, with a
     running total over the account by year, month and entry."""
+    return _side(spark, root, "debit")
+
+
+@report("credit_side_running", "W5 A1 E10 P14 R08", sql=_side_sql("credit"))
+def credit_side_running(spark, root):
+    """Credit side of each account (supplier), as ``side_running``."""
+    return _side(spark, root, "credit")
+
+
+def _side(spark, root, side: str):
     t = Tables(spark, root)
-    li = t.lineitem.where((F.col("l_returnflag") != "R") & (F.col("l_extendedprice") != 0))
+    credit = F.col("l_returnflag") == "R"
+    li = t.lineitem.where((credit if side == "credit" else ~credit) & (F.col("l_extendedprice") != 0))
     s = (li.join(t.orders.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
            .groupBy("l_suppkey", "o_orderkey", F.year("o_orderdate").alias("yr"), F.month("o_orderdate").alias("mon"))
-           .agg(F.sum(dec("l_extendedprice")).alias("debit")))
+           .agg(F.sum(dec("l_extendedprice")).alias(side)))
     order = ["yr", "mon", "o_orderkey"]
-    c = scan.cumsum(scan.chunk_by_range(s, ["l_suppkey"], order), F.col("debit"), ["l_suppkey"], order, "running")
-    return c.select("l_suppkey", "o_orderkey", "yr", "mon", F.col("debit").cast("double").alias("debit"),
+    c = scan.cumsum(scan.chunk_by_range(s, ["l_suppkey"], order), F.col(side), ["l_suppkey"], order, "running")
+    return c.select("l_suppkey", "o_orderkey", "yr", "mon", F.col(side).cast("double").alias(side),
                     F.col("running").cast("double").alias("running"))
 
 
@@ -222,7 +241,7 @@ def control_break_runs(spark, root):
 OPENING = "100.00"
 
 
-@report("resettable_running", "B8 B9 B10 Q12", sql=f"""
+@report("resettable_running", "B8 B10 Q12", sql=f"""
 WITH e AS (SELECT event_id, user_id, ts,
                   CASE WHEN event_type = 'error' THEN 0 ELSE CAST(value AS DECIMAL(18,2)) END AS x FROM events),
 f AS (SELECT *, lag(x) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_x FROM e),

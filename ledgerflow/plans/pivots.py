@@ -270,39 +270,51 @@ STACK_DAY = dt.date(1998, 8, 2)
 EXCHANGE = 7.8
 
 
+def _two_days(lines, day):
+    """Lines of ``day`` and the next (as a pushable range), and whether a line is of ``day``."""
+    d = as_date("l_shipdate")
+    span = (F.col("l_shipdate") >= F.lit(day)) & (F.col("l_shipdate") < F.lit(day + dt.timedelta(days=2)))
+    return lines.where(span), d == F.lit(day)
+
+
 @report("metric_stack", "O8 E31 E20 A9 R42 Q23", sql=f"""
 WITH g AS (
-  SELECT p_type, SUM(l_quantity) AS gallons,
-         CAST(SUM({_weighted_parts()[0]}) AS DOUBLE) AS subtotal,
-         CAST(SUM({_weighted_parts()[0]} * 1.12 + {_weighted_parts()[1]}) AS DOUBLE) AS with_tax,
-         SUM(l_quantity) FILTER (WHERE CAST(l_shipdate AS DATE) = DATE '{STACK_DAY}' + INTERVAL 1 DAY) AS next_day
-  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_type),
+  SELECT p_type, COALESCE(SUM(l_quantity) FILTER (WHERE today), 0) AS gallons,
+         CAST(SUM({_weighted_parts()[0]}) FILTER (WHERE today) AS DOUBLE) AS subtotal,
+         CAST(SUM({_weighted_parts()[0]} * 1.12 + {_weighted_parts()[1]}) FILTER (WHERE today) AS DOUBLE) AS with_tax,
+         SUM(l_quantity) FILTER (WHERE NOT today) AS next_day
+  FROM (SELECT *, CAST(l_shipdate AS DATE) = DATE '{STACK_DAY}' AS today FROM lineitem
+        WHERE CAST(l_shipdate AS DATE) IN (DATE '{STACK_DAY}', DATE '{STACK_DAY}' + INTERVAL 1 DAY))
+  JOIN part ON l_partkey = p_partkey GROUP BY p_type),
 s AS (
   SELECT p_type, 'gallons' AS metric, gallons AS value FROM g
   UNION ALL SELECT p_type, 'barrels', ROUND(gallons / {GALLONS_PER_BARREL}, 4) FROM g
-  UNION ALL SELECT p_type, 'price_with_tax', ROUND(with_tax / gallons, 5) FROM g
-  UNION ALL SELECT p_type, 'price_usd_cents', ROUND(subtotal / gallons / {EXCHANGE} * 100, 5) FROM g
+  UNION ALL SELECT p_type, 'price_with_tax', ROUND(with_tax / NULLIF(gallons, 0) + {SUBSIDY}, 5) FROM g
+  UNION ALL SELECT p_type, 'price_usd_cents', ROUND((subtotal / NULLIF(gallons, 0) + {SUBSIDY} / 1.12) / {EXCHANGE} * 100, 5) FROM g
   UNION ALL SELECT p_type, 'next_day_gallons', COALESCE(next_day, 0) FROM g
   UNION ALL SELECT p_type, 'next_day_barrels', ROUND(COALESCE(next_day, 0) / {GALLONS_PER_BARREL}, 4) FROM g)
 SELECT p_type, metric, value, 'Ventas al ' || strftime(DATE '{STACK_DAY}', '%d/%m/%Y') AS label FROM s
 """)
-def metric_stack(spark, root, day=STACK_DAY, exchange=EXCHANGE):
-    """Six metric rows per product group computed in one aggregation and stacked (instead
-    of six UNION ALL branches each scanning the lines)."""
+def metric_stack(spark, root, day=STACK_DAY, exchange=EXCHANGE, subsidy=SUBSIDY):
+    """Six metric rows of one day per product group (those sold on the day or the next),
+    computed in one aggregation and stacked (instead of six UNION ALL branches each scanning
+    the lines). Prices include the subsidy per gallon; without sales they are NULL."""
     t = Tables(spark, root)
-    j = t.lineitem.join(t.part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
-    next_day = F.date_add(F.lit(day), 1)
+    lines, today = _two_days(t.lineitem, day)
+    j = lines.join(t.part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    with_tax = line_amount() * F.lit("1.12").cast("decimal(4,2)") + dec("l_extendedprice") * dec("l_tax")
     g = j.groupBy("p_type").agg(
-        F.sum("l_quantity").alias("gallons"),
-        F.sum(line_amount()).cast("double").alias("subtotal"),
-        F.sum(line_amount() * F.lit("1.12").cast("decimal(4,2)") + dec("l_extendedprice") * dec("l_tax")).cast("double").alias("with_tax"),
-        F.sum(F.when(as_date("l_shipdate") == next_day, F.col("l_quantity"))).alias("next_day"))
+        F.coalesce(F.sum(F.when(today, F.col("l_quantity"))), F.lit(0.0)).alias("gallons"),
+        F.sum(F.when(today, line_amount())).cast("double").alias("subtotal"),
+        F.sum(F.when(today, with_tax)).cast("double").alias("with_tax"),
+        F.sum(F.when(~today, F.col("l_quantity"))).alias("next_day"))
     nd = F.coalesce(F.col("next_day"), F.lit(0.0))
+    per = F.lit(float(subsidy))
     s = stack_metrics(g, ["p_type"], [
         ("gallons", F.col("gallons")),
         ("barrels", F.round(F.col("gallons") / GALLONS_PER_BARREL, 4)),
-        ("price_with_tax", F.round(F.col("with_tax") / F.col("gallons"), 5)),
-        ("price_usd_cents", F.round(F.col("subtotal") / F.col("gallons") / F.lit(exchange) * 100, 5)),
+        ("price_with_tax", F.round(ratio("with_tax", "gallons", None) + per, 5)),
+        ("price_usd_cents", F.round((ratio("subtotal", "gallons", None) + per / 1.12) / F.lit(exchange) * 100, 5)),
         ("next_day_gallons", nd),
         ("next_day_barrels", F.round(nd / GALLONS_PER_BARREL, 4)),
     ])

@@ -1,5 +1,7 @@
 """Inputs that the test tables do not hold: fractional and zero quantities, NULL keys, no lists, large amounts."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ledgerflow.functions.predicates import in_periods, in_years
@@ -33,3 +35,44 @@ def test_order_pivots_with_fractional_and_zero_quantities(spark, tmp_path):
     spark.createDataFrame([(1, "X")], "p_partkey long, p_type string").write.parquet(str(tmp_path / "part.parquet"))
     got = {r["l_orderkey"]: r["price_a"] for r in REGISTRY["order_pivots"].build(spark, str(tmp_path)).collect()}
     assert got == {1: 2386.84, 2: 20.0, 3: 0.0, 4: 3.33}
+
+
+def _tables(spark, root, lines, parts=((1, "X"), (2, "Y"))):
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double, l_extendedprice double, l_returnflag string, day string"
+                          ).selectExpr("*", "CAST(day AS TIMESTAMP) AS l_shipdate", "1 AS l_linenumber", "1L AS l_suppkey",
+                                       "0.0D AS l_discount", "0.0D AS l_tax", "'O' AS l_linestatus"
+                                       ).drop("day").write.parquet(str(root / "lineitem.parquet"))
+    spark.createDataFrame(parts, "p_partkey long, p_type string").write.parquet(str(root / "part.parquet"))
+
+
+def test_spine_covers_all_dates(spark, tmp_path):
+    _tables(spark, tmp_path, [(1, 1, 1.0, 10.0, "N", "1980-03-04"), (2, 1, 1.0, 4.0, "R", "2030-01-31"), (3, 2, 1.0, 1.0, "N", "2030-01-01")])
+    rows = REGISTRY["month_spine_balance"].build(spark, str(tmp_path)).collect()
+    x = {(r["yr"], r["mon"]): (r["movement"], r["balance"]) for r in rows if r["p_type"] == "X"}
+    assert len(rows) == 2 * 599 and x[1980, 3] == (10.0, 10.0) and x[2029, 12] == (0.0, 10.0) and x[2030, 1] == (-4.0, 6.0)
+    assert REGISTRY["account_calendar_gaps"].build(spark, str(tmp_path)).agg(F.sum("n_lines")).first()[0] == 3
+    late = REGISTRY["month_spine_balance"].build(spark, str(tmp_path), start=dt.date(2030, 1, 1)).where("p_type = 'X'").collect()
+    assert [(r["movement"], r["balance"]) for r in late] == [(-4.0, 6.0)]
+
+
+def test_spine_without_dates(spark, tmp_path):
+    _tables(spark, tmp_path, [(1, 1, 1.0, 10.0, "N", None)])
+    for name in ("month_spine_balance", "account_calendar_gaps"):
+        assert REGISTRY[name].build(spark, str(tmp_path)).count() == 0
+
+
+def test_fuel_metrics_of_one_day(spark, tmp_path):
+    _tables(spark, tmp_path, [(1, 1, 4.0, 100.0, "N", "1998-08-02"), (2, 1, 9.0, 500.0, "N", "1998-08-04"),
+                              (3, 1, 21.0, 5.0, "N", "1998-08-03 23:59:59"), (4, 2, 0.0, 7.0, "N", "1998-08-02")])
+    got = {(r["p_type"], r["metric"]): r["value"] for r in REGISTRY["metric_stack"].build(spark, str(tmp_path)).collect()}
+    assert got["X", "gallons"] == 4.0 and got["X", "next_day_barrels"] == 0.5 and got["X", "price_with_tax"] == 28.5
+    assert got["X", "price_usd_cents"] == round((25 + 0.5 / 1.12) / 7.8 * 100, 5)
+    assert got["Y", "gallons"] == 0.0 and got["Y", "price_with_tax"] is None and got["Y", "price_usd_cents"] is None
+
+
+def test_month_value_runs_over_months(spark, tmp_path):
+    _tables(spark, tmp_path, [(1, 1, 1.0, 5.0, "N", "1999-05-31"), (2, 1, 1.0, 10.0, "N", "1999-07-01"),
+                              (3, 1, 1.0, 4.0, "R", "1999-08-01"), (4, 2, 1.0, 3.0, "N", "1999-09-30")])
+    rows = REGISTRY["accumulator_ledger"].build(spark, str(tmp_path)).collect()
+    got = {r["l_orderkey"]: (r["month_value"], r["group_year"], r["total_month"], r["total_year"]) for r in rows}
+    assert got == {2: (10.0, 11.0, 9.0, 14.0), 3: (6.0, 11.0, 9.0, 14.0), 4: (3.0, 3.0, 9.0, 14.0)}

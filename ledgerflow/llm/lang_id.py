@@ -17,7 +17,6 @@ empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +34,6 @@ PER_LANG, PER_DOC = 500, 8  # bound of the training sample
 SALTS = 64                  # groups in which a language's candidates are ranked first
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 CHUNK = 512                 # windows predicted at a time
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def windows_of(text: str) -> np.ndarray:
@@ -123,7 +121,7 @@ class Predictor:
         return out
 
     def text(self, text: str | None) -> tuple[str, float]:
-        if text is None or not self.net.langs or not LETTER.search(text):
+        if text is None or not self.net.langs or not any(map(str.isalpha, text)):
             return "und", 0.0
         x = windows_of(text)
         weight = np.full(len(x), float(WINDOW))

@@ -308,6 +308,13 @@ def test_language_id_edges(spark, docs, rows):
     assert stay.columns == docs.columns and all(any(c.isalpha() for c in r["text"]) for r in stay.collect())
 
 
+def test_numerals_and_marks_are_no_letters():
+    net = lang_id.Network(["en"], [np.zeros((w, 256, lang_id.FILTERS), np.float32) for w in lang_id.WIDTHS],
+                          np.zeros(48, np.float32), np.zeros((48, 1), np.float32), np.zeros(1, np.float32))
+    model = lang_id.Predictor(net)
+    assert [model.text(t)[0] for t in ("½ ② Ⅷ ²", "\u0301_1", "", "ª", "1漢")] == ["und", "und", "und", "en", "en"]
+
+
 def brute_edit(rows):
     order = sorted({(i is None, -(i or 0), hashlib.md5(t.encode()).digest(), i, t) for i, t in rows})
     after = {order[k][3:]: order[(k + 1) % len(order)][4] for k in range(len(order))}

@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ledgerflow.functions.dates import as_date
 from ledgerflow.functions.money import dec, gross_up, out
 from ledgerflow.functions.predicates import date_between, in_list, in_periods, in_years
 from ledgerflow.operators.nest import master_detail
@@ -215,6 +216,35 @@ def entry_journal(spark, root, start=EJ_FROM, end=EJ_TO, states=EJ_STATES):
                     F.col("debit").cast("double").alias("debit"), F.col("credit").cast("double").alias("credit"))
 
 
+@report("journal_lines", "R21 J1 P1 P6 O2 B1 B2 B3", sql=f"""
+WITH l AS (
+  SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, l_linenumber, l_partkey,
+         CASE WHEN l_returnflag <> 'R' THEN CAST(l_extendedprice AS DECIMAL(18,2)) ELSE 0 END AS d,
+         CASE WHEN l_returnflag = 'R' THEN CAST(l_extendedprice AS DECIMAL(18,2)) ELSE 0 END AS c
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+  WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '{EJ_FROM}' AND DATE '{EJ_TO}' AND o_orderstatus IN {EJ_STATES}
+    AND o_orderpriority IS NOT NULL)
+SELECT o_orderkey, day, l_linenumber, l_partkey, CAST(d AS DOUBLE) AS debit, CAST(c AS DOUBLE) AS credit,
+       CAST(SUM(d) OVER (PARTITION BY o_orderkey) AS DOUBLE) AS entry_debit,
+       CAST(SUM(c) OVER (PARTITION BY o_orderkey) AS DOUBLE) AS entry_credit
+FROM l
+""")
+def journal_lines(spark, root, start=EJ_FROM, end=EJ_TO, states=EJ_STATES):
+    """The entries of ``entry_journal`` with their lines, by entry number and line, each line
+    with its entry's subtotals (aggregated by entry, joined back on it)."""
+    t = Tables(spark, root)
+    o = t.orders.where(date_between("o_orderdate", start, end) & in_list("o_orderstatus", states)
+                       & F.col("o_orderpriority").isNotNull()).select("o_orderkey", as_date("o_orderdate").alias("day"))
+    amt, zero, is_credit = dec("l_extendedprice"), F.lit(0), F.col("l_returnflag") == "R"
+    l = (o.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey"))
+          .select("o_orderkey", "day", "l_linenumber", "l_partkey", F.when(~is_credit, amt).otherwise(zero).alias("debit"),
+                  F.when(is_credit, amt).otherwise(zero).alias("credit")))
+    sums = l.groupBy("o_orderkey").agg(F.sum("debit").alias("entry_debit"), F.sum("credit").alias("entry_credit"))
+    r = l.join(sums, "o_orderkey").select("o_orderkey", "day", "l_linenumber", "l_partkey", *[
+        F.col(c).cast("double").alias(c) for c in ("debit", "credit", "entry_debit", "entry_credit")])
+    return r.orderBy("o_orderkey", "l_linenumber", "l_partkey", "debit", "credit")
+
+
 PH_FROM, PH_TO = dt.date(1995, 1, 1), dt.date(2001, 12, 31)
 PH_COMPANY = "AUTOMOBILE"
 PH_KINDS = ("1-URGENT", "2-HIGH", "3-MEDIUM")

@@ -122,12 +122,25 @@ _DOCNUM_SQL = """CASE o_orderkey % 4
       ELSE o_orderstatus || CAST(o_orderkey AS VARCHAR) END"""
 
 
+# the place of the mark between series and sequence in ``docnum``
+SQL_MARK = """CASE WHEN instr(docnum, '-') > 0 THEN instr(docnum, '-')
+                     WHEN instr(docnum, '/') > 0 AND instr(substr(docnum, instr(docnum, '/') + 1), '/') > 0
+                     THEN instr(docnum, '/') + instr(substr(docnum, instr(docnum, '/') + 1), '/') END"""
+
+
+def docnum():
+    """Document numbers in four forms, made from the order's own columns."""
+    k = F.col("o_orderkey")
+    return (F.when(k % 4 == 0, F.concat("o_orderstatus", F.lit("-"), k.cast("string")))
+             .when(k % 4 == 1, F.concat("o_orderstatus", F.lit("/"), F.year("o_orderdate").cast("string"),
+                                        F.lit("/"), F.lpad(k.cast("string"), 7, "0")))
+             .when(k % 4 == 2, F.concat("o_orderstatus", F.lit("-"), "o_orderpriority"))
+             .otherwise(F.concat("o_orderstatus", k.cast("string"))))
+
+
 @report("docnum_split", "E16 E25 E7 J1 R35", sql=f"""
 WITH d AS (SELECT o_orderkey, o_custkey, {_DOCNUM_SQL} AS docnum FROM orders),
-p AS (SELECT *, CASE WHEN instr(docnum, '-') > 0 THEN instr(docnum, '-')
-                     WHEN instr(docnum, '/') > 0 AND instr(substr(docnum, instr(docnum, '/') + 1), '/') > 0
-                     THEN instr(docnum, '/') + instr(substr(docnum, instr(docnum, '/') + 1), '/') END AS pos
-      FROM d)
+p AS (SELECT *, {SQL_MARK} AS pos FROM d)
 SELECT o_orderkey, docnum,
        CASE WHEN pos IS NOT NULL THEN substr(docnum, 1, pos - 1) END AS series,
        TRY_CAST(CASE WHEN pos IS NOT NULL THEN substr(docnum, pos + 1) END AS BIGINT) AS seq,
@@ -137,13 +150,7 @@ FROM p JOIN customer ON o_custkey = c_custkey
 def docnum_split(spark, root):
     """Document numbers split into series and sequence; partner number taken out of its name."""
     t = Tables(spark, root)
-    k = F.col("o_orderkey")
-    docnum = (F.when(k % 4 == 0, F.concat("o_orderstatus", F.lit("-"), k.cast("string")))
-               .when(k % 4 == 1, F.concat("o_orderstatus", F.lit("/"), F.year("o_orderdate").cast("string"),
-                                          F.lit("/"), F.lpad(k.cast("string"), 7, "0")))
-               .when(k % 4 == 2, F.concat("o_orderstatus", F.lit("-"), "o_orderpriority"))
-               .otherwise(F.concat("o_orderstatus", k.cast("string"))))
-    d = t.orders.select("o_orderkey", "o_custkey", docnum.alias("docnum"))
+    d = t.orders.select("o_orderkey", "o_custkey", docnum().alias("docnum"))
     series, seq = split_docnum("docnum")
     j = d.join(t.customer.select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
     return j.select("o_orderkey", "docnum", series.alias("series"), seq.alias("seq"),

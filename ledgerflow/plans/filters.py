@@ -11,6 +11,7 @@ from ledgerflow.functions.money import dec, out, ratio
 from ledgerflow.functions.predicates import date_between, in_list, one_of
 from ledgerflow.operators import scan
 from ledgerflow.operators.totals import cross_scalar
+from ledgerflow.plans.common import PRIORITY_LABELS, STATUS_LABELS, decode, sql_decode
 from ledgerflow.plans.registry import report
 from ledgerflow.sources import Tables
 
@@ -149,3 +150,52 @@ def numeric_text_sort(spark, root):
     d = scan.chunk_by_range(p.withColumn("_num", order[0]), [], ["_num", "p_partkey"])
     d = scan.cumsum(d, F.lit(1), [], ["_num", "p_partkey"], "sort_pos")
     return d.select("p_partkey", "code", F.col("sort_pos").cast("long").alias("sort_pos"))
+
+
+_LISTS_SQL = {
+    "pais": "SELECT CAST(n_nationkey AS VARCHAR) AS id, upper(n_name) AS label, CAST(n_regionkey AS VARCHAR) AS parent FROM nation",
+    "region": "SELECT CAST(r_regionkey AS VARCHAR), upper(r_name), CAST(NULL AS VARCHAR) FROM region",
+    "cliente": "SELECT CAST(c_custkey AS VARCHAR), upper(trim(c_name)), CAST(c_nationkey AS VARCHAR) FROM customer",
+    "proveedor": "SELECT CAST(s_suppkey AS VARCHAR), upper(trim(s_name)), CAST(s_nationkey AS VARCHAR) FROM supplier",
+    "tipo": "SELECT p_type, upper(p_type), CAST(NULL AS VARCHAR) FROM part",
+    "marca": "SELECT p_brand, upper(p_brand), p_type FROM part",
+    "segmento": "SELECT c_mktsegment, upper(c_mktsegment), CAST(NULL AS VARCHAR) FROM customer",
+    "estado": f"SELECT o_orderstatus, {sql_decode('o_orderstatus', STATUS_LABELS)}, CAST(NULL AS VARCHAR) FROM orders",
+    "diario": f"SELECT o_orderpriority, {sql_decode('o_orderpriority', PRIORITY_LABELS)}, CAST(NULL AS VARCHAR) FROM orders",
+    "anio": "SELECT CAST(year(o_orderdate) AS VARCHAR), CAST(year(o_orderdate) AS VARCHAR), CAST(NULL AS VARCHAR) FROM orders",
+    "mes": "SELECT strftime(o_orderdate, '%Y-%m'), strftime(o_orderdate, '%m/%Y'), CAST(year(o_orderdate) AS VARCHAR) FROM orders",
+}
+
+
+@report("filter_lists", "S7 R47 O1 E18 A6", sql="\nUNION ALL ".join(
+    f"SELECT DISTINCT '{name}' AS list, id, label, parent FROM ({sql}) x(id, label, parent) WHERE id IS NOT NULL"
+    for name, sql in _LISTS_SQL.items()))
+def filter_lists(spark, root, names=None, parent=None):
+    """Value lists for choice boxes: distinct (id, label) by label, each with the id of the
+    list above it for cascading choices (countries of a region, partners of a country, brands
+    of a type, months of a year). ``names`` picks lists, ``parent`` the children of one value."""
+    t = Tables(spark, root)
+    no, text = F.lit(None).cast("string"), lambda c: F.col(c).cast("string")
+    year = F.year("o_orderdate").cast("string")
+    lists = {
+        "pais": (t.nation, text("n_nationkey"), F.upper("n_name"), text("n_regionkey")),
+        "region": (t.region, text("r_regionkey"), F.upper("r_name"), no),
+        "cliente": (t.customer, text("c_custkey"), F.upper(F.trim("c_name")), text("c_nationkey")),
+        "proveedor": (t.supplier, text("s_suppkey"), F.upper(F.trim("s_name")), text("s_nationkey")),
+        "tipo": (t.part, F.col("p_type"), F.upper("p_type"), no),
+        "marca": (t.part, F.col("p_brand"), F.upper("p_brand"), F.col("p_type")),
+        "segmento": (t.customer, F.col("c_mktsegment"), F.upper("c_mktsegment"), no),
+        "estado": (t.orders, F.col("o_orderstatus"), decode(F.col("o_orderstatus"), STATUS_LABELS), no),
+        "diario": (t.orders, F.col("o_orderpriority"), decode(F.col("o_orderpriority"), PRIORITY_LABELS), no),
+        "anio": (t.orders, year, year, no),
+        "mes": (t.orders, F.date_format("o_orderdate", "yyyy-MM"), F.date_format("o_orderdate", "MM/yyyy"), year),
+    }
+    out = None
+    for name, (df, key, label, above) in lists.items():
+        if names and name not in names:
+            continue
+        one = df.select(key.alias("id"), label.alias("label"), above.alias("parent")).where("id IS NOT NULL")
+        one = (one if parent is None else one.where(F.col("parent") == str(parent))).distinct()
+        one = one.select(F.lit(name).alias("list"), "id", "label", "parent")
+        out = one if out is None else out.unionByName(one)
+    return out.orderBy("list", "label", "id", "parent")

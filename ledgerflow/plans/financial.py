@@ -97,6 +97,15 @@ def _net_income_sql(end: dt.date) -> str:
               AND CAST(l_shipdate AS DATE) BETWEEN DATE '{end.year}-01-01' AND DATE '{end}')"""
 
 
+def _net_income(j, end):
+    """One row: the year's net income from posted lines with their ``p_type`` and ``p_brand``."""
+    in_year = j.where(as_date("l_shipdate") >= F.trunc(F.lit(end), "YEAR"))
+    tags = in_year.agg(*[F.abs(F.sum(F.when((F.col("p_type") == g) & (F.col("p_brand") == b), signed_amount()))).alias(n)
+                         for n, (g, b) in TAG_SETS.items()])
+    z = {n: F.coalesce(F.col(n), F.lit(0)) for n in TAG_SETS}
+    return tags.select(((z["gross"] - z["operating"]) + z["fin_income"] - z["fin_cost"]).alias("net_income"))
+
+
 @report("balance_sheet", "R15 J8 A23 B14 B5 W1 E19", sql=f"""
 WITH bal AS (
   SELECT p_type AS l1, p_brand AS l2, SUM({SQL_SIGNED}) AS balance
@@ -124,11 +133,7 @@ def balance_sheet(spark, root, end=BS_END):
     j = posted.join(t.part.select("p_partkey", "p_type", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     bal = j.groupBy(F.col("p_type").alias("l1"), F.col("p_brand").alias("l2")).agg(F.sum(signed_amount()).alias("balance"))
     r = crosstab_totals(bal, ["l1", "l2"], [], [F.sum("balance").alias("balance")])
-    in_year = j.where(as_date("l_shipdate") >= F.trunc(F.lit(end), "YEAR"))
-    tags = in_year.agg(*[F.abs(F.sum(F.when((F.col("p_type") == g) & (F.col("p_brand") == b), signed_amount()))).alias(n)
-                         for n, (g, b) in TAG_SETS.items()])
-    z = {n: F.coalesce(F.col(n), F.lit(0)) for n in TAG_SETS}
-    ni = tags.select(((z["gross"] - z["operating"]) + z["fin_income"] - z["fin_cost"]).alias("net_income"))
+    ni = _net_income(j, end)
     groups = r.where(F.col("gid") == 1)
     check = groups.agg(F.abs(F.sum(F.when(F.col("l1") == CAPITAL, F.col("balance")).otherwise(F.lit(0)))
                              + F.sum(F.when(F.col("l1") == LIABILITIES, F.col("balance")).otherwise(F.lit(0)))).alias("balance"))
@@ -292,3 +297,128 @@ def accumulator_ledger(spark, root, start=AL_FROM, end=AL_TO):
                     F.col("_S").cast("double").alias("month_value"),
                     (F.col("opening") + F.col("_S") - F.col("_rb")).cast("double").alias("year_value"),
                     F.col("opening").cast("double").alias("opening"), *[v.cast("double").alias(k) for k, v in sums.items()])
+
+
+@report("balance_sheet_accounts", "R15 B17 B1 B2 J8 A23 W8 P9", sql=f"""
+WITH acc AS (SELECT {SQL_LEVELS} FROM part WHERE p_partkey >= 0 AND p_size > 0 AND length(p_type) > 0 AND length(p_brand) > 0),
+leaf AS (
+  SELECT l1, l2, l3, p_partkey, SUM(CASE WHEN CAST(l_shipdate AS DATE) < DATE '{BS_END.year}-01-01' THEN {SQL_SIGNED} ELSE 0 END) AS opening,
+         SUM(CASE WHEN CAST(l_shipdate AS DATE) >= DATE '{BS_END.year}-01-01' THEN {SQL_SIGNED} ELSE 0 END) AS movement
+  FROM lineitem JOIN acc ON l_partkey = p_partkey
+  WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') AND CAST(l_shipdate AS DATE) <= DATE '{BS_END}'
+  GROUP BY l1, l2, l3, p_partkey),
+ni AS ({_net_income_sql(BS_END)})
+SELECT l1, l2, l3, p_partkey, GROUPING(l1, l2, l3, p_partkey) AS gid, CAST(SUM(opening) AS DOUBLE) AS opening,
+       CAST(SUM(movement) AS DOUBLE) AS movement, CAST(SUM(opening + movement) AS DOUBLE) AS balance,
+       CAST(ANY_VALUE(net_income) AS DOUBLE) AS net_income
+FROM leaf, ni GROUP BY ROLLUP (l1, l2, l3, p_partkey)
+""")
+def balance_sheet_accounts(spark, root, end=BS_END):
+    """The balance sheet with its account rows: opening (posted lines before the year of
+    ``end``), movement of the year and balance per account, on four levels and overall from
+    one leaf aggregation, the year's net income on every row; by level codes, totals first."""
+    t = Tables(spark, root)
+    d = as_date("l_shipdate")
+    posted = _posted_lines(t).where(d <= F.lit(end))
+    j = posted.join(t.part.select("p_partkey", "p_type", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    ln = posted.join(accounts(t), F.col("l_partkey") == F.col("p_partkey"))
+    first, zero = F.trunc(F.lit(end), "YEAR"), F.lit(0)
+    levels = ["l1", "l2", "l3", "p_partkey"]
+    leaf = ln.groupBy(*levels).agg(F.sum(F.when(d < first, signed_amount()).otherwise(zero)).alias("opening"),
+                                   F.sum(F.when(d >= first, signed_amount()).otherwise(zero)).alias("movement"))
+    r = crosstab_totals(leaf, levels, [], [F.sum("opening").alias("opening"), F.sum("movement").alias("movement"),
+                                           F.sum(F.col("opening") + F.col("movement")).alias("balance")])
+    r = cross_scalar(r, _net_income(j, end))
+    return r.select(*levels, F.col("gid").cast("long").alias("gid"), *[
+        F.col(c).cast("double").alias(c) for c in ("opening", "movement", "balance", "net_income")]).orderBy(*levels, "gid")
+
+
+@report("income_statement_accounts", "R16 B13 B17 A2 A4 W8 E9", sql=f"""
+WITH leaf AS (
+  SELECT p_type AS l1, p_brand AS l2, p_partkey, SUM(CASE WHEN CAST(l_shipdate AS DATE) < DATE '{IS_FROM}' THEN {SQL_SIGNED} ELSE 0 END) AS opening,
+         SUM(CASE WHEN CAST(l_shipdate AS DATE) >= DATE '{IS_FROM}' THEN {SQL_SIGNED} ELSE 0 END) AS movement
+  FROM lineitem JOIN part ON l_partkey = p_partkey
+  WHERE CAST(l_shipdate AS DATE) <= DATE '{IS_TO}' AND p_type IN {tuple(g for _, g in IS_GROUPS)}
+  GROUP BY p_type, p_brand, p_partkey),
+r AS (SELECT l1, l2, p_partkey, GROUPING(l1, l2, p_partkey) AS gid, SUM(opening) AS opening, SUM(movement) AS movement
+      FROM leaf GROUP BY ROLLUP (l1, l2, p_partkey)),
+s AS (SELECT {", ".join(f"COALESCE(abs(SUM(movement) FILTER (WHERE l1 = '{g}')), 0) AS {n}" for n, g in IS_GROUPS)} FROM leaf)
+SELECT CASE gid WHEN 0 THEN 'account' WHEN 1 THEN 'subgroup' ELSE 'group' END AS line, l1, l2, p_partkey,
+       CAST(opening AS DOUBLE) AS opening, CAST(movement AS DOUBLE) AS movement, CAST(opening + movement AS DOUBLE) AS closing
+FROM r WHERE gid < 7
+UNION ALL SELECT 'gross_profit', NULL, NULL, NULL, NULL, CAST(revenue - costs AS DOUBLE), NULL FROM s
+UNION ALL SELECT 'net_profit', NULL, NULL, NULL, NULL, CAST(revenue - costs - other AS DOUBLE), NULL FROM s
+""")
+def income_statement_accounts(spark, root, start=IS_FROM, end=IS_TO):
+    """The income statement with its account rows: opening (before ``start``), movement and
+    closing per account, subgroup and top group, then the derived profit lines from the
+    absolute movements of the groups; one leaf aggregation, in the groups' order."""
+    t = Tables(spark, root)
+    d, zero = as_date("l_shipdate"), F.lit(0)
+    p = t.part.where(F.col("p_type").isin([g for _, g in IS_GROUPS])).select(
+        F.col("p_type").alias("l1"), F.col("p_brand").alias("l2"), "p_partkey")
+    levels = ["l1", "l2", "p_partkey"]
+    leaf = (t.lineitem.where(d <= F.lit(end)).join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy(*levels)
+             .agg(F.sum(F.when(d < F.lit(start), signed_amount()).otherwise(zero)).alias("opening"),
+                  F.sum(F.when(d >= F.lit(start), signed_amount()).otherwise(zero)).alias("movement")))
+    r = crosstab_totals(leaf, levels, [], [F.sum("opening").alias("opening"), F.sum("movement").alias("movement")])
+    line = F.when(F.col("gid") == 0, "account").when(F.col("gid") == 1, "subgroup").otherwise("group")
+    num = lambda c: c.cast("double")
+    place = sum((F.when(F.col("l1") == g, i + 1).otherwise(0) for i, (_, g) in enumerate(IS_GROUPS)), F.lit(0))
+    rows = r.where(F.col("gid") < 7).select(line.alias("line"), *levels, num(F.col("opening")).alias("opening"),
+                                            num(F.col("movement")).alias("movement"),
+                                            num(F.col("opening") + F.col("movement")).alias("closing"), place.alias("_place"))
+    s = leaf.agg(*[F.coalesce(F.abs(F.sum(F.when(F.col("l1") == g, F.col("movement")))), zero).alias(n) for n, g in IS_GROUPS])
+    gross = F.col("revenue") - F.col("costs")
+    none = F.lit(None)
+    profit = s.select(F.inline(F.array(*[F.struct(
+        F.lit(n).alias("line"), none.cast("string").alias("l1"), none.cast("string").alias("l2"),
+        none.cast("bigint").alias("p_partkey"), none.cast("double").alias("opening"), num(v).alias("movement"),
+        none.cast("double").alias("closing"), F.lit(9 + i).alias("_place"))
+        for i, (n, v) in enumerate([("gross_profit", gross), ("net_profit", gross - F.col("other"))])])))
+    return rows.unionByName(profit).orderBy("_place", *levels).drop("_place")
+
+
+GL_FROM, GL_TO = dt.date(1998, 1, 1), dt.date(1998, 12, 31)
+SKIP_CLASS = "8"
+
+
+@report("general_ledger", "R23 W2 W3 W4 W8 A8 B1 B2 J8 O2 P7", sql=f"""
+WITH ln AS (
+  SELECT l_partkey, l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS d, {SQL_SIGNED} AS x FROM lineitem
+  WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') AND CAST(l_shipdate AS DATE) <= DATE '{GL_TO}'
+    AND NOT starts_with(CAST(l_partkey AS VARCHAR), '{SKIP_CLASS}')),
+mv AS (SELECT * FROM ln WHERE d >= DATE '{GL_FROM}'),
+op AS (SELECT l_partkey AS k, SUM(x) AS opening FROM ln WHERE d < DATE '{GL_FROM}' GROUP BY l_partkey),
+sub AS (SELECT l_partkey AS a, COALESCE(ANY_VALUE(opening), 0) AS opening, SUM(x) AS subtotal, COALESCE(ANY_VALUE(opening), 0) + SUM(x) AS year_subtotal
+        FROM mv LEFT JOIN op ON l_partkey = k GROUP BY l_partkey),
+tot AS (SELECT SUM(abs(subtotal)) AS grand, SUM(abs(year_subtotal)) AS year_grand FROM sub)
+SELECT l_partkey, l_orderkey, l_linenumber, CAST(x AS DOUBLE) AS amount,
+       CAST(SUM(x) OVER (PARTITION BY l_partkey ORDER BY l_orderkey) AS DOUBLE) AS running, CAST(opening AS DOUBLE) AS opening,
+       CAST(opening + SUM(x) OVER (PARTITION BY l_partkey ORDER BY l_orderkey) AS DOUBLE) AS year_running,
+       CAST(subtotal AS DOUBLE) AS subtotal, CAST(year_subtotal AS DOUBLE) AS year_subtotal,
+       CAST(grand AS DOUBLE) AS grand_total, CAST(year_grand AS DOUBLE) AS year_grand_total
+FROM mv JOIN sub ON l_partkey = a, tot
+""")
+def general_ledger(spark, root, start=GL_FROM, end=GL_TO, skip_class=SKIP_CLASS):
+    """The ledger with all its lines and totals: posted lines of the period, accounts of one
+    class (the code's first digit) left out; running balance by document, opening once, year
+    balance; each account's subtotals and the grand totals of absolute subtotals on its rows;
+    by account code as a number, document and line."""
+    t = Tables(spark, root)
+    d = as_date("l_shipdate")
+    ln = (_posted_lines(t).where((d <= F.lit(end)) & ~F.col("l_partkey").cast("string").startswith(skip_class))
+          .select("l_partkey", "l_orderkey", "l_linenumber", d.alias("d"), signed_amount().alias("x")))
+    by, order = ["l_partkey"], ["l_orderkey"]
+    mv = scan.chunk_by_range(ln.where(F.col("d") >= F.lit(start)).drop("d"), by, order)
+    lines = scan.scan_all(mv, by, order, [("running", "sum", F.col("x"), "range")])
+    op = ln.where(F.col("d") < F.lit(start)).groupBy("l_partkey").agg(F.sum("x").alias("opening"))
+    sub = (mv.groupBy("l_partkey").agg(F.sum("x").alias("subtotal")).join(op, "l_partkey", "left")
+             .withColumn("opening", F.coalesce("opening", F.lit(0)))
+             .withColumn("year_subtotal", F.col("opening") + F.col("subtotal")))
+    totals = sub.agg(F.sum(F.abs("subtotal")).alias("grand_total"), F.sum(F.abs("year_subtotal")).alias("year_grand_total"))
+    j = cross_scalar(lines.join(sub, "l_partkey"), totals)
+    r = j.withColumn("year_running", F.col("opening") + F.col("running")).withColumnRenamed("x", "amount").select(
+        "l_partkey", "l_orderkey", "l_linenumber", *[F.col(c).cast("double").alias(c) for c in (
+            "amount", "running", "opening", "year_running", "subtotal", "year_subtotal", "grand_total", "year_grand_total")])
+    return r.orderBy("l_partkey", "l_orderkey", "l_linenumber", "amount")

@@ -286,12 +286,25 @@ CH_FROM, CH_TO = dt.date(1995, 1, 1), dt.date(2001, 12, 31)
 CH_BANK_ID, CH_BANK_NAME = 0, "NATION_3"
 
 
-@report("cheque_register", "R28 R31 E13 E26 F1 P4 J1 J2 B16 E36 Q3", sql=f"""
-WITH {_GROUPS_SQL},
+_CHEQUES_SQL = f"""{_GROUPS_SQL},
 c AS (SELECT o_orderkey, c_name, o_orderdate, o_totalprice, CASE WHEN c_nationkey < 12 THEN 1 ELSE 2 END AS currency
       FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
       WHERE o_orderstatus = 'F' AND CAST(o_orderdate AS DATE) BETWEEN DATE '{CH_FROM}' AND DATE '{CH_TO}'
-        AND CASE WHEN {CH_BANK_ID} <> 0 THEN n_nationkey = {CH_BANK_ID} ELSE n_name = '{CH_BANK_NAME}' END),
+        AND CASE WHEN {CH_BANK_ID} <> 0 THEN n_nationkey = {CH_BANK_ID} ELSE n_name = '{CH_BANK_NAME}' END)"""
+
+
+def _cheques(t, start, end, bank_id, bank_name):
+    n = t.nation.where(one_of("n_nationkey", bank_id, "n_name", bank_name)).select("n_nationkey")
+    c = (t.orders.where((F.col("o_orderstatus") == "F") & date_between("o_orderdate", start, end))
+                 .join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+                 .join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left_semi")
+                 .select("o_orderkey", F.col("c_name").alias("payee"), "o_orderdate", "o_totalprice",
+                         F.when(F.col("c_nationkey") < 12, 1).otherwise(2).alias("currency")))
+    return c
+
+
+@report("cheque_register", "R28 R31 E13 E26 F1 P4 J1 J2 B16 E36 Q3", sql=f"""
+WITH {_CHEQUES_SQL},
 a AS (SELECT l_orderkey, SUM(CASE WHEN l_returnflag <> 'R' THEN CAST(l_extendedprice AS DECIMAL(18,2)) ELSE 0 END) AS debit,
              SUM(CASE WHEN l_returnflag = 'R' THEN CAST(l_extendedprice AS DECIMAL(18,2)) ELSE 0 END) AS credit
       FROM lineitem GROUP BY l_orderkey)
@@ -304,16 +317,12 @@ FROM c LEFT JOIN a ON o_orderkey = l_orderkey
 def cheque_register(spark, root, start=CH_FROM, end=CH_TO, bank_id=CH_BANK_ID, bank_name=CH_BANK_NAME):
     """Cheques of a period drawn on one bank (chosen by id when given, else by name): payee,
     date and amount in words (all parts from the payment date), and the accounting lines'
-    debit and credit per cheque."""
+    debit and credit per cheque. Only the chosen cheques' lines are aggregated."""
     t = Tables(spark, root)
-    n = t.nation.where(one_of("n_nationkey", bank_id, "n_name", bank_name)).select("n_nationkey")
-    c = (t.orders.where((F.col("o_orderstatus") == "F") & date_between("o_orderdate", start, end))
-                 .join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-                 .join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"), "left_semi")
-                 .select("o_orderkey", F.col("c_name").alias("payee"), "o_orderdate", "o_totalprice",
-                         F.when(F.col("c_nationkey") < 12, 1).otherwise(2).alias("currency")))
+    c = _cheques(t, start, end, bank_id, bank_name)
     amt = dec("l_extendedprice")
-    a = t.lineitem.groupBy("l_orderkey").agg(
+    own = t.lineitem.join(c.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    a = own.groupBy("l_orderkey").agg(
         F.sum(F.when(F.col("l_returnflag") != "R", amt).otherwise(F.lit(0))).alias("debit"),
         F.sum(F.when(F.col("l_returnflag") == "R", amt).otherwise(F.lit(0))).alias("credit"))
     j = c.join(a, F.col("o_orderkey") == F.col("l_orderkey"), "left")
@@ -324,6 +333,28 @@ def cheque_register(spark, root, start=CH_FROM, end=CH_TO, bank_id=CH_BANK_ID, b
                     amount_in_words(F.col("o_totalprice"), F.col("currency")).alias("amount_words"))
 
 
+@report("cheque_lines", "R28 R31 B16 J1 J2 E26 F1 P4", sql=f"""
+WITH {_CHEQUES_SQL}
+SELECT o_orderkey, c_name AS payee, l_linenumber, l_partkey,
+       CAST(CASE WHEN l_returnflag <> 'R' THEN CAST(l_extendedprice AS DECIMAL(18,2)) ELSE 0 END AS DOUBLE) AS debit,
+       CAST(CASE WHEN l_returnflag = 'R' THEN CAST(l_extendedprice AS DECIMAL(18,2)) ELSE 0 END AS DOUBLE) AS credit,
+       {_words_sql('o_totalprice', 'currency')} AS amount_words
+FROM c LEFT JOIN lineitem ON o_orderkey = l_orderkey
+""")
+def cheque_lines(spark, root, start=CH_FROM, end=CH_TO, bank_id=CH_BANK_ID, bank_name=CH_BANK_NAME):
+    """The cheques of ``cheque_register`` with their accounting lines, by cheque and line; a
+    cheque without lines stays, with zeros."""
+    t = Tables(spark, root)
+    c = _cheques(t, start, end, bank_id, bank_name)
+    amt, zero, credit = dec("l_extendedprice"), F.lit(0), F.col("l_returnflag") == "R"
+    j = c.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    r = j.select("o_orderkey", "payee", "l_linenumber", "l_partkey",
+                 F.when(~credit, amt).otherwise(zero).cast("double").alias("debit"),
+                 F.when(credit, amt).otherwise(zero).cast("double").alias("credit"),
+                 amount_in_words(F.col("o_totalprice"), F.col("currency")).alias("amount_words"))
+    return r.orderBy("o_orderkey", "l_linenumber", "l_partkey", "debit", "credit")
+
+
 POS_STATIONS = ("1-URGENT", "2-HIGH")
 POS_FROM, POS_TO = dt.date(1995, 1, 1), dt.date(2001, 12, 31)
 

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from ledgerflow.functions.dates import as_date, business_day, days_between
 from ledgerflow.functions.money import dec, out, ratio
-from ledgerflow.functions.text import key_after
+from ledgerflow.functions.text import key_after, split_docnum
+from ledgerflow.functions.predicates import in_list
 from ledgerflow.operators.aging import AGE_BUCKETS, bucket_columns
 from ledgerflow.operators.nest import reconcile
-from ledgerflow.operators.pivot import crosstab_totals, wide_pivot
-from ledgerflow.operators.totals import stack_metrics, with_total_row
-from ledgerflow.plans.common import SQL_LINE_AMOUNT, line_amount
+from ledgerflow.operators.pivot import cell, crosstab_totals, wide_pivot
+from ledgerflow.operators.totals import cross_scalar, stack_metrics, with_total_row
+from ledgerflow.plans.columns import _DOCNUM_SQL, SQL_MARK, docnum
+from ledgerflow.plans.common import SQL_LINE_AMOUNT, STATUS_LABELS, decode, line_amount, sql_decode
 from ledgerflow.plans.registry import report
 from ledgerflow.sources import Tables, values
 
@@ -103,19 +105,16 @@ SELECT d.o_orderkey, d.o_custkey,
 FROM d LEFT JOIN q ON d.o_orderkey = q.l_orderkey LEFT JOIN t ON d.o_orderkey = t.l_orderkey
 """)
 def pivots_joined(spark, root):
-    """Per document: quantity and amount pivots (one pass over the lines) and a tax pivot
-    (second pass), left-joined to the distinct documents; missing cells 0."""
+    """Per document: quantity, amount and tax pivots in one pass over the lines, left-joined
+    to the distinct documents; missing cells 0."""
     t = Tables(spark, root)
-    li = t.lineitem
-    qa = li.groupBy("l_orderkey").agg(
-        *[F.sum(F.when(F.col("l_returnflag") == f, F.col("l_quantity"))).alias(f"qty_{f.lower()}") for f in "ANR"],
-        *[F.sum(F.when(F.col("l_linestatus") == s, line_amount())).alias(f"amt_{s.lower()}") for s in "OF"])
     kind = F.when(F.col("l_tax") >= VAT_FROM, "vat").otherwise("fuel")
-    tx = wide_pivot(li, ["l_orderkey"], kind, [("vat", "tax_vat"), ("fuel", "tax_fuel")],
-                    dec("l_extendedprice") * dec("l_tax"), fill=None).withColumnRenamed("l_orderkey", "t_orderkey")
+    qa = t.lineitem.groupBy("l_orderkey").agg(
+        *[F.sum(F.when(F.col("l_returnflag") == f, F.col("l_quantity"))).alias(f"qty_{f.lower()}") for f in "ANR"],
+        *[F.sum(F.when(F.col("l_linestatus") == s, line_amount())).alias(f"amt_{s.lower()}") for s in "OF"],
+        *[cell(kind, k, dec("l_extendedprice") * dec("l_tax")).alias(f"tax_{k}") for k in ("vat", "fuel")])
     d = t.orders.select("o_orderkey", "o_custkey").distinct()
-    j = (d.join(qa, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-          .join(tx, F.col("o_orderkey") == F.col("t_orderkey"), "left"))
+    j = d.join(qa, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     return j.select("o_orderkey", "o_custkey", *[z(f"qty_{f}").alias(f"qty_{f}") for f in "anr"],
                     *[out(z(c)).alias(c) for c in ("amt_o", "amt_f", "tax_vat", "tax_fuel")])
@@ -420,3 +419,141 @@ def reconcile_headers(spark, root):
     return r.select("o_orderkey", F.col("declared").cast("double").alias("declared"),
                     F.col("detail_total").cast("double").alias("detail_total"), "status",
                     (F.col("declared") - F.col("detail_total")).cast("double").alias("difference"))
+
+
+_INV_CELLS = [(f"{m}_{c}", c, sql) for m, sql in (("qty", "CAST(l_quantity AS DECIMAL(18,2))"), ("amt", SQL_LINE_AMOUNT)) for c in CLASSES]
+
+
+@report("invoice_set", "R33 R35 R44 A11 A12 A13 J16 E1 E16 E29 O3 O6", sql=f"""
+WITH m(ptype, cls) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in PRODUCT_CLASS)}),
+l AS (SELECT l_orderkey, {", ".join(f"SUM({sql}) FILTER (WHERE COALESCE(cls, 'otros') = '{c}') AS {n}" for n, c, sql in _INV_CELLS)},
+             SUM(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_tax AS DECIMAL(18,2))) FILTER (WHERE l_tax >= {VAT_FROM}) AS tax_vat,
+             SUM(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_tax AS DECIMAL(18,2))) FILTER (WHERE l_tax IS NULL OR l_tax < {VAT_FROM}) AS tax_fuel
+      FROM lineitem LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN m ON p_type = m.ptype GROUP BY l_orderkey),
+d AS (SELECT *, {_DOCNUM_SQL} AS docnum FROM orders),
+p AS (SELECT *, {SQL_MARK} AS pos FROM d)
+SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, docnum, CASE WHEN pos IS NOT NULL THEN substr(docnum, 1, pos - 1) END AS series,
+       TRY_CAST(CASE WHEN pos IS NOT NULL THEN substr(docnum, pos + 1) END AS BIGINT) AS seq, c_name AS partner,
+       {sql_decode("o_orderstatus", STATUS_LABELS)} AS state, {sql_decode("o_orderstatus", STATUS_RANK)} AS state_rank,
+       {", ".join(f"CAST(ROUND(COALESCE({c}, 0), 2) AS DOUBLE) AS {c}" for c in [n for n, _, _ in _INV_CELLS] + ["tax_vat", "tax_fuel"])},
+       CAST(ROUND({" + ".join(f"COALESCE(qty_{c}, 0)" for c in CLASSES)}, 2) AS DOUBLE) AS volume
+FROM p LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN l ON o_orderkey = l_orderkey
+""")
+def invoice_set(spark, root):
+    """The invoice listing in one row per document: number split into series and sequence,
+    state label, quantity and amount per product class, taxes by kind and the summed volume,
+    sorted by the states' own rank, series and sequence. One pass over the lines; documents
+    without lines or partner stay."""
+    t = Tables(spark, root)
+    m = values(spark, PRODUCT_CLASS, "ptype string, cls string")
+    li = (t.lineitem.join(t.part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"), "left")
+                    .join(m, F.col("p_type") == F.col("ptype"), "left").withColumn("cls", F.coalesce("cls", F.lit("otros"))))
+    kind = F.when(F.col("l_tax") >= VAT_FROM, "vat").otherwise("fuel")
+    sums = li.groupBy("l_orderkey").agg(
+        *[cell("cls", c, dec("l_quantity")).alias(f"qty_{c}") for c in CLASSES],
+        *[cell("cls", c, line_amount()).alias(f"amt_{c}") for c in CLASSES],
+        *[cell(kind, k, dec("l_extendedprice") * dec("l_tax")).alias(f"tax_{k}") for k in ("vat", "fuel")])
+    d = t.orders.withColumn("docnum", docnum())
+    series, seq = split_docnum("docnum")
+    j = (d.join(t.customer.select("c_custkey", F.col("c_name").alias("partner")), F.col("o_custkey") == F.col("c_custkey"), "left")
+          .join(sums, F.col("o_orderkey") == F.col("l_orderkey"), "left"))
+    z = lambda c: F.coalesce(F.col(c), F.lit(0))
+    volume = z(f"qty_{CLASSES[0]}")
+    for c in CLASSES[1:]:
+        volume = volume + z(f"qty_{c}")
+    r = j.select("o_orderkey", as_date("o_orderdate").alias("day"), "docnum", series.alias("series"), seq.alias("seq"), "partner",
+                 decode(F.col("o_orderstatus"), STATUS_LABELS).alias("state"),
+                 decode(F.col("o_orderstatus"), STATUS_RANK).alias("state_rank"),
+                 *[out(z(c)).alias(c) for c in [n for n, _, _ in _INV_CELLS] + ["tax_vat", "tax_fuel"]], out(volume).alias("volume"))
+    return r.orderBy("state_rank", "series", "seq", "o_orderkey")
+
+
+# The three fuels, the account group that stands for each, and its subsidy per gallon.
+FUELS = [("super", "PROMO", "0.50"), ("regular", "ECONOMY", "0.40"), ("diesel", "LARGE", "0.30")]
+FUEL_COMPANY = ("AUTOMOBILE", "BUILDING", "MACHINERY")
+LOCAL_BRAND = "Brand#1"
+
+
+def _fuel_sql() -> str:
+    amount, tax = _weighted_parts()
+    sums, stock = [], []
+    for n, g, _ in FUELS:
+        sums += [f"COALESCE(SUM(l_quantity) FILTER (WHERE p_type = '{g}' AND today), 0) AS gal_{n}",
+                 f"COALESCE(SUM(l_quantity) FILTER (WHERE p_type = '{g}' AND NOT today), 0) AS next_{n}",
+                 f"CAST(SUM({amount}) FILTER (WHERE p_type = '{g}' AND today) AS DOUBLE) AS sub_{n}",
+                 f"CAST(SUM({amount} * 1.12 + {tax}) FILTER (WHERE p_type = '{g}' AND today) AS DOUBLE) AS tax_{n}"]
+        stock += [f"COALESCE(SUM(p_size) FILTER (WHERE p_type = '{g}' AND p_brand {op} '{LOCAL_BRAND}'), 0) AS {w}_{n}"
+                  for w, op in (("loc", "="), ("imp", "<>"))]
+    rows = []
+    for pos, name, cellsql, total in (
+            (1, "Venta del dia (Gal)", "gal_{n}", True), (2, "Venta del dia (BBLS)", "gal_{n} / 42.0", True),
+            (3, "Precio con impuestos", "ROUND(tax_{n} / NULLIF(gal_{n}, 0) + {s}, 5)", False),
+            (4, "Precio sin impuestos (US$ cents)", f"ROUND((sub_{{n}} / NULLIF(gal_{{n}}, 0) + {{s}} / 1.12) / {EXCHANGE} * 100, 5)", False),
+            (5, "Dia siguiente (Gal)", "next_{n}", True), (6, "Dia siguiente (BBLS)", "next_{n} / 42.0", True),
+            (7, "Existencia importacion", "imp_{n}", True), (8, "Existencia local", "loc_{n}", True),
+            (9, "Valor importacion", "imp_{n} * price_imp", True), (10, "Valor local", "loc_{n} * price_loc", True)):
+        cells = [cellsql.format(n=n, s=s) for n, _, s in FUELS]
+        all_of = " + ".join(f"COALESCE({c}, 0)" for c in cells) if total else "0"
+        rows.append(f"SELECT {pos} AS pos, '{name}' AS metric, {', '.join(f'CAST(ROUND({c}, 5) AS DOUBLE) AS {f[0]}' for c, f in zip(cells, FUELS))}, "
+                    f"CAST(ROUND({all_of}, 5) AS DOUBLE) AS total FROM g, s")
+    return f"""
+WITH l AS (SELECT lineitem.*, p_type, CAST(l_shipdate AS DATE) = DATE '{STACK_DAY}' AS today FROM lineitem JOIN part ON l_partkey = p_partkey
+           WHERE CAST(l_shipdate AS DATE) IN (DATE '{STACK_DAY}', DATE '{STACK_DAY}' + INTERVAL 1 DAY)
+             AND l_orderkey IN (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey
+                                WHERE o_orderstatus <> 'P' AND c_mktsegment IN {FUEL_COMPANY})),
+g AS (SELECT {", ".join(sums)} FROM l),
+s AS (SELECT {", ".join(stock)},
+             {", ".join(f"""CAST(SUM(CAST(p_retailprice AS DECIMAL(18,2))) FILTER (WHERE p_brand {op} '{LOCAL_BRAND}') AS DOUBLE)
+             / NULLIF(COUNT(p_retailprice) FILTER (WHERE p_brand {op} '{LOCAL_BRAND}'), 0) AS price_{w}""" for w, op in (("loc", "="), ("imp", "<>")))}
+      FROM part)
+""" + "\nUNION ALL ".join(rows)
+
+
+@report("fuel_day", "R42 A14 A9 E20 E29 E30 E31 O8 S5", sql=_fuel_sql())
+def fuel_day(spark, root, day=STACK_DAY, exchange=EXCHANGE, companies=FUEL_COMPANY, subsidies=None):
+    """The fuel report of one day, a column per fuel and a total: volume sold, both average
+    prices with the fuel's subsidy (total 0; NULL without sales), the next day's volume, and
+    imported and local stock with its value at the average price. Cancelled documents and
+    other companies' are left out. All figures come from one aggregate over two days of lines
+    and one over the products."""
+    t = Tables(spark, root)
+    per = {n: float((subsidies or {}).get(n, s)) for n, _, s in FUELS}
+    lines, today = _two_days(t.lineitem, day)
+    own = t.orders.where(F.col("o_orderstatus") != "P").join(
+        t.customer.where(in_list("c_mktsegment", companies)), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
+    j = (lines.join(own.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+              .join(t.part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey")))
+    with_tax = line_amount() * F.lit("1.12").cast("decimal(4,2)") + dec("l_extendedprice") * dec("l_tax")
+    sums, stock = [], []
+    local = F.col("p_brand") == LOCAL_BRAND
+    for n, g, _ in FUELS:
+        sold = (F.col("p_type") == g) & today
+        sums += [F.coalesce(F.sum(F.when(sold, F.col("l_quantity"))), F.lit(0.0)).alias(f"gal_{n}"),
+                 F.coalesce(F.sum(F.when((F.col("p_type") == g) & ~today, F.col("l_quantity"))), F.lit(0.0)).alias(f"next_{n}"),
+                 F.sum(F.when(sold, line_amount())).alias(f"sub_{n}"), F.sum(F.when(sold, with_tax)).alias(f"tax_{n}")]
+        stock += [F.coalesce(F.sum(F.when((F.col("p_type") == g) & at, F.col("p_size"))), F.lit(0)).alias(f"{w}_{n}")
+                  for w, at in (("loc", local), ("imp", ~local))]
+    price = dec("p_retailprice")
+    stock += [ratio(F.sum(F.when(at, price)), F.count(F.when(at, price)), None).alias(f"price_{w}")
+              for w, at in (("loc", local), ("imp", ~local))]
+    one = cross_scalar(j.agg(*sums), t.part.agg(*stock))
+    col = lambda name: lambda n: F.col(f"{name}_{n}")
+    barrels = lambda name: lambda n: F.col(f"{name}_{n}") / 42.0
+    rows = [("Venta del dia (Gal)", col("gal"), True), ("Venta del dia (BBLS)", barrels("gal"), True),
+            ("Precio con impuestos", lambda n: ratio(f"tax_{n}", f"gal_{n}", None) + per[n], False),
+            ("Precio sin impuestos (US$ cents)",
+             lambda n: (ratio(f"sub_{n}", f"gal_{n}", None) + per[n] / 1.12) / F.lit(exchange) * 100, False),
+            ("Dia siguiente (Gal)", col("next"), True), ("Dia siguiente (BBLS)", barrels("next"), True),
+            ("Existencia importacion", col("imp"), True), ("Existencia local", col("loc"), True),
+            ("Valor importacion", lambda n: F.col(f"imp_{n}") * F.col("price_imp"), True),
+            ("Valor local", lambda n: F.col(f"loc_{n}") * F.col("price_loc"), True)]
+
+    def total(value):
+        a, b, c = [F.coalesce(value(n).cast("double"), F.lit(0.0)) for n, _, _ in FUELS]
+        return a + b + c
+
+    listed = F.array(*[F.struct(F.lit(i + 1).alias("pos"), F.lit(name).alias("metric"),
+                                *[F.round(value(n).cast("double"), 5).alias(n) for n, _, _ in FUELS],
+                                (F.round(total(value), 5) if summed else F.lit(0.0)).alias("total"))
+                       for i, (name, value, summed) in enumerate(rows)])
+    return one.select(F.inline(listed)).orderBy("pos")

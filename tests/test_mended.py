@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerflow.functions.predicates import in_periods, in_years
@@ -76,3 +77,37 @@ def test_month_value_runs_over_months(spark, tmp_path):
     rows = REGISTRY["accumulator_ledger"].build(spark, str(tmp_path)).collect()
     got = {r["l_orderkey"]: (r["month_value"], r["group_year"], r["total_month"], r["total_year"]) for r in rows}
     assert got == {2: (10.0, 11.0, 9.0, 14.0), 3: (6.0, 11.0, 9.0, 14.0), 4: (3.0, 3.0, 9.0, 14.0)}
+
+
+SORTED = {
+    "journal_lines": ["o_orderkey", "l_linenumber", "l_partkey", "debit", "credit"],
+    "cheque_lines": ["o_orderkey", "l_linenumber", "l_partkey", "debit", "credit"],
+    "filter_lists": ["list", "label", "id"],
+    "invoice_set": ["state_rank", "series", "seq", "o_orderkey"],
+    "general_ledger": ["l_partkey", "l_orderkey", "l_linenumber", "amount"],
+    "balance_sheet_accounts": ["l1", "l2", "l3", "p_partkey"],
+}
+
+
+@pytest.mark.parametrize("name", sorted(SORTED))
+def test_report_order(spark, name):
+    rows = REGISTRY[name].build(spark, "/root/testdata/sf0.001").select(SORTED[name]).collect()
+    keys = [tuple((v is not None, v) for v in r) for r in rows]       # nulls first
+    assert len(keys) > 1 and keys == sorted(keys)
+
+
+def test_income_statement_order(spark):
+    lines = [r["line"] for r in REGISTRY["income_statement_accounts"].build(spark, "/root/testdata/sf0.001").collect()]
+    assert lines[0] == "group" and lines[-2:] == ["gross_profit", "net_profit"] and lines.count("group") == 3
+
+
+def test_filter_list_cascade(spark):
+    build = REGISTRY["filter_lists"].build
+    months = build(spark, "/root/testdata/sf0.001", names=["mes"], parent=1997).collect()
+    assert months and {r["list"] for r in months} == {"mes"} and all(r["id"].startswith("1997-") for r in months)
+
+
+def test_fuel_day_without_sales(spark):
+    rows = {r["pos"]: r for r in REGISTRY["fuel_day"].build(spark, "/root/testdata/sf0.001", day=dt.date(2050, 1, 1)).collect()}
+    assert len(rows) == 10 and rows[1]["total"] == rows[6]["total"] == 0.0 and rows[3]["super"] is None and rows[4]["total"] == 0.0
+    assert rows[7]["total"] > 0

@@ -270,8 +270,10 @@ def payment_history(spark, root, start=PH_FROM, end=PH_TO, company=PH_COMPANY, k
                .join(c, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
                .select("o_orderkey", F.concat(F.lit("PAY"), F.col("o_orderkey").cast("string")).alias("ref"),
                        dec("o_totalprice").alias("amount")))
-    a = (t.lineitem.groupBy(F.concat(F.lit("PAY"), F.col("l_orderkey").cast("string")).alias("memo"))
-                   .agg(F.sum(F.round(line_amount(), 2)).alias("applied")))
+    memo = F.concat(F.lit("PAY"), F.col("l_orderkey").cast("string")).alias("memo")
+    a = (t.lineitem.select(memo, F.round(line_amount(), 2).alias("line"))
+                   .join(p.select("ref"), F.col("memo") == F.col("ref"), "left_semi")
+                   .groupBy("memo").agg(F.sum("line").alias("applied")))
     j = p.join(a, F.col("ref") == F.col("memo"), "left").withColumn("applied", F.coalesce("applied", F.lit(0)))
     return j.select("o_orderkey", F.col("amount").cast("double").alias("amount"),
                     F.col("applied").cast("double").alias("applied"),
@@ -319,15 +321,15 @@ GROUP BY 1, 2, 3
 def insured_sales(spark, root, nations=IS_NATIONS, start=IS_FROM, end=IS_TO):
     """Sales of credit-insured customers of chosen countries by customer and seller country."""
     t = Tables(spark, root)
-    nat = t.nation.select("n_nationkey", "n_name")                                     # 25 rows
+    nat = t.nation.select("n_nationkey", "n_name")
     c = (t.customer.where((F.col("c_acctbal") > INSURED_FROM) & in_list("c_nationkey", nations))
-                   .join(F.broadcast(nat), F.col("c_nationkey") == F.col("n_nationkey"))
+                   .join(nat, F.col("c_nationkey") == F.col("n_nationkey"))
                    .select("c_custkey", F.col("n_name").alias("customer_nation")))
-    s = (t.supplier.join(F.broadcast(nat), F.col("s_nationkey") == F.col("n_nationkey"))
+    s = (t.supplier.join(nat, F.col("s_nationkey") == F.col("n_nationkey"))
                    .select("s_suppkey", F.col("n_name").alias("seller_nation")))
     o = t.orders.where(date_between("o_orderdate", start, end)).select("o_orderkey", "o_custkey")
-    j = (t.lineitem.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-                   .join(c, F.col("o_custkey") == F.col("c_custkey"))
+    own = o.join(c, F.col("o_custkey") == F.col("c_custkey"))       # the chosen customers' documents before the lines
+    j = (t.lineitem.join(own, F.col("l_orderkey") == F.col("o_orderkey"))
                    .join(s, F.col("l_suppkey") == F.col("s_suppkey")))
     return j.groupBy("customer_nation", "seller_nation", "c_custkey").agg(out(F.sum(line_amount())).alias("sales"))
 

@@ -58,7 +58,7 @@ def optional_key_predicate(spark, root, nation_id=OPT_NATION_ID, nation_name=OPT
     c = t.customer.select("c_custkey", "c_nationkey")
     o = t.orders
     return (o.join(c, o.o_custkey == c.c_custkey)
-             .join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))  # nation: 25 rows
+             .join(n, F.col("c_nationkey") == F.col("n_nationkey"))  # nation: 25 rows
              .select("o_orderkey", "o_custkey", "n_name", out(dec("o_totalprice")).alias("amount")))
 
 

@@ -34,9 +34,9 @@ def role_playing_join(spark, root):
     t = Tables(spark, root)
     geo = (t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
                    .select("n_nationkey", "r_name"))                      # 25 rows: broadcast
-    cust = (t.customer.join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey"))
+    cust = (t.customer.join(geo, F.col("c_nationkey") == F.col("n_nationkey"))
                       .select("c_custkey", F.col("r_name").alias("cust_region")))
-    supp = (t.supplier.join(F.broadcast(geo), F.col("s_nationkey") == F.col("n_nationkey"))
+    supp = (t.supplier.join(geo, F.col("s_nationkey") == F.col("n_nationkey"))
                       .select("s_suppkey", F.col("r_name").alias("supp_region")))
     li = t.lineitem.select("l_orderkey", "l_suppkey", line_amount().alias("amt"))
     j = (li.join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))

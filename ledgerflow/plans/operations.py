@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerflow.functions.dates import as_date, days_between, long_date_es
@@ -452,19 +453,19 @@ FROM v
 def payment_vouchers(spark, root, start=PV_FROM, end=PV_TO, nation_id=PV_NATION_ID, nation_name=PV_NATION_NAME):
     """Payment vouchers of a period with the supplier invoices they settle, linked through a
     payment-invoice bridge; suppliers of one country (by id when given, else by name);
-    each voucher's total on its rows."""
+    each voucher's total on its rows. The bridge is the key set of the invoice sums, and
+    only lines of the chosen vouchers and suppliers are summed."""
     t = Tables(spark, root)
     pay = t.orders.where((F.col("o_orderstatus") == "F") & date_between("o_orderdate", start, end)).select("o_orderkey")
-    bridge = t.lineitem.select("l_orderkey", "l_suppkey").distinct()
-    inv = t.lineitem.groupBy("l_orderkey", "l_suppkey").agg(F.sum(dec("l_extendedprice")).alias("invoice_amount"))
     nat = t.nation.where(one_of("n_nationkey", nation_id, "n_name", nation_name)).select("n_nationkey")
-    sup = (t.supplier.join(F.broadcast(nat), F.col("s_nationkey") == F.col("n_nationkey"), "left_semi")
+    sup = (t.supplier.join(nat, F.col("s_nationkey") == F.col("n_nationkey"), "left_semi")
                      .select("s_suppkey", "s_name"))
-    v = (pay.join(bridge, F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(sup, F.col("l_suppkey") == F.col("s_suppkey"))
-            .join(inv, ["l_orderkey", "l_suppkey"]))
-    tot = v.groupBy("o_orderkey").agg(F.sum("invoice_amount").alias("voucher_total"))
-    return v.join(tot, "o_orderkey").select(
+    inv = (t.lineitem.join(sup.select("s_suppkey"), F.col("l_suppkey") == F.col("s_suppkey"), "left_semi")
+                     .join(pay, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+                     .groupBy("l_orderkey", "l_suppkey").agg(F.sum(dec("l_extendedprice")).alias("invoice_amount")))
+    v = inv.join(sup, F.col("l_suppkey") == F.col("s_suppkey")).withColumnRenamed("l_orderkey", "o_orderkey")
+    total = F.sum("invoice_amount").over(Window.partitionBy("o_orderkey"))      # at most one row a supplier
+    return v.withColumn("voucher_total", total).select(
         "o_orderkey", F.concat("s_name", F.lit(" / "), F.col("l_suppkey").cast("string")).alias("supplier"),
         F.col("invoice_amount").cast("double").alias("invoice_amount"),
         F.col("voucher_total").cast("double").alias("voucher_total"))

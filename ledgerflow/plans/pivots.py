@@ -186,14 +186,17 @@ FROM m GROUP BY ROLLUP (l_linestatus, yr), ROLLUP (c_mktsegment, l_returnflag)
 def net_units_crosstab(spark, root, shift_hours=SHIFT_HOURS):
     """Net units (returns negative) by (line state, business year) x (segment, movement)
     with row subtotals, column subtotals and the grand total; the business day is the
-    timestamp shifted by ``shift_hours``."""
+    timestamp shifted by ``shift_hours``. The lines are summed to the four keys first; only
+    those sums are rolled up."""
     t = Tables(spark, root)
     m = (t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
                    .join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
                    .select("l_linestatus", F.year(business_day("o_orderdate", shift_hours)).alias("yr"),
                            "c_mktsegment", "l_returnflag",
                            F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("units")))
-    r = crosstab_totals(m, ["l_linestatus", "yr"], ["c_mktsegment", "l_returnflag"], [F.sum("units").alias("units")])
+    rows, cols = ["l_linestatus", "yr"], ["c_mktsegment", "l_returnflag"]
+    leaf = m.groupBy(*rows, *cols).agg(F.sum("units").alias("units"))
+    r = crosstab_totals(leaf, rows, cols, [F.sum("units").alias("units")])
     return r.select("l_linestatus", "yr", "c_mktsegment", "l_returnflag", F.col("gid").cast("long").alias("gid"), "units")
 
 

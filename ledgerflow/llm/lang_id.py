@@ -31,7 +31,6 @@ WINDOW = 128                # bytes
 WIDTHS = (2, 3, 4)
 FILTERS = 16                # per width
 PER_LANG, PER_DOC = 500, 8  # bound of the training sample
-SALTS = 64                  # groups in which a language's candidates are ranked first
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 CHUNK = 512                 # windows predicted at a time
 
@@ -142,16 +141,21 @@ def fit(docs: DataFrame, learn: Column, per_lang: int = PER_LANG) -> Network:
                     rows.append((lang, x[i].tobytes()))
             yield pd.DataFrame(rows, columns=["lang", "bytes"])
 
-    # ids are chosen without their texts, in salted groups first, so that one language's task
-    # sees at most SALTS * per_lang short rows; then only the chosen texts travel
+    # ids are chosen without their texts: one aggregate counts the ids of a language by the
+    # magnitude of their draws, and only draws below the power of two that leaves at least
+    # twice per_lang of them (about twice to four times, at any size of the table) are ranked
     own = (docs.select("doc_id", "text", "lang", learn.alias("learn"))
            .filter("learn AND lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-           .withColumn("draw", F.xxhash64("doc_id")).drop("learn"))
-    salted = Window.partitionBy("lang", "salt").orderBy("draw", "doc_id")
+           .withColumn("draw", F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 63) - 1))).drop("learn"))
+    drawn = own.select("doc_id", "lang", "draw", F.length(F.bin("draw")).alias("magnitude"))
     first = Window.partitionBy("lang").orderBy("draw", "doc_id")
-    ranked = own.select("doc_id", "lang", "draw", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)).alias("salt"))
-    for w in (salted, first):
-        ranked = ranked.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= per_lang)
+    below = F.sum("n").over(Window.partitionBy("lang").orderBy("magnitude"))
+    levels = (drawn.groupBy("lang", "magnitude").agg(F.approx_count_distinct("doc_id").alias("n"))     # at most 64 a language
+              .withColumn("before", below - F.col("n")).filter(F.col("before") < 2 * per_lang)
+              .groupBy("lang").agg(F.max("magnitude").alias("top")))
+    # one row a language, as many as the network has classes
+    ranked = (drawn.join(F.broadcast(levels), "lang").filter("magnitude <= top").select("doc_id", "lang", "draw").distinct()
+              .withColumn("place", F.row_number().over(first)).filter(F.col("place") <= per_lang))
     chosen = F.broadcast(ranked.select("doc_id").distinct())           # at most per_lang ids a language
     sample = (own.join(chosen, "doc_id", "left_semi").withColumn("place", F.row_number().over(first))
               .filter(F.col("place") <= per_lang).select("lang", "text")

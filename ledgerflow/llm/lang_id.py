@@ -130,6 +130,24 @@ class Predictor:
         return self.net.langs[best], float(min(1.0, max(0.0, mean[best])))
 
 
+def _draw() -> Column:
+    """63 random bits of an id, by another hash than approx_count_distinct counts with."""
+    return F.xxhash64("doc_id", F.lit(1)).bitwiseAND(F.lit((1 << 63) - 1))
+
+
+def low_draws(docs: DataFrame, per_lang: int) -> DataFrame:
+    """lang, doc_id, draw of the ids with the lowest draws: at least twice ``per_lang`` of a
+    language (or all), about four times at most, at any size of the table. One aggregate counts
+    a language's ids by the magnitude of their draws and so finds the power of two to stay below."""
+    drawn = docs.select("doc_id", "lang", _draw().alias("draw")).withColumn("magnitude", F.length(F.bin("draw")))
+    below = F.sum("n").over(Window.partitionBy("lang").orderBy("magnitude"))
+    levels = (drawn.groupBy("lang", "magnitude").agg(F.approx_count_distinct("doc_id").alias("n"))     # at most 64 a language
+              .withColumn("before", below - F.col("n")).filter(F.col("before") < 2 * per_lang)
+              .groupBy("lang").agg(F.max("magnitude").alias("top")))
+    # one row a language, as many as the network has classes
+    return drawn.join(F.broadcast(levels), "lang").filter("magnitude <= top").select("lang", "doc_id", "draw").distinct()
+
+
 def fit(docs: DataFrame, learn: Column, per_lang: int = PER_LANG) -> Network:
     """Train on the bounded sample of the rows of ``docs`` for which ``learn`` holds."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,21 +159,11 @@ def fit(docs: DataFrame, learn: Column, per_lang: int = PER_LANG) -> Network:
                     rows.append((lang, x[i].tobytes()))
             yield pd.DataFrame(rows, columns=["lang", "bytes"])
 
-    # ids are chosen without their texts: one aggregate counts the ids of a language by the
-    # magnitude of their draws, and only draws below the power of two that leaves at least
-    # twice per_lang of them (about twice to four times, at any size of the table) are ranked
-    own = (docs.select("doc_id", "text", "lang", learn.alias("learn"))
-           .filter("learn AND lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-           .withColumn("draw", F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 63) - 1))).drop("learn"))
-    drawn = own.select("doc_id", "lang", "draw", F.length(F.bin("draw")).alias("magnitude"))
+    own = docs.select("doc_id", "text", "lang", learn.alias("learn")).filter(
+        "learn AND lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").drop("learn").withColumn("draw", _draw())
     first = Window.partitionBy("lang").orderBy("draw", "doc_id")
-    below = F.sum("n").over(Window.partitionBy("lang").orderBy("magnitude"))
-    levels = (drawn.groupBy("lang", "magnitude").agg(F.approx_count_distinct("doc_id").alias("n"))     # at most 64 a language
-              .withColumn("before", below - F.col("n")).filter(F.col("before") < 2 * per_lang)
-              .groupBy("lang").agg(F.max("magnitude").alias("top")))
-    # one row a language, as many as the network has classes
-    ranked = (drawn.join(F.broadcast(levels), "lang").filter("magnitude <= top").select("doc_id", "lang", "draw").distinct()
-              .withColumn("place", F.row_number().over(first)).filter(F.col("place") <= per_lang))
+    # ids are chosen without their texts
+    ranked = low_draws(own, per_lang).withColumn("place", F.row_number().over(first)).filter(F.col("place") <= per_lang)
     chosen = F.broadcast(ranked.select("doc_id").distinct())           # at most per_lang ids a language
     sample = (own.join(chosen, "doc_id", "left_semi").withColumn("place", F.row_number().over(first))
               .filter(F.col("place") <= per_lang).select("lang", "text")

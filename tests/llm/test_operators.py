@@ -298,6 +298,14 @@ def test_language_id(spark):
     assert held > 150 and right / held > 0.97
 
 
+def test_language_id_ranks_few_ids(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    found = lang_id.low_draws(docs.filter("lang IS NOT NULL"), per_lang=100).groupBy("lang").count().collect()
+    counts = {r["lang"]: r["count"] for r in found}
+    assert len(counts) == docs.where("lang IS NOT NULL").select("lang").distinct().count()
+    assert all(150 <= n <= 600 for n in counts.values())
+
+
 def test_language_id_edges(spark, docs, rows):
     got = lang_id.identify(docs).collect()
     assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in rows)

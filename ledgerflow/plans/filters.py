@@ -164,6 +164,9 @@ _LISTS_SQL = {
     "diario": f"SELECT o_orderpriority, {sql_decode('o_orderpriority', PRIORITY_LABELS)}, CAST(NULL AS VARCHAR) FROM orders",
     "anio": "SELECT CAST(year(o_orderdate) AS VARCHAR), CAST(year(o_orderdate) AS VARCHAR), CAST(NULL AS VARCHAR) FROM orders",
     "mes": "SELECT strftime(o_orderdate, '%Y-%m'), strftime(o_orderdate, '%m/%Y'), CAST(year(o_orderdate) AS VARCHAR) FROM orders",
+    "documento": "SELECT CAST(o_orderkey AS VARCHAR), CAST(o_orderkey AS VARCHAR), o_orderpriority FROM orders",
+    "cheque": ("SELECT CAST(o_orderkey AS VARCHAR), CAST(o_orderkey AS VARCHAR), CAST(c_nationkey AS VARCHAR) "
+               "FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'"),
 }
 
 
@@ -173,7 +176,7 @@ _LISTS_SQL = {
 def filter_lists(spark, root, names=None, parent=None):
     """Value lists for choice boxes: distinct (id, label) by label, each with the id of the
     list above it for cascading choices (countries of a region, partners of a country, brands
-    of a type, months of a year). ``names`` picks lists, ``parent`` the children of one value."""
+    of a type, months of a year, documents of a journal, cheques of a bank). ``names`` picks lists, ``parent`` the children of one value."""
     t = Tables(spark, root)
     no, text = F.lit(None).cast("string"), lambda c: F.col(c).cast("string")
     year = F.year("o_orderdate").cast("string")
@@ -190,6 +193,9 @@ def filter_lists(spark, root, names=None, parent=None):
         "anio": (t.orders, year, year, no),
         "mes": (t.orders, F.date_format("o_orderdate", "yyyy-MM"), F.date_format("o_orderdate", "MM/yyyy"), year),
     }
+    paid = t.orders.where("o_orderstatus = 'F'").join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    lists |= {"documento": (t.orders, text("o_orderkey"), text("o_orderkey"), F.col("o_orderpriority")),
+              "cheque": (paid, text("o_orderkey"), text("o_orderkey"), text("c_nationkey"))}
     out = None
     for name, (df, key, label, above) in lists.items():
         if names and name not in names:

@@ -10,7 +10,9 @@ powers of two, which need no padding either. Nothing is shuffled and a task hold
 so a lost task is simply run again.
 
 Token ids are those of the vocabulary's byte-level BPE. Very long texts are encoded in parts,
-cut in front of a single space between words, where pre-tokenisation always ends a piece.
+cut in front of a single space between words, where pre-tokenisation always ends a piece. Long
+white-space runs, which would exhaust the pattern's stack, are pieces of their own: all but the
+last character of a run, or all of it at the end of the text.
 
 Defined results: null text is the empty text, whose one token is the end mark; repeated rows
 are packed as often as they come; rows without an id are packed with a null id; an empty table
@@ -33,6 +35,8 @@ from pyspark.sql import DataFrame
 from ledgerflow.llm.common import batch_limits, text_of
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"     # what \s is in the pattern
+RUN = 1 << 16               # white-space characters in a row from which a run is encoded apart
 PART = 1 << 20              # code points encoded at a time, up to the next safe cut
 WINDOW = 2_048              # pieces that are packed together
 END = 0                     # the id behind each document
@@ -45,17 +49,26 @@ class Tokens:
     def __init__(self, ranks: str):
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table,
-                                        special_tokens={}).encode_to_numpy
+        self.encode, self.encode_run = (
+            tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_to_numpy
+            for name, pattern in (("ranks", public_tokenizers.PATTERN), ("runs", r"\s+")))
+        self.runs = re.compile(rf"(?<![{WHITE}])[{WHITE}]{{{RUN},}}")
 
     def ids(self, text: str) -> np.ndarray:
         """The ids of ``text`` and the end mark."""
         parts, lo = [], 0
+        for run in self.runs.finditer(text) if len(text) >= RUN else ():
+            end = run.end() - (run.end() < len(text))           # the last character goes with what follows
+            parts += [*self._parts(text[lo:run.start()]), self.encode_run(text[run.start():end], disallowed_special=())]
+            lo = end
+        return np.concatenate([*parts, *self._parts(text[lo:]), [END]]).astype("<u4")
+
+    def _parts(self, text: str) -> Iterator[np.ndarray]:
+        lo = 0
         while len(text) - lo > PART and (cut := CUT.search(text, lo + PART)):
-            parts.append(self.encode(text[lo:cut.start()], disallowed_special=()))
+            yield self.encode(text[lo:cut.start()], disallowed_special=())
             lo = cut.start()
-        parts.append(self.encode(text[lo:], disallowed_special=()))
-        return np.concatenate([*parts, [END]]).astype("<u4")
+        yield self.encode(text[lo:], disallowed_special=())
 
 
 class Packer:

@@ -438,6 +438,23 @@ def test_token_ids_in_parts(tokenizer, monkeypatch):
         assert tokens.ids(text).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
 
 
+def test_token_ids_of_long_white_space(tokenizer):
+    tokens = packing.Tokens(public_tokenizers.path(packing.RANKS))
+    for run in (" " * 1_000_100, "\n" * 1_000_100, " \n" * 500_050, "\u3000\n" * 500_050):
+        for text in (run, f"a{run}b", f"a b{run}\x1c{run}!"):
+            assert tokens.ids(text).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+
+
+@pytest.mark.parametrize("run", [2, 3, 5])
+def test_token_ids_with_runs_apart(tokenizer, monkeypatch, run):
+    monkeypatch.setattr(packing, "RUN", run)
+    monkeypatch.setattr(packing, "PART", 7)
+    tokens, rng = packing.Tokens(public_tokenizers.path(packing.RANKS)), random.Random(run)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", " ", " ", "\n", "\xa0", "\x1c", "\u3000", "\x85", "12", "!", "'s", "é", "漢"]) for _ in range(40))
+        assert tokens.ids(text).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+
+
 def test_sharding(docs, rows):
     got = sharding.shard_by_bytes(docs, 4, ranges=8).collect()
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter(

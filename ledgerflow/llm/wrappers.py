@@ -9,11 +9,11 @@ side has an optional item. Each task joins the wrappers of the pages it reads, t
 wrappers of a host are joined in salted groups and then in one, so a host with a third of all
 pages sends one small wrapper per task.
 
-``content_paths`` chooses the article in a host's wrapper: the items under its article or main
-element, otherwise the deepest container with most of the running text; menus, headers,
-footers, sidebars, notices, adverts, forms and comments are told by element, class or id, by
-their share of links, and outside an article by text that is constant over the host.
-Pages then keep the blocks on the chosen paths.
+``content_paths`` chooses the article among a page's own paths, by their sizes in the host's
+wrapper: all under article or main elements, otherwise the deepest container with most of the
+running text; menus, headers, footers, sidebars, notices, adverts, forms and comments are told
+by element, class or id, by their share of links, and outside an article by text that is
+constant over the host. Pages then keep the blocks on the chosen paths.
 
 Defined results: null html is an empty page, with an empty text; a null url is a host of its
 own; repeated rows get equal results; an empty table gives no rows; other columns are not read.
@@ -42,6 +42,7 @@ INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em fon
     span strike strong sub sup time tt u var label""".split())
 BOILER = frozenset("nav footer aside form menu dialog button fieldset header".split())
 MAIN = frozenset("article main".split())
+PAGE = frozenset("html body".split())
 #: Words of class and id names that tell what a part of a page is.
 BOILER_WORDS = frozenset("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies
     consent gdpr notice notices alert popup modal overlay sidebar sidebars aside widget widgets menu nav navbar navigation breadcrumb
@@ -51,6 +52,7 @@ MAIN_WORDS = frozenset("article main content post entry story".split())
 MAX_PERIOD = 4              # paths in a repeated group
 SALTS = 32                  # groups in which partial wrappers of a host are joined first
 MAX_HOSTS = 2_000           # wrappers that one task holds
+MAX_CHOSEN = 2_000          # path sets of a host whose choice one task holds
 
 
 def blocks(page: str) -> list[tuple[str, str, int]]:
@@ -163,57 +165,69 @@ def align(a: list[list], b: list[list]) -> list[list]:
     return out
 
 
+def _words(attributes: str) -> set[str]:
+    return set(re.split(r"[^a-z]+", re.sub(r"\b(class|id|role)=", " ", attributes))) - {""}
+
+
 def _is_boiler(element: str, inside: bool) -> bool:
     name, _, attributes = element.partition(" ")
     if name in BOILER and not (name == "header" and inside):
         return True
-    return bool(BOILER_WORDS & set(re.split(r"[^a-z]+", re.sub(r"\b(class|id|role)=", " ", attributes))))
+    return bool(BOILER_WORDS & _words(attributes))
 
 
 def _is_main(element: str) -> bool:
     name, _, attributes = element.partition(" ")
-    return name in MAIN or bool(MAIN_WORDS & set(re.split(r"[^a-z]+", re.sub(r"\b(class|id|role)=", " ", attributes))))
+    return name in MAIN or name not in PAGE and bool(MAIN_WORDS & _words(attributes))
 
 
-def content_paths(wrapper: list[list]) -> list[str]:
-    """The paths of a host's wrapper that hold the article."""
-    size: dict[str, list] = {}                              # path: characters, link characters, pages, constant
+def path_sizes(wrapper: list[list]) -> dict[str, list]:
+    """Characters, link characters, pages and whether the text is constant of each path of a host."""
+    size: dict[str, list] = {}
     for paths, repeated, _, pages, chars, linked, texts in wrapper:
         for path, own in zip(paths, texts):
             s = size.setdefault(path, [0, 0, 0, True])
             s[0] += chars / len(paths)
             s[1] += linked / len(paths)
-            s[2] += pages
+            s[2] = max(s[2], pages)
             s[3] &= own is not None and not repeated
-    region: dict[str, float] = {}
+    return size
+
+
+def _container(paths: list[str], size: dict[str, list]) -> list[str]:
+    """The paths under the deepest container with most of the text that is not constant."""
+    paths = [p for p in paths if not (size[p][3] and size[p][2] >= 3)] or paths
+    total = sum(size[p][0] for p in paths)
+    inside: dict[str, float] = {}
+    for p in paths:
+        elements = p.split("/")
+        for i in range(1, len(elements) + 1):
+            prefix = "/".join(elements[:i])
+            inside[prefix] = inside.get(prefix, 0) + size[p][0]
+    held = [p for p, chars in inside.items() if chars >= 0.6 * total and p not in size]
+    root = max(held, key=lambda p: (p.count("/"), p)) if held else ""
+    return [p for p in paths if not root or p.startswith(root + "/")]
+
+
+def content_paths(own: frozenset[str], size: dict[str, list]) -> set[str]:
+    """The paths of a page's own that hold the article, by the sizes of its host: pages of
+    several templates on a host each have their article."""
     plain: list[str] = []
-    for path, (chars, linked, _, _) in size.items():
+    rooted: list[str] = []
+    tagged = False
+    for path in sorted(own):
         elements = path.split("/")
+        chars, linked, _, _ = size[path]
         first = next((i for i, e in enumerate(elements) if _is_main(e)), len(elements))
         if any(_is_boiler(e, i > first) for i, e in enumerate(elements)) or linked > chars / 2:
             continue
         plain.append(path)
         if first < len(elements):
-            root = "/".join(elements[:first + 1])
-            region[root] = region.get(root, 0) + chars
-    if region:
-        root = max(region, key=lambda r: (region[r], r))
-    else:
-        plain = [p for p in plain if not (size[p][3] and size[p][2] >= 3)]
-        total, root = sum(size[p][0] for p in plain), ""
-        inside: dict[str, float] = {}
-        for p in plain:
-            elements = p.split("/")
-            for i in range(1, len(elements) + 1):
-                prefix = "/".join(elements[:i])
-                inside[prefix] = inside.get(prefix, 0) + size[p][0]
-        held = [p for p, chars in inside.items() if chars >= 0.6 * total and p not in size]
-        root = max(held, key=lambda p: (p.count("/"), p)) if held else ""
-    return sorted(p for p in plain if not root or p == root or p.startswith(root + "/"))
-
-
-def extract(page: str, keep: set[str]) -> str:
-    return "\n\n".join(text for path, text, _ in blocks(page) if path in keep)
+            rooted.append(path)
+            tagged |= any(e.split(" ", 1)[0] in MAIN for e in elements)
+    if tagged or sum(size[p][0] for p in rooted) > sum(size[p][0] for p in plain) / 2:
+        return set(rooted)
+    return {*rooted, *_container(plain, size)}
 
 
 def host_of() -> Column:
@@ -256,13 +270,19 @@ def main_text(pages: DataFrame, wrappers: DataFrame | None = None) -> DataFrame:
     wrappers = infer(pages) if wrappers is None else wrappers
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, keep = None, set()
+        last, size, chosen = None, {}, {}
         for pdf in batches:
             out = []
             for page, wrapper in zip(pdf["html"], pdf["wrapper"]):
                 if wrapper != last:
-                    last, keep = wrapper, set(content_paths(json.loads(wrapper)))
-                out.append(extract(page, keep))
+                    last, size, chosen = wrapper, path_sizes(json.loads(wrapper)), {}
+                found = blocks(page)
+                own = frozenset(path for path, _, _ in found)
+                if own not in chosen:
+                    if len(chosen) >= MAX_CHOSEN:
+                        chosen.clear()
+                    chosen[own] = content_paths(own, size)
+                out.append("\n\n".join(text for path, text, _ in found if path in chosen[own]))
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": out})
 
     # the second key makes both sides plain exchanges, so that a hot host can be split

@@ -224,6 +224,27 @@ def test_html_extraction_of_test_pages(spark):
         assert got[r["page_id"]] == "\n\n".join(x for x in parts if x)
 
 
+def extracted(spark, pages):
+    rows = [(i, "https://h.example.com/", x) for i, x in enumerate(pages)]
+    got = wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    return [r["text"] for r in sorted(got.collect(), key=lambda r: r["page_id"])]
+
+
+def framed(body, i):
+    return f"<html><body><nav><a>Home</a></nav>{body}<div class=sidebar><p>About us {i}</p></div><footer>Imprint</footer></body></html>"
+
+
+def test_html_extraction_of_two_templates(spark):
+    roots = ["article class='post category-news'"] * 5 + ["article class='post category-sport'"] * 2 + ["main"]
+    pages = [framed(f"<{r}><h1>Head {i}</h1><p>text {i} of it</p></{r.split()[0]}>", i) for i, r in enumerate(roots)]
+    assert extracted(spark, pages) == [f"Head {i}\n\ntext {i} of it" for i in range(len(roots))]
+    outer = ["div class=a"] * 4 + ["section class=b"] * 2                  # no article element, and with one on other pages
+    plain = [framed(f"<{r}><div class=t><h2>Head {i}</h2><p>text {i} of it</p><p>more {i} of it</p></div></{r.split()[0]}>", i) for i, r in enumerate(outer)]
+    want = [f"Head {i}\n\ntext {i} of it\n\nmore {i} of it" for i in range(len(outer))]
+    assert extracted(spark, plain) == want
+    assert extracted(spark, [*plain, *pages])[:len(plain)] == want
+
+
 def test_wrapper_alignment():
     one = wrappers.page_wrapper([("nav", "menu", 4), ("a/h1", "A", 0), ("a/p", "x", 0), ("f", "foot", 0)])
     two = wrappers.page_wrapper([("nav", "menu", 4), ("a/h1", "B", 0), ("a/p", "x", 0), ("a/p", "y", 0), ("c", "note", 0), ("f", "foot", 0)])

@@ -171,9 +171,42 @@ def _words(attributes: str) -> set[str]:
 
 def _is_boiler(element: str, inside: bool) -> bool:
     name, _, attributes = element.partition(" ")
-    if name in BOILER and not (name == "header" and inside):
-        return True
-    return bool(BOILER_WORDS & _words(attributes))
+    return name in BOILER and not (name == "header" and inside) or _has_boiler_words(element)
+
+
+def _has_boiler_words(element: str) -> bool:
+    name, _, attributes = element.partition(" ")
+    return name not in PAGE | MAIN and bool(BOILER_WORDS & _words(attributes))
+
+
+def _holders(own: frozenset[str], size: dict[str, list]) -> set[str]:
+    """Elements (with their ancestors) whose class words do not count: they hold the page's
+    article or main elements, and none stands in the clear beside them, or most of its text.
+    An element with no other words than those of boilerplate needs the former."""
+    inside: dict[str, float] = {}
+    mains: set[str] = set()
+    for path in own:
+        elements = path.split("/")
+        for i, e in enumerate(elements):
+            prefix = "/".join(elements[:i + 1])
+            inside[prefix] = inside.get(prefix, 0) + size[path][0]
+            if e.split(" ", 1)[0] in MAIN:
+                mains.add(prefix)
+    total = sum(size[path][0] for path in own)
+    out = set()
+    for held, chars in inside.items():
+        element = held.rpartition("/")[2]
+        if not _has_boiler_words(element):
+            continue
+        above = held.split("/")
+        beside = [m.split("/") for m in mains if not (m + "/").startswith(held + "/") and not (held + "/").startswith(m + "/")]
+        if any((m + "/").startswith(held + "/") for m in mains):
+            clear = (not any(_is_boiler(e, False) for e, a in zip(m, [*above, *[None] * len(m)]) if e != a) for m in beside)
+            if not any(clear):
+                out.add(held)
+        elif chars > total / 2 and _words(element.partition(" ")[2]) - BOILER_WORDS:
+            out.add(held)
+    return out
 
 
 def _is_main(element: str) -> bool:
@@ -215,11 +248,13 @@ def content_paths(own: frozenset[str], size: dict[str, list]) -> set[str]:
     plain: list[str] = []
     rooted: list[str] = []
     tagged = False
+    holders = _holders(own, size)
     for path in sorted(own):
         elements = path.split("/")
         chars, linked, _, _ = size[path]
         first = next((i for i, e in enumerate(elements) if _is_main(e)), len(elements))
-        if any(_is_boiler(e, i > first) for i, e in enumerate(elements)) or linked > chars / 2:
+        boiler = [i for i, e in enumerate(elements) if _is_boiler(e, i > first)]
+        if any(elements[i].split(" ", 1)[0] in BOILER or "/".join(elements[:i + 1]) not in holders for i in boiler) or linked > chars / 2:
             continue
         plain.append(path)
         if first < len(elements):

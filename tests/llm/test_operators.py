@@ -245,6 +245,19 @@ def test_html_extraction_of_two_templates(spark):
     assert extracted(spark, [*plain, *pages])[:len(plain)] == want
 
 
+@pytest.mark.parametrize("body, layout, root", [
+    ("body class='has-sidebar'", "div", "article"), ("body", "div class='content with-sidebar'", "div"),
+    ("body", "div", "article class='post has-comments'"), ("body id='search-page'", "div id='search-page'", "main"),
+    ("body", "div class='content with-sidebar'", "article"), ("body", "div class='main'", "div class='text with-sidebar'")])
+def test_html_extraction_with_names_of_layouts(spark, body, layout, root):
+    pages = [f"<html><{body}><nav><a>Home</a></nav><{layout}><{root}><h1>Head {i}</h1><p>the text {i} of it</p><p>more text {i} of it</p>"
+             f"</{root.split()[0]}><div class=sidebar><p>About {i}</p></div><section class=comments><article class=comment>Nice {i}"
+             f"</article></section></{layout.split()[0]}></body></html>" for i in range(4)]
+    if "article" not in root and root != "main":
+        pages = [x.replace("article", "p") for x in pages]
+    assert extracted(spark, pages) == [f"Head {i}\n\nthe text {i} of it\n\nmore text {i} of it" for i in range(4)]
+
+
 def test_wrapper_alignment():
     one = wrappers.page_wrapper([("nav", "menu", 4), ("a/h1", "A", 0), ("a/p", "x", 0), ("f", "foot", 0)])
     two = wrappers.page_wrapper([("nav", "menu", 4), ("a/h1", "B", 0), ("a/p", "x", 0), ("a/p", "y", 0), ("c", "note", 0), ("f", "foot", 0)])

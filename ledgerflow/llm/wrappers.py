@@ -12,8 +12,8 @@ pages sends one small wrapper per task.
 ``content_paths`` chooses the article among a page's own paths, by their sizes in the host's
 wrapper: all under article or main elements, otherwise the deepest container with most of the
 running text; menus, headers, footers, sidebars, notices, adverts, forms and comments are told
-by element, class or id, by their share of links, and outside an article by text that is
-constant over the host. Pages then keep the blocks on the chosen paths.
+by element, class or id, outside an article by their share of links or by text that is constant
+over the host, and inside only by both. Pages then keep the blocks on the chosen paths.
 
 Defined results: null html is an empty page, with an empty text; a null url is a host of its
 own; repeated rows get equal results; an empty table gives no rows; other columns are not read.
@@ -115,7 +115,7 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
 
 
 # A wrapper is a list of items [paths, repeated, optional, pages, characters, link characters, texts];
-# texts has for each path the checksum of its constant text, or None for a slot.
+# texts has for each path the checksum of its constant text or texts, or None for a slot.
 
 def page_wrapper(found: list[tuple[str, str, int]]) -> list[list]:
     items: list[list] = []
@@ -133,15 +133,20 @@ def _fold(items: list[list]) -> None:
         if before and before[0][0] == paths and all(not x[1] or period == 1 for x in last):
             old = before[0]                                 # the group stands there already
             size, linked = sum(x[4] for x in last), sum(x[5] for x in last)
-            items[-period - 1:] = [[paths, True, old[2], 1, old[4] + size, old[5] + linked, [None] * len(paths)]]
+            items[-period - 1:] = [[paths, True, old[2], 1, old[4] + size, old[5] + linked, _joined(old, *last)]]
             return
         two = items[-2 * period:-period]
         if period > 1 and len(two) == period and [p for x in two for p in x[0]] == paths and not any(x[1] for x in two + last):
             items[-2 * period:] = [[paths, True, False, 1, sum(x[4] for x in two + last), sum(x[5] for x in two + last),
-                                    [None] * len(paths)]]
+                                    _joined([0, 0, 0, 0, 0, 0, [s for x in two for s in x[6]]], *last)]]
             return
 
 
+def _joined(old: list, *last: list) -> list[int]:
+    """Checksums of all texts on the paths of a repeat, in their order."""
+    return [zlib.crc32(f"{s} {t}".encode()) for s, t in zip(old[6], [t for x in last for t in x[6]])]
+
+
 def align(a: list[list], b: list[list]) -> list[list]:
     """The wrapper of both, by the longest common subsequence of their groups."""
     n, m = len(a), len(b)
@@ -217,13 +222,13 @@ def _is_main(element: str) -> bool:
 def path_sizes(wrapper: list[list]) -> dict[str, list]:
     """Characters, link characters, pages and whether the text is constant of each path of a host."""
     size: dict[str, list] = {}
-    for paths, repeated, _, pages, chars, linked, texts in wrapper:
+    for paths, _, _, pages, chars, linked, texts in wrapper:
         for path, own in zip(paths, texts):
             s = size.setdefault(path, [0, 0, 0, True])
             s[0] += chars / len(paths)
             s[1] += linked / len(paths)
             s[2] = max(s[2], pages)
-            s[3] &= own is not None and not repeated
+            s[3] &= own is not None
     return size
 
 
@@ -249,13 +254,16 @@ def content_paths(own: frozenset[str], size: dict[str, list]) -> set[str]:
     rooted: list[str] = []
     tagged = False
     holders = _holders(own, size)
+    varied = not all(s[3] for s in size.values())
     for path in sorted(own):
         elements = path.split("/")
-        chars, linked, _, _ = size[path]
+        chars, linked, pages, constant = size[path]
         first = next((i for i, e in enumerate(elements) if _is_main(e)), len(elements))
         boiler = [i for i, e in enumerate(elements) if _is_boiler(e, i > first)]
-        if any(elements[i].split(" ", 1)[0] in BOILER or "/".join(elements[:i + 1]) not in holders for i in boiler) or linked > chars / 2:
+        if any(elements[i].split(" ", 1)[0] in BOILER or "/".join(elements[:i + 1]) not in holders for i in boiler):
             continue
+        if linked > chars / 2 and (first == len(elements) or constant and pages >= 3 and varied):
+            continue                                        # a menu; in an article only if it is the same on all pages
         plain.append(path)
         if first < len(elements):
             rooted.append(path)

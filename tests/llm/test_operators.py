@@ -258,6 +258,15 @@ def test_html_extraction_with_names_of_layouts(spark, body, layout, root):
     assert extracted(spark, pages) == [f"Head {i}\n\nthe text {i} of it\n\nmore text {i} of it" for i in range(4)]
 
 
+@pytest.mark.parametrize("root", ["article", "main", "div class=post-content"])
+def test_html_extraction_keeps_lists_of_links(spark, root):
+    menu = "<div><ul><li><a>Home</a></li><li><a>News</a></li></ul></div>"
+    pages = [framed(f"{menu}<{root}>{menu}<h1>Head {i}</h1><p>the running text {i} of the page</p><ol><li><a>Reference {i} one</a></li>"
+                    f"<li><a>Reference {i} two</a>, 1999</li><li>no link {i}</li></ol></{root.split()[0]}>", i) for i in range(4)]
+    want = "Head {0}\n\nthe running text {0} of the page\n\nReference {0} one\n\nReference {0} two, 1999\n\nno link {0}"
+    assert extracted(spark, pages) == [want.format(i) for i in range(4)]
+
+
 def test_wrapper_alignment():
     one = wrappers.page_wrapper([("nav", "menu", 4), ("a/h1", "A", 0), ("a/p", "x", 0), ("f", "foot", 0)])
     two = wrappers.page_wrapper([("nav", "menu", 4), ("a/h1", "B", 0), ("a/p", "x", 0), ("a/p", "y", 0), ("c", "note", 0), ("f", "foot", 0)])

@@ -34,12 +34,16 @@ from pyspark.sql import functions as F
 from ledgerflow.llm.common import batch_limits, text_of
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+LOOSE_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:script|style|textarea|title)\b.*?(?:</(?:script|style|textarea|title)\b|\Z)|"
+                       r"<(/?)(noscript|svg|select)(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Elements of HTML by their role here.
-RAW = frozenset("script style title textarea noscript template iframe svg math object select xmp noembed noframes".split())
+RAW = frozenset("script style title textarea noscript template iframe svg select xmp noembed noframes".split())
+LOOSE = frozenset("noscript svg select".split())     # of these, dropped only if closed
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small
-    span strike strong sub sup time tt u var label""".split())
+    span strike strong sub sup time tt u var label object math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror
+    mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts semantics annotation""".split())
 BOILER = frozenset("nav footer aside form menu dialog button fieldset header".split())
 MAIN = frozenset("article main".split())
 PAGE = frozenset("html body".split())
@@ -55,13 +59,26 @@ MAX_HOSTS = 2_000           # wrappers that one task holds
 MAX_CHOSEN = 2_000          # path sets of a host whose choice one task holds
 
 
+def _closed(page: str) -> dict[int, int]:
+    """Where the closed ``LOOSE`` elements of a page end, by where their content begins."""
+    out: dict[int, int] = {}
+    stacks: dict[str, list[int]] = {}
+    for m in LOOSE_TAG.finditer(page):
+        if (name := (m[2] or "").lower()) and m[1]:
+            if stacks.get(name):
+                out[stacks[name].pop()] = m.end()
+        elif name and not m[3].endswith("/"):
+            stacks.setdefault(name, []).append(m.end())
+    return out
+
+
 def blocks(page: str) -> list[tuple[str, str, int]]:
     """(path, text, link characters) of the text blocks in page order, text as in the contract."""
     out: list[tuple[str, str, int]] = []
     stack: list[str] = []                                   # open elements that are not inline
     words: list[str] = []
     at = links = depth = 0
-    raw = ""
+    closed: dict[int, int] | None = None
 
     def close() -> None:
         nonlocal links
@@ -92,12 +109,15 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
                     close()
                     del stack[len(names) - 1 - names[::-1].index(name):]
             continue
-        if name in RAW:
+        if name in LOOSE:
+            closed = _closed(page) if closed is None else closed
+            at = closed.get(at, at)
+        elif name in RAW and not (name == "iframe" and m[3].endswith("/")):
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
         elif name in ("br", "wbr"):
             words.append(" " if name == "br" else "")
-        elif name in INLINE:
+        elif name in INLINE or name == "iframe":
             depth += name == "a"
         elif name == "hr" or name not in VOID:
             close()

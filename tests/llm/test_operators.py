@@ -267,6 +267,18 @@ def test_html_extraction_keeps_lists_of_links(spark, root):
     assert extracted(spark, pages) == [want.format(i) for i in range(4)]
 
 
+@pytest.mark.parametrize("tag, seen", [
+    ("<svg viewBox='0 0 1 1'/>", ""), ("<svg/><svg><text>drawn</text></svg>", ""), ("<iframe src=x />", ""), ("<object data=x />", ""),
+    ("<math/>", ""), ("<svg>", ""), ("<select>", ""), ("<noscript>", ""), ("<math><mi>x</mi><mo>=</mo><mn>1</mn></math>", "x=1"),
+    ("<object>instead</object>", "instead"), ("<svg><svg></svg>drawn</svg>", ""), ("<script>'</svg>'</script>", ""),
+    ("<svg><script>'</svg>'</script>", ""), ("<noscript><p>off</p></noscript>", ""), ("<select><option>one</select>", "")])
+def test_html_extraction_of_raw_elements(spark, tag, seen):
+    page = f"<html><body><article><p>before {tag} after</p><p>more</p></article><footer><svg></svg></footer></body></html>"
+    text = [t for p, t, _ in wrappers.blocks(page)]
+    assert text == [f"before {seen} after".replace("  ", " "), "more"]
+    assert [t for _, t, _ in wrappers.blocks("a<script>var x = 1;<p>b")] == ["a"]
+
+
 def test_wrapper_alignment():
     one = wrappers.page_wrapper([("nav", "menu", 4), ("a/h1", "A", 0), ("a/p", "x", 0), ("f", "foot", 0)])
     two = wrappers.page_wrapper([("nav", "menu", 4), ("a/h1", "B", 0), ("a/p", "x", 0), ("a/p", "y", 0), ("c", "note", 0), ("f", "foot", 0)])

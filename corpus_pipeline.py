@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import documents, materialize
+from ledgerflow.llm.common import documents
 from ledgerflow.llm.exact_dedup import drop_exact_duplicates
 from ledgerflow.llm.lang_id import with_language
 from ledgerflow.llm.mixing import mixed_rows
 from ledgerflow.llm.packing import pack
 from ledgerflow.llm.simhash import drop_near_duplicates
+from ledgerflow.session import ensure_checkpoint_dir
 
 MIN_SCORE = 0.4             # language probability below which a document goes
 MAX_REPEATS = 2.0           # times a small source is read while the largest is read once
@@ -50,9 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written before the next reads them."""
+    """All stages over ``documents``; each stage's rows are written as Parquet, in a fresh folder
+    of the shared checkpoint folder, before the next reads them."""
+    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = documents(spark, sf_dir)
-    for i, (_, stage) in enumerate(STAGES):
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        docs = materialize(docs) if i < len(STAGES) - 1 else docs
+        if i < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
     return docs

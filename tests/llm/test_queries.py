@@ -70,3 +70,8 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES:
         none = stage(spark, none, SF)
         assert none.collect() == []
+
+
+def test_pipeline_reads_parquet_of_the_stage_before(spark):
+    files = corpus_pipeline.run(spark, SF).inputFiles()
+    assert files and all("/pipeline-" in f and "/mixing/" in f and f.endswith(".parquet") for f in files)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,3 +60,11 @@ def batch_limits(spark: SparkSession) -> None:
     """Arrow batches of at most 64 MB, whatever the length of the texts."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to a fresh folder of the shared checkpoint folder and go on from
+    the files. Unlike ``materialize`` a later read takes only the columns it needs."""
+    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerflow.llm.common import documents
+from ledgerflow.llm.divergence import audit
 from ledgerflow.llm.exact_dedup import exact_dedup
 from ledgerflow.llm.lang_id import identify
 from ledgerflow.llm.line_dedup import drop_lines
@@ -15,6 +16,8 @@ from ledgerflow.llm.packing import pack
 from ledgerflow.llm.secrets import BASE_RULES, scan_secrets
 from ledgerflow.llm.sharding import shard_by_bytes
 from ledgerflow.llm.simhash import near_duplicates
+from ledgerflow.llm.url_filter import Rule, judge_urls
+from ledgerflow.llm.whitening import whiten
 from ledgerflow.llm.wrappers import main_text
 from ledgerflow.sources.tables import Tables
 
@@ -128,6 +131,89 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+#: The rules of the query.
+URL_RULES = [Rule("org", "/", "allow"), Rule("example.org", "/es/", "block"), Rule("example.org", "/en/1", "block"),
+             Rule("com", "/fr/", "allow"), Rule("com", "/de/", "block")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(Tables(spark, sf_dir).get("pages"), URL_RULES).drop("url")
+
+
+# Links in their plain form only: absolute targets, quoted or bare, outside comments and scripts.
+OP11_SQL = r"""
+WITH RECURSIVE rules(host, path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
+  ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+tags AS (SELECT url, unnest(regexp_extract_all(coalesce(html, ''), '<(?:link|meta)\s[^>]*>', 0, 'i')) AS tag
+         FROM pages WHERE contains(url, '://')),
+named AS (
+  SELECT url, CASE WHEN regexp_matches(tag, '^<link\b.*\srel\s*=\s*["'']?[^"''>]*\bcanonical\b', 'is')
+                     THEN regexp_extract(tag, '\shref\s*=\s*["'']?([^"''\s>]+)', 1, 'i')
+                   WHEN regexp_matches(tag, '^<meta\b.*\shttp-equiv\s*=\s*["'']?refresh\b', 'is')
+                     THEN regexp_extract(tag, 'url\s*=\s*["'']?([^"''\s>]+)', 1, 'i') END AS target FROM tags),
+every AS (SELECT page_id, url, NULL::VARCHAR AS target FROM pages UNION ALL SELECT NULL, url, NULL::VARCHAR FROM named WHERE contains(target, '://')
+          UNION ALL SELECT NULL, target, url FROM named WHERE contains(target, '://')),
+split AS (
+  SELECT page_id, url, target, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                          'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path,
+         CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '^.*?://[^/?#]*', 0, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+              'abcdefghijklmnopqrstuvwxyz') || regexp_extract(url, '^.*?://[^/?#]*([^#]*)', 1, 's') END AS key FROM every),
+hosts AS (SELECT DISTINCT host, path FROM split),
+ruled AS (
+  SELECT h.host, h.path, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS verdict
+  FROM hosts h JOIN rules r ON (h.host = r.host OR ends_with(h.host, '.' || r.host)) AND starts_with(h.path, r.path) GROUP BY ALL),
+judged AS (SELECT split.*, rule, verdict FROM split LEFT JOIN ruled USING (host, path)),
+links AS (SELECT DISTINCT a.key AS a, b.key AS b FROM judged a JOIN split b ON b.url = a.target WHERE a.target IS NOT NULL),
+sides AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+bad AS (SELECT key FROM judged WHERE verdict = 'block' AND key IN (SELECT a FROM sides)
+        UNION SELECT b FROM bad JOIN sides ON a = key)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN key IN (SELECT key FROM bad) THEN 'block' ELSE 'allow' END) AS verdict,
+       verdict IS NULL AND coalesce(key IN (SELECT key FROM bad), false) AS inherited
+FROM judged WHERE target IS NULL AND page_id IS NOT NULL
+"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(Tables(spark, sf_dir).get("embeddings"), components=4, scale=256)
+
+
+def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(documents(spark, sf_dir), min_docs=3, top=200)
+
+
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+words AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+own AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+size AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+total AS (SELECT lang, source, sum(n) AS total FROM own GROUP BY ALL),
+dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)) // (coalesce(total, 0) + v)::HUGEINT AS p
+  FROM groups g JOIN kept k USING (lang) JOIN size USING (lang) LEFT JOIN total USING (lang, source)
+  LEFT JOIN own ON own.lang = g.lang AND own.source = g.source AND own.term = k.term),
+inlang AS (SELECT lang, term, sum(n) AS n, any_value(every) AS every FROM own JOIN (SELECT lang, sum(total) AS every FROM total GROUP BY lang)
+           USING (lang) GROUP BY ALL),
+wide AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 1)::HUGEINT) // (every + v)::HUGEINT AS q FROM inlang JOIN size USING (lang)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+         FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0)::BIGINT AS value
+          FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value FROM dense JOIN wide USING (lang, term)
+          WHERE dense.n > 0 AND p > q),
+ranked AS (SELECT *, 'pair' AS part, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM pairs
+           UNION ALL
+           SELECT *, 'term', row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER FROM terms)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -139,9 +225,14 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_sharding": op9_sharding,
     "op10_secret_scan": op10_secret_scan,
+    "op11_url_filter": op11_url_filter,
+    "op12_whitening": op12_whitening,
+    "op13_divergence_audit": op13_divergence_audit,
 }
 ORACLES = {
     "op1_exact_dedup": OP1_SQL,
     "op2_line_dedup": OP2_SQL,
     "op5_mixing": OP5_SQL,
+    "op11_url_filter": OP11_SQL,
+    "op13_divergence_audit": OP13_SQL,
 }

@@ -1,13 +1,14 @@
 """Source divergence audit by chunk factorization.
 
-White-space chunks are counted per document, in one pass over whole texts; a task sends one row
-per (language, source, chunk) with its occurrences, its documents, and the documents themselves
-while they are fewer than ``min_docs``. Every globally distinct chunk is cut into terms once,
-and the terms are joined back to the chunks' counts. Occurrences simply add up. Documents don't,
-since two chunks of a document may hold the same term ("Tree", "tree,"). A term is kept for sure
-if one of its chunks alone is in enough documents, and dropped for sure if all of them together
-aren't; only between the two are the documents of its (rare) chunks compared, which are listed
-whole. So the decision is exact, and nothing of the size of all tokens is shuffled.
+White-space chunks are counted per document, over whole texts. A first pass sends for each
+(language, chunk) of a task the number of documents, and the documents themselves while they are
+fewer than ``min_docs``. Every globally distinct chunk is cut into terms once, and the terms are
+joined back. Documents of a term don't add up, since two chunks of a document may hold the same
+term ("Tree", "tree,"): a term is kept for sure if one of its chunks alone is in enough
+documents, and dropped for sure if all of them together aren't; only between the two are the
+documents of its (rare) chunks compared, which are listed whole, so the decision is exact. A
+second pass counts occurrences by (language, source, chunk); they meet the chunks that hold a
+kept term and add up by term. What is shuffled is the vocabulary of the tasks, not the text.
 
 The divergence of two sources sums over all kept terms of the language, most of which either
 source lacks. Terms that a source has are counted by their number of occurrences, and the sum as
@@ -29,55 +30,92 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.llm.common import batch_limits, store, text_of
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-HELD = 300_000              # (language, source, chunk) counts that one task holds
+HELD = 600_000              # chunks that one task holds
 PAIRS = 1 << 20             # pairs of occurrences that one task compares at a time
 WIDE = "decimal(38,0)"
 
 
-def chunk_counts(docs: DataFrame, min_docs: int) -> DataFrame:
-    """(lang, source, chunk, n, docs, few): partial counts of the tasks. ``few`` lists the rows
-    with the chunk if they are fewer than ``min_docs``. The empty chunk stands for the group."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[str, str], dict[bytes, list]] = {}
-        size = 0
+def _texts(docs: DataFrame, *more: Column) -> DataFrame:
+    batch_limits(docs.sparkSession)
+    return docs.select(text_of("lang").alias("lang"), text_of("source").alias("source"),
+                       text_of().cast("binary").alias("text"), *more)
 
-        def rows() -> pd.DataFrame:
-            nonlocal size
-            size = 0
-            out = [(lang, source, chunk.decode(), e[0], e[1], e[2:] if e[1] < min_docs else None)
-                   for (lang, source), own in held.items() for chunk, e in own.items()]
-            held.clear()
-            return pd.DataFrame(out, columns=["lang", "source", "chunk", "n", "docs", "few"])
 
-        for pdf in batches:
-            for doc, lang, source, text in zip(pdf["doc"], pdf["lang"], pdf["source"], pdf["text"]):
-                own = held.setdefault((lang, source), {})
+def _keyed(columns: dict[str, str], chunks: dict[bytes, object], **more: pa.Array) -> pa.RecordBatch:
+    """Chunks under constant columns."""
+    n = len(chunks)
+    return pa.RecordBatch.from_pydict({**{k: pa.repeat(pa.scalar(v, pa.string()), n) for k, v in columns.items()},
+                                       "chunk": pa.array(chunks, pa.binary()).cast(pa.string()), **more})
+
+
+def chunk_documents(docs: DataFrame, min_docs: int) -> DataFrame:
+    """(lang, chunk, docs, few): documents with the chunk, counted by the tasks. ``few`` lists
+    them (by row number) if they are fewer than ``min_docs``."""
+    def batch(lang: str, own: dict[bytes, int | list[int]]) -> pa.RecordBatch:
+        few = [e if type(e) is list else [] for e in own.values()]
+        return _keyed({"lang": lang}, own, docs=pa.array([e if type(e) is int else len(e) for e in own.values()], pa.int64()),
+                      few=pa.array(few, pa.list_(pa.int64())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, dict[bytes, int | list[int]]] = {}
+        size = 0
+        for b in batches:
+            for doc, lang, text in zip(*(b.column(c).to_pylist() for c in ("doc", "lang", "text"))):
+                own = held.setdefault(lang, {})
                 size -= len(own)
-                own.setdefault(b"", [0, 0])
-                for chunk, n in Counter(text.encode().lower().split()).items():     # both know ASCII only
+                for chunk in set(text.lower().split()):     # both know ASCII only
                     e = own.get(chunk)
-                    if e is None:
-                        own[chunk] = [n, 1, doc] if min_docs > 1 else [n, 1]
+                    if type(e) is int:
+                        own[chunk] = e + 1
+                    elif e is None and min_docs > 1:
+                        own[chunk] = [doc]
+                    elif e is None or len(e) + 1 == min_docs:
+                        own[chunk] = min_docs
                     else:
-                        e[0] += n
-                        e[1] += 1
-                        if e[1] < min_docs:
-                            e.append(doc)
+                        e.append(doc)
                 size += len(own)
                 if size >= HELD:
-                    yield rows()
-        yield rows()
+                    yield from (batch(*x) for x in held.items())
+                    held, size = {}, 0
+        yield from (batch(*x) for x in held.items())
 
-    batch_limits(docs.sparkSession)
-    own = docs.select(F.monotonically_increasing_id().alias("doc"), text_of("lang").alias("lang"),
-                      text_of("source").alias("source"), text_of().alias("text"))
-    return own.mapInPandas(run, "lang string, source string, chunk string, n long, docs long, few array<long>")
+    parts = _texts(docs, F.monotonically_increasing_id().alias("doc")).mapInArrow(
+        run, "lang string, chunk string, docs long, few array<long>")
+    few = F.flatten(F.collect_list(F.when(F.size("few") > 0, F.col("few"))))
+    return (parts.groupBy("lang", "chunk").agg(F.sum("docs").alias("docs"), few.alias("few"))
+            .withColumn("few", F.when(F.col("docs") < min_docs, F.col("few"))))
+
+
+def chunk_occurrences(docs: DataFrame) -> DataFrame:
+    """(lang, source, chunk, n): occurrences, counted by the tasks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], dict[bytes, int]] = {}
+        size = 0
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for (lang, source), own in held.items():
+                yield _keyed({"lang": lang, "source": source}, own, n=pa.array(own.values(), pa.int64()))
+
+        for b in batches:
+            for lang, source, text in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "text"))):
+                own = held.setdefault((lang, source), {})
+                size -= len(own)
+                for chunk, n in Counter(text.lower().split()).items():
+                    own[chunk] = own.get(chunk, 0) + n
+                size += len(own)
+                if size >= HELD:
+                    yield from rows()
+                    held, size = {}, 0
+        yield from rows()
+
+    return _texts(docs).mapInArrow(run, "lang string, source string, chunk string, n long")
 
 
 def terms_of(chunks: DataFrame) -> DataFrame:
@@ -86,32 +124,27 @@ def terms_of(chunks: DataFrame) -> DataFrame:
             .groupBy("chunk", "term").agg(F.count(F.lit(1)).alias("times")))
 
 
-def kept_terms(raw: DataFrame, found: DataFrame, min_docs: int) -> DataFrame:
+def kept_terms(forms: DataFrame, min_docs: int) -> DataFrame:
     """(lang, term) of the terms in at least ``min_docs`` documents of the language."""
-    forms = found.groupBy("lang", "term", "chunk").agg(F.sum("docs").alias("docs"))
     bounds = forms.groupBy("lang", "term").agg(F.max("docs").alias("least"), F.sum("docs").alias("most"))
     unsure = bounds.filter((F.col("least") < min_docs) & (F.col("most") >= min_docs)).select("lang", "term")
-    rare = forms.filter(F.col("docs") < min_docs).select("lang", "term", "chunk").join(unsure, ["lang", "term"])
-    listed = raw.filter("few is not null").select("lang", "chunk", F.explode("few").alias("doc")).join(rare, ["lang", "chunk"])
-    exact = (listed.select("lang", "term", "doc").distinct().groupBy("lang", "term").agg(F.count(F.lit(1)).alias("docs"))
-             .filter(F.col("docs") >= min_docs))
+    rare = forms.filter(F.col("docs") < min_docs).select("lang", "term", "few").join(unsure, ["lang", "term"])
+    exact = (rare.select("lang", "term", F.explode("few").alias("doc")).distinct()
+             .groupBy("lang", "term").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs))
     return bounds.filter(F.col("least") >= min_docs).select("lang", "term").union(exact.select("lang", "term"))
 
 
 def term_counts(docs: DataFrame, min_docs: int = 3) -> tuple[DataFrame, DataFrame]:
     """(counts, groups): lang, source, term, n of the kept terms that occur; and lang, source,
     sid (a number), total, v (kept terms of the language) of every group that occurs."""
-    raw = store(chunk_counts(docs, min_docs), "chunks-raw")
-    parts = store(raw.groupBy("lang", "source", "chunk").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "chunks")
-    dictionary = terms_of(parts.select("chunk").distinct())
-    found = store(parts.join(dictionary, "chunk").select("lang", "source", "term", "chunk", "docs",
-                                                         (F.col("n") * F.col("times")).alias("n")), "chunk-terms")
-    kept = store(kept_terms(raw, found, min_docs), "terms")
-    counts = (found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
-              .withColumn("length", F.length("term")).join(kept.withColumn("length", F.length("term")), ["lang", "term", "length"])
-              .select("lang", "source", "term", "n"))
+    chunks = store(chunk_documents(docs, min_docs), "chunks")
+    forms = store(chunks.join(terms_of(chunks.select("chunk").distinct()), "chunk"), "chunk-terms")
+    kept = store(kept_terms(forms, min_docs), "terms")
+    own = forms.select("lang", "term", "chunk", "times").join(kept, ["lang", "term"])
+    counts = (chunk_occurrences(docs).join(own, ["lang", "chunk"]).groupBy("lang", "source", "term")
+              .agg(F.sum(F.col("n") * F.col("times")).alias("n")))
     counts = store(counts, "term-counts")
-    groups = parts.filter("chunk = ''").select("lang", "source")
+    groups = docs.select(text_of("lang").alias("lang"), text_of("source").alias("source")).distinct()
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     vocabulary = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
     groups = (groups.join(totals, ["lang", "source"], "left").join(vocabulary, "lang", "left")

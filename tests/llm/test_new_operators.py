@@ -245,7 +245,7 @@ def edge_rows():
     return rows + [(f"w{i} v{i % 7} hot", "en", "a") for i in range(60)]
 
 
-@pytest.mark.parametrize("min_docs, top, held", [(3, 200, 300_000), (1, 5, 50), (2, 3, 7), (5, 200, 1)])
+@pytest.mark.parametrize("min_docs, top, held", [(3, 200, 600_000), (1, 5, 50), (2, 3, 7), (5, 200, 1)])
 def test_divergence(spark, monkeypatch, min_docs, top, held):
     monkeypatch.setattr(divergence, "HELD", held)
     monkeypatch.setattr(divergence, "PAIRS", 16 if held < 100 else divergence.PAIRS)

@@ -1,20 +1,20 @@
 """Source divergence audit by chunk factorization.
 
-White-space chunks are counted per document, over whole texts. A first pass sends for each
-(language, chunk) of a task the number of documents, and the documents themselves while they are
-fewer than ``min_docs``. Every globally distinct chunk is cut into terms once, and the terms are
-joined back. Documents of a term don't add up, since two chunks of a document may hold the same
-term ("Tree", "tree,"): a term is kept for sure if one of its chunks alone is in enough
-documents, and dropped for sure if all of them together aren't; only between the two are the
-documents of its (rare) chunks compared, which are listed whole, so the decision is exact. A
-second pass counts occurrences by (language, source, chunk); they meet the chunks that hold a
-kept term and add up by term. What is shuffled is the vocabulary of the tasks, not the text.
+White-space chunks are counted per document, over whole texts. A first pass counts the documents
+of each (language, chunk). Every globally distinct chunk is cut into terms once, and the terms
+are joined back. Documents of a term don't add up, since two chunks of a document may hold the
+same term ("Tree", "tree,"): a term is kept for sure if one of its chunks alone is in enough
+documents, and dropped for sure if all of them together aren't. A second pass counts occurrences
+by (language, chunk, source) and joins them with the terms that may be kept; only for terms
+between the two bounds, whose chunks are rare, it goes on by document, and their distinct
+documents decide. So the decision is exact, and what is shuffled is the vocabulary of the tasks.
 
 The divergence of two sources sums over all kept terms of the language, most of which either
 source lacks. Terms that a source has are counted by their number of occurrences, and the sum as
 if the other lacked them all follows from these few numbers; the terms that both have correct
 it, term by term in blocks, and only sums by pair of sources leave a task. All arithmetic is in
-integers.
+integers. The driver and the tasks hold one line for each (language, source), a table that the
+result's pairs hold squared.
 
 Defined results: null text, language and source are empty; every row is a document; only A-Z is
 lower-cased; a text without white space is one chunk, whatever its length; terms of one document
@@ -27,9 +27,9 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from ledgerflow.llm.common import batch_limits, store, text_of
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-HELD = 600_000              # chunks that one task holds
+HELD = 600_000              # (document, chunk) counts that one task holds
 PAIRS = 1 << 20             # pairs of occurrences that one task compares at a time
 WIDE = "decimal(38,0)"
 
@@ -55,67 +55,61 @@ def _keyed(columns: dict[str, str], chunks: dict[bytes, object], **more: pa.Arra
                                        "chunk": pa.array(chunks, pa.binary()).cast(pa.string()), **more})
 
 
-def chunk_documents(docs: DataFrame, min_docs: int) -> DataFrame:
-    """(lang, chunk, docs, few): documents with the chunk, counted by the tasks. ``few`` lists
-    them (by row number) if they are fewer than ``min_docs``."""
-    def batch(lang: str, own: dict[bytes, int | list[int]]) -> pa.RecordBatch:
-        few = [e if type(e) is list else [] for e in own.values()]
-        return _keyed({"lang": lang}, own, docs=pa.array([e if type(e) is int else len(e) for e in own.values()], pa.int64()),
-                      few=pa.array(few, pa.list_(pa.int64())))
-
+def chunk_documents(docs: DataFrame) -> DataFrame:
+    """(lang, chunk, docs): the documents with each chunk."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, dict[bytes, int | list[int]]] = {}
-        size = 0
+        held: dict[str, Counter] = {}
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for lang, own in held.items():
+                yield _keyed({"lang": lang}, own, docs=pa.array(own.values(), pa.int64()))
+            held.clear()
+
         for b in batches:
-            for doc, lang, text in zip(*(b.column(c).to_pylist() for c in ("doc", "lang", "text"))):
-                own = held.setdefault(lang, {})
-                size -= len(own)
-                for chunk in set(text.lower().split()):     # both know ASCII only
-                    e = own.get(chunk)
-                    if type(e) is int:
-                        own[chunk] = e + 1
-                    elif e is None and min_docs > 1:
-                        own[chunk] = [doc]
-                    elif e is None or len(e) + 1 == min_docs:
-                        own[chunk] = min_docs
-                    else:
-                        e.append(doc)
-                size += len(own)
-                if size >= HELD:
-                    yield from (batch(*x) for x in held.items())
-                    held, size = {}, 0
-        yield from (batch(*x) for x in held.items())
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
+                held.setdefault(lang, Counter()).update(set(text.lower().split()))      # both know ASCII only
+                if sum(map(len, held.values())) >= HELD:
+                    yield from rows()
+        yield from rows()
+
+    parts = _texts(docs).mapInArrow(run, "lang string, chunk string, docs long")
+    return parts.groupBy("lang", "chunk").agg(F.sum("docs").alias("docs"))
 
-    parts = _texts(docs, F.monotonically_increasing_id().alias("doc")).mapInArrow(
-        run, "lang string, chunk string, docs long, few array<long>")
-    few = F.flatten(F.collect_list(F.when(F.size("few") > 0, F.col("few"))))
-    return (parts.groupBy("lang", "chunk").agg(F.sum("docs").alias("docs"), few.alias("few"))
-            .withColumn("few", F.when(F.col("docs") < min_docs, F.col("few"))))
 
+def chunk_occurrences(docs: DataFrame, sid_of: dict[tuple[str, str], int], min_docs: int) -> DataFrame:
+    """(lang, chunk, sid, n, doc): the occurrences in the documents of a task, as arrays over its
+    documents. doc (the row's number) is empty unless they are fewer than ``min_docs``."""
+    def batch(lang: str, own: dict[bytes, list[int]]) -> pa.RecordBatch:
+        size = np.fromiter(map(len, own.values()), np.int64, len(own)) // 3
+        flat = np.fromiter(chain.from_iterable(own.values()), np.int64, int(size.sum()) * 3).reshape(-1, 3)
+        few = size < min_docs
+        ends = pa.array(np.r_[0, np.cumsum(size)], pa.int32())
+        few_ends = pa.array(np.r_[0, np.cumsum(np.where(few, size, 0))], pa.int32())
+        return _keyed({"lang": lang}, own, sid=pa.ListArray.from_arrays(ends, pa.array(flat[:, 0], pa.int32())),
+                      n=pa.ListArray.from_arrays(ends, pa.array(flat[:, 1])),
+                      doc=pa.ListArray.from_arrays(few_ends, pa.array(flat[np.repeat(few, size), 2])))
 
-def chunk_occurrences(docs: DataFrame) -> DataFrame:
-    """(lang, source, chunk, n): occurrences, counted by the tasks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], dict[bytes, int]] = {}
+        held: dict[str, dict[bytes, list[int]]] = {}
         size = 0
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            for (lang, source), own in held.items():
-                yield _keyed({"lang": lang, "source": source}, own, n=pa.array(own.values(), pa.int64()))
-
         for b in batches:
-            for lang, source, text in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "text"))):
-                own = held.setdefault((lang, source), {})
-                size -= len(own)
-                for chunk, n in Counter(text.lower().split()).items():
-                    own[chunk] = own.get(chunk, 0) + n
-                size += len(own)
+            for doc, lang, source, text in zip(*(b.column(c).to_pylist() for c in ("doc", "lang", "source", "text"))):
+                own, sid = held.setdefault(lang, {}), sid_of[lang, source]
+                found = Counter(text.lower().split())
+                for chunk, n in found.items():
+                    e = own.get(chunk)
+                    if e is None:
+                        own[chunk] = [sid, n, doc]
+                    else:
+                        e += (sid, n, doc)
+                size += len(found)
                 if size >= HELD:
-                    yield from rows()
+                    yield from (batch(*x) for x in held.items())
                     held, size = {}, 0
-        yield from rows()
+        yield from (batch(*x) for x in held.items())
 
-    return _texts(docs).mapInArrow(run, "lang string, source string, chunk string, n long")
+    return _texts(docs, F.monotonically_increasing_id().alias("doc")).mapInArrow(
+        run, "lang string, chunk string, sid array<int>, n array<long>, doc array<long>")
 
 
 def terms_of(chunks: DataFrame) -> DataFrame:
@@ -124,33 +118,23 @@ def terms_of(chunks: DataFrame) -> DataFrame:
             .groupBy("chunk", "term").agg(F.count(F.lit(1)).alias("times")))
 
 
-def kept_terms(forms: DataFrame, min_docs: int) -> DataFrame:
-    """(lang, term) of the terms in at least ``min_docs`` documents of the language."""
-    bounds = forms.groupBy("lang", "term").agg(F.max("docs").alias("least"), F.sum("docs").alias("most"))
-    unsure = bounds.filter((F.col("least") < min_docs) & (F.col("most") >= min_docs)).select("lang", "term")
-    rare = forms.filter(F.col("docs") < min_docs).select("lang", "term", "few").join(unsure, ["lang", "term"])
-    exact = (rare.select("lang", "term", F.explode("few").alias("doc")).distinct()
-             .groupBy("lang", "term").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs))
-    return bounds.filter(F.col("least") >= min_docs).select("lang", "term").union(exact.select("lang", "term"))
-
-
-def term_counts(docs: DataFrame, min_docs: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(counts, groups): lang, source, term, n of the kept terms that occur; and lang, source,
-    sid (a number), total, v (kept terms of the language) of every group that occurs."""
-    chunks = store(chunk_documents(docs, min_docs), "chunks")
+def term_counts(docs: DataFrame, sid_of: dict[tuple[str, str], int], min_docs: int = 3) -> DataFrame:
+    """(lang, term, sid, n): for each term in at least ``min_docs`` documents of the language, the
+    sources where it occurs and its occurrences there, as arrays."""
+    chunks = store(chunk_documents(docs), "chunks")
     forms = store(chunks.join(terms_of(chunks.select("chunk").distinct()), "chunk"), "chunk-terms")
-    kept = store(kept_terms(forms, min_docs), "terms")
-    own = forms.select("lang", "term", "chunk", "times").join(kept, ["lang", "term"])
-    counts = (chunk_occurrences(docs).join(own, ["lang", "chunk"]).groupBy("lang", "source", "term")
-              .agg(F.sum(F.col("n") * F.col("times")).alias("n")))
-    counts = store(counts, "term-counts")
-    groups = docs.select(text_of("lang").alias("lang"), text_of("source").alias("source")).distinct()
-    totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    vocabulary = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
-    groups = (groups.join(totals, ["lang", "source"], "left").join(vocabulary, "lang", "left")
-              .select("lang", "source", F.monotonically_increasing_id().alias("sid"),
-                      *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "v")]))
-    return counts, store(groups, "groups")
+    bounds = (forms.groupBy("lang", "term").agg((F.max("docs") < min_docs).alias("unsure"), F.sum("docs").alias("most"))
+              .filter(F.col("most") >= min_docs).select("lang", "term", "unsure"))
+    own = forms.select("lang", "term", "chunk", "times").join(bounds, ["lang", "term"])
+    each = chunk_occurrences(docs, sid_of, min_docs).join(own, ["lang", "chunk"]).select(
+        "lang", "term", "times", "unsure", F.explode(F.arrays_zip("sid", "n", "doc")).alias("e"))
+    flat = store(each.groupBy("lang", "term", F.col("e.sid").alias("sid"), F.when(F.col("unsure"), F.col("e.doc")).alias("doc"))
+                 .agg(F.sum(F.col("e.n") * F.col("times")).alias("n")), "term-counts")
+    sure = flat.filter("doc is null").select("lang", "term", "sid", "n", F.lit(None).cast("long").alias("docs"))
+    unsure = flat.filter("doc is not null").groupBy("lang", "term", "sid").agg(F.sum("n").alias("n"), F.count("doc").alias("docs"))
+    # one entry a source
+    terms = sure.union(unsure).groupBy("lang", "term").agg(F.collect_list(F.struct("sid", "n")).alias("own"), F.sum("docs").alias("docs"))
+    return store(terms.filter(F.coalesce("docs", F.lit(min_docs)) >= min_docs).select("lang", "term", "own.sid", "own.n"), "terms")
 
 
 def weight(n: Column, total: Column, v: Column) -> Column:
@@ -163,69 +147,118 @@ def divergence(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
-def _shared(counts: DataFrame) -> DataFrame:
-    """(a, b, value): what the terms that both of a pair of groups have add to the sum as if
-    either lacked the other's."""
-    def f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        return (p - q) ** 2 // q
+def _weights(n: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    if n.max(initial=0) >= 9_000_000_000:                   # beyond 64 bits
+        n = n.astype(object)
+    return (1 + 1_000_000_000 * (n + 1) // whole).astype(np.int64)
+
 
-    def compare(a: np.ndarray, b: np.ndarray, sid: np.ndarray, p: np.ndarray, p0: np.ndarray) -> pd.DataFrame:
+def _divergences(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return (p - q) ** 2 // q
+
+
+def _shared(sid: np.ndarray, size: np.ndarray, p: np.ndarray, p0: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(a, b, value): what the terms that both of a pair of sources have add to the sum as if
+    either lacked the other's."""
+    others = np.repeat(size, size)                          # of each entry: the entries of its term
+    first = np.repeat(np.cumsum(size) - size, size)
+    upto, lo, f = np.cumsum(others), 0, _divergences
+    while lo < len(sid):                                    # entries whose pairs fit into a block, one at least
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PAIRS, "right")))
+        k = others[lo:hi]
+        a = np.repeat(np.arange(lo, hi), k)
+        b = np.repeat(first[lo:hi], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        a, b, lo = a[a != b], b[a != b], hi
         value = f(p[a], p[b]) - f(p[a], p0[b]) - f(p0[a], p[b]) + f(p0[a], p0[b])
         order = np.lexsort((sid[b], sid[a]))
         a, b, value = sid[a][order], sid[b][order], value[order]
-        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        return pd.DataFrame({"a": a[first], "b": b[first], "value": np.add.reduceat(value, first)})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            size = pdf["sid"].map(len).to_numpy(dtype=np.int64)
-            sid, p, p0 = (np.concatenate(pdf[c].to_numpy()) if len(pdf) else np.zeros(0, np.int64) for c in ("sid", "p", "p0"))
-            others = np.repeat(size, size)                  # of each entry: the entries of its term
-            first = np.repeat(np.cumsum(size) - size, size)
-            upto, lo = np.cumsum(others), 0
-            while lo < len(sid):                            # entries whose pairs fit into a block, one at least
-                hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PAIRS, "right")))
-                k = others[lo:hi]
-                a = np.repeat(np.arange(lo, hi), k)
-                b = np.repeat(first[lo:hi], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-                lo, apart = hi, a != b
-                if apart.any():
-                    yield compare(a[apart], b[apart], sid, p, p0)
-
-    own = counts.groupBy("lang", "term").agg(F.collect_list(F.struct("sid", "p", "p0")).alias("own")).filter(F.size("own") > 1)
-    return own.select("own.sid", "own.p", "own.p0").mapInPandas(run, "a long, b long, value long")
-
-
-def pair_divergences(counts: DataFrame, groups: DataFrame) -> DataFrame:
-    """(lang, source, item, value) of every ordered pair of a language's groups. ``counts`` and
-    ``groups`` have p0 (the weight of a term that doesn't occur); ``counts`` p as well."""
-    one = groups.select("lang", F.col("sid").alias("a"), F.col("p0").alias("a0"), "v", F.col("source"))
-    two = groups.select("lang", F.col("sid").alias("b"), F.col("p0").alias("b0"), F.col("source").alias("item"))
+        heads = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else a
+        if len(heads):
+            yield a[heads], b[heads], np.add.reduceat(value, heads)
+
+
+def _highest(sid: np.ndarray, value: np.ndarray, top: int) -> np.ndarray:
+    """Where a source's ``top`` largest values are, with all that equal the last of them."""
+    order = np.lexsort((-value, sid))
+    s, v = sid[order], value[order]
+    heads = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+    size = np.diff(np.r_[heads, len(s)])
+    least = v[heads + np.minimum(size, top) - 1]
+    return order[v >= np.repeat(least, size)]
+
+
+def _measures(terms: DataFrame, whole: np.ndarray, in_lang: dict[str, tuple[int, int]], top: int) -> DataFrame:
+    """(part, a, b, item, value): ``term`` candidates of the ranking of a, ``own`` counts of a's
+    terms with b occurrences, ``shared`` parts of the sums of the pairs (a, b)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size = batch.column("sid").value_lengths().to_numpy().astype(np.int64)
+            sid, n = batch.column("sid").flatten().to_numpy(), batch.column("n").flatten().to_numpy()
+            p, p0 = _weights(n, whole[sid]), _weights(np.zeros_like(n), whole[sid])
+            every, v = np.array([in_lang[lang] for lang in batch.column("lang").to_pylist()], dtype=np.int64).T
+            q = np.repeat(_weights(np.add.reduceat(n, np.cumsum(size) - size), every + v), size)
+            more = np.flatnonzero(p > q)
+            if len(more):
+                value = _divergences(p[more], q[more])
+                best = _highest(sid[more], value, top)
+                row = np.repeat(np.arange(batch.num_rows), size)[more[best]]
+                yield frame("term", sid[more[best]], value[best], item=batch.column("term").take(pa.array(row)))
+            order = np.lexsort((n, sid))
+            s, m = sid[order], n[order]
+            heads = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (m[1:] != m[:-1])])
+            yield frame("own", s[heads], np.diff(np.r_[heads, len(s)]), b=m[heads])
+            for a, b, value in _shared(sid, size, p, p0):
+                yield frame("shared", a, value, b=b)
+
+    def frame(part: str, a: np.ndarray, value: np.ndarray, b: np.ndarray | None = None, item: pa.Array | None = None) -> pa.RecordBatch:
+        size = len(a)
+        return pa.RecordBatch.from_pydict({
+            "part": pa.repeat(part, size), "a": pa.array(np.asarray(a, np.int32)),
+            "b": pa.nulls(size, pa.int64()) if b is None else pa.array(np.asarray(b, np.int64)),
+            "item": pa.nulls(size, pa.string()) if item is None else item,
+            "value": pa.array(np.asarray(value, np.int64))})
+
+    return terms.mapInArrow(run, "part string, a int, b long, item string, value long")
+
+
+def pair_divergences(measures: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b, value) of every ordered pair of a language's sources."""
+    one = groups.select("lang", F.col("sid").alias("a"), "p0", "total", "v")
+    two = groups.select("lang", F.col("sid").alias("b"), F.col("p0").alias("b0"))
     pairs = one.join(two, "lang").filter("a <> b")
-    neither = pairs.select("a", "b", F.coalesce(F.col("v").cast(WIDE) * divergence(F.col("a0"), F.col("b0")), F.lit(0)).alias("value"))
-    numbers = counts.groupBy("lang", "sid", "p", "p0").agg(F.count(F.lit(1)).cast("decimal(18,0)").alias("m"))
-    each = numbers.join(two, "lang").filter("sid <> b")
+    neither = pairs.select("a", "b", F.coalesce(F.col("v").cast(WIDE) * divergence(F.col("p0"), F.col("b0")), F.lit(0)).alias("value"))
+    numbers = (measures.filter("part = 'own'").groupBy("a", F.col("b").alias("n")).agg(F.sum("value").cast("decimal(18,0)").alias("m"))
+               .join(one, "a").withColumn("p", weight(F.col("n"), F.col("total"), F.col("v"))))
+    each = numbers.join(two, "lang").filter("a <> b")
     floor_ab, floor_ba = divergence(F.col("p0"), F.col("b0")), divergence(F.col("b0"), F.col("p0"))
-    only_a = each.select(F.col("sid").alias("a"), "b", F.col("m") * (divergence(F.col("p"), F.col("b0")) - floor_ab))
-    only_b = each.select(F.col("b").alias("a"), F.col("sid").alias("b"), F.col("m") * (divergence(F.col("b0"), F.col("p")) - floor_ba))
-    every = neither.union(only_a).union(only_b).union(_shared(counts))
-    sums = every.groupBy("a", "b").agg(F.sum("value").cast("long").alias("value"))
-    return pairs.select("lang", "source", "item", "a", "b").join(sums, ["a", "b"]).select("lang", "source", "item", "value")
+    only_a = each.select("a", "b", F.col("m") * (divergence(F.col("p"), F.col("b0")) - floor_ab))
+    only_b = each.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("m") * (divergence(F.col("b0"), F.col("p")) - floor_ba))
+    both = measures.filter("part = 'shared'").select("a", F.col("b").cast("int").alias("b"), "value")
+    return neither.union(only_a).union(only_b).union(both).groupBy("a", "b").agg(F.sum("value").cast("long").alias("value"))
 
 
 def audit(docs: DataFrame, min_docs: int = 3, top: int = 200) -> DataFrame:
     """lang, source, part, item, value, rank: part ``pair`` ranks the other sources of the
     language, part ``term`` the ``top`` terms that the source has more of than its language."""
-    counts, groups = term_counts(docs, min_docs)
-    groups = groups.withColumn("p0", weight(F.lit(0), F.col("total"), F.col("v")))
-    own = counts.join(groups, ["lang", "source"]).withColumn("p", weight(F.col("n"), F.col("total"), F.col("v")))
-    pairs = pair_divergences(own, groups)
-    language = groups.groupBy("lang").agg(F.sum("total").alias("all"))
-    q = (counts.groupBy("lang", "term").agg(F.sum("n").alias("in_all")).join(language, "lang")
-         .withColumn("length", F.length("term")))
-    terms = (own.withColumn("length", F.length("term")).join(q, ["lang", "term", "length"])
-             .withColumn("q", weight(F.col("in_all"), F.col("all"), F.col("v"))).filter("p > q")
-             .select("lang", "source", F.col("term").alias("item"), divergence(F.col("p"), F.col("q")).alias("value")))
-    w = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    ranked = [df.withColumn("rank", F.row_number().over(w)).withColumn("part", F.lit(part)) for df, part in ((pairs, "pair"), (terms, "term"))]
-    return ranked[0].union(ranked[1].filter(F.col("rank") <= top)).select("lang", "source", "part", "item", "value", "rank")
+    spark = docs.sparkSession
+    names = sorted(tuple(r) for r in docs.select(text_of("lang"), text_of("source")).distinct().collect())
+    terms = term_counts(docs, {g: i for i, g in enumerate(names)}, min_docs)
+    each = terms.select(F.explode(F.arrays_zip("sid", "n")).alias("e")).groupBy("e.sid").agg(F.sum("e.n").alias("n"))
+    totals, vs = dict(map(tuple, each.collect())), dict(map(tuple, terms.groupBy("lang").count().collect()))
+    every = Counter()
+    for i, (lang, _) in enumerate(names):
+        every[lang] += totals.get(i, 0)
+    groups = [(lang, source, i, totals.get(i, 0), vs.get(lang, 0)) for i, (lang, source) in enumerate(names)]
+    whole = np.array([g[3] + g[4] for g in groups], dtype=np.int64)
+    measures = store(_measures(terms, whole, {lang: (every[lang], v) for lang, v in vs.items()}, top), "measures")
+    groups = spark.createDataFrame(groups, "lang string, source string, sid int, total long, v long").withColumn(
+        "p0", weight(F.lit(0), F.col("total"), F.col("v")))
+    own, other = groups.select("lang", "source", F.col("sid").alias("a")), groups.select(F.col("source").alias("item"), F.col("sid").alias("b"))
+    pairs = pair_divergences(measures, groups).join(other, "b").select("a", "item", "value")
+    more = measures.filter("part = 'term'").select("a", "item", "value")
+    w = Window.partitionBy("a").orderBy(F.desc("value"), "item")
+    ranked = [df.withColumn("rank", F.row_number().over(w)).withColumn("part", F.lit(part)) for df, part in ((pairs, "pair"), (more, "term"))]
+    every = ranked[0].union(ranked[1].filter(F.col("rank") <= top)).join(own, "a")
+    return every.select("lang", "source", "part", "item", "value", "rank")

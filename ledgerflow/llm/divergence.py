@@ -1,13 +1,12 @@
 """Source divergence audit by chunk factorization.
 
 White-space chunks are counted per document, over whole texts. A first pass counts the documents
-of each (language, chunk). Every globally distinct chunk is cut into terms once, and the terms
-are joined back. Documents of a term don't add up, since two chunks of a document may hold the
-same term ("Tree", "tree,"): a term is kept for sure if one of its chunks alone is in enough
-documents, and dropped for sure if all of them together aren't. A second pass counts occurrences
-by (language, chunk, source) and joins them with the terms that may be kept; only for terms
-between the two bounds, whose chunks are rare, it goes on by document, and their distinct
-documents decide. So the decision is exact, and what is shuffled is the vocabulary of the tasks.
+of each (chunk, language); every globally distinct chunk is cut into terms once. A second pass
+counts the occurrences of each chunk by source, joins the terms back and adds up by term.
+Documents of a term don't add up, since two chunks of a document may hold the same term ("Tree",
+"tree,"). A term is kept for sure if one of its chunks alone is in enough documents; the
+occurrences of other chunks, which are rare, are counted by document, and the distinct documents
+of a term decide. So the decision is exact, and what is shuffled is the vocabulary of the tasks.
 
 The divergence of two sources sums over all kept terms of the language, most of which either
 source lacks. Terms that a source has are counted by their number of occurrences, and the sum as
@@ -26,18 +25,18 @@ other columns are not read.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import batch_limits, store, text_of
+from ledgerflow.llm.common import batch_limits, shuffle_partitions, store, text_of
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-HELD = 600_000              # (document, chunk) counts that one task holds
+HELD = 1_000_000            # (chunk, language) counts that one task holds
+BYTES = 24 << 20            # of text whose occurrences one task counts at a time
 PAIRS = 1 << 20             # pairs of occurrences that one task compares at a time
 WIDE = "decimal(38,0)"
 
@@ -48,15 +47,16 @@ def _texts(docs: DataFrame, *more: Column) -> DataFrame:
                        text_of().cast("binary").alias("text"), *more)
 
 
-def _keyed(columns: dict[str, str], chunks: dict[bytes, object], **more: pa.Array) -> pa.RecordBatch:
+def _keyed(columns: dict[str, str], chunks: Collection[bytes], **more: pa.Array) -> pa.RecordBatch:
     """Chunks under constant columns."""
     n = len(chunks)
     return pa.RecordBatch.from_pydict({**{k: pa.repeat(pa.scalar(v, pa.string()), n) for k, v in columns.items()},
                                        "chunk": pa.array(chunks, pa.binary()).cast(pa.string()), **more})
 
 
-def chunk_documents(docs: DataFrame) -> DataFrame:
-    """(lang, chunk, docs): the documents with each chunk."""
+def chunk_terms(docs: DataFrame) -> DataFrame:
+    """(chunk, langs, terms) of every distinct chunk: its documents by language, and its terms in
+    text order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
 
@@ -72,69 +72,68 @@ def chunk_documents(docs: DataFrame) -> DataFrame:
                     yield from rows()
         yield from rows()
 
-    parts = _texts(docs).mapInArrow(run, "lang string, chunk string, docs long")
-    return parts.groupBy("lang", "chunk").agg(F.sum("docs").alias("docs"))
+    # one exchange, by chunk, for both groupings; a chunk has one row a language and task
+    parts = _texts(docs).mapInArrow(run, "lang string, chunk string, docs long").repartition(shuffle_partitions(docs.sparkSession), "chunk")
+    return (parts.groupBy("chunk", "lang").agg(F.sum("docs").alias("docs"))
+            .groupBy("chunk").agg(F.collect_list(F.struct("lang", "docs")).alias("langs"))
+            .select("chunk", F.map_from_entries("langs").alias("langs"), F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0)).alias("terms"))
+            .filter(F.size("terms") > 0))
 
 
 def chunk_occurrences(docs: DataFrame, sid_of: dict[tuple[str, str], int], min_docs: int) -> DataFrame:
-    """(lang, chunk, sid, n, doc): the occurrences in the documents of a task, as arrays over its
-    documents. doc (the row's number) is empty unless they are fewer than ``min_docs``."""
-    def batch(lang: str, own: dict[bytes, list[int]]) -> pa.RecordBatch:
-        size = np.fromiter(map(len, own.values()), np.int64, len(own)) // 3
-        flat = np.fromiter(chain.from_iterable(own.values()), np.int64, int(size.sum()) * 3).reshape(-1, 3)
-        few = size < min_docs
-        ends = pa.array(np.r_[0, np.cumsum(size)], pa.int32())
-        few_ends = pa.array(np.r_[0, np.cumsum(np.where(few, size, 0))], pa.int32())
-        return _keyed({"lang": lang}, own, sid=pa.ListArray.from_arrays(ends, pa.array(flat[:, 0], pa.int32())),
-                      n=pa.ListArray.from_arrays(ends, pa.array(flat[:, 1])),
-                      doc=pa.ListArray.from_arrays(few_ends, pa.array(flat[np.repeat(few, size), 2])))
+    """(lang, chunk, sid, n, doc): the occurrences of a task, by document (the row's number) for
+    chunks that are in fewer than ``min_docs`` of its documents; doc is null for others."""
+    def batches_of(held: list[tuple[int, str, str, bytes]]) -> Iterator[pa.RecordBatch]:
+        number: dict[str, Counter] = {}
+        for _, lang, _, text in held:
+            number.setdefault(lang, Counter()).update(set(text.split()))
+        rare = {lang: {c for c, n in own.items() if n < min_docs} for lang, own in number.items()}
+        del number
+        common: dict[tuple[str, str], Counter] = {}
+        apart: dict[str, tuple[list, list, list, list]] = {}
+        for doc, lang, source, text in held:
+            found = Counter(text.split())
+            few = rare[lang].intersection(found)
+            columns = apart.setdefault(lang, ([], [], [], []))
+            for column, more in zip(columns, (few, [sid_of[lang, source]] * len(few), map(found.pop, few), [doc] * len(few))):
+                column.extend(more)
+            common.setdefault((lang, source), Counter()).update(found)
+        for lang, (chunks, sid, n, doc) in apart.items():
+            yield _keyed({"lang": lang}, chunks, sid=pa.array(sid, pa.int32()), n=pa.array(n, pa.int64()), doc=pa.array(doc, pa.int64()))
+        for (lang, source), own in common.items():
+            yield _keyed({"lang": lang}, own, sid=pa.repeat(pa.scalar(sid_of[lang, source], pa.int32()), len(own)),
+                         n=pa.array(own.values(), pa.int64()), doc=pa.nulls(len(own), pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, dict[bytes, list[int]]] = {}
-        size = 0
+        held, size = [], 0
         for b in batches:
             for doc, lang, source, text in zip(*(b.column(c).to_pylist() for c in ("doc", "lang", "source", "text"))):
-                own, sid = held.setdefault(lang, {}), sid_of[lang, source]
-                found = Counter(text.lower().split())
-                for chunk, n in found.items():
-                    e = own.get(chunk)
-                    if e is None:
-                        own[chunk] = [sid, n, doc]
-                    else:
-                        e += (sid, n, doc)
-                size += len(found)
-                if size >= HELD:
-                    yield from (batch(*x) for x in held.items())
-                    held, size = {}, 0
-        yield from (batch(*x) for x in held.items())
+                held.append((doc, lang, source, text.lower()))
+                size += len(text) + 1
+                if size >= BYTES:
+                    yield from batches_of(held)
+                    held, size = [], 0
+        if held:
+            yield from batches_of(held)
 
     return _texts(docs, F.monotonically_increasing_id().alias("doc")).mapInArrow(
-        run, "lang string, chunk string, sid array<int>, n array<long>, doc array<long>")
-
-
-def terms_of(chunks: DataFrame) -> DataFrame:
-    """(chunk, term, times) of the distinct chunks."""
-    return (chunks.select("chunk", F.explode(F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0))).alias("term"))
-            .groupBy("chunk", "term").agg(F.count(F.lit(1)).alias("times")))
+        run, "lang string, chunk string, sid int, n long, doc long")
 
 
 def term_counts(docs: DataFrame, sid_of: dict[tuple[str, str], int], min_docs: int = 3) -> DataFrame:
     """(lang, term, sid, n): for each term in at least ``min_docs`` documents of the language, the
     sources where it occurs and its occurrences there, as arrays."""
-    chunks = store(chunk_documents(docs), "chunks")
-    forms = store(chunks.join(terms_of(chunks.select("chunk").distinct()), "chunk"), "chunk-terms")
-    bounds = (forms.groupBy("lang", "term").agg((F.max("docs") < min_docs).alias("unsure"), F.sum("docs").alias("most"))
-              .filter(F.col("most") >= min_docs).select("lang", "term", "unsure"))
-    own = forms.select("lang", "term", "chunk", "times").join(bounds, ["lang", "term"])
-    each = chunk_occurrences(docs, sid_of, min_docs).join(own, ["lang", "chunk"]).select(
-        "lang", "term", "times", "unsure", F.explode(F.arrays_zip("sid", "n", "doc")).alias("e"))
-    flat = store(each.groupBy("lang", "term", F.col("e.sid").alias("sid"), F.when(F.col("unsure"), F.col("e.doc")).alias("doc"))
-                 .agg(F.sum(F.col("e.n") * F.col("times")).alias("n")), "term-counts")
-    sure = flat.filter("doc is null").select("lang", "term", "sid", "n", F.lit(None).cast("long").alias("docs"))
-    unsure = flat.filter("doc is not null").groupBy("lang", "term", "sid").agg(F.sum("n").alias("n"), F.count("doc").alias("docs"))
+    chunks = store(chunk_terms(docs), "chunks")
+    # a partition of the chunks is vocabulary, which fits in memory where a partition of counts need not
+    every = chunk_occurrences(docs, sid_of, min_docs).join(chunks.hint("shuffle_hash"), "chunk")
+    sure = F.element_at("langs", F.col("lang")) >= min_docs
+    each = every.select("lang", "sid", "n", sure.alias("sure"), F.when(~sure, F.col("doc")).alias("doc"), F.explode("terms").alias("term"))
+    flat = each.groupBy("lang", "term", "sid", "doc").agg(F.sum("n").alias("n"), F.max("sure").alias("sure"))
+    flat = flat.groupBy("lang", "term", "sid").agg(F.sum("n").alias("n"), F.max("sure").alias("sure"), F.count("doc").alias("docs"))
     # one entry a source
-    terms = sure.union(unsure).groupBy("lang", "term").agg(F.collect_list(F.struct("sid", "n")).alias("own"), F.sum("docs").alias("docs"))
-    return store(terms.filter(F.coalesce("docs", F.lit(min_docs)) >= min_docs).select("lang", "term", "own.sid", "own.n"), "terms")
+    terms = flat.groupBy("lang", "term").agg(F.collect_list(F.struct("sid", "n")).alias("own"), F.max("sure").alias("sure"),
+                                             F.sum("docs").alias("docs"))
+    return store(terms.filter(F.col("sure") | (F.col("docs") >= min_docs)).select("lang", "term", "own.sid", "own.n"), "terms")
 
 
 def weight(n: Column, total: Column, v: Column) -> Column:

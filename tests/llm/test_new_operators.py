@@ -248,6 +248,7 @@ def edge_rows():
 @pytest.mark.parametrize("min_docs, top, held", [(3, 200, 600_000), (1, 5, 50), (2, 3, 7), (5, 200, 1)])
 def test_divergence(spark, monkeypatch, min_docs, top, held):
     monkeypatch.setattr(divergence, "HELD", held)
+    monkeypatch.setattr(divergence, "BYTES", held if held < 100 else divergence.BYTES)
     monkeypatch.setattr(divergence, "PAIRS", 16 if held < 100 else divergence.PAIRS)
     rows = edge_rows()
     df = frame(spark, [(i, *r) for i, r in enumerate(rows)]).withColumn("term", df_clash()).withColumn("chunk", df_clash()).repartition(3)

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Collection, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -81,8 +82,9 @@ def chunk_terms(docs: DataFrame) -> DataFrame:
 
 
 def chunk_occurrences(docs: DataFrame, sid_of: dict[tuple[str, str], int], min_docs: int) -> DataFrame:
-    """(lang, chunk, sid, n, doc): the occurrences of a task, by document (the row's number) for
-    chunks that are in fewer than ``min_docs`` of its documents; doc is null for others."""
+    """(lang, chunk, sid, n, doc): the occurrences of a task by source, as arrays. Chunks that are
+    in fewer than ``min_docs`` of its documents have an entry a document, with the row's number;
+    doc is null for others."""
     def batches_of(held: list[tuple[int, str, str, bytes]]) -> Iterator[pa.RecordBatch]:
         number: dict[str, Counter] = {}
         for _, lang, _, text in held:
@@ -90,19 +92,24 @@ def chunk_occurrences(docs: DataFrame, sid_of: dict[tuple[str, str], int], min_d
         rare = {lang: {c for c, n in own.items() if n < min_docs} for lang, own in number.items()}
         del number
         common: dict[tuple[str, str], Counter] = {}
-        apart: dict[str, tuple[list, list, list, list]] = {}
+        nested: dict[str, dict[bytes, list[int]]] = {}      # chunk: sid, n, doc (-1: many), and so on
         for doc, lang, source, text in held:
-            found = Counter(text.split())
-            few = rare[lang].intersection(found)
-            columns = apart.setdefault(lang, ([], [], [], []))
-            for column, more in zip(columns, (few, [sid_of[lang, source]] * len(few), map(found.pop, few), [doc] * len(few))):
-                column.extend(more)
+            found, sid = Counter(text.split()), sid_of[lang, source]
+            own = nested.setdefault(lang, {})
+            for c in rare[lang].intersection(found):
+                own.setdefault(c, []).extend((sid, found.pop(c), doc))
             common.setdefault((lang, source), Counter()).update(found)
-        for lang, (chunks, sid, n, doc) in apart.items():
-            yield _keyed({"lang": lang}, chunks, sid=pa.array(sid, pa.int32()), n=pa.array(n, pa.int64()), doc=pa.array(doc, pa.int64()))
-        for (lang, source), own in common.items():
-            yield _keyed({"lang": lang}, own, sid=pa.repeat(pa.scalar(sid_of[lang, source], pa.int32()), len(own)),
-                         n=pa.array(own.values(), pa.int64()), doc=pa.nulls(len(own), pa.int64()))
+        for (lang, source), found in common.items():
+            own, sid = nested[lang], sid_of[lang, source]
+            for c, n in found.items():
+                own.setdefault(c, []).extend((sid, n, -1))
+        del common
+        for lang, own in nested.items():
+            size = np.fromiter(map(len, own.values()), np.int64, len(own)) // 3
+            flat = np.fromiter(chain.from_iterable(own.values()), np.int64, 3 * int(size.sum())).reshape(-1, 3)
+            ends = pa.array(np.r_[0, np.cumsum(size)], pa.int32())
+            columns = pa.array(flat[:, 0], pa.int32()), pa.array(flat[:, 1]), pa.array(flat[:, 2], mask=flat[:, 2] < 0)
+            yield _keyed({"lang": lang}, own, **{k: pa.ListArray.from_arrays(ends, c) for k, c in zip(("sid", "n", "doc"), columns)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -117,7 +124,7 @@ def chunk_occurrences(docs: DataFrame, sid_of: dict[tuple[str, str], int], min_d
             yield from batches_of(held)
 
     return _texts(docs, F.monotonically_increasing_id().alias("doc")).mapInArrow(
-        run, "lang string, chunk string, sid int, n long, doc long")
+        run, "lang string, chunk string, sid array<int>, n array<long>, doc array<long>")
 
 
 def term_counts(docs: DataFrame, sid_of: dict[tuple[str, str], int], min_docs: int = 3) -> DataFrame:
@@ -127,11 +134,12 @@ def term_counts(docs: DataFrame, sid_of: dict[tuple[str, str], int], min_docs: i
     # a partition of the chunks is vocabulary, which fits in memory where a partition of counts need not
     every = chunk_occurrences(docs, sid_of, min_docs).join(chunks.hint("shuffle_hash"), "chunk")
     sure = F.element_at("langs", F.col("lang")) >= min_docs
-    each = every.select("lang", "sid", "n", sure.alias("sure"), F.when(~sure, F.col("doc")).alias("doc"), F.explode("terms").alias("term"))
+    each = every.select("lang", sure.alias("sure"), "terms", F.explode(F.arrays_zip("sid", "n", "doc")).alias("e")).select(
+        "lang", "e.sid", "e.n", "sure", F.when(~F.col("sure"), F.col("e.doc")).alias("doc"), F.explode("terms").alias("term"))
     flat = each.groupBy("lang", "term", "sid", "doc").agg(F.sum("n").alias("n"), F.max("sure").alias("sure"))
     flat = flat.groupBy("lang", "term", "sid").agg(F.sum("n").alias("n"), F.max("sure").alias("sure"), F.count("doc").alias("docs"))
-    # one entry a source
-    terms = flat.groupBy("lang", "term").agg(F.collect_list(F.struct("sid", "n")).alias("own"), F.max("sure").alias("sure"),
+    # one entry a source; partial lists would hold one each, so the rows are dealt first
+    terms = flat.repartition(shuffle_partitions(docs.sparkSession), "lang", "term").groupBy("lang", "term").agg(F.collect_list(F.struct("sid", "n")).alias("own"), F.max("sure").alias("sure"),
                                              F.sum("docs").alias("docs"))
     return store(terms.filter(F.col("sure") | (F.col("docs") >= min_docs)).select("lang", "term", "own.sid", "own.n"), "terms")
 

@@ -11,7 +11,8 @@ so a group of near copies costs its size and not its square.
 An anchor with over ``MAX_ANCHOR`` fingerprints is cut again by the anchors of the other half,
 with the whole threshold: what is left has at most 529 x 5,489 different fingerprints at t = 2,
 whatever the input. Within a large group, neighbours are looked up (one sorted search per bit
-mask) and not compared pairwise.
+mask) where that is less work than comparing its pairs; ``max_bits`` is meant to be small, the
+copies at the anchors grow with its binomials (2 bits: 34 + 1 a fingerprint, 4 bits: 188).
 
 Defined results: null text is the empty text, with fingerprint zero, which links like any
 other; equal fingerprints are one node, however many rows have them; a null id never names a
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate, combinations, islice
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -30,13 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import batch_limits, materialize, shuffle_partitions, text_of
+from ledgerflow.llm.common import batch_limits, materialize, row_key, shuffle_partitions, text_of
 from ledgerflow.llm.components import connected_components
 
 SEED = 42
 CHUNK = 1 << 15             # shingles whose bits are counted at a time
 MAX_ANCHOR = 50_000         # fingerprints at one anchor before it is cut again
-MAX_PAIRWISE = 2_048        # fingerprints of a group that are compared pairwise
+MAX_PAIRWISE = 2_048        # fingerprints of a group that are compared pairwise together with other groups
+PAIRS_A_SEARCH = 32         # pairs that are compared in the time of one sorted search
 
 
 def fingerprint(text: str, shingle: int = 3) -> int:
@@ -55,15 +58,16 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) for every row."""
+def fingerprints(docs: DataFrame, shingle: int = 3, keys: bool = False) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) for every row, with its ``row_key`` on request."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fp = np.array([fingerprint(t, shingle) for t in pdf["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fp})
+            yield pdf.drop(columns="text").assign(fp=fp)
 
     batch_limits(docs.sparkSession)
-    return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, "doc_id long, fp long")
+    more = [row_key().alias("rk")] * keys
+    return docs.select("doc_id", *more, text_of().alias("text")).mapInPandas(run, f"doc_id long,{' rk binary,' * keys} fp long")
 
 
 def reach(radius: int) -> list[np.ndarray]:
@@ -147,8 +151,15 @@ def _spanning(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = N
 
 
 def _group_links(fp: np.ndarray, max_bits: int) -> np.ndarray:
-    """Component label within one large group of sorted, different fingerprints."""
+    """Component label within one large group of sorted, different fingerprints. Neighbours are
+    looked up, one sorted search per bit mask, unless comparing the pairs is less work."""
     label = np.arange(len(fp))
+    if len(fp) < PAIRS_A_SEARCH * sum(comb(64, n) for n in range(1, max_bits + 1)):
+        for step in range(1, len(fp)):
+            hit = np.flatnonzero(np.bitwise_count(fp[:-step] ^ fp[step:]) <= max_bits)
+            if len(hit):
+                label = _spanning(len(fp), hit, hit + step, label)
+        return label
     for n in range(1, max_bits + 1):
         for bits in combinations(range(64), n):
             other = fp ^ np.uint64(sum(1 << b for b in bits))
@@ -215,23 +226,30 @@ def links(nodes: DataFrame, max_bits: int = 2, max_anchor: int = MAX_ANCHOR) ->
             .mapInPandas(run, "a long, b long"))
 
 
+def _roots(rows: DataFrame, max_bits: int, max_anchor: int) -> DataFrame:
+    """(fp, first_id, root) of the different fingerprints: the smallest id and the group."""
+    ids = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    roots = connected_components(links(ids, max_bits, max_anchor))
+    return materialize(ids.join(roots, ids["fp"] == roots["node"], "left").select(
+        "fp", "first_id", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, max_anchor: int = MAX_ANCHOR) -> DataFrame:
     """doc_id, fp, component_id for every row: the smallest doc_id reachable over links."""
     rows = materialize(fingerprints(docs, shingle))
-    ids = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = connected_components(links(ids, max_bits, max_anchor))
-    labelled = ids.join(roots, ids["fp"] == roots["node"], "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    labelled = materialize(labelled)
+    labelled = _roots(rows, max_bits, max_anchor)
     first = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_fp = labelled.join(first, "root").select("fp", "component_id")
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their group, with all their columns. Rows
-    without an id stay where their group has no id at all."""
-    found = near_duplicates(docs, shingle, max_bits)
-    stay = (found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("_llm_id")).distinct())
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_llm_id"]), "left_semi")
+    """One document of each group, with all its columns: the one with the smallest id (a null id
+    comes last; of equal ids, one text). A document is an id with its text: rows that share an id
+    but not their group are decided apart, and rows that repeat both stay together. Column names
+    that begin with ``_llm_`` are the operator's own."""
+    rows = materialize(fingerprints(docs, shingle, keys=True))
+    groups = _roots(rows, max_bits, MAX_ANCHOR).select("fp", "root")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")
+    stay = rows.join(groups, "fp").groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.rk").alias("_llm_rk"))
+    return docs.withColumn("_llm_rk", row_key()).join(stay, "_llm_rk", "left_semi").select(docs.columns)

@@ -154,7 +154,7 @@ def test_simhash_links_span_dense_groups(spark, max_bits, monkeypatch):
     want = components(fps, lambda a, b: (a ^ b).bit_count() <= max_bits)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     nodes = spark.createDataFrame([(f,) for f in signed], "fp long")
-    for max_anchor in (50_000, 10) if max_bits <= 2 else (50_000,):        # cutting again at 3 and 4 bits makes millions of rows
+    for max_anchor in (50_000, 10) if max_bits <= 3 else (50_000,):        # cutting again at 4 bits makes 345 million rows
         label = {f: f for f in signed}
         from ledgerflow.llm.components import connected_components
         for r in connected_components(simhash.links(nodes, max_bits, max_anchor)).collect():
@@ -166,6 +166,27 @@ def test_simhash_links_span_dense_groups(spark, max_bits, monkeypatch):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, wanted.values()))
 
 
+def test_simhash_group_links_either_way(monkeypatch):
+    """Lookups and comparisons of a large group's pairs find the same components."""
+    rng = random.Random(6)
+    fps = np.array(sorted({rng.getrandbits(64) >> rng.choice((0, 56)) for _ in range(400)}), dtype=np.uint64)
+    monkeypatch.setattr(simhash, "PAIRS_A_SEARCH", 0)
+    looked_up = [simhash._group_links(fps, t).tolist() for t in (0, 1, 2)]
+    monkeypatch.setattr(simhash, "PAIRS_A_SEARCH", 1 << 40)
+    assert looked_up == [simhash._group_links(fps, t).tolist() for t in (0, 1, 2)]
+
+
+def test_simhash_drop_of_null_and_shared_ids(spark):
+    long = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(3, "a b c d e f", "en", "a"), (None, "a b c d e f", "en", "a"), (None, "quite another text here", "en", "a"),
+            (None, "quite another text here", "fr", "b"), (4, long, "en", "a"), (4, "a b c d e f", "en", "a"), (7, long, "en", "a"),
+            (7, "no words of those above at all", "en", "a"), (8, None, "en", "a"), (9, "", "en", "a")]
+    stay = simhash.drop_near_duplicates(frame(spark, rows))
+    assert Counter((r["doc_id"], r["text"]) for r in stay.collect()) == Counter([
+        (3, "a b c d e f"), (None, "quite another text here"), (None, "quite another text here"), (4, long),
+        (7, "no words of those above at all"), (8, None)])
+
+
 def test_components_of_long_paths(spark):
     from ledgerflow.llm.components import connected_components
     edges = [(i, i + 1) for i in range(100)] + [(1000 - i, 1001 - i) for i in range(100)] + [(5, 5), (-9, 2000), (2000, 3000)]

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.operators import scan
+from ledgerflow.operators.spread import join_per_key
 
 
 def master_detail(master: DataFrame, detail: DataFrame, key: str, order: Sequence,
@@ -25,9 +26,8 @@ def master_detail(master: DataFrame, detail: DataFrame, key: str, order: Sequenc
     """
     detail = detail.join(master.select(key), key, "left_semi")   # only details of listed masters
     d = scan.chunk_by_range(detail, [key], order)
-    d = scan.cumsum(d, F.lit(1), [key], order, no_col).drop(scan.CHUNK)
-    counts = detail.groupBy(key).agg(F.count(F.lit(1)).alias(count_col))
-    out = master.join(d, key, "left").join(counts, key, "left")
+    d = scan.scan_all(d, [key], order, [(no_col, "sum", F.lit(1)), (count_col, "total", F.lit(1))]).drop(scan.CHUNK)
+    out = master.join(d, key, "left")
     return out.withColumn(count_col, F.coalesce(F.col(count_col), F.lit(0)).cast("long")) \
               .withColumn(no_col, F.col(no_col).cast("long"))
 
@@ -52,9 +52,10 @@ def exclusive_rows(df: DataFrame, keys: Sequence[str], other: str) -> DataFrame:
     Same result as ``NOT EXISTS (same keys AND other <> this.other)``: a row stays when its
     ``other`` is NULL (the comparison is never true) or when all non-NULL ``other`` values
     of its key group are equal. Computed as one aggregation per key group (min = max) and
-    a join on the keys — linear in the rows, never comparing the pairs of a group.
+    a join on the keys that splits hot groups — linear in the rows, never comparing the pairs
+    of a group.
     """
     groups = df.groupBy(*keys).agg(F.min(other).alias("_omin"), F.max(other).alias("_omax"))
-    j = df.join(groups, list(keys), "left")          # a NULL key equals no key: such rows find no group and stay
+    j = join_per_key(df, groups, keys, "left")       # a NULL key equals no key: such rows find no group and stay
     keep = F.col(other).isNull() | F.col("_omin").isNull() | (F.col("_omin") == F.col("_omax"))
     return j.where(keep).drop("_omin", "_omax")

@@ -83,10 +83,13 @@ def scan_all(d: DataFrame, by: Sequence[str], order: Sequence, specs: Sequence[t
     """Several ordered scans over one chunked frame in a single pass.
 
     ``specs``: ``(out, kind, value)`` or ``(out, kind, value, frame)`` with kind
-    ``sum`` (running sum; frame ``rows`` or ``range``), ``lag`` (previous row's value) or
-    ``last`` (most recent non-NULL value up to the row). One set of per-chunk windows, one
-    aggregation over the chunk-edge rows, one window over the (bounded) summary and one
-    broadcast join serve all specs.
+    ``sum`` (running sum; frame ``rows`` or ``range``), ``lag`` (previous row's value),
+    ``last`` (most recent non-NULL value up to the row), ``total`` (sum over all rows of the
+    key, on each of them) or ``first`` (value of the key's first row, on each of them). One set
+    of per-chunk windows, one aggregation over the chunk-edge rows, one window over the
+    (bounded) summary and one broadcast join serve all specs. A key that spans chunks is an
+    edge key in each of them, so the summary has its whole total, and no row set is joined
+    with its own aggregate.
     """
     d, by, added = _with_group(d, by)
     specs = [tuple(s) + (("rows",) if len(s) == 3 else ()) for s in specs]
@@ -95,6 +98,7 @@ def scan_all(d: DataFrame, by: Sequence[str], order: Sequence, specs: Sequence[t
     base = Window.partitionBy(CHUNK, *by).orderBy(*order)
     rows_w = base.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     range_w = base.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    whole_w = Window.partitionBy(CHUNK, *by)
     local = d
     need_first = False
     for i, (_, kind, _, frame) in enumerate(specs):
@@ -106,6 +110,10 @@ def scan_all(d: DataFrame, by: Sequence[str], order: Sequence, specs: Sequence[t
             need_first = True
         elif kind == "last":
             local = local.withColumn(f"_l{i}", F.last(v, ignorenulls=True).over(rows_w))
+        elif kind == "total":
+            local = local.withColumn(f"_l{i}", F.sum(v).over(whole_w))
+        elif kind == "first":
+            local = local.withColumn(f"_l{i}", F.first(F.struct(v.alias("v"))).over(rows_w))
         else:
             raise ValueError(f"unknown scan kind {kind!r}")
     if need_first:
@@ -114,8 +122,10 @@ def scan_all(d: DataFrame, by: Sequence[str], order: Sequence, specs: Sequence[t
     aggs = []
     for i, (_, kind, _, _) in enumerate(specs):
         v = F.col(f"_v{i}")
-        if kind == "sum":
+        if kind in ("sum", "total"):
             aggs.append(F.sum(v).alias(f"_e{i}"))
+        elif kind == "first":
+            aggs.append(F.min_by(F.struct(v.alias("v")), ordkey).alias(f"_e{i}"))
         elif kind == "lag":
             aggs.append(F.max_by(F.struct(v.alias("v")), ordkey).alias(f"_e{i}"))
         else:
@@ -123,11 +133,16 @@ def scan_all(d: DataFrame, by: Sequence[str], order: Sequence, specs: Sequence[t
     per = _edge_rows(d, by).groupBy(CHUNK, *by).agg(*aggs)
     prev_w = Window.partitionBy(*by).orderBy(CHUNK)
     before_w = prev_w.rowsBetween(Window.unboundedPreceding, -1)
+    upto_w = prev_w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carries = []
     for i, (_, kind, _, _) in enumerate(specs):
         e = F.col(f"_e{i}")
         if kind == "sum":
             carries.append(F.sum(e).over(before_w).alias(f"_c{i}"))
+        elif kind == "total":
+            carries.append(F.sum(e).over(Window.partitionBy(*by)).alias(f"_c{i}"))
+        elif kind == "first":
+            carries.append(F.first(e).over(upto_w).alias(f"_c{i}"))
         elif kind == "lag":
             carries.append(F.lag(e).over(prev_w).alias(f"_c{i}"))
         else:
@@ -140,6 +155,10 @@ def scan_all(d: DataFrame, by: Sequence[str], order: Sequence, specs: Sequence[t
             val = F.when(car.isNull(), loc).when(loc.isNull(), car).otherwise(car + loc)
         elif kind == "lag":
             val = F.when(F.col("_seg_first"), car.getField("v")).otherwise(loc)
+        elif kind == "total":
+            val = F.coalesce(car, loc)
+        elif kind == "first":
+            val = F.coalesce(car, loc).getField("v")
         else:
             val = F.coalesce(loc, car)
         res = res.withColumn(out, val)

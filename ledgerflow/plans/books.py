@@ -10,6 +10,7 @@ from ledgerflow.functions.dates import as_date
 from ledgerflow.functions.money import dec, gross_up, out
 from ledgerflow.functions.predicates import date_between, in_list, in_periods, in_years
 from ledgerflow.operators.nest import master_detail
+from ledgerflow.operators.spread import join_per_key
 from ledgerflow.operators.totals import cross_scalar, with_total_row
 from ledgerflow.plans.common import SQL_LINE_AMOUNT, decode, line_amount, sql_decode
 from ledgerflow.plans.ledger import LINE_ORDER
@@ -231,7 +232,7 @@ FROM l
 """)
 def journal_lines(spark, root, start=EJ_FROM, end=EJ_TO, states=EJ_STATES):
     """The entries of ``entry_journal`` with their lines, by entry number and line, each line
-    with its entry's subtotals (aggregated by entry, joined back on it)."""
+    with its entry's subtotals (aggregated by entry, joined back so that a hot entry is split)."""
     t = Tables(spark, root)
     o = t.orders.where(date_between("o_orderdate", start, end) & in_list("o_orderstatus", states)
                        & F.col("o_orderpriority").isNotNull()).select("o_orderkey", as_date("o_orderdate").alias("day"))
@@ -240,7 +241,7 @@ def journal_lines(spark, root, start=EJ_FROM, end=EJ_TO, states=EJ_STATES):
           .select("o_orderkey", "day", "l_linenumber", "l_partkey", F.when(~is_credit, amt).otherwise(zero).alias("debit"),
                   F.when(is_credit, amt).otherwise(zero).alias("credit")))
     sums = l.groupBy("o_orderkey").agg(F.sum("debit").alias("entry_debit"), F.sum("credit").alias("entry_credit"))
-    r = l.join(sums, "o_orderkey").select("o_orderkey", "day", "l_linenumber", "l_partkey", *[
+    r = join_per_key(l, sums, ["o_orderkey"]).select("o_orderkey", "day", "l_linenumber", "l_partkey", *[
         F.col(c).cast("double").alias(c) for c in ("debit", "credit", "entry_debit", "entry_credit")])
     return r.orderBy("o_orderkey", "l_linenumber", "l_partkey", "debit", "credit")
 

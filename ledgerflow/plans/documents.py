@@ -9,6 +9,7 @@ from ledgerflow.functions.dates import MONTH_LABELS_ES, as_date, month_name
 from ledgerflow.functions.money import dec, out, ratio
 from ledgerflow.functions.predicates import in_years
 from ledgerflow.operators.nest import master_detail
+from ledgerflow.operators.spread import join_per_key
 from ledgerflow.plans.common import STATUS_LABELS, decode, sql_decode
 from ledgerflow.plans.ledger import LINE_ORDER
 from ledgerflow.plans.registry import report
@@ -46,7 +47,7 @@ def document_nesting(spark, root):
     t = Tables(spark, root)
     l = t.lineitem.select("l_orderkey", "l_linenumber", dec("l_extendedprice").alias("amount"))
     tot = l.groupBy("l_orderkey").agg(F.sum("amount").alias("doc_total"), F.count(F.lit(1)).alias("doc_lines"))
-    j = (l.join(tot, "l_orderkey")
+    j = (join_per_key(l, tot, ["l_orderkey"])
           .join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")))
     return j.select("l_orderkey", "o_custkey", "l_linenumber", F.col("amount").cast("double").alias("amount"),
                     F.col("doc_total").cast("double").alias("doc_total"), "doc_lines",

@@ -14,6 +14,7 @@ from ledgerflow.functions.money import dec
 from ledgerflow.operators import scan
 from ledgerflow.operators.bands import with_breaks
 from ledgerflow.operators.pivot import crosstab_totals
+from ledgerflow.operators.spread import join_per_key
 from ledgerflow.operators.totals import cross_scalar
 from ledgerflow.plans.aggregates import TAG_SETS
 from ledgerflow.plans.common import SQL_SIGNED, signed_amount
@@ -275,19 +276,21 @@ def accumulator_ledger(spark, root, start=AL_FROM, end=AL_TO):
                     .agg(F.sum(signed_amount()).alias("opening")))
     m = (t.lineitem.where(d.between(F.lit(start), F.lit(end)))
                    .select(*AL_ORDER, signed_amount().alias("x")))
-    m = m.join(op, "l_partkey", "left").withColumn("opening", F.coalesce("opening", F.lit(0)))
-    by = ["l_partkey"]
+    by, zero = ["l_partkey"], F.lit(0)
+    m = join_per_key(m, op, by, "left").withColumn("opening", F.coalesce("opening", F.lit(0)))
     chunks = scan.chunk_by_range(m, by, AL_ORDER)
-    c = scan.scan_all(chunks, by, AL_ORDER, [("prev_x", "lag", F.col("x")), ("_S", "sum", F.col("x"))])
+    c = scan.scan_all(chunks, by, AL_ORDER, [
+        ("prev_x", "lag", F.col("x")), ("_S", "sum", F.col("x")), ("group_debit", "total", F.greatest("x", zero)),
+        ("group_credit", "total", F.greatest(-F.col("x"), zero)), ("_movement", "total", F.col("x"))])
+    c = c.withColumn("group_year", F.col("opening") + F.col("_movement"))
     restart = F.coalesce(F.col("prev_x"), F.lit(0)) == 0
     s = scan.scan_all(c, by, AL_ORDER, [("_rb", "last", F.when(restart, F.col("_S") - F.col("x")))])
-    zero = F.lit(0)
     acc = chunks.groupBy("l_partkey").agg(F.sum(F.greatest("x", zero)).alias("group_debit"),
                                           F.sum(F.greatest(-F.col("x"), zero)).alias("group_credit"),
                                           (F.first("opening") + F.sum("x")).alias("group_year"))
     totals = acc.agg(F.sum("group_debit").alias("total_debit"), F.sum("group_credit").alias("total_credit"),
                      F.sum("group_year").alias("total_year"))
-    c = cross_scalar(s.join(acc, "l_partkey"), totals)
+    c = cross_scalar(s, totals)
     sums = {"group_debit": F.col("group_debit"), "group_credit": F.col("group_credit"),
             "group_month": F.col("group_debit") - F.col("group_credit"), "group_year": F.col("group_year"),
             "total_debit": F.col("total_debit"), "total_credit": F.col("total_credit"),
@@ -411,13 +414,14 @@ def general_ledger(spark, root, start=GL_FROM, end=GL_TO, skip_class=SKIP_CLASS)
           .select("l_partkey", "l_orderkey", "l_linenumber", d.alias("d"), signed_amount().alias("x")))
     by, order = ["l_partkey"], ["l_orderkey"]
     mv = scan.chunk_by_range(ln.where(F.col("d") >= F.lit(start)).drop("d"), by, order)
-    lines = scan.scan_all(mv, by, order, [("running", "sum", F.col("x"), "range")])
+    lines = scan.scan_all(mv, by, order, [("running", "sum", F.col("x"), "range"), ("subtotal", "total", F.col("x"))])
     op = ln.where(F.col("d") < F.lit(start)).groupBy("l_partkey").agg(F.sum("x").alias("opening"))
     sub = (mv.groupBy("l_partkey").agg(F.sum("x").alias("subtotal")).join(op, "l_partkey", "left")
              .withColumn("opening", F.coalesce("opening", F.lit(0)))
              .withColumn("year_subtotal", F.col("opening") + F.col("subtotal")))
     totals = sub.agg(F.sum(F.abs("subtotal")).alias("grand_total"), F.sum(F.abs("year_subtotal")).alias("year_grand_total"))
-    j = cross_scalar(lines.join(sub, "l_partkey"), totals)
+    lines = join_per_key(lines, op, by, "left").withColumn("opening", F.coalesce("opening", F.lit(0)))
+    j = cross_scalar(lines.withColumn("year_subtotal", F.col("opening") + F.col("subtotal")), totals)
     r = j.withColumn("year_running", F.col("opening") + F.col("running")).withColumnRenamed("x", "amount").select(
         "l_partkey", "l_orderkey", "l_linenumber", *[F.col(c).cast("double").alias(c) for c in (
             "amount", "running", "opening", "year_running", "subtotal", "year_subtotal", "grand_total", "year_grand_total")])

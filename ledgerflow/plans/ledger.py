@@ -3,7 +3,7 @@ sides, numbered lines, control-break runs and resettable accumulators.
 
 Running values over raw lines use the chunked scans of ``operators.scan`` so that an
 account (or user, or document) holding a large share of all rows is still processed by
-many tasks; per-key totals are plain aggregations joined back on the key.
+many tasks; totals of a key come from the same scan.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ledgerflow.functions.dates import as_date, prev_month_end
 from ledgerflow.functions.money import dec
 from ledgerflow.operators import scan
+from ledgerflow.operators.spread import join_per_key
 from ledgerflow.operators.balances import month_spine
 from ledgerflow.operators.bands import with_breaks
 from ledgerflow.plans.common import SQL_SIGNED, signed_amount
@@ -119,14 +120,13 @@ def running_ledger(spark, root, start=RL_FROM, end=RL_TO):
         "l_partkey", "l_orderkey", "l_linenumber", signed_amount().alias("amount"))
     by, order = ["l_partkey"], ["l_orderkey"]
     c = scan.chunk_by_range(mv, by, order)
-    c = scan.scan_all(c, by, order, [("running", "sum", F.col("amount"), "range"),
-                                     ("_upto", "sum", F.lit(1), "range")])
     peers = F.count(F.lit(1)).over(Window.partitionBy(scan.CHUNK, "l_partkey", "l_orderkey"))  # one chunk holds all peers
-    c = c.withColumn("doc_rank", (F.col("_upto") - peers + 1).cast("int")).drop("_upto", scan.CHUNK)
-    per_acc = c.groupBy("l_partkey").agg(F.sum("amount").alias("account_total"),
-                                         F.count(F.when(F.col("doc_rank") == 1, 1)).alias("_first_doc_lines"))
+    c = scan.scan_all(c.withColumn("_peers", peers), by, order, [
+        ("running", "sum", F.col("amount"), "range"), ("_upto", "sum", F.lit(1), "range"),
+        ("account_total", "total", F.col("amount")), ("_first_doc_lines", "first", F.col("_peers"))])
+    c = c.withColumn("doc_rank", (F.col("_upto") - F.col("_peers") + 1).cast("int")).drop("_upto", "_peers", scan.CHUNK)
     op = li.where(d < F.lit(start)).groupBy("l_partkey").agg(F.sum(signed_amount()).alias("opening"))
-    j = c.join(per_acc, "l_partkey").join(op, "l_partkey", "left").withColumn("opening", F.coalesce("opening", F.lit(0)))
+    j = join_per_key(c, op, by, "left").withColumn("opening", F.coalesce("opening", F.lit(0)))
     return j.select(
         "l_partkey", "l_orderkey", "l_linenumber", F.col("amount").cast("double").alias("amount"),
         F.col("running").cast("double").alias("running"), F.col("account_total").cast("double").alias("account_total"),
@@ -190,10 +190,9 @@ FROM lineitem
 def numbered_lines(spark, root):
     """Packing-list numbering: each line numbered within its document under a full
     tie-break, with the document's line count in a label."""
-    li = Tables(spark, root).lineitem
-    c = scan.cumsum(scan.chunk_by_range(li, ["l_orderkey"], LINE_ORDER), F.lit(1), ["l_orderkey"], LINE_ORDER, "line_no")
-    n = li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_lines"))
-    j = c.drop(scan.CHUNK).join(n, "l_orderkey")
+    li = Tables(spark, root).lineitem.select("l_orderkey", *LINE_ORDER)
+    j = scan.scan_all(scan.chunk_by_range(li, ["l_orderkey"], LINE_ORDER), ["l_orderkey"], LINE_ORDER,
+                      [("line_no", "sum", F.lit(1)), ("n_lines", "total", F.lit(1))])
     return j.select("l_orderkey", "l_partkey", "l_quantity", F.col("line_no").cast("long").alias("line_no"), "n_lines",
                     F.concat(F.lit("Bulto "), F.col("line_no").cast("string"), F.lit(" de "),
                              F.col("n_lines").cast("string")).alias("label"))
@@ -218,8 +217,9 @@ def control_break_runs(spark, root):
     gets its group number, the group's size and total (shown before the group ends) and the
     running total inside the group.
 
-    Two scan rounds over one chunking: (previous state, running sum S), then (group number,
-    S just before the group's first row); the in-group running total is the difference.
+    Three scan rounds over one chunking: (previous state, running sum S), then (group number,
+    S just before the group's first row), then the totals of a group; the in-group running
+    total is a difference. Group numbers rise with the order, so the chunks serve them too.
     """
     o = Tables(spark, root).orders.select("o_orderkey", "o_orderdate", "o_orderstatus", dec("o_totalprice").alias("amt"))
     order = ["o_orderdate", "o_orderkey"]
@@ -228,11 +228,10 @@ def control_break_runs(spark, root):
     d = d.withColumn("_start", (~F.col("_prev").eqNullSafe(F.col("o_orderstatus"))).cast("int"))
     d = scan.scan_all(d, [], order, [("run_id", "sum", F.col("_start")),
                                      ("_base", "last", F.when(F.col("_start") == 1, F.col("_S") - F.col("amt")))])
-    r = d.select("o_orderkey", "o_orderstatus", F.col("run_id").cast("long").alias("run_id"), "amt",
+    r = d.select(scan.CHUNK, *order, "o_orderstatus", F.col("run_id").cast("long").alias("run_id"), "amt",
                  (F.col("_S") - F.col("_base")).alias("running_in_run"))
-    r = r.checkpoint(eager=True)          # read twice below
-    runs = r.groupBy("run_id").agg(F.count(F.lit(1)).alias("run_rows"), F.sum("amt").alias("run_total"))
-    j = r.join(runs, "run_id")
+    r = r.checkpoint(eager=True)          # read by the windows and for the summary
+    j = scan.scan_all(r, ["run_id"], order, [("run_rows", "total", F.lit(1)), ("run_total", "total", F.col("amt"))])
     return j.select("o_orderkey", "o_orderstatus", "run_id", "run_rows",
                     F.col("run_total").cast("double").alias("run_total"),
                     F.col("running_in_run").cast("double").alias("running_in_run"))

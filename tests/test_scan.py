@@ -63,3 +63,16 @@ def test_result_does_not_depend_on_chunk_count(spark):
         c = scan.chunk_by_range(df, ["k"], ["d", "id"], num_chunks=n)
         outs.append(sorted(scan.cumsum(c, F.col("v"), ["k"], ["d", "id"], "r").select("id", "r").collect()))
     assert outs[0] == outs[1] == outs[2]
+
+
+def test_total_and_first_match_windows(spark):
+    df = _df(spark)
+    w = Window.partitionBy("k")
+    exp = df.select("id", F.sum("v").over(w).alias("t"), F.count(F.lit(1)).over(w).alias("n"),
+                    F.first("v").over(w.orderBy("d", "id")).alias("f"))
+    for n in (1, 5, 31):
+        c = scan.chunk_by_range(df, ["k"], ["d", "id"], num_chunks=n)
+        got = scan.scan_all(c, ["k"], ["d", "id"], [("t", "total", F.col("v")), ("n", "total", F.lit(1)), ("f", "first", F.col("v"))])
+        assert sorted(map(str, got.select("id", "t", "n", "f").collect())) == sorted(map(str, exp.collect()))
+    none = scan.scan_all(scan.chunk_by_range(df.limit(0), [], ["id"]), [], ["id"], [("t", "total", F.col("v")), ("f", "first", F.col("v"))])
+    assert none.collect() == []

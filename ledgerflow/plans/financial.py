@@ -189,18 +189,18 @@ WITH g AS (
   WHERE p_size > 0 AND p_retailprice > 0 AND p_partkey >= 0 AND length(p_brand) > 0
   GROUP BY 1, 2)
 SELECT yr, p_type, CAST(balance AS DOUBLE) AS balance,
-       CAST({DRAFT_SEED} + SUM(balance) OVER (PARTITION BY yr ORDER BY p_type ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS seeded
+       CAST({DRAFT_SEED} + SUM(balance) OVER (ORDER BY yr, p_type ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS seeded
 FROM g
 """)
 def draft_balance(spark, root, seed=DRAFT_SEED):
-    """Balance by top group per year with a seeded running sum over the groups (never reset
-    within the year; the window holds one row per group, so it is bounded)."""
+    """Balance by top group per year with a seeded running sum over all years and groups, never
+    reset (the window holds one row per year and group, so it is bounded)."""
     t = Tables(spark, root)
     acc = t.part.where((F.col("p_size") > 0) & (F.col("p_retailprice") > 0) & (F.col("p_partkey") >= 0)
                        & (F.length("p_brand") > 0)).select("p_partkey", "p_type")
     g = (t.lineitem.join(acc, F.col("l_partkey") == F.col("p_partkey"))
                    .groupBy(F.year("l_shipdate").alias("yr"), "p_type").agg(F.sum(signed_amount()).alias("balance")))
-    w = Window.partitionBy("yr").orderBy("p_type").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.orderBy("yr", "p_type").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return g.select("yr", "p_type", F.col("balance").cast("double").alias("balance"),
                     (F.lit(seed).cast("decimal(18,2)") + F.sum("balance").over(w)).cast("double").alias("seeded"))
 

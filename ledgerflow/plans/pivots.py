@@ -200,7 +200,7 @@ def net_units_crosstab(spark, root, shift_hours=SHIFT_HOURS):
     return r.select("l_linestatus", "yr", "c_mktsegment", "l_returnflag", F.col("gid").cast("long").alias("gid"), "units")
 
 
-AGE_AS_OF = dt.date(1995, 3, 1)
+AGE_AS_OF = dt.date(2001, 6, 30)
 
 
 def _age_sql() -> str:

@@ -15,7 +15,9 @@ MAX_INLINE_ROWS = 10_000
 
 
 def values(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A literal relation, marked for broadcast; refuses lists that are not small."""
+    """A literal relation of distinct rows, marked for broadcast: a literal given twice must not
+    double the rows that it meets. Refuses lists that are not small."""
+    rows = list(dict.fromkeys(map(tuple, rows)))
     if len(rows) > MAX_INLINE_ROWS:
         raise ValueError(f"inline relation of {len(rows)} rows; load it as a table instead")
-    return F.broadcast(spark.createDataFrame(list(rows), schema))
+    return F.broadcast(spark.createDataFrame(rows, schema))

@@ -6,11 +6,15 @@ single hash aggregation with map-side partial aggregation (a hot key is reduced
 row per map task before the shuffle) and no job to discover category values. Column
 names come from the declared ``(value, alias)`` list, never from the data, so a category
 list in another order cannot relabel columns.
+
+``query_pivot`` takes its categories from a relation instead, as a crosstab with a category
+query does: one small job ranks them, and its size is checked.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,6 +68,52 @@ def wide_pivot(df: DataFrame, keys: Sequence, category, categories: Sequence[Cat
     return df.groupBy(*keys).agg(*cols, *extra)
 
 
+MAX_CATEGORIES = 500
+
+
+def category_ranks(categories: DataFrame, category: str, order: Sequence | None = None,
+                   max_categories: int = MAX_CATEGORIES) -> list:
+    """The distinct non-NULL values of ``category`` in report order (``order``, by default the
+    value; a value that stands in several rows takes its first place). More than
+    ``max_categories`` raise an error: they would be as many columns."""
+    rank = F.min(F.struct(*[as_col(o) for o in (order or [category])], as_col(category)))
+    ranked = (categories.where(F.col(category).isNotNull()).groupBy(F.col(category).alias("_value"))
+                        .agg(rank.alias("_rank")).orderBy("_rank").limit(max_categories + 1))
+    found = [r["_value"] for r in ranked.select("_value").collect()]
+    if len(found) > max_categories:
+        raise ValueError(f"over {max_categories} categories for a crosstab")
+    return found
+
+
+def query_pivot(df: DataFrame, keys: Sequence[str], category: str, measure: Column, categories: DataFrame,
+                order: Sequence | None = None, name: Callable[[object], str] = str, fill=0,
+                max_categories: int = MAX_CATEGORIES) -> DataFrame:
+    """Crosstab whose columns come from the relation ``categories`` (with a column ``category``),
+    ranked by ``order``: a category that is added to the relation becomes a column without a
+    change of code. One row per ``keys``, one column per category, named ``name(value)``, with the
+    sum of ``measure`` (``fill`` where there is none).
+
+    Rows of a category outside the relation, or of none (NULL), add nothing, but their keys stay.
+    Cells are summed by (keys, rank) before they become columns, so the work per row does not grow
+    with the number of categories. Names that clash, also in letter case, raise an error.
+    """
+    found = category_ranks(categories, category, order, max_categories)
+    labels = [name(v) for v in found]
+    seen = Counter(x.lower() for x in [*keys, *labels])
+    if twice := sorted(x for x, n in seen.items() if n > 1):
+        raise ValueError(f"crosstab columns named twice: {twice}")
+    if not found:
+        return df.select(*keys).distinct()
+    spark = df.sparkSession
+    typ = df.schema[category].dataType.simpleString()
+    ranks = F.broadcast(spark.createDataFrame(list(enumerate(found)), f"_rank int, _value {typ}"))   # <= max_categories rows
+    cells = (df.select(*keys, F.col(category).alias("_value"), measure.alias("_m"))
+               .join(ranks, "_value", "left").groupBy(*keys, "_rank").agg(F.sum("_m").alias("_m")))
+    wide = cells.groupBy(*keys).pivot("_rank", list(range(len(found)))).agg(F.first("_m"))
+    cell_of = (lambda i: F.col(f"`{i}`")) if fill is None else (lambda i: F.coalesce(F.col(f"`{i}`"), F.lit(fill)))
+    return wide.select(*keys, *[cell_of(i).alias(x) for i, x in enumerate(labels)])
+
+
 def rollup_sets(*groups: Sequence[str]) -> list[list[str]]:
     """Grouping sets of ``ROLLUP(g1) x ROLLUP(g2) x ...`` (each group rolled up in order)."""
     sets: list[list[str]] = [[]]

@@ -9,6 +9,7 @@ many tasks; totals of a key come from the same scan.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -19,9 +20,11 @@ from ledgerflow.operators import scan
 from ledgerflow.operators.spread import join_per_key
 from ledgerflow.operators.balances import month_spine
 from ledgerflow.operators.bands import with_breaks
+from ledgerflow.operators.breaks import nested_breaks
 from ledgerflow.plans.common import SQL_SIGNED, signed_amount
 from ledgerflow.plans.registry import report
-from ledgerflow.sources import Tables
+from ledgerflow.session import ensure_checkpoint_dir
+from ledgerflow.sources import PeriodBalances, Tables
 
 @report("month_spine_balance", "S3 W1 J9 J2 E10 Q18", sql=f"""
 WITH span AS (SELECT date_trunc('month', MIN(l_shipdate)) AS lo, date_trunc('month', MAX(l_shipdate)) AS hi FROM lineitem),
@@ -87,6 +90,44 @@ def opening_balance(spark, root, start=OB_FROM, end=OB_TO):
                                    for c in ("opening", "opening_month_end", "movement", "closing")])
 
 
+SO_FROM, SO_TO = dt.date(1998, 7, 15), dt.date(1999, 6, 30)
+LOADED_TO, LATE_YEAR = dt.date(1999, 1, 1), 1996
+
+
+@report("stored_openings", "S6 W8 W1 A2 P1 Q21", sql=f"""
+SELECT l_partkey,
+       CAST(SUM(CASE WHEN CAST(l_shipdate AS DATE) < DATE '{SO_FROM}' THEN {SQL_SIGNED} ELSE 0 END) AS DOUBLE) AS opening,
+       CAST(SUM(CASE WHEN CAST(l_shipdate AS DATE) >= DATE '{SO_FROM}' THEN {SQL_SIGNED} ELSE 0 END) AS DOUBLE) AS movement,
+       CAST(SUM({SQL_SIGNED}) AS DOUBLE) AS closing,
+       count(*) FILTER (WHERE CAST(l_shipdate AS DATE) < DATE '{SO_FROM}') AS opening_lines
+FROM lineitem WHERE CAST(l_shipdate AS DATE) <= DATE '{SO_TO}'
+GROUP BY l_partkey
+""")
+def stored_openings(spark, root, start=SO_FROM, end=SO_TO, store=None):
+    """Opening, movement and closing per account, the opening read from stored period balances:
+    years, months of ``start``'s year, and only the lines of the month that ``start`` cuts.
+
+    ``store`` is the folder of the balances, kept between runs and brought up to date here.
+    Without one a fresh folder beside the checkpoints goes through the life of such a store: the
+    months before ``LOADED_TO`` without the returns of one year, then all lines, so that
+    the returns arrive late and only their months are summed anew."""
+    li = Tables(spark, root).lineitem
+    path = store or f"{ensure_checkpoint_dir(spark)}/period-balances-{uuid.uuid4().hex}"
+    kept = PeriodBalances(spark, path, ["l_partkey"], "l_shipdate", [("amount", signed_amount()), ("lines", F.lit(1).cast("long"))])
+    if store is None:
+        late = (F.col("l_returnflag") == "R") & (F.year("l_shipdate") == LATE_YEAR)
+        kept.refresh(li.where((F.col("l_shipdate") < F.lit(LOADED_TO)) & ~late))
+    kept.refresh(li)
+    before = kept.before(li, start).withColumnRenamed("amount", "opening").withColumnRenamed("lines", "opening_lines")
+    mv = li.where(as_date("l_shipdate").between(F.lit(start), F.lit(end))) \
+           .groupBy("l_partkey").agg(F.sum(signed_amount()).alias("movement"))
+    j = before.join(mv, "l_partkey", "full")              # one row an account on both sides
+    opening, movement = (F.coalesce(F.col(c), F.lit(0)) for c in ("opening", "movement"))
+    return j.select("l_partkey", opening.cast("double").alias("opening"), movement.cast("double").alias("movement"),
+                    (opening + movement).cast("double").alias("closing"),
+                    F.coalesce(F.col("opening_lines"), F.lit(0).cast("long")).alias("opening_lines"))
+
+
 RL_FROM, RL_TO = dt.date(1998, 1, 1), dt.date(1998, 12, 31)
 
 
@@ -237,6 +278,43 @@ def control_break_runs(spark, root):
                     F.col("running_in_run").cast("double").alias("running_in_run"))
 
 
+_NEST_KEYS = {"anio": "year(o_orderdate)", "mes": "month(o_orderdate)", "estado": "o_orderstatus", "diario": "o_orderpriority"}
+
+
+def _nested_sql() -> str:
+    """Breaks level by level: a level starts where it or any level outside it differs."""
+    names, order = list(_NEST_KEYS), "ORDER BY o_orderdate, o_orderkey"
+    same = [f"lag({n}) OVER ({order}) IS NOT DISTINCT FROM {n}" for n in names]
+    first = f"lag(o_orderkey) OVER ({order}) IS NULL"
+    brk = [f"CASE WHEN {first} OR NOT ({' AND '.join(same[:i + 1])}) THEN 1 ELSE 0 END AS b_{n}" for i, n in enumerate(names)]
+    run = [f"CAST(SUM(b_{n}) OVER ({order} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS {n}_run" for n in names]
+    cols = [c for n in names for c in (
+        f"{n}_run", f"count(*) OVER (PARTITION BY {n}_run) AS {n}_rows",
+        f"CAST(SUM(amt) OVER (PARTITION BY {n}_run) AS DOUBLE) AS {n}_total")]
+    start = " ".join(f"WHEN b_{n} = 1 THEN {i + 1}" for i, n in enumerate(names))
+    return f"""
+WITH k AS (SELECT o_orderkey, o_orderdate, CAST(o_totalprice AS DECIMAL(18,2)) AS amt,
+                  {", ".join(f"{e} AS {n}" for n, e in _NEST_KEYS.items())} FROM orders),
+b AS (SELECT *, {", ".join(brk)} FROM k),
+r AS (SELECT *, {", ".join(run)} FROM b)
+SELECT o_orderkey, CASE {start} ELSE 0 END AS starts, {", ".join(cols)} FROM r
+"""
+
+
+@report("nested_groups", "B1 B2 B5 B7 Q6", sql=_nested_sql())
+def nested_groups(spark, root):
+    """Documents in date order under four nested report groups (year, month, state, journal
+    kind): each document with the run, row count and total of its group on every level, and the
+    outermost group that starts at it (1 year ... 4 journal kind, 0 none). A new outer group
+    breaks the inner ones; states and journal kinds come back and form new groups each time."""
+    o = Tables(spark, root).orders.select(
+        "o_orderkey", "o_orderdate", dec("o_totalprice").alias("amt"),
+        *[F.expr(e).alias(n) for n, e in _NEST_KEYS.items()])
+    g = nested_breaks(o, [(n, F.col(n)) for n in _NEST_KEYS], ["o_orderdate", "o_orderkey"], [("total", F.col("amt"))])
+    cols = [c for n in _NEST_KEYS for c in (f"{n}_run", f"{n}_rows", F.col(f"{n}_total").cast("double").alias(f"{n}_total"))]
+    return g.select("o_orderkey", "starts", *cols)
+
+
 OPENING = "100.00"
 
 

@@ -14,7 +14,7 @@ from ledgerflow.functions.text import key_after, split_docnum
 from ledgerflow.functions.predicates import in_list
 from ledgerflow.operators.aging import AGE_BUCKETS, bucket_columns
 from ledgerflow.operators.nest import reconcile
-from ledgerflow.operators.pivot import cell, crosstab_totals, wide_pivot
+from ledgerflow.operators.pivot import cell, crosstab_totals, query_pivot, wide_pivot
 from ledgerflow.operators.totals import cross_scalar, stack_metrics, with_total_row
 from ledgerflow.plans.columns import _DOCNUM_SQL, SQL_MARK, docnum
 from ledgerflow.plans.common import SQL_LINE_AMOUNT, STATUS_LABELS, decode, line_amount, sql_decode
@@ -38,6 +38,26 @@ def wide_pivot_sum(spark, root):
     return wide_pivot(Tables(spark, root).lineitem, ["l_orderkey"], "l_returnflag", FLAGS, "l_quantity")
 
 
+# The product classes of the test tables, as the category query finds them.
+CLASS_COLUMNS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+
+
+@report("crosstab_query", "F2 A11 J2 J16 R37", sql=f"""
+SELECT o_orderkey, {", ".join(f"COALESCE(SUM(l_quantity) FILTER (WHERE p_type = '{c}'), 0) AS cant_{c.lower()}" for c in CLASS_COLUMNS)}
+FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey LEFT JOIN part ON l_partkey = p_partkey
+GROUP BY o_orderkey
+""")
+def crosstab_query(spark, root):
+    """Orders with one quantity column per product class, the classes read from the product table
+    in their own order (the crosstab's category query); orders without lines stay with zeros."""
+    t = Tables(spark, root)
+    li = t.lineitem.join(t.part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"), "left")
+    cells = query_pivot(li, ["l_orderkey"], "p_type", F.col("l_quantity"), t.part.select("p_type"),
+                        name=lambda v: f"cant_{v.lower()}")
+    j = t.orders.select("o_orderkey").join(cells, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return j.select("o_orderkey", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in cells.columns[1:]])
+
+
 TIE_BREAK = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
              "l_tax", "l_returnflag", "l_shipdate"]
 

@@ -72,7 +72,7 @@ def test_entry_smoke(spark):
 SCAN_QUERIES = ["running_ledger", "side_running", "numbered_lines", "packing_list", "control_break_runs", "resettable_running",
                 "break_chain_totals", "master_detail_lines", "numeric_text_sort", "control_row_params",
                 "tag_inventory", "accumulator_ledger", "journal_vouchers", "slips_with_detail", "fund_balances",
-                "credit_side_running", "general_ledger"]
+                "credit_side_running", "general_ledger", "nested_groups"]
 
 
 @pytest.mark.parametrize("name", SCAN_QUERIES)

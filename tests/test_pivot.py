@@ -1,6 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
-from ledgerflow.operators.pivot import crosstab_totals, rollup_sets, wide_pivot
+from ledgerflow.operators.pivot import category_ranks, crosstab_totals, query_pivot, rollup_sets, wide_pivot
 
 
 def test_wide_pivot_cells(spark):
@@ -25,3 +26,30 @@ def test_rollup_sets_and_totals(spark):
     grand = [r.v for r in rows if r.gid == 7]
     leaves = [r.v for r in rows if r.gid == 0]
     assert grand == [7] and sum(leaves) == 7
+
+
+def test_crosstab_columns_come_from_the_category_relation(spark):
+    df = spark.createDataFrame([(1, "diesel", 2), (1, "diesel", 3), (1, "super", 1), (2, None, 9), (3, "flete", 4), (None, "super", 6)],
+                               "id int, cat string, v int")
+    cats = [("super", 8), ("diesel", 10), (None, 1), ("super", 11)]
+    get = lambda rows, **kw: query_pivot(df, ["id"], "cat", F.col("v"), spark.createDataFrame(rows, "cat string, pos int"),
+                                         order=["pos"], **kw)
+    got = get(cats)
+    assert got.columns == ["id", "super", "diesel"]                      # ranked by the relation, a repeat counts once
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 1, 5), (2, 0, 0), (3, 0, 0), (None, 6, 0)], key=str)
+    more = get([*cats, ("flete", 9)])                                    # a new category is a new column
+    assert more.columns == ["id", "super", "flete", "diesel"]
+    assert {r["id"]: r["flete"] for r in more.collect()} == {1: 0, 2: 0, 3: 4, None: 0}
+    assert {r["id"]: r["diesel"] for r in get(cats, fill=None).collect()} == {1: 5, 2: None, 3: None, None: None}
+
+
+def test_crosstab_category_bounds(spark):
+    df = spark.createDataFrame([(1, "a", 2), (2, "a", 3)], "id int, cat string, v int")
+    cats = lambda *rows: spark.createDataFrame([(r,) for r in rows], "cat string")
+    assert sorted(query_pivot(df, ["id"], "cat", F.col("v"), cats()).collect()) == [(1,), (2,)]
+    assert query_pivot(df.limit(0), ["id"], "cat", F.col("v"), cats("a")).collect() == []
+    assert category_ranks(cats("b", "a", "b"), "cat") == ["a", "b"]
+    with pytest.raises(ValueError, match="over 2 categories"):
+        query_pivot(df, ["id"], "cat", F.col("v"), cats("a", "b", "c"), max_categories=2)
+    with pytest.raises(ValueError, match="named twice"):
+        query_pivot(df, ["id"], "cat", F.col("v"), cats("a", "A"))

@@ -13,7 +13,7 @@ from ledgerflow.operators import scan
 from ledgerflow.operators.totals import cross_scalar
 from ledgerflow.plans.common import PRIORITY_LABELS, STATUS_LABELS, decode, sql_decode
 from ledgerflow.plans.registry import report
-from ledgerflow.sources import Tables
+from ledgerflow.sources import Tables, values
 
 RANGE_FROM, RANGE_TO = dt.date(1997, 3, 1), dt.date(1999, 6, 30)
 NATIONS = (1, 3, 5, 7, 11, 13, 17, 19, 23)
@@ -152,6 +152,10 @@ def numeric_text_sort(spark, root):
     return d.select("p_partkey", "code", F.col("sort_pos").cast("long").alias("sort_pos"))
 
 
+# Users that are no sellers; the choice whether a sale is on credit.
+SYSTEM_USERS = [6, 1]
+YES_NO = [("si", "Si"), ("no", "No")]
+
 _LISTS_SQL = {
     "pais": "SELECT CAST(n_nationkey AS VARCHAR) AS id, upper(n_name) AS label, CAST(n_regionkey AS VARCHAR) AS parent FROM nation",
     "region": "SELECT CAST(r_regionkey AS VARCHAR), upper(r_name), CAST(NULL AS VARCHAR) FROM region",
@@ -167,6 +171,9 @@ _LISTS_SQL = {
     "documento": "SELECT CAST(o_orderkey AS VARCHAR), CAST(o_orderkey AS VARCHAR), o_orderpriority FROM orders",
     "cheque": ("SELECT CAST(o_orderkey AS VARCHAR), CAST(o_orderkey AS VARCHAR), CAST(c_nationkey AS VARCHAR) "
                "FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'"),
+    "vendedor": ("SELECT CAST(s_suppkey AS VARCHAR), s_name, CAST(NULL AS VARCHAR) "
+                 "FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_suppkey NOT IN (6, 1)"),
+    "credito": "SELECT 'si', 'Si', CAST(NULL AS VARCHAR) UNION SELECT 'no', 'No', CAST(NULL AS VARCHAR)",
 }
 
 
@@ -176,7 +183,8 @@ _LISTS_SQL = {
 def filter_lists(spark, root, names=None, parent=None):
     """Value lists for choice boxes: distinct (id, label) by label, each with the id of the
     list above it for cascading choices (countries of a region, partners of a country, brands
-    of a type, months of a year, documents of a journal, cheques of a bank). ``names`` picks lists, ``parent`` the children of one value."""
+    of a type, months of a year, documents of a journal, cheques of a bank), the
+    sellers that occur on invoice lines, without the system users, and the yes/no list. ``names`` picks lists, ``parent`` the children of one value."""
     t = Tables(spark, root)
     no, text = F.lit(None).cast("string"), lambda c: F.col(c).cast("string")
     year = F.year("o_orderdate").cast("string")
@@ -196,6 +204,9 @@ def filter_lists(spark, root, names=None, parent=None):
     paid = t.orders.where("o_orderstatus = 'F'").join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
     lists |= {"documento": (t.orders, text("o_orderkey"), text("o_orderkey"), F.col("o_orderpriority")),
               "cheque": (paid, text("o_orderkey"), text("o_orderkey"), text("c_nationkey"))}
+    sold = t.lineitem.where(~F.col("l_suppkey").isin(SYSTEM_USERS)).select(F.col("l_suppkey").alias("s_suppkey")).distinct()
+    lists |= {"vendedor": (t.supplier.join(sold, "s_suppkey", "left_semi"), text("s_suppkey"), F.col("s_name"), no),
+              "credito": (values(spark, YES_NO, "id string, label string"), F.col("id"), F.col("label"), no)}
     out = None
     for name, (df, key, label, above) in lists.items():
         if names and name not in names:

@@ -12,7 +12,7 @@ from ledgerflow.functions.money import dec, out, ratio
 from ledgerflow.functions.predicates import date_between, in_list, one_of
 from ledgerflow.functions.text import key_after
 from ledgerflow.functions.words import amount_in_words
-from ledgerflow.operators.nest import exclusive_rows, master_detail, reconcile
+from ledgerflow.operators.nest import exclusive_rows, master_detail
 from ledgerflow.operators.pivot import cell, wide_pivot
 from ledgerflow.plans.columns import _GROUPS_SQL, _MES, _words_sql
 from ledgerflow.plans.common import SQL_LINE_AMOUNT, line_amount
@@ -186,13 +186,50 @@ def slip_reconciliation(spark, root):
     lines = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("concept"),
                               amount.alias("amt"))
     h = t.orders.select("o_orderkey", dec("o_totalprice").alias("declared"))
-    r = reconcile(h, lines, "o_orderkey", "declared", F.col("amt"))
-    c = wide_pivot(lines, ["o_orderkey"], "concept", [(f, f"concept_{f.lower()}") for f in "ANR"], "amt")
-    j = r.join(c, "o_orderkey")
-    return j.select("o_orderkey", "status", *[F.col(f"concept_{f.lower()}").cast("double").alias(f"concept_{f.lower()}")
+    # The detail total is one more aggregate of the same pass over the lines.
+    c = wide_pivot(lines, ["o_orderkey"], "concept", [(f, f"concept_{f.lower()}") for f in "ANR"], "amt",
+                   extra=[F.sum("amt").alias("detail")])
+    j = h.join(c, "o_orderkey")
+    status = F.when(F.col("declared") != F.col("detail"), "Revisar").otherwise("Cuadrada").alias("status")
+    return j.select("o_orderkey", status, *[F.col(f"concept_{f.lower()}").cast("double").alias(f"concept_{f.lower()}")
                                               for f in "ANR"])
 
 
+SC_FROM, SC_TO = dt.date(1995, 1, 1), dt.date(2001, 12, 31)
+# Document types and the three stacked sources, the crosstab's two column groups.
+SLIP_COLUMNS = [(t, c) for t in ("Factura", "Recibo") for c in ("abono", "cuota", "devolucion")]
+
+
+@report("slip_crosstab", "R27 A17 A18 A20 O6 J2 P1 F3", sql="""
+WITH u AS ({union}),
+s AS (SELECT o_orderkey, SUM(CAST(amount AS DECIMAL(18,2))) AS collected, {cells}
+      FROM u GROUP BY o_orderkey)
+SELECT CAST(o_orderdate AS DATE) AS slip_date, o.o_orderkey, c_name AS client, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS deposited,
+       CASE WHEN CAST(o_totalprice AS DECIMAL(18,2)) <> collected THEN 'requiere revision' ELSE 'cuadrado' END AS validation,
+       {out}
+FROM orders o JOIN s ON s.o_orderkey = o.o_orderkey LEFT JOIN customer ON o_custkey = c_custkey
+WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '{lo}' AND DATE '{hi}'
+""".format(union=_union_sql(), lo=SC_FROM, hi=SC_TO,
+           cells=", ".join(f"SUM(CAST(amount AS DECIMAL(18,2))) FILTER (WHERE doc_type = '{t}' AND source = '{c}') AS {t.lower()}_{c}"
+                           for t, c in SLIP_COLUMNS),
+           out=", ".join(f"CAST({t.lower()}_{c} AS DOUBLE) AS {t.lower()}_{c}" for t, c in SLIP_COLUMNS)))
+def slip_crosstab(spark, root, start=SC_FROM, end=SC_TO):
+    """Deposit slips of a period as a crosstab with two column groups: per slip (date, number,
+    client, deposited amount, whether it equals what was collected) the amounts by document type
+    and, inside it, by concept; a cell without lines is NULL. Slips without lines do not appear."""
+    t = Tables(spark, root)
+    u = union_branches(spark, root).withColumn("amount", dec("amount"))
+    pair = F.concat_ws("/", "doc_type", "source")
+    s = wide_pivot(u, ["o_orderkey"], pair, [(f"{t}/{c}", f"{t.lower()}_{c}") for t, c in SLIP_COLUMNS], "amount", fill=None,
+                   extra=[F.sum("amount").alias("collected")])
+    slips = t.orders.where(date_between("o_orderdate", start, end)).select(
+        "o_orderkey", "o_custkey", as_date("o_orderdate").alias("slip_date"), dec("o_totalprice").alias("deposited"))
+    j = slips.join(s, "o_orderkey").join(t.customer, F.col("o_custkey") == F.col("c_custkey"), "left")
+    return j.select("slip_date", "o_orderkey", F.col("c_name").alias("client"), F.col("deposited").cast("double").alias("deposited"),
+                    F.when(F.col("deposited") != F.col("collected"), "requiere revision").otherwise("cuadrado").alias("validation"),
+                    *[F.col(f"{t.lower()}_{c}").cast("double").alias(f"{t.lower()}_{c}") for t, c in SLIP_COLUMNS])
+
+
 @report("fund_balances", "R34 S1 O1 J18", sql=f"""
 SELECT s_suppkey, s_name, CAST(CAST(s_acctbal AS DECIMAL(18,2)) AS DOUBLE) AS balance, l_orderkey,
        CASE WHEN l_suppkey IS NULL THEN NULL
@@ -469,3 +506,39 @@ def payment_vouchers(spark, root, start=PV_FROM, end=PV_TO, nation_id=PV_NATION_
         "o_orderkey", F.concat("s_name", F.lit(" / "), F.col("l_suppkey").cast("string")).alias("supplier"),
         F.col("invoice_amount").cast("double").alias("invoice_amount"),
         F.col("voucher_total").cast("double").alias("voucher_total"))
+
+
+SV_NUMBER, SV_NAME = 0, "PAGO/1997"
+
+
+@report("settlement_vouchers", "R10 J1 J2 J6 P4 E15 O1", sql=f"""
+WITH pay AS (SELECT o_orderkey AS check_number, o_custkey, o_orderdate, o_totalprice,
+                    'PAGO/' || CAST(year(o_orderdate) AS VARCHAR) AS name,
+                    'LIQ-' || CAST(year(o_orderdate) * 100 + month(o_orderdate) AS VARCHAR) || '/' || o_orderpriority AS settlement
+             FROM orders WHERE o_orderstatus = 'F')
+SELECT check_number, CAST(o_orderdate AS DATE) AS payment_date, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS amount,
+       r_name AS company, n_name AS company_ref, c_name AS provider, name, settlement,
+       CAST(o_orderdate AS DATE) AS invoice_date, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS invoice_total
+FROM pay JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+WHERE settlement IS NOT NULL AND CASE WHEN {SV_NUMBER} <> 0 THEN check_number = {SV_NUMBER} ELSE name = '{SV_NAME}' END
+ORDER BY check_number
+""")
+def settlement_vouchers(spark, root, number=SV_NUMBER, name=SV_NAME):
+    """Vouchers of payments that close a settlement, by cheque number when it is given and
+    non-zero, else by the payment's name: company with its reference, provider, cheque and the
+    settlement in place of the invoice, whose date and total are the payment's own. In cheque
+    order. Payments without a settlement (here: without a journal) do not appear."""
+    t = Tables(spark, root)
+    period = (F.year("o_orderdate") * 100 + F.month("o_orderdate")).cast("string")
+    pay = t.orders.where((F.col("o_orderstatus") == "F") & F.col("o_orderpriority").isNotNull()).select(
+        F.col("o_orderkey").alias("check_number"), "o_custkey", as_date("o_orderdate").alias("payment_date"),
+        dec("o_totalprice").cast("double").alias("amount"),
+        F.concat(F.lit("PAGO/"), F.year("o_orderdate").cast("string")).alias("name"),
+        F.concat(F.lit("LIQ-"), period, F.lit("/"), "o_orderpriority").alias("settlement"))
+    pay = pay.where(one_of("check_number", number, "name", name))
+    j = (pay.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+            .join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+            .join(t.region, F.col("n_regionkey") == F.col("r_regionkey")))
+    return j.select("check_number", "payment_date", "amount", F.col("r_name").alias("company"), F.col("n_name").alias("company_ref"),
+                    F.col("c_name").alias("provider"), "name", "settlement", F.col("payment_date").alias("invoice_date"),
+                    F.col("amount").alias("invoice_total")).orderBy("check_number")

@@ -79,7 +79,36 @@ def test_month_value_runs_over_months(spark, tmp_path):
     assert got == {2: (10.0, 11.0, 9.0, 14.0), 3: (6.0, 11.0, 9.0, 14.0), 4: (3.0, 3.0, 9.0, 14.0)}
 
 
+def test_settlements_by_number_else_by_name(spark):
+    build, root = REGISTRY["settlement_vouchers"].build, "/root/testdata/sf0.001"
+    by_name = build(spark, root).collect()
+    assert len(by_name) > 1 and {r["name"] for r in by_name} == {"PAGO/1997"}
+    assert [r["check_number"] for r in by_name] == sorted(r["check_number"] for r in by_name)
+    one = by_name[-1]
+    assert build(spark, root, number=one["check_number"], name="none").collect() == [one]
+    assert build(spark, root, number=None, name="none").collect() == []
+
+
+def test_slip_crosstab_cells_add_up(spark):
+    rows = REGISTRY["slip_crosstab"].build(spark, "/root/testdata/sf0.001").collect()
+    cells = [c for c in rows[0].asDict() if c.startswith(("factura_", "recibo_"))]
+    assert len(cells) == 6
+    for r in rows:
+        total = sum(r[c] or 0 for c in cells)
+        assert (r["validation"] == "cuadrado") == (abs(total - r["deposited"]) < 0.005)
+    assert {r["validation"] for r in rows} == {"cuadrado", "requiere revision"}
+
+
+def test_stored_openings_kept_between_runs(spark, tmp_path):
+    build, root = REGISTRY["stored_openings"].build, "/root/testdata/sf0.001"
+    store = str(tmp_path / "store")
+    first = sorted(build(spark, root, store=store).collect())
+    assert first == sorted(build(spark, root, store=store).collect()) == sorted(build(spark, root).collect())
+    assert len(list((tmp_path / "store" / "manifest").iterdir())) == 1                 # nothing changed, nothing written
+
+
 SORTED = {
+    "settlement_vouchers": ["check_number"],
     "journal_lines": ["o_orderkey", "l_linenumber", "l_partkey", "debit", "credit"],
     "cheque_lines": ["o_orderkey", "l_linenumber", "l_partkey", "debit", "credit"],
     "filter_lists": ["list", "label", "id"],

@@ -13,6 +13,7 @@ from ledgerflow.functions.dates import as_date, prev_month_end
 from ledgerflow.functions.money import dec
 from ledgerflow.operators import scan
 from ledgerflow.operators.bands import with_breaks
+from ledgerflow.operators.breaks import Level, nested_breaks
 from ledgerflow.operators.pivot import crosstab_totals
 from ledgerflow.operators.spread import join_per_key
 from ledgerflow.operators.totals import cross_scalar
@@ -278,27 +279,24 @@ def accumulator_ledger(spark, root, start=AL_FROM, end=AL_TO):
                    .select(*AL_ORDER, signed_amount().alias("x")))
     by, zero = ["l_partkey"], F.lit(0)
     m = join_per_key(m, op, by, "left").withColumn("opening", F.coalesce("opening", F.lit(0)))
-    chunks = scan.chunk_by_range(m, by, AL_ORDER)
-    c = scan.scan_all(chunks, by, AL_ORDER, [
-        ("prev_x", "lag", F.col("x")), ("_S", "sum", F.col("x")), ("group_debit", "total", F.greatest("x", zero)),
-        ("group_credit", "total", F.greatest(-F.col("x"), zero)), ("_movement", "total", F.col("x"))])
-    c = c.withColumn("group_year", F.col("opening") + F.col("_movement"))
-    restart = F.coalesce(F.col("prev_x"), F.lit(0)) == 0
-    s = scan.scan_all(c, by, AL_ORDER, [("_rb", "last", F.when(restart, F.col("_S") - F.col("x")))])
-    acc = chunks.groupBy("l_partkey").agg(F.sum(F.greatest("x", zero)).alias("group_debit"),
-                                          F.sum(F.greatest(-F.col("x"), zero)).alias("group_credit"),
-                                          (F.first("opening") + F.sum("x")).alias("group_year"))
-    totals = acc.agg(F.sum("group_debit").alias("total_debit"), F.sum("group_credit").alias("total_credit"),
-                     F.sum("group_year").alias("total_year"))
-    c = cross_scalar(s, totals)
+    # One pass: the account's rows, and inside them the stretches between two restarts.
+    levels = [Level("acc", F.col("l_partkey"), running=True), Level("year", after=F.coalesce("x", zero) == 0, running=True)]
+    c = nested_breaks(m, levels, ["l_partkey", *[x for x in AL_ORDER if x != "l_partkey"]],
+                      [("x", F.col("x")), ("debit", F.greatest("x", zero)), ("credit", F.greatest(-F.col("x"), zero))],
+                      [("prev_x", F.col("x"), "acc")])
+    c = c.withColumnsRenamed({"acc_debit": "group_debit", "acc_credit": "group_credit"}) \
+         .withColumn("group_year", F.col("opening") + F.col("acc_x"))
+    totals = c.where(F.col("starts") == 1).agg(               # each account once, at its first line
+        F.sum("group_debit").alias("total_debit"), F.sum("group_credit").alias("total_credit"), F.sum("group_year").alias("total_year"))
+    c = cross_scalar(c, totals)
     sums = {"group_debit": F.col("group_debit"), "group_credit": F.col("group_credit"),
             "group_month": F.col("group_debit") - F.col("group_credit"), "group_year": F.col("group_year"),
             "total_debit": F.col("total_debit"), "total_credit": F.col("total_credit"),
             "total_month": F.col("total_debit") - F.col("total_credit"), "total_year": F.col("total_year")}
     return c.select("l_partkey", "l_orderkey", "l_linenumber", F.col("x").cast("double").alias("x"),
                     F.col("prev_x").cast("double").alias("prev_x"),
-                    F.col("_S").cast("double").alias("month_value"),
-                    (F.col("opening") + F.col("_S") - F.col("_rb")).cast("double").alias("year_value"),
+                    F.col("acc_x_running").cast("double").alias("month_value"),
+                    (F.col("opening") + F.col("year_x_running")).cast("double").alias("year_value"),
                     F.col("opening").cast("double").alias("opening"), *[v.cast("double").alias(k) for k, v in sums.items()])
 
 

@@ -20,7 +20,7 @@ from ledgerflow.operators import scan
 from ledgerflow.operators.spread import join_per_key
 from ledgerflow.operators.balances import month_spine
 from ledgerflow.operators.bands import with_breaks
-from ledgerflow.operators.breaks import nested_breaks
+from ledgerflow.operators.breaks import Level, nested_breaks
 from ledgerflow.plans.common import SQL_SIGNED, signed_amount
 from ledgerflow.plans.registry import report
 from ledgerflow.session import ensure_checkpoint_dir
@@ -258,24 +258,12 @@ def control_break_runs(spark, root):
     gets its group number, the group's size and total (shown before the group ends) and the
     running total inside the group.
 
-    Three scan rounds over one chunking: (previous state, running sum S), then (group number,
-    S just before the group's first row), then the totals of a group; the in-group running
-    total is a difference. Group numbers rise with the order, so the chunks serve them too.
-    """
+    One pass: runs, totals and running sums come from the same windows and one summary."""
     o = Tables(spark, root).orders.select("o_orderkey", "o_orderdate", "o_orderstatus", dec("o_totalprice").alias("amt"))
-    order = ["o_orderdate", "o_orderkey"]
-    d = scan.chunk_by_range(o, [], order)
-    d = scan.scan_all(d, [], order, [("_prev", "lag", F.col("o_orderstatus")), ("_S", "sum", F.col("amt"))])
-    d = d.withColumn("_start", (~F.col("_prev").eqNullSafe(F.col("o_orderstatus"))).cast("int"))
-    d = scan.scan_all(d, [], order, [("run_id", "sum", F.col("_start")),
-                                     ("_base", "last", F.when(F.col("_start") == 1, F.col("_S") - F.col("amt")))])
-    r = d.select(scan.CHUNK, *order, "o_orderstatus", F.col("run_id").cast("long").alias("run_id"), "amt",
-                 (F.col("_S") - F.col("_base")).alias("running_in_run"))
-    r = r.checkpoint(eager=True)          # read by the windows and for the summary
-    j = scan.scan_all(r, ["run_id"], order, [("run_rows", "total", F.lit(1)), ("run_total", "total", F.col("amt"))])
-    return j.select("o_orderkey", "o_orderstatus", "run_id", "run_rows",
+    r = nested_breaks(o, [Level("run", F.col("o_orderstatus"), running=True)], ["o_orderdate", "o_orderkey"], [("total", F.col("amt"))])
+    return r.select("o_orderkey", "o_orderstatus", F.col("run_run").alias("run_id"), "run_rows",
                     F.col("run_total").cast("double").alias("run_total"),
-                    F.col("running_in_run").cast("double").alias("running_in_run"))
+                    F.col("run_total_running").cast("double").alias("running_in_run"))
 
 
 _NEST_KEYS = {"anio": "year(o_orderdate)", "mes": "month(o_orderdate)", "estado": "o_orderstatus", "diario": "o_orderpriority"}
@@ -339,20 +327,13 @@ def resettable_running(spark, root, opening=OPENING):
         "event_id", "user_id", "ts",
         F.when(F.col("event_type") == "error", F.lit(0).cast("decimal(18,2)")).otherwise(dec("value")).alias("x"),
         F.trunc(as_date("ts"), "MM").alias("month"))
-    by, order = ["user_id"], ["ts", "event_id"]
-    c = scan.chunk_by_range(e, by, order)
-    # round 1: previous movement, previous month, running sum S per user
-    c = scan.scan_all(c, by, order, [("prev_x", "lag", F.col("x")), ("_pm", "lag", F.col("month")),
-                                     ("_S", "sum", F.col("x"))])
-    restart = F.coalesce(F.col("prev_x"), F.lit(0)) == 0
-    new_month = ~F.col("_pm").eqNullSafe(F.col("month"))
-    # round 2: S just before the last restart and just before the month's first row
-    c = scan.scan_all(c, by, order, [("_rb", "last", F.when(restart, F.col("_S") - F.col("x"))),
-                                     ("_mb", "last", F.when(new_month, F.col("_S") - F.col("x")))])
-    c = c.withColumn("acc", F.lit(opening).cast("decimal(18,2)") + F.col("_S") - F.col("_rb")) \
-         .withColumn("mtd", F.col("_S") - F.col("_mb"))
+    # One pass: the user's rows, the months in them, and the stretches between two restarts.
+    levels = [Level("user", F.col("user_id")), Level("mon", F.col("month"), inside=["user"], running=True),
+              Level("acc", after=F.coalesce(F.col("x"), F.lit(0)) == 0, inside=["user"], running=True)]
+    c = nested_breaks(e, levels, ["user_id", "ts", "event_id"], [("x", F.col("x"))], [("prev_x", F.col("x"), "user")])
     return c.select("event_id", "user_id", F.col("x").cast("double").alias("x"), F.col("prev_x").cast("double").alias("prev_x"),
-                    F.col("mtd").cast("double").alias("mtd"), F.col("acc").cast("double").alias("acc"))
+                    F.col("mon_x_running").cast("double").alias("mtd"),
+                    (F.lit(opening).cast("decimal(18,2)") + F.col("acc_x_running")).cast("double").alias("acc"))
 
 
 SEED = "1000.00"

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerflow.operators.breaks import nested_breaks
+from ledgerflow.operators.breaks import Level, nested_breaks
 
 NAMES = ["a", "b", "c", "d"]
 
@@ -69,3 +69,32 @@ def test_an_outer_break_breaks_equal_inner_keys(spark):
 def test_clashing_columns_are_refused(spark):
     with pytest.raises(ValueError, match="a_run"):
         nested_breaks(spark.createDataFrame([(1, 2)], "i int, a_run int"), [("a", F.col("i"))], ["i"])
+
+
+def _accumulators(rows):
+    """Running sums by a row loop: one in each (k, month), one that restarts after a 0 or missing value."""
+    out, prev, month, mtd, acc = {}, None, None, None, None
+    add = lambda a, b: b if a is None else a if b is None else a + b
+    for i, k, m, x in sorted(rows):
+        new = prev is None or prev[0] != k
+        mtd = add(None if new or m != month else mtd, x)
+        acc = add(None if new or not prev[1] else acc, x)
+        out[i] = (None if new else prev[1], mtd, acc)
+        prev, month = (k, x), m
+    return out
+
+
+@pytest.mark.parametrize("chunks", [1, 5, 29])
+def test_resettable_accumulators_equal_a_row_loop(spark, chunks):
+    rnd = random.Random(chunks)
+    rows, m = [], 1
+    for i in range(200):
+        m = m + 1 if rnd.random() < .1 else m
+        rows.append((i, None if i < 20 else "hot" if i < 150 else "z", m, rnd.choice([None, 0, 2, 3, 5, -1, 7, 9])))
+    df = spark.createDataFrame(rows, "i int, k string, m int, x int")
+    levels = [Level("k", F.col("k")), Level("mon", F.col("m"), inside=["k"], running=True),
+              Level("acc", after=F.coalesce("x", F.lit(0)) == 0, inside=["k"], running=True)]
+    g = nested_breaks(df.withColumnRenamed("k", "key").withColumnRenamed("m", "month"),
+                      [Level(x.name, {"k": F.col("key"), "mon": F.col("month")}.get(x.name), x.after, x.inside, x.running) for x in levels],
+                      ["i"], [("x", F.col("x"))], [("prev_x", F.col("x"), "k")], num_chunks=chunks)
+    assert {r.i: (r.prev_x, r.mon_x_running, r.acc_x_running) for r in g.collect()} == _accumulators(rows)

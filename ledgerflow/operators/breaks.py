@@ -30,13 +30,15 @@ START = "starts"
 class Level:
     """One report group. It breaks where ``key`` changes, after each row where ``after`` is true,
     and with every level that it lies ``inside`` (by name; None: all levels listed before it).
-    ``running`` adds the running sums inside its runs."""
+    ``running`` adds the running sums inside its runs, ``totals=False`` leaves out its rows and
+    totals: levels that only restart a sum need none, and a level without both needs no sort."""
 
     name: str
     key: Column | None = None
     after: Column | None = None
     inside: Sequence[str] | None = None
     running: bool = False
+    totals: bool = True
 
 
 def _breaks(level: Level, levels: Sequence[Level], prev: Column, cur: Column) -> Column:
@@ -76,7 +78,7 @@ def nested_breaks(df: DataFrame, levels: Sequence[Level | tuple[str, Column]], o
     at_level = {x.name: i for i, x in enumerate(levels)}
     sums = [("rows", F.lit(1).cast("long")), *measures]
     src = df.columns
-    new = [f"{x.name}_{m}" for x in levels for m in ["run", *[n for n, _ in sums]]] + [START] + [p[0] for p in previous]
+    new = [f"{x.name}_{m}" for x in levels for m in ["run", *[n for n, _ in sums if x.totals]]] + [START] + [p[0] for p in previous]
     new += [f"{x.name}_{m}_running" for x in levels if x.running for m, _ in measures]
     if clash := sorted(set(new) & set(src)):
         raise ValueError(f"columns {clash} exist already")
@@ -98,7 +100,8 @@ def nested_breaks(df: DataFrame, levels: Sequence[Level | tuple[str, Column]], o
         run = Window.partitionBy(CHUNK, f"_r{i}").orderBy(*order)
         whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         for m in range(len(sums)):
-            d = d.withColumn(f"_t{i}_{m}", F.sum(f"_m{m}").over(whole))
+            if x.totals:
+                d = d.withColumn(f"_t{i}_{m}", F.sum(f"_m{m}").over(whole))
             if x.running and m:
                 d = d.withColumn(f"_u{i}_{m}", F.sum(f"_m{m}").over(run.rowsBetween(Window.unboundedPreceding, 0)))
     for i, (_, _, name) in enumerate(previous):
@@ -112,8 +115,9 @@ def nested_breaks(df: DataFrame, levels: Sequence[Level | tuple[str, Column]], o
         r = F.col(f"_r{i}")
         out.append((F.col(f"_off{i}") + r).alias(f"{x.name}_run"))
         for m, (label, _) in enumerate(sums):
-            out.append(F.when(r == 0, F.col(f"_f{i}.s{m}")).when(r == F.col(f"_last{i}"), F.col(f"_l{i}.s{m}"))
-                        .otherwise(F.col(f"_t{i}_{m}")).alias(f"{x.name}_{label}"))
+            if x.totals:
+                out.append(F.when(r == 0, F.col(f"_f{i}.s{m}")).when(r == F.col(f"_last{i}"), F.col(f"_l{i}.s{m}"))
+                            .otherwise(F.col(f"_t{i}_{m}")).alias(f"{x.name}_{label}"))
             if x.running and m:
                 local = F.col(f"_u{i}_{m}")
                 out.append(F.when(r == 0, _plus(F.col(f"_f{i}.c{m}"), local)).otherwise(local).alias(f"{x.name}_{label}_running"))
@@ -125,7 +129,9 @@ def _summary(d: DataFrame, levels: Sequence[Level], n_sums: int, previous: Seque
     """One row a chunk: what its first row starts, the runs before it, the whole totals of its
     first and its last run of every level, and what the first run has summed in earlier chunks."""
     every = range(len(levels))
-    edge = F.struct("_keys", *[f"_r{i}" for i in every], *[f"_t{i}_{m}" for i in every for m in range(n_sums)])
+    summed = [i for i in every if levels[i].totals or levels[i].running]
+    local = {(i, m): f"_t{i}_{m}" if levels[i].totals else f"_u{i}_{m}" for i in summed for m in range(n_sums) if m or levels[i].totals}
+    edge = F.struct("_keys", *[f"_r{i}" for i in every], *local.values())
     per = d.where(F.col("_begin") | F.col("_end")).groupBy(CHUNK).agg(
         F.max(F.when(F.col("_begin"), edge)).alias("f"), F.max(F.when(F.col("_end"), edge)).alias("l"))
     w = Window.orderBy(CHUNK)
@@ -138,20 +144,28 @@ def _summary(d: DataFrame, levels: Sequence[Level], n_sums: int, previous: Seque
         per = per.withColumn(f"_off{i}", F.sum(F.col(f"_n{i}").cast("long")).over(upto)
                              + F.coalesce(F.sum(F.col(f"l._r{i}")).over(before), F.lit(0)))
     entries = []
-    for i in every:
+    for i in summed:
         for side in "fl":
             run = F.col(f"_off{i}") + F.col(f"{side}._r{i}")
-            sums = [F.col(f"{side}._t{i}_{m}").alias(f"s{m}") for m in range(n_sums)]
+            if levels[i].totals:
+                sums = [F.col(f"{side}.{local[i, m]}").alias(f"s{m}") for m in range(n_sums)]
+            else:       # at the last row the running sum is the run's; later chunks need no other run
+                sums = [F.lit(None).cast("long").alias("s0")]
+                for m in range(1, n_sums):
+                    at_end = F.col(f"l.{local[i, m]}")
+                    sums.append((at_end if side == "l" else F.when(F.col(f"l._r{i}") == 0, at_end)).alias(f"s{m}"))
             entry = F.struct(F.lit(i).alias("level"), F.lit(side).alias("side"), run.alias("run"), *sums)
             # A chunk of one run has it at both edges: counted once, found from the first edge.
             entries.append(entry if side == "f" else F.when(F.col(f"l._r{i}") > 0, entry))
+    keep = per.select(CHUNK, "_brk", *[c for i in every for c in (F.col(f"_off{i}"), F.col(f"l._r{i}").alias(f"_last{i}"))],
+                      *[F.when(~F.col(f"_n{lv}"), F.col("_prev").getField(f"p_{i}")).alias(f"_q{i}") for i, lv in enumerate(previous)])
+    if not summed:
+        return keep
     e = per.select(CHUNK, F.explode(F.array(*entries)).alias("e")).where("e IS NOT NULL").select(CHUNK, "e.*")
     run = Window.partitionBy("level", "run").orderBy(CHUNK)
     whole, earlier = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), run.rowsBetween(Window.unboundedPreceding, -1)
     cells = [c for m in range(n_sums) for c in (F.sum(f"s{m}").over(whole).alias(f"s{m}"), F.sum(f"s{m}").over(earlier).alias(f"c{m}"))]
     e = e.select(CHUNK, "level", "side", F.struct(*cells).alias("t"))
     totals = e.groupBy(CHUNK).agg(*[F.max(F.when((F.col("level") == i) & (F.col("side") == side), F.col("t"))).alias(f"_{side}{i}")
-                                    for i in every for side in "fl"])
-    keep = per.select(CHUNK, "_brk", *[c for i in every for c in (F.col(f"_off{i}"), F.col(f"l._r{i}").alias(f"_last{i}"))],
-                      *[F.when(~F.col(f"_n{lv}"), F.col("_prev").getField(f"p_{i}")).alias(f"_q{i}") for i, lv in enumerate(previous)])
+                                    for i in summed for side in "fl"])
     return keep.join(totals, CHUNK)

@@ -280,7 +280,7 @@ def accumulator_ledger(spark, root, start=AL_FROM, end=AL_TO):
     by, zero = ["l_partkey"], F.lit(0)
     m = join_per_key(m, op, by, "left").withColumn("opening", F.coalesce("opening", F.lit(0)))
     # One pass: the account's rows, and inside them the stretches between two restarts.
-    levels = [Level("acc", F.col("l_partkey"), running=True), Level("year", after=F.coalesce("x", zero) == 0, running=True)]
+    levels = [Level("acc", F.col("l_partkey"), running=True), Level("year", after=F.coalesce("x", zero) == 0, running=True, totals=False)]
     c = nested_breaks(m, levels, ["l_partkey", *[x for x in AL_ORDER if x != "l_partkey"]],
                       [("x", F.col("x")), ("debit", F.greatest("x", zero)), ("credit", F.greatest(-F.col("x"), zero))],
                       [("prev_x", F.col("x"), "acc")])

@@ -328,8 +328,9 @@ def resettable_running(spark, root, opening=OPENING):
         F.when(F.col("event_type") == "error", F.lit(0).cast("decimal(18,2)")).otherwise(dec("value")).alias("x"),
         F.trunc(as_date("ts"), "MM").alias("month"))
     # One pass: the user's rows, the months in them, and the stretches between two restarts.
-    levels = [Level("user", F.col("user_id")), Level("mon", F.col("month"), inside=["user"], running=True),
-              Level("acc", after=F.coalesce(F.col("x"), F.lit(0)) == 0, inside=["user"], running=True)]
+    levels = [Level("user", F.col("user_id"), totals=False),
+              Level("mon", F.col("month"), inside=["user"], running=True, totals=False),
+              Level("acc", after=F.coalesce(F.col("x"), F.lit(0)) == 0, inside=["user"], running=True, totals=False)]
     c = nested_breaks(e, levels, ["user_id", "ts", "event_id"], [("x", F.col("x"))], [("prev_x", F.col("x"), "user")])
     return c.select("event_id", "user_id", F.col("x").cast("double").alias("x"), F.col("prev_x").cast("double").alias("prev_x"),
                     F.col("mon_x_running").cast("double").alias("mtd"),

@@ -84,17 +84,22 @@ def _accumulators(rows):
     return out
 
 
-@pytest.mark.parametrize("chunks", [1, 5, 29])
-def test_resettable_accumulators_equal_a_row_loop(spark, chunks):
+@pytest.mark.parametrize("chunks, totals", [(1, False), (5, True), (8, False), (29, False)])
+def test_resettable_accumulators_equal_a_row_loop(spark, chunks, totals):
     rnd = random.Random(chunks)
     rows, m = [], 1
     for i in range(200):
         m = m + 1 if rnd.random() < .1 else m
         rows.append((i, None if i < 20 else "hot" if i < 150 else "z", m, rnd.choice([None, 0, 2, 3, 5, -1, 7, 9])))
-    df = spark.createDataFrame(rows, "i int, k string, m int, x int")
-    levels = [Level("k", F.col("k")), Level("mon", F.col("m"), inside=["k"], running=True),
-              Level("acc", after=F.coalesce("x", F.lit(0)) == 0, inside=["k"], running=True)]
-    g = nested_breaks(df.withColumnRenamed("k", "key").withColumnRenamed("m", "month"),
-                      [Level(x.name, {"k": F.col("key"), "mon": F.col("month")}.get(x.name), x.after, x.inside, x.running) for x in levels],
-                      ["i"], [("x", F.col("x"))], [("prev_x", F.col("x"), "k")], num_chunks=chunks)
+    df = spark.createDataFrame(rows, "i int, key string, month int, x int")
+    levels = [Level("k", F.col("key"), totals=totals), Level("mon", F.col("month"), inside=["k"], running=True, totals=totals),
+              Level("acc", after=F.coalesce("x", F.lit(0)) == 0, inside=["k"], running=True, totals=totals)]
+    g = nested_breaks(df, levels, ["i"], [("x", F.col("x"))], [("prev_x", F.col("x"), "k")], num_chunks=chunks)
+    assert ("acc_x" in g.columns) == totals
     assert {r.i: (r.prev_x, r.mon_x_running, r.acc_x_running) for r in g.collect()} == _accumulators(rows)
+
+
+def test_runs_alone_need_no_sums(spark):
+    df = spark.createDataFrame([(i, i // 7) for i in range(40)], "i int, v int")
+    g = nested_breaks(df, [Level("a", F.col("v"), totals=False)], ["i"], num_chunks=6)
+    assert sorted((r.i, r.starts, r.a_run) for r in g.collect()) == [(i, int(i % 7 == 0), i // 7 + 1) for i in range(40)]

@@ -1,11 +1,10 @@
-"""Ledger balances: month spine, opening balances, running ledgers."""
+"""Ledger balances: the month spine."""
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.operators.totals import cross_scalar
@@ -27,10 +26,3 @@ def month_spine(keys: DataFrame, dates: DataFrame, start: dt.date | None = None,
     months = F.when(lo <= hi, F.sequence(lo, hi, F.expr("interval 1 month")))
     rows = keys if start and end else cross_scalar(keys, span)
     return rows.withColumn(month_col, F.explode(months)).select(*keys.columns, month_col)
-
-
-def opening_balance(lines: DataFrame, keys: Sequence[str], date_col: str, amount: Column,
-                    start: dt.date, out: str = "opening") -> DataFrame:
-    """Sum of ``amount`` strictly before ``start`` per key (one partial+final aggregation)."""
-    return (lines.where(F.col(date_col) < F.lit(start))
-                 .groupBy(*keys).agg(F.sum(amount).alias(out)))

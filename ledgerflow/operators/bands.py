@@ -1,9 +1,8 @@
-"""Report calculations over ordered rows: control breaks, group totals, accumulators.
+"""Report calculations over ordered rows: control breaks, accumulators.
 
 A report group starts a new instance whenever its key differs from the row before, so
 with rows not sorted by the key one key can form several groups (runs). ``with_breaks``
-numbers these runs; ``group_totals`` is the plain per-key aggregate for the case the
-report meant to group. Running values use ``operators.scan`` (skew-safe chunked scans)
+numbers these runs. Running values use ``operators.scan`` (skew-safe chunked scans)
 unless the caller states that the partition key is small (``plain=True``).
 """
 
@@ -42,19 +41,6 @@ def with_breaks(df: DataFrame, keys: Sequence[str], order: Sequence, by: Sequenc
     return d if keep_chunk else d.drop(scan.CHUNK)
 
 
-def run_total(col: Column, part: Sequence[str]) -> Column:
-    """Deferred total: the whole group's sum shown on each of its rows."""
-    return F.sum(col).over(Window.partitionBy(*part))
-
-
-def running(col: Column, part: Sequence[str], order: Sequence, frame: str = "rows") -> Column:
-    """Running sum within a small partition (plain window)."""
-    w = Window.partitionBy(*part).orderBy(*order)
-    w = (w.rowsBetween(Window.unboundedPreceding, Window.currentRow) if frame == "rows"
-         else w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    return F.sum(col).over(w)
-
-
 def resettable_running(df: DataFrame, value: str, by: Sequence[str], order: Sequence,
                        opening: Column, out: str = "acc", prev_out: str | None = None,
                        chunked: bool = False) -> DataFrame:
@@ -74,8 +60,3 @@ def resettable_running(df: DataFrame, value: str, by: Sequence[str], order: Sequ
         d = d.withColumnRenamed("_prevx", prev_out)
     d = d.drop("_prevx", "_S", "_restart", "_base")
     return d if chunked else d.drop(scan.CHUNK)
-
-
-def group_totals(df: DataFrame, keys: Sequence, measures: Sequence[Column]) -> DataFrame:
-    """Totals per key (key semantics, independent of row order)."""
-    return df.groupBy(*keys).agg(*measures)

@@ -8,11 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def grand_total(grouped: DataFrame, measures: dict[str, Column]) -> DataFrame:
-    """One-row totals computed from an already aggregated frame (no second scan of the facts)."""
-    return grouped.agg(*[c.alias(n) for n, c in measures.items()])
-
-
 def with_total_row(grouped: DataFrame, label_col: str, label: str, totals: DataFrame) -> DataFrame:
     """Append ``totals`` (one row) under ``grouped``, labelled ``label``; columns by name."""
     t = totals.withColumn(label_col, F.lit(label))

@@ -12,7 +12,8 @@ so a lost task is simply run again.
 Token ids are those of the vocabulary's byte-level BPE. Very long texts are encoded in parts,
 cut in front of a single space between words, where pre-tokenisation always ends a piece. Long
 white-space runs, which would exhaust the pattern's stack, are pieces of their own: all but the
-last character of a run, or all of it at the end of the text.
+last character of a run, or all of it at the end of the text. Markers (text that a vocabulary gives
+an id of its own) are ordinary text unless they are named; named ones part the text they stand in.
 
 Defined results: null text is the empty text, whose one token is the end mark; repeated rows
 are packed as often as they come; rows without an id are packed with a null id; an empty table
@@ -22,6 +23,7 @@ gives no rows; other columns are not read.
 from __future__ import annotations
 
 import base64
+import json
 import re
 from collections.abc import Iterator
 
@@ -40,28 +42,47 @@ RUN = 1 << 16               # white-space characters in a row from which a run i
 PART = 1 << 20              # code points encoded at a time, up to the next safe cut
 WINDOW = 2_048              # pieces that are packed together
 END = 0                     # the id behind each document
-RANKS = "byte_bpe_50k.tiktoken"      # the vocabulary of byte_bpe_50k.json as ranks
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = "byte_bpe_50k.tiktoken"      # the same vocabulary as ranks
+
+
+def markers_of(vocabulary: str) -> dict[str, int]:
+    """The markers of a JSON vocabulary, as its tokenizer finds them in a plain call."""
+    with open(vocabulary, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(a["single_word"] or a["lstrip"] or a["rstrip"] for a in added):
+        raise ValueError("markers that take in their surroundings")
+    return {a["content"]: a["id"] for a in added}
 
 
 class Tokens:
     """Token ids of texts; long texts in parts, which bounds the memory of an encoding."""
 
-    def __init__(self, ranks: str):
+    def __init__(self, ranks: str, markers: dict[str, int] | None = None):
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode, self.encode_run = (
             tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_to_numpy
             for name, pattern in (("ranks", public_tokenizers.PATTERN), ("runs", r"\s+")))
         self.runs = re.compile(rf"(?<![{WHITE}])[{WHITE}]{{{RUN},}}")
+        self.markers = markers or {}
+        self.marked = re.compile("|".join(map(re.escape, sorted(self.markers, key=len, reverse=True))))
 
     def ids(self, text: str) -> np.ndarray:
         """The ids of ``text`` and the end mark."""
+        parts, lo = [], 0
+        for mark in self.marked.finditer(text) if self.markers else ():
+            parts += [*self._runs(text[lo:mark.start()]), [self.markers[mark.group()]]]
+            lo = mark.end()
+        return np.concatenate([*parts, *self._runs(text[lo:]), [END]]).astype("<u4")
+
+    def _runs(self, text: str) -> list[np.ndarray]:
         parts, lo = [], 0
         for run in self.runs.finditer(text) if len(text) >= RUN else ():
             end = run.end() - (run.end() < len(text))           # the last character goes with what follows
             parts += [*self._parts(text[lo:run.start()]), self.encode_run(text[run.start():end], disallowed_special=())]
             lo = end
-        return np.concatenate([*parts, *self._parts(text[lo:]), [END]]).astype("<u4")
+        return [*parts, *self._parts(text[lo:])]
 
     def _parts(self, text: str) -> Iterator[np.ndarray]:
         lo = 0
@@ -140,9 +161,10 @@ SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 
 
 def pack(docs: DataFrame, ranks: str | None = None, length: int = 1024, linear: float = 1.0,
-         quadratic: float = 1 / 512) -> DataFrame:
+         quadratic: float = 1 / 512, markers: dict[str, int] | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian 32-bit), doc_tokens,
-    sequence_id, offset. ``ranks`` is the place of the vocabulary on every executor."""
+    sequence_id, offset. ``ranks`` is the place of the vocabulary on every executor; ``markers``
+    are the texts with an id of their own (none by default)."""
     place = ranks or public_tokenizers.path(RANKS)
     columns = [c.split()[0] for c in SCHEMA.split(", ")]
 
@@ -154,7 +176,7 @@ def pack(docs: DataFrame, ranks: str | None = None, length: int = 1024, linear:
             return pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
 
         for pdf in batches:
-            tokens = tokens or Tokens(place)
+            tokens = tokens or Tokens(place, markers)
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
                 packer.add(None if pd.isna(doc) else int(doc), tokens.ids(text))
                 if len(packer.rows) >= 4096:

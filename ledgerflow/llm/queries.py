@@ -12,7 +12,7 @@ from ledgerflow.llm.lang_id import identify
 from ledgerflow.llm.line_dedup import drop_lines
 from ledgerflow.llm.mixing import mix
 from ledgerflow.llm.order_minhash import with_edits
-from ledgerflow.llm.packing import pack
+from ledgerflow.llm.packing import VOCABULARY, markers_of, pack
 from ledgerflow.llm.secrets import BASE_RULES, scan_secrets
 from ledgerflow.llm.sharding import shard_by_bytes
 from ledgerflow.llm.simhash import near_duplicates
@@ -107,7 +107,7 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pack(documents(spark, sf_dir), length=1024)
+    out = pack(documents(spark, sf_dir), length=1024, markers=markers_of(VOCABULARY))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -11,7 +11,7 @@ from ledgerflow.llm.common import documents
 from ledgerflow.llm.exact_dedup import drop_exact_duplicates
 from ledgerflow.llm.lang_id import with_language
 from ledgerflow.llm.mixing import mixed_rows
-from ledgerflow.llm.packing import pack
+from ledgerflow.llm.packing import VOCABULARY, markers_of, pack
 from ledgerflow.llm.simhash import drop_near_duplicates
 from ledgerflow.session import ensure_checkpoint_dir
 
@@ -42,8 +42,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
-    return pack(docs, length=SEQUENCE).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
-                                              "sequence_id", "offset")
+    pieces = pack(docs, length=SEQUENCE, markers=markers_of(VOCABULARY))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact_copies), ("simhash_near_dedup", near_copies),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -15,7 +16,8 @@ from ledgerflow.operators.totals import cross_scalar, with_total_row
 from ledgerflow.plans.common import SQL_LINE_AMOUNT, decode, line_amount, sql_decode
 from ledgerflow.plans.ledger import LINE_ORDER
 from ledgerflow.plans.registry import report
-from ledgerflow.sources import Tables
+from ledgerflow.session import ensure_checkpoint_dir
+from ledgerflow.sources import PublishedReport, Tables
 
 PERIODS = (199801, 199802, 199803)
 TAX_RATE = "0.12"
@@ -181,6 +183,37 @@ def account_sides_totals(spark, root):
                     F.col("all_credit").cast("double").alias("all_credit"), F.lit("Libro mayor").alias("title"))
 
 
+RJ_CLOSED = dt.date(1998, 3, 16)
+
+
+@report("republished_journal", "S8 R07 A2 E10", sql="""
+SELECT CAST(year(l_shipdate) * 100 + month(l_shipdate) AS INTEGER) AS period, p_type,
+       CAST(SUM(CASE WHEN l_returnflag <> 'R' THEN CAST(l_extendedprice AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS debit,
+       CAST(SUM(CASE WHEN l_returnflag = 'R' THEN CAST(l_extendedprice AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS credit,
+       count(*) AS n_lines
+FROM lineitem, part WHERE l_partkey = p_partkey AND l_shipdate IS NOT NULL GROUP BY 1, 2
+""")
+def republished_journal(spark, root, store=None, closed=RJ_CLOSED):
+    """Journal by period and account group as published: first with the lines before ``closed``,
+    then again for the periods from that day's on, which replaces the period that it cuts and adds
+    the later ones; the earlier periods are not written again. ``store`` is the folder of the
+    report, by default a fresh one in ``spark.checkpoint.dir``."""
+    t = Tables(spark, root)
+    amt, is_credit, zero = dec("l_extendedprice"), F.col("l_returnflag") == "R", F.lit(0)
+
+    def journal(lines):
+        j = lines.join(t.part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+        return j.groupBy((F.year("l_shipdate") * 100 + F.month("l_shipdate")).alias("period"), "p_type").agg(
+            F.sum(F.when(~is_credit, amt).otherwise(zero)).cast("double").alias("debit"),
+            F.sum(F.when(is_credit, amt).otherwise(zero)).cast("double").alias("credit"), F.count(F.lit(1)).alias("n_lines"))
+
+    report = PublishedReport(spark, store or f"{ensure_checkpoint_dir(spark)}/journal-{uuid.uuid4().hex}", "period")
+    report.publish(journal(t.lineitem.where(F.col("l_shipdate") < F.lit(closed))))
+    report.publish(journal(t.lineitem.where(F.col("l_shipdate") >= F.lit(closed.replace(day=1)))))
+    return report.read()
+
+
+
 EJ_FROM, EJ_TO = dt.date(1995, 1, 1), dt.date(2001, 12, 31)
 EJ_STATES = ("F", "O", "P")
 

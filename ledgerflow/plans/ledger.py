@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.functions.dates import as_date, prev_month_end
 from ledgerflow.functions.money import dec
-from ledgerflow.operators import scan
+from ledgerflow.operators import intervals, scan
 from ledgerflow.operators.spread import join_per_key
 from ledgerflow.operators.balances import month_spine
 from ledgerflow.operators.bands import with_breaks
@@ -216,6 +216,43 @@ def _side(spark, root, side: str):
                     F.col("running").cast("double").alias("running"))
 
 
+@report("balance_intervals", "S3 J9 W1 E10", sql=f"""
+WITH mv AS (SELECT l_partkey, CAST(date_trunc('month', l_shipdate) AS DATE) AS m, SUM({SQL_SIGNED}) AS moved
+            FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY 1, 2 HAVING SUM({SQL_SIGNED}) <> 0)
+SELECT l_partkey, m AS valid_from, strftime(lead(m) OVER (PARTITION BY l_partkey ORDER BY m), '%Y-%m-%d') AS valid_to,
+       CAST(SUM(moved) OVER (PARTITION BY l_partkey ORDER BY m) AS DOUBLE) AS balance
+FROM mv
+""")
+def balance_intervals(spark, root):
+    """Balance of every account as intervals of months in which it stays the same: one row for
+    each month with a movement, where the month spine has every account in every month.
+    ``valid_to`` is the date as text, NULL for the balance that still holds."""
+    i = intervals.balance_intervals(Tables(spark, root).lineitem, ["l_partkey"], as_date("l_shipdate"), signed_amount())
+    return i.select("l_partkey", "valid_from", F.col("valid_to").cast("string").alias("valid_to"),
+                    F.col("balance").cast("double").alias("balance"))
+
+
+QUARTER_ENDS = tuple(dt.date(y, m, 1) for y in (1996, 1997, 1998, 1999) for m in (3, 6, 9, 12))
+
+
+@report("balances_at_quarters", "S3 J9 J2 W1 E4 E10", sql=f"""
+WITH asked AS (SELECT unnest([{", ".join(f"DATE '{d}'" for d in QUARTER_ENDS)}]) AS month),
+mv AS (SELECT l_partkey, date_trunc('month', l_shipdate) AS m, SUM({SQL_SIGNED}) AS moved FROM lineitem GROUP BY 1, 2)
+SELECT p_partkey, month, CAST(COALESCE(SUM(moved) FILTER (WHERE m <= month), 0) AS DOUBLE) AS balance
+FROM part CROSS JOIN asked LEFT JOIN mv ON l_partkey = p_partkey GROUP BY 1, 2
+""")
+def balances_at_quarters(spark, root, months=QUARTER_ENDS):
+    """Balance of every account, with or without movements, at the end of the months asked for:
+    intervals expanded only there, without a spine of all months and without a range join."""
+    t = Tables(spark, root)
+    li = t.lineitem.select(F.col("l_partkey").alias("p_partkey"), "l_shipdate", "l_extendedprice", "l_returnflag")
+    li = li.join(t.part.select("p_partkey"), "p_partkey", "left_semi")
+    i = intervals.balance_intervals(li, ["p_partkey"], as_date("l_shipdate"), signed_amount(), every=t.part)
+    b = intervals.balances_at(i, months)
+    return b.select("p_partkey", "month", F.col("balance").cast("double").alias("balance"))
+
+
+
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
               "l_tax", "l_returnflag", "l_shipdate"]
 

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, IntegerType, LongType, StringType, StructField, StructType
 
 from ledgerflow.functions.predicates import in_periods
+from ledgerflow.sources.published import versions
 
 _MANIFEST = "period int, grain string, load string, n_lines long, check string"
 MONTH, YEAR = "month", "year"
@@ -50,15 +51,7 @@ class PeriodBalances:
                             (F.year(self.date) * 100 + F.month(self.date)).alias("period"))
 
     def _versions(self) -> tuple[int, int]:
-        """The newest complete manifest and the highest number in use (0: none)."""
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        root = hadoop.Path(f"{self.path}/manifest")
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return 0, 0
-        found = {int(x.getPath().getName().split("=")[1]): fs.exists(hadoop.Path(x.getPath(), "_SUCCESS"))
-                 for x in fs.listStatus(root) if x.getPath().getName().startswith("version=")}
-        return max((n for n, done in found.items() if done), default=0), max(found, default=0)
+        return versions(self.spark, self.path)
 
     def manifest(self) -> dict[tuple[str, int], tuple]:
         """``(grain, period) -> (load, n_lines, check)`` of the newest complete load."""

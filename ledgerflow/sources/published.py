@@ -80,9 +80,9 @@ class PublishedReport:
         load = uuid.uuid4().hex
         # the partition as text beside the column itself, which keeps its type and exact values in the
         # files; behind a letter, since the empty text has no folder of its own
-        second = [c for c in report.columns if c != self.column][:1]       # spreads a large partition
         (report.withColumn("_part", F.concat(F.lit("p"), F.col(self.column).cast("string")))
-               .repartitionByRange("_part", *second).write.partitionBy("_part").parquet(f"{self.path}/data/load={load}"))
+               .hint("rebalance", "_part")          # a partition in one file, a large one in several
+               .write.partitionBy("_part").parquet(f"{self.path}/data/load={load}"))
         counts = (self._read(types, [load]).groupBy("_part").count().limit(MAX_PARTITIONS + 1).collect())
         if len(counts) > MAX_PARTITIONS:
             raise ValueError(f"over {MAX_PARTITIONS} partitions in a report")

@@ -9,6 +9,7 @@ rows), running sums inside them, values of the row before, and the outermost lev
 All levels come from one pass: windows per chunk of the order, then one summary with one row a
 chunk. Only the first and the last run of a chunk can cross its edges, so their totals are added
 up in the summary, which is bounded by chunks x levels. A run of any length is spread over its chunks.
+A chunk is a partition of its own, with a bounded number of rows at any size of the report.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ledgerflow.operators.scan import CHUNK, chunk_by_range
+from ledgerflow.operators.scan import CHUNK, chunk_by_range, plan_chunks
 from ledgerflow.session import ensure_checkpoint_dir
 
 START = "starts"
@@ -54,6 +55,15 @@ def _first(starts: Sequence[Column]) -> Column:
     return F.coalesce(*[F.when(s, F.lit(i + 1)) for i, s in enumerate(starts)], F.lit(0))
 
 
+def _run_window(levels: Sequence[Level], i: int, order: Sequence[str]) -> WindowSpec:
+    """The rows of a level's run in a chunk, in order. Run numbers rise with the order, so those of
+    other levels may stand in the sort: levels that lie inside all levels before them share one."""
+    used = [k for k, x in enumerate(levels) if k == i or x.totals or x.running]
+    outer = [k for k in used if k < i and (levels[i].inside is None or levels[k].name in levels[i].inside)]
+    rest = [k for k in used if k != i and k not in outer]
+    return Window.partitionBy(CHUNK, *[f"_r{k}" for k in [*outer, i]]).orderBy(*[f"_r{k}" for k in rest], *order)
+
+
 def _plus(a: Column, b: Column) -> Column:
     """Sum of two sums, NULL only if both are."""
     return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
@@ -71,7 +81,8 @@ def nested_breaks(df: DataFrame, levels: Sequence[Level | tuple[str, Column]], o
     for running levels ``<name>_<measure>_running``. ``previous``: ``(column, value, level)`` gives
     the value of the row before in the same run of the level, NULL at its first row. ``starts`` is
     the position of the outermost level that starts at the row (1 the outermost, 0 none). NULL keys
-    are keys like any other and equal each other. An empty frame gives an empty frame.
+    are keys like any other and equal each other. An empty frame gives an empty frame. Without
+    ``num_chunks`` the rows are counted first.
     """
     ensure_checkpoint_dir(df.sparkSession)
     levels = [x if isinstance(x, Level) else Level(*x) for x in levels]
@@ -88,7 +99,8 @@ def nested_breaks(df: DataFrame, levels: Sequence[Level | tuple[str, Column]], o
     d = df.withColumn("_keys", F.struct(*fields))
     for m, (_, value) in enumerate(sums):
         d = d.withColumn(f"_m{m}", value)
-    d = chunk_by_range(d, [], order, num_chunks, checkpoint=False)
+    n = num_chunks or plan_chunks(df.sparkSession, df.count())
+    d = chunk_by_range(d, [], order, n, checkpoint=False).repartitionById(n, CHUNK)
     w = Window.partitionBy(CHUNK).orderBy(*order)
     d = d.withColumn("_prev", F.lag("_keys").over(w)).withColumn("_end", F.lead(F.lit(1)).over(w).isNull())
     d = d.withColumn("_begin", F.col("_prev").isNull())
@@ -96,17 +108,18 @@ def nested_breaks(df: DataFrame, levels: Sequence[Level | tuple[str, Column]], o
         d = d.withColumn(f"_b{i}", ~F.col("_begin") & _breaks(x, levels, F.col("_prev"), F.col("_keys")))
     for i in range(len(levels)):
         d = d.withColumn(f"_r{i}", F.sum(F.col(f"_b{i}").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    for i, (_, _, name) in enumerate(previous):
+        d = d.withColumn(f"_p{i}", F.when(~F.col(f"_b{at_level[name]}"), F.col("_prev").getField(f"p_{i}")))
+    d = d.withColumn("_keys", F.when(F.col("_begin") | F.col("_end"), F.col("_keys"))).drop("_prev")     # for the summary
     for i, x in enumerate(levels):
-        run = Window.partitionBy(CHUNK, f"_r{i}").orderBy(*order)
+        run = _run_window(levels, i, order)
         whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         for m in range(len(sums)):
             if x.totals:
                 d = d.withColumn(f"_t{i}_{m}", F.sum(f"_m{m}").over(whole))
             if x.running and m:
                 d = d.withColumn(f"_u{i}_{m}", F.sum(f"_m{m}").over(run.rowsBetween(Window.unboundedPreceding, 0)))
-    for i, (_, _, name) in enumerate(previous):
-        d = d.withColumn(f"_p{i}", F.when(~F.col(f"_b{at_level[name]}"), F.col("_prev").getField(f"p_{i}")))
-    d = d.drop("_prev", *[f"_m{m}" for m in range(len(sums))])
+    d = d.drop(*[f"_m{m}" for m in range(len(sums))])
     d = d.checkpoint(eager=True)                # read for the rows and for the summary
     j = d.join(F.broadcast(_summary(d, levels, len(sums), [at_level[p[2]] for p in previous])), CHUNK, "left")
     out = [F.when(F.col("_begin"), F.col("_brk")).otherwise(_first([F.col(f"_b{i}") for i in range(len(levels))]))
@@ -168,4 +181,4 @@ def _summary(d: DataFrame, levels: Sequence[Level], n_sums: int, previous: Seque
     e = e.select(CHUNK, "level", "side", F.struct(*cells).alias("t"))
     totals = e.groupBy(CHUNK).agg(*[F.max(F.when((F.col("level") == i) & (F.col("side") == side), F.col("t"))).alias(f"_{side}{i}")
                                     for i in summed for side in "fl"])
-    return keep.join(totals, CHUNK)
+    return keep.join(F.broadcast(totals), CHUNK)

@@ -13,7 +13,8 @@ are sampled once, and every later branch reads the same chunk of every row, also
 lost executor forces a recomputation.
 
 There is one path at every size: the chunk count is ``ledgerflow.scan.chunks``, by default
-``spark.sql.shuffle.partitions``, which a cluster sizes for its data anyway.
+``spark.sql.shuffle.partitions``, which a cluster sizes for its data anyway. Where the rows are
+counted beforehand, it is more if a chunk would have over ``CHUNK_ROWS`` rows.
 """
 
 from __future__ import annotations
@@ -27,12 +28,14 @@ from pyspark.sql import functions as F
 from ledgerflow.session import ensure_checkpoint_dir
 
 CHUNK = "_chunk"
+CHUNK_ROWS = 500_000        # rows of a chunk, where they are counted
 _G = "_scan_all"
 
 
-def plan_chunks(spark: SparkSession) -> int:
-    """Number of chunks of an ordered scan, the same for inputs of any size."""
-    return int(spark.conf.get("ledgerflow.scan.chunks", spark.conf.get("spark.sql.shuffle.partitions")))
+def plan_chunks(spark: SparkSession, rows: int = 0) -> int:
+    """Number of chunks of an ordered scan; with ``rows`` at least one for each ``CHUNK_ROWS``."""
+    least = int(spark.conf.get("ledgerflow.scan.chunks", spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, -(-rows // CHUNK_ROWS))
 
 
 def chunk_by_range(df: DataFrame, by: Sequence[str], order: Sequence, num_chunks: int | None = None,

@@ -278,12 +278,13 @@ def accumulator_ledger(spark, root, start=AL_FROM, end=AL_TO):
     m = (t.lineitem.where(d.between(F.lit(start), F.lit(end)))
                    .select(*AL_ORDER, signed_amount().alias("x")))
     by, zero = ["l_partkey"], F.lit(0)
+    chunks = scan.plan_chunks(spark, m.count())       # the join leaves the number of rows
     m = join_per_key(m, op, by, "left").withColumn("opening", F.coalesce("opening", F.lit(0)))
     # One pass: the account's rows, and inside them the stretches between two restarts.
     levels = [Level("acc", F.col("l_partkey"), running=True), Level("year", after=F.coalesce("x", zero) == 0, running=True, totals=False)]
     c = nested_breaks(m, levels, ["l_partkey", *[x for x in AL_ORDER if x != "l_partkey"]],
                       [("x", F.col("x")), ("debit", F.greatest("x", zero)), ("credit", F.greatest(-F.col("x"), zero))],
-                      [("prev_x", F.col("x"), "acc")])
+                      [("prev_x", F.col("x"), "acc")], num_chunks=chunks)
     c = c.withColumnsRenamed({"acc_debit": "group_debit", "acc_credit": "group_credit"}) \
          .withColumn("group_year", F.col("opening") + F.col("acc_x"))
     totals = c.where(F.col("starts") == 1).agg(               # each account once, at its first line

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerflow.operators import breaks, scan
 from ledgerflow.operators.breaks import Level, nested_breaks
 
 NAMES = ["a", "b", "c", "d"]
@@ -103,3 +104,16 @@ def test_runs_alone_need_no_sums(spark):
     df = spark.createDataFrame([(i, i // 7) for i in range(40)], "i int, v int")
     g = nested_breaks(df, [Level("a", F.col("v"), totals=False)], ["i"], num_chunks=6)
     assert sorted((r.i, r.starts, r.a_run) for r in g.collect()) == [(i, int(i % 7 == 0), i // 7 + 1) for i in range(40)]
+
+
+def test_a_chunk_has_bounded_rows_and_nested_levels_one_sort(spark, monkeypatch):
+    """A task holds one chunk, however many rows there are, and sorts it twice for any number of nested levels."""
+    plans, chunks, frame = [], [], type(spark.range(0))
+    checkpoint, chunk_by_range = frame.checkpoint, breaks.chunk_by_range
+    monkeypatch.setattr(frame, "checkpoint", lambda self, *a, **b: plans.append(
+        self._jdf.queryExecution().executedPlan().toString()) or checkpoint(self, *a, **b))
+    monkeypatch.setattr(breaks, "chunk_by_range", lambda df, by, order, n=None, **b: chunks.append(n) or chunk_by_range(df, by, order, n, **b))
+    monkeypatch.setattr(scan, "CHUNK_ROWS", 20)
+    assert _got(spark, _rows(), None) == _loop(_rows())
+    assert chunks == [12]
+    assert plans[0].count("Sort [") == 2 and "hashpartitioning(_chunk" not in plans[0], plans[0]

@@ -55,6 +55,23 @@ def chunk_by_range(df: DataFrame, by: Sequence[str], order: Sequence, num_chunks
     return out
 
 
+def number_rows(df: DataFrame, order: Sequence[str], out: str, keep: Sequence[str], num_chunks: int | None = None) -> DataFrame:
+    """The columns ``keep`` of the rows in ``order``, sorted over the whole frame, with their row
+    number (1, 2, ...) as ``out``.
+
+    One exchange: rows are sorted within the chunks, their ids count on within a chunk, and the
+    summary (one row a chunk) has the rows of the chunks before.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    d = (df.repartitionByRange(num_chunks or plan_chunks(spark), *order).sortWithinPartitions(*order)
+           .select(*keep, F.spark_partition_id().alias(CHUNK), F.monotonically_increasing_id().alias("_id")).checkpoint(eager=True))
+    per = d.groupBy(CHUNK).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    summary = per.select(CHUNK, (before - F.col("_first") + 1).alias("_add"))
+    return d.join(F.broadcast(summary), CHUNK).select(*keep, (F.col("_id") + F.col("_add")).alias(out))
+
+
 def _key_eq(by: Sequence[str], left: str, right: str):
     conds = [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in by]
     return reduce(lambda a, b: a & b, conds)

@@ -110,9 +110,10 @@ def packing_list(spark, root, start=PL_FROM, end=PL_TO):
     rows = (t.lineitem.join(docs, F.col("l_orderkey") == F.col("o_orderkey")).join(sup, F.col("l_suppkey") == F.col("s_suppkey"))
              .join(t.part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
              .select(*PL_ORDER, "day", "exporter", "consignee", "origin", "destination", "p_name"))
-    n = scan.cumsum(scan.chunk_by_range(rows, [], PL_ORDER), F.lit(1), [], PL_ORDER, "line_no")
+    keep = ["l_orderkey", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "day", "exporter", "consignee", "origin", "destination", "p_name"]
+    n = scan.number_rows(rows, PL_ORDER, "line_no", keep, scan.plan_chunks(spark, t.lineitem.count()))     # counted from the files' footers
     text = lambda c: F.col(c).cast("string")
-    return n.orderBy("line_no").select(
+    return n.select(                    # in the order of the list already
         "l_orderkey", "day", "exporter", "consignee", "origin", "destination",
         F.concat(F.col("line_no").cast("long").cast("string"), F.lit(". "), "p_name").alias("product"),
         F.concat(text("l_partkey"), F.lit("-"), text("l_suppkey")).alias("lot"), as_date("l_shipdate").alias("shipped"), "l_quantity")

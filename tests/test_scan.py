@@ -76,3 +76,46 @@ def test_total_and_first_match_windows(spark):
         assert sorted(map(str, got.select("id", "t", "n", "f").collect())) == sorted(map(str, exp.collect()))
     none = scan.scan_all(scan.chunk_by_range(df.limit(0), [], ["id"]), [], ["id"], [("t", "total", F.col("v")), ("f", "first", F.col("v"))])
     assert none.collect() == []
+
+
+def test_row_numbers_over_the_whole_frame(spark):
+    df = _df(spark)
+    w = Window.orderBy("d", "id")
+    exp = [tuple(r) for r in df.select("id", "k", F.row_number().over(w).alias("pos")).orderBy("pos").collect()]
+    for n in (1, 5, 31):
+        got = scan.number_rows(df, ["d", "id"], "pos", ["id", "k"], n)
+        assert [tuple(r) for r in got.collect()] == exp                     # sorted, too
+    twice = scan.number_rows(df.select("d").union(df.select("d")), ["d"], "pos", ["d"], 7).collect()
+    assert [r.pos for r in twice] == list(range(1, 2 * len(exp) + 1)) and [r.d for r in twice] == sorted(r.d for r in twice)
+    assert scan.number_rows(df.limit(0), ["d"], "pos", ["d"]).collect() == []
+
+
+def test_packing_list_moves_its_rows_once(spark, monkeypatch, tmp_path):
+    """After the joins the wide rows are exchanged once: to be sorted and numbered; chunks have bounded rows."""
+    from ledgerflow.plans import REGISTRY
+
+    day = F.lit("1996-02-03").cast("timestamp")
+    one = F.lit(1).cast("double")
+    tables = {
+        "nation": spark.range(2).select(F.col("id").cast("int").alias("n_nationkey"), F.concat(F.lit("N"), "id").alias("n_name")),
+        "customer": spark.range(3).select(F.col("id").alias("c_custkey"), F.concat(F.lit("C"), "id").alias("c_name"), (F.col("id") % 2).cast("int").alias("c_nationkey")),
+        "supplier": spark.range(3).select(F.col("id").alias("s_suppkey"), F.concat(F.lit("S"), "id").alias("s_name"), F.lit(1).alias("s_nationkey")),
+        "part": spark.range(4).select(F.col("id").alias("p_partkey"), F.concat(F.lit("P"), "id").alias("p_name")),
+        "orders": spark.range(40).select(F.col("id").alias("o_orderkey"), (F.col("id") % 3).alias("o_custkey"), day.alias("o_orderdate")),
+        "lineitem": spark.range(120).select(
+            (F.col("id") % 41).alias("l_orderkey"), (F.col("id") % 5).alias("l_partkey"), (F.col("id") % 3).alias("l_suppkey"),
+            F.col("id").cast("int").alias("l_linenumber"), F.col("id").cast("double").alias("l_quantity"), one.alias("l_extendedprice"),
+            one.alias("l_discount"), one.alias("l_tax"), F.lit("A").alias("l_returnflag"), F.lit("O").alias("l_linestatus"), day.alias("l_shipdate")),
+    }
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    chunks, number_rows = [], getattr(scan, "number_rows", None)
+    monkeypatch.setattr(scan, "CHUNK_ROWS", 10, raising=False)
+    monkeypatch.setattr(scan, "number_rows", lambda df, order, out, keep, n: chunks.append(n) or number_rows(df, order, out, keep, n), raising=False)
+    got = REGISTRY["packing_list"].build(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan, plan
+    kept = sorted((i % 41, i) for i in range(120) if i % 41 < 40 and i % 5 < 4)
+    assert [(r.l_orderkey, int(r.l_quantity), r.product) for r in got.collect()] == [
+        (o, i, f"{n}. P{i % 5}") for n, (o, i) in enumerate(kept, 1)]
+    assert chunks == [12]

@@ -69,6 +69,7 @@ def wide_pivot(df: DataFrame, keys: Sequence, category, categories: Sequence[Cat
 
 
 MAX_CATEGORIES = 500
+DIRECT_CATEGORIES = 16      # cells of a key that are kept for each row group
 
 
 def category_ranks(categories: DataFrame, category: str, order: Sequence | None = None,
@@ -94,7 +95,8 @@ def query_pivot(df: DataFrame, keys: Sequence[str], category: str, measure: Colu
     sum of ``measure`` (``fill`` where there is none).
 
     Rows of a category outside the relation, or of none (NULL), add nothing, but their keys stay.
-    Cells are summed by (keys, rank) before they become columns, so the work per row does not grow
+    Up to ``DIRECT_CATEGORIES`` cells are summed by keys at once, one group for the rows of a key.
+    More are summed by (keys, rank) before they become columns, so the work per row does not grow
     with the number of categories. Names that clash, also in letter case, raise an error.
     """
     found = category_ranks(categories, category, order, max_categories)
@@ -107,11 +109,14 @@ def query_pivot(df: DataFrame, keys: Sequence[str], category: str, measure: Colu
     spark = df.sparkSession
     typ = df.schema[category].dataType.simpleString()
     ranks = F.broadcast(spark.createDataFrame(list(enumerate(found)), f"_rank int, _value {typ}"))   # <= max_categories rows
-    cells = (df.select(*keys, F.col(category).alias("_value"), measure.alias("_m"))
-               .join(ranks, "_value", "left").groupBy(*keys, "_rank").agg(F.sum("_m").alias("_m")))
-    wide = cells.groupBy(*keys).pivot("_rank", list(range(len(found)))).agg(F.first("_m"))
-    cell_of = (lambda i: F.col(f"`{i}`")) if fill is None else (lambda i: F.coalesce(F.col(f"`{i}`"), F.lit(fill)))
-    return wide.select(*keys, *[cell_of(i).alias(x) for i, x in enumerate(labels)])
+    ranked = df.select(*keys, F.col(category).alias("_value"), measure.alias("_m")).join(ranks, "_value", "left")
+    filled = (lambda c: c) if fill is None else (lambda c: F.coalesce(c, F.lit(fill)))
+    if len(found) <= DIRECT_CATEGORIES:
+        return ranked.groupBy(*keys).agg(*[filled(cell("_rank", i, "_m")).alias(x) for i, x in enumerate(labels)])
+    cells = ranked.groupBy(*keys, "_rank").agg(F.sum("_m").alias("_m"))
+    own = F.collect_list(F.when(F.col("_rank").isNotNull(), F.struct("_rank", "_m")))       # one entry a category at most
+    wide = cells.groupBy(*keys).agg(F.map_from_entries(own).alias("_cells"))
+    return wide.select(*keys, *[filled(F.col("_cells")[i]).alias(x) for i, x in enumerate(labels)])
 
 
 def rollup_sets(*groups: Sequence[str]) -> list[list[str]]:

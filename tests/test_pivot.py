@@ -53,3 +53,18 @@ def test_crosstab_category_bounds(spark):
         query_pivot(df, ["id"], "cat", F.col("v"), cats("a", "b", "c"), max_categories=2)
     with pytest.raises(ValueError, match="named twice"):
         query_pivot(df, ["id"], "cat", F.col("v"), cats("a", "A"))
+
+
+@pytest.mark.parametrize("n, aggregates", [(6, 2), (40, 2)])
+def test_crosstab_sums_each_cell_once(spark, n, aggregates):
+    """Few categories: one aggregation by key. Many: one by cell, and the cells of a key are listed."""
+    df = spark.range(0, 3000, 1, 4).select((F.col("id") % 97).alias("k"), F.when(F.col("id") % 11 > 0, F.concat(F.lit("c"), F.col("id") % (n + 3))).alias("cat"),
+                                           F.when(F.col("id") % 5 > 0, F.col("id")).alias("v"))
+    cats = spark.range(n).select(F.concat(F.lit("c"), "id").alias("cat"), "id")
+    for fill in (0, None):
+        got = query_pivot(df, ["k"], "cat", F.col("v"), cats, order=["id"], fill=fill)
+        assert got.columns == ["k", *[f"c{i}" for i in range(n)]]
+        exp = wide_pivot(df, ["k"], "cat", [(f"c{i}", f"c{i}") for i in range(n)], "v", fill=fill)
+        assert sorted(map(str, got.collect())) == sorted(map(str, exp.collect()))
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "pivotfirst" not in plan and plan.count("HashAggregate(keys=[k#") - plan.count("ObjectHashAggregate(keys=[k#") == aggregates, plan

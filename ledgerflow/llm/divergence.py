@@ -25,10 +25,11 @@ other columns are not read.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Collection, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +39,7 @@ TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 HELD = 1_000_000            # (chunk, language) counts that one task holds
 BYTES = 24 << 20            # of text whose occurrences one task counts at a time
 PAIRS = 1 << 20             # pairs of occurrences that one task compares at a time
+ROWS = 1 << 17              # of counts that leave a task at a time
 WIDE = "decimal(38,0)"
 
 
@@ -47,93 +49,117 @@ def _texts(docs: DataFrame, *more: Column) -> DataFrame:
                        text_of().cast("binary").alias("text"), *more)
 
 
-def _keyed(columns: dict[str, str], chunks: Collection[bytes], **more: pa.Array) -> pa.RecordBatch:
-    """Chunks under constant columns."""
-    n = len(chunks)
-    return pa.RecordBatch.from_pydict({**{k: pa.repeat(pa.scalar(v, pa.string()), n) for k, v in columns.items()},
-                                       "chunk": pa.array(chunks, pa.binary()).cast(pa.string()), **more})
-
-
-def chunk_terms(docs: DataFrame) -> DataFrame:
-    """(chunk, langs, terms) of every distinct chunk: its documents by language, and its terms in
-    text order."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Array]]:
+    """The columns of as many rows as reach ``BYTES`` of text."""
+    held, size = [], 0
+    whole = lambda: {c: pa.concat_arrays([b.column(c) for b in held]) for c in held[0].schema.names}
+    for b in batches:
+        ends, lo = np.cumsum(pc.binary_length(b.column("text")).to_numpy().astype(np.int64) + 1), 0
+        while lo < b.num_rows:
+            before = int(ends[lo - 1]) if lo else 0
+            hi = min(int(np.searchsorted(ends, before + BYTES - size)) + 1, b.num_rows)
+            held.append(b.slice(lo, hi - lo))
+            size += int(ends[hi - 1]) - before
+            lo = hi
+            if size >= BYTES:
+                yield whole()
+                held, size = [], 0
+    if held:
+        yield whole()
+
+
+def _counts(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct chunks of the texts, and of each text's own: text, chunk and occurrences."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string())))
+    coded = words.flatten().dictionary_encode()
+    chunks, size = coded.dictionary, max(len(coded.dictionary), 1)
+    of = np.repeat(np.arange(len(words)), words.value_lengths().to_numpy())
+    key, n = np.unique(of * size + coded.indices.to_numpy(), return_counts=True)
+    of, code = np.divmod(key, size)
+    full = code != chunks.index(pa.scalar("", pa.string())).as_py()     # white space at an end leaves an empty chunk
+    return chunks, of[full], code[full], n[full]
+
+
+def chunk_terms(docs: DataFrame, lid_of: dict[str, int]) -> DataFrame:
+    """(chunk, langs, terms) of every distinct chunk: its documents by number of the language, and
+    its terms in text order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = {}
+        held: dict[int, Counter] = {}
 
         def rows() -> Iterator[pa.RecordBatch]:
-            for lang, own in held.items():
-                yield _keyed({"lang": lang}, own, docs=pa.array(own.values(), pa.int64()))
+            for lid, own in held.items():
+                yield pa.RecordBatch.from_pydict({"lid": pa.repeat(pa.scalar(lid, pa.int32()), len(own)), "chunk": pa.array(own, pa.binary()).cast(pa.string()),
+                                                  "docs": pa.array(own.values(), pa.int64())})
             held.clear()
 
-        for b in batches:
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-                held.setdefault(lang, Counter()).update(set(text.lower().split()))      # both know ASCII only
-                if sum(map(len, held.values())) >= HELD:
-                    yield from rows()
+        for block in _blocks(batches):
+            langs = block["lang"].dictionary_encode()
+            chunks, of, code, _ = _counts(block["text"])
+            in_lang = langs.indices.to_numpy()[of]
+            for i, lang in enumerate(langs.dictionary.to_pylist()):
+                documents = np.bincount(code[in_lang == i], minlength=len(chunks))
+                found = np.flatnonzero(documents)
+                own, names = held.setdefault(lid_of[lang], Counter()), chunks.take(pa.array(found)).cast(pa.binary()).to_pylist()
+                own.update(dict(zip(names, documents[found].tolist())))
+            if sum(map(len, held.values())) >= HELD:
+                yield from rows()
         yield from rows()
 
     # one exchange, by chunk, for both groupings; a chunk has one row a language and task
-    parts = _texts(docs).mapInArrow(run, "lang string, chunk string, docs long").repartition(shuffle_partitions(docs.sparkSession), "chunk")
-    return (parts.groupBy("chunk", "lang").agg(F.sum("docs").alias("docs"))
-            .groupBy("chunk").agg(F.collect_list(F.struct("lang", "docs")).alias("langs"))
+    parts = _texts(docs).mapInArrow(run, "lid int, chunk string, docs long").repartition(shuffle_partitions(docs.sparkSession), "chunk")
+    return (parts.groupBy("chunk", "lid").agg(F.sum("docs").alias("docs"))
+            .groupBy("chunk").agg(F.collect_list(F.struct("lid", "docs")).alias("langs"))
             .select("chunk", F.map_from_entries("langs").alias("langs"), F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0)).alias("terms"))
             .filter(F.size("terms") > 0))
 
 
-def chunk_occurrences(docs: DataFrame, sid_of: dict[tuple[str, str], int], min_docs: int) -> DataFrame:
-    """(lang, chunk, sid, n, doc): the occurrences of a task, by document (the row's number) for
-    chunks that are in fewer than ``min_docs`` of its documents; doc is null for others."""
-    def batches_of(held: list[tuple[int, str, str, bytes]]) -> Iterator[pa.RecordBatch]:
-        number: dict[str, Counter] = {}
-        for _, lang, _, text in held:
-            number.setdefault(lang, Counter()).update(set(text.split()))
-        rare = {lang: {c for c, n in own.items() if n < min_docs} for lang, own in number.items()}
-        del number
-        common: dict[tuple[str, str], Counter] = {}
-        apart: dict[str, tuple[list, list, list, list]] = {}
-        for doc, lang, source, text in held:
-            found = Counter(text.split())
-            few = rare[lang].intersection(found)
-            columns = apart.setdefault(lang, ([], [], [], []))
-            for column, more in zip(columns, (few, [sid_of[lang, source]] * len(few), map(found.pop, few), [doc] * len(few))):
-                column.extend(more)
-            common.setdefault((lang, source), Counter()).update(found)
-        for lang, (chunks, sid, n, doc) in apart.items():
-            yield _keyed({"lang": lang}, chunks, sid=pa.array(sid, pa.int32()), n=pa.array(n, pa.int64()), doc=pa.array(doc, pa.int64()))
-        for (lang, source), own in common.items():
-            yield _keyed({"lang": lang}, own, sid=pa.repeat(pa.scalar(sid_of[lang, source], pa.int32()), len(own)),
-                         n=pa.array(own.values(), pa.int64()), doc=pa.nulls(len(own), pa.int64()))
+def chunk_occurrences(docs: DataFrame, sid_of: dict[tuple[str, str], int], lid_of: dict[str, int], min_docs: int) -> DataFrame:
+    """(chunk, sid, n, doc): the occurrences of a task, by document (the row's number) for
+    chunks that are in fewer than ``min_docs`` of its documents of the language; doc is null for others."""
+    lids = np.zeros(len(sid_of), np.int64)
+    for (lang, _), sid in sid_of.items():
+        lids[sid] = lid_of[lang]
+
+    def frame(chunks: pa.Array, code: np.ndarray, sid: np.ndarray, n: np.ndarray, doc: pa.Array) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(code), ROWS):
+            part = slice(lo, lo + ROWS)
+            yield pa.RecordBatch.from_pydict({"chunk": chunks.take(pa.array(code[part])), "sid": pa.array(sid[part].astype(np.int32)),
+                                              "n": pa.array(n[part].astype(np.int64)), "doc": doc[part]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in batches:
-            for doc, lang, source, text in zip(*(b.column(c).to_pylist() for c in ("doc", "lang", "source", "text"))):
-                held.append((doc, lang, source, text.lower()))
-                size += len(text) + 1
-                if size >= BYTES:
-                    yield from batches_of(held)
-                    held, size = [], 0
-        if held:
-            yield from batches_of(held)
+        for block in _blocks(batches):
+            sids = np.array([sid_of[g] for g in zip(block["lang"].to_pylist(), block["source"].to_pylist())], dtype=np.int64)
+            chunks, of, code, n = _counts(block["text"])
+            sid, size = sids[of], max(len(chunks), 1)
+            _, where, documents = np.unique(lids[sid] * size + code, return_inverse=True, return_counts=True)
+            rare = documents[where] < min_docs
+            yield from frame(chunks, code[rare], sid[rare], n[rare], pa.array(block["doc"].to_numpy()[of[rare]]))
+            key, where = np.unique(sid[~rare] * size + code[~rare], return_inverse=True)
+            total = np.bincount(where, n[~rare], len(key))
+            yield from frame(chunks, key % size, key // size, total, pa.nulls(len(key), pa.int64()))
 
-    return _texts(docs, F.monotonically_increasing_id().alias("doc")).mapInArrow(
-        run, "lang string, chunk string, sid int, n long, doc long")
+    return _texts(docs, F.monotonically_increasing_id().alias("doc")).mapInArrow(run, "chunk string, sid int, n long, doc long")
 
 
 def term_counts(docs: DataFrame, sid_of: dict[tuple[str, str], int], min_docs: int = 3) -> DataFrame:
     """(lang, term, sid, n): for each term in at least ``min_docs`` documents of the language, the
     sources where it occurs and its occurrences there, as arrays."""
-    chunks = store(chunk_terms(docs), "chunks")
+    lid_of = {lang: i for i, lang in enumerate(sorted({lang for lang, _ in sid_of}))}
+    chunks = store(chunk_terms(docs, lid_of), "chunks")
+    # a source tells its language, which so need not travel with the counts
+    small = lambda rows, columns: F.broadcast(docs.sparkSession.createDataFrame(rows, columns))
+    lids = small([(sid, lid_of[lang]) for (lang, _), sid in sid_of.items()], "sid int, lid int")
     # a partition of the chunks is vocabulary, which fits in memory where a partition of counts need not
-    every = chunk_occurrences(docs, sid_of, min_docs).join(chunks.hint("shuffle_hash"), "chunk")
-    sure = F.element_at("langs", F.col("lang")) >= min_docs
-    each = every.select("lang", "sid", "n", sure.alias("sure"), F.when(~sure, F.col("doc")).alias("doc"), F.explode("terms").alias("term"))
-    flat = each.groupBy("lang", "term", "sid", "doc").agg(F.sum("n").alias("n"), F.max("sure").alias("sure"))
-    flat = flat.groupBy("lang", "term", "sid").agg(F.sum("n").alias("n"), F.max("sure").alias("sure"), F.count("doc").alias("docs"))
+    every = chunk_occurrences(docs, sid_of, lid_of, min_docs).join(chunks.hint("shuffle_hash"), "chunk").join(lids, "sid")
+    sure = F.element_at("langs", F.col("lid")) >= min_docs
+    each = every.select("sid", "n", sure.alias("sure"), F.when(~sure, F.col("doc")).alias("doc"), F.explode("terms").alias("term"))
+    flat = each.groupBy("term", "sid", "doc").agg(F.sum("n").alias("n"), F.max("sure").alias("sure"))
+    flat = flat.groupBy("term", "sid").agg(F.sum("n").alias("n"), F.max("sure").alias("sure"), F.count("doc").alias("docs"))
     # one entry a source
-    terms = flat.groupBy("lang", "term").agg(F.collect_list(F.struct("sid", "n")).alias("own"), F.max("sure").alias("sure"),
-                                             F.sum("docs").alias("docs"))
-    return store(terms.filter(F.col("sure") | (F.col("docs") >= min_docs)).select("lang", "term", "own.sid", "own.n"), "terms")
+    terms = flat.join(lids, "sid").groupBy("lid", "term").agg(F.collect_list(F.struct("sid", "n")).alias("own"), F.max("sure").alias("sure"),
+                                                              F.sum("docs").alias("docs"))
+    kept = terms.filter(F.col("sure") | (F.col("docs") >= min_docs)).join(small([(i, lang) for lang, i in lid_of.items()], "lid int, lang string"), "lid")
+    return store(kept.select("lang", "term", "own.sid", "own.n"), "terms")
 
 
 def weight(n: Column, total: Column, v: Column) -> Column:

@@ -275,3 +275,25 @@ def test_divergence_of_documents(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r["text"], r["lang"], r["source"]) for r in df.collect()]
     assert Counter(map(tuple, divergence.audit(df).collect())) == audited(rows)
+
+
+def test_divergence_counts_chunks_of_whole_texts(monkeypatch):
+    """Arrow counts as bytes.split() does, in blocks of any size."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    texts = ["", " \t A a\x1cB  b\x0b\x0c", "É é\u0085x  ", "a " * 50, "tree, Tree tree"] * 3
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([t.encode() for t in texts])})
+    for size in (1, 40, 1 << 20):
+        monkeypatch.setattr(divergence, "BYTES", size)
+        blocks = [b["text"] for b in divergence._blocks(iter([batch, batch]))]
+        assert [t for b in blocks for t in b.to_pylist()] == [t.encode() for t in texts] * 2
+        got = []
+        for block in blocks:
+            chunks, of, code, n = divergence._counts(block)
+            own = [Counter() for _ in range(len(block))]
+            for i, c, k in zip(of, code, n):
+                own[i][chunks[int(c)].as_py().encode()] += int(k)
+            got += own
+        assert got == [Counter(t.encode().lower().split()) for t in texts] * 2

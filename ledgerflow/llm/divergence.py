@@ -82,7 +82,7 @@ def _counts(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarr
 
 def chunk_terms(docs: DataFrame, lid_of: dict[str, int]) -> DataFrame:
     """(chunk, langs, terms) of every distinct chunk: its documents by number of the language, and
-    its terms in text order."""
+    its terms in text order, if any."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, Counter] = {}
 
@@ -109,8 +109,7 @@ def chunk_terms(docs: DataFrame, lid_of: dict[str, int]) -> DataFrame:
     parts = _texts(docs).mapInArrow(run, "lid int, chunk string, docs long").repartition(shuffle_partitions(docs.sparkSession), "chunk")
     return (parts.groupBy("chunk", "lid").agg(F.sum("docs").alias("docs"))
             .groupBy("chunk").agg(F.collect_list(F.struct("lid", "docs")).alias("langs"))
-            .select("chunk", F.map_from_entries("langs").alias("langs"), F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0)).alias("terms"))
-            .filter(F.size("terms") > 0))
+            .select("chunk", F.map_from_entries("langs").alias("langs"), F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0)).alias("terms")))
 
 
 def chunk_occurrences(docs: DataFrame, sid_of: dict[tuple[str, str], int], lid_of: dict[str, int], min_docs: int) -> DataFrame:
@@ -145,14 +144,18 @@ def term_counts(docs: DataFrame, sid_of: dict[tuple[str, str], int], min_docs: i
     """(lang, term, sid, n): for each term in at least ``min_docs`` documents of the language, the
     sources where it occurs and its occurrences there, as arrays."""
     lid_of = {lang: i for i, lang in enumerate(sorted({lang for lang, _ in sid_of}))}
-    chunks = store(chunk_terms(docs, lid_of), "chunks")
     # a source tells its language, which so need not travel with the counts
     small = lambda rows, columns: F.broadcast(docs.sparkSession.createDataFrame(rows, columns))
     lids = small([(sid, lid_of[lang]) for (lang, _), sid in sid_of.items()], "sid int, lid int")
-    # a partition of the chunks is vocabulary, which fits in memory where a partition of counts need not
-    every = chunk_occurrences(docs, sid_of, lid_of, min_docs).join(chunks.hint("shuffle_hash"), "chunk").join(lids, "sid")
+    # a partition of the chunks is vocabulary, which fits in memory where a partition of counts need not;
+    # counts are exchanged to where the chunks are counted, and added up there before their terms travel
+    every = chunk_occurrences(docs, sid_of, lid_of, min_docs).join(chunk_terms(docs, lid_of).hint("shuffle_hash"), "chunk").join(lids, "sid")
     sure = F.element_at("langs", F.col("lid")) >= min_docs
-    each = every.select("sid", "n", sure.alias("sure"), F.when(~sure, F.col("doc")).alias("doc"), F.explode("terms").alias("term"))
+    each = every.select("chunk", "sid", "n", sure.alias("sure"), F.when(~sure, F.col("doc")).alias("doc"), F.explode_outer("terms").alias("term"))
+    # chunks without terms go here: a filter on the terms would move below the join and cut the terms of each row of it
+    each = each.filter("term is not null").groupBy("chunk", "term", "sid", "doc").agg(F.sum("n").alias("n"), F.max("sure").alias("sure"))
+    # one exchange, by term, for all three groupings
+    each = each.select("term", "sid", "doc", "n", "sure").repartition(shuffle_partitions(docs.sparkSession), "term")
     flat = each.groupBy("term", "sid", "doc").agg(F.sum("n").alias("n"), F.max("sure").alias("sure"))
     flat = flat.groupBy("term", "sid").agg(F.sum("n").alias("n"), F.max("sure").alias("sure"), F.count("doc").alias("docs"))
     # one entry a source

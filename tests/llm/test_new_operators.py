@@ -278,6 +278,22 @@ def test_divergence_of_documents(spark):
     assert Counter(map(tuple, divergence.audit(df).collect())) == audited(rows)
 
 
+def test_divergence_exchanges_chunks_counts_and_terms_once(spark, monkeypatch):
+    """Only kept terms and measures are stored; the chunks' terms are cut once, where the chunks are counted."""
+    plans, store = {}, divergence.store
+
+    def stored(df, name):
+        plans[name] = [p.toString() for p in (df._jdf.queryExecution().optimizedPlan(), df._jdf.queryExecution().executedPlan())]
+        return store(df, name)
+
+    monkeypatch.setattr(divergence, "store", stored)
+    rows = edge_rows()
+    assert Counter(map(tuple, divergence.audit(frame(spark, [(i, *r) for i, r in enumerate(rows)])).collect())) == audited(rows)
+    assert list(plans) == ["terms", "measures"]
+    assert plans["terms"][0].count("regexp_extract_all(") == 1
+    assert plans["terms"][1].count("Exchange hashpartitioning") == 3
+
+
 def test_divergence_counts_chunks_of_whole_texts(monkeypatch):
     """Arrow counts as bytes.split() does, in blocks of any size."""
     texts = ["", " \t A a\x1cB  b\x0b\x0c", "É é\u0085x  ", "a " * 50, "tree, Tree tree"] * 3

@@ -37,8 +37,10 @@ from ledgerflow.llm.common import batch_limits, shuffle_partitions, store, text_
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 HELD = 1_000_000            # (chunk, language) counts that one task holds
+HELD_BYTES = 32 << 20       # of these counts
 BYTES = 24 << 20            # of text whose occurrences one task counts at a time
-PAIRS = 1 << 20             # pairs of occurrences that one task compares at a time
+PIECE = 1 << 20             # bytes of text that one task cuts into chunks at a time
+PAIRS = 1 << 18             # pairs of occurrences that one task compares at a time
 ROWS = 1 << 17              # of counts that leave a task at a time
 WIDE = "decimal(38,0)"
 
@@ -52,7 +54,12 @@ def _texts(docs: DataFrame, *more: Column) -> DataFrame:
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Array]]:
     """The columns of as many rows as reach ``BYTES`` of text."""
     held, size = [], 0
-    whole = lambda: {c: pa.concat_arrays([b.column(c) for b in held]) for c in held[0].schema.names}
+
+    def whole() -> dict[str, pa.Array]:
+        block = {c: pa.concat_arrays([b.column(c) for b in held]) for c in held[0].schema.names}
+        held.clear()                                        # one copy of the texts at a time
+        return block
+
     for b in batches:
         ends, lo = np.cumsum(pc.binary_length(b.column("text")).to_numpy().astype(np.int64) + 1), 0
         while lo < b.num_rows:
@@ -63,47 +70,70 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Array]]:
             lo = hi
             if size >= BYTES:
                 yield whole()
-                held, size = [], 0
+                size = 0
     if held:
         yield whole()
 
 
 def _counts(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """The distinct chunks of the texts, and of each text's own: text, chunk and occurrences."""
-    words = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string())))
-    coded = words.flatten().dictionary_encode()
-    chunks, size = coded.dictionary, max(len(coded.dictionary), 1)
-    of = np.repeat(np.arange(len(words)), words.value_lengths().to_numpy())
-    key, n = np.unique(of * size + coded.indices.to_numpy(), return_counts=True)
-    of, code = np.divmod(key, size)
-    full = code != chunks.index(pa.scalar("", pa.string())).as_py()     # white space at an end leaves an empty chunk
-    return chunks, of[full], code[full], n[full]
+    own, found, first = [], [], 0
+    for part in _pieces(texts):
+        words = pc.ascii_split_whitespace(pc.ascii_lower(part.cast(pa.string())))
+        coded = words.flatten().dictionary_encode()
+        size = max(len(coded.dictionary), 1)
+        of = np.repeat(np.arange(len(words)), words.value_lengths().to_numpy())
+        key, n = np.unique(of * size + coded.indices.to_numpy(), return_counts=True)
+        of, code = np.divmod(key, size)
+        full = code != coded.dictionary.index(pa.scalar("", pa.string())).as_py()   # white space at an end leaves an empty chunk
+        own.append(coded.dictionary)
+        found.append([x[full].astype(np.int32) for x in (of + first, code, n)])
+        first += len(part)
+    # the pieces' chunks as numbers of the block's
+    coded = pa.chunked_array(own, pa.string()).combine_chunks().dictionary_encode()
+    ends = np.cumsum([len(x) for x in own])
+    code = [coded.indices.to_numpy()[end - len(x):end][c] for end, x, (_, c, _) in zip(ends, own, found)]
+    none = [np.zeros(0, np.int32)]
+    return coded.dictionary, np.concatenate(none + [of for of, _, _ in found]), np.concatenate(none + code), np.concatenate(none + [n for _, _, n in found])
+
+
+def _pieces(texts: pa.Array) -> Iterator[pa.Array]:
+    """As many texts at a time as begin in the same ``PIECE`` bytes."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64) + 1)
+    at = np.r_[0, np.flatnonzero(np.diff(ends // PIECE)) + 1, len(texts)]
+    return (texts.slice(lo, hi - lo) for lo, hi in zip(at[:-1], at[1:]) if hi > lo)
 
 
 def chunk_terms(docs: DataFrame, lid_of: dict[str, int]) -> DataFrame:
     """(chunk, langs, terms) of every distinct chunk: its documents by number of the language, and
     its terms in text order, if any."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, Counter] = {}
+        held, kinds = [], pa.schema([("lid", pa.int32()), ("chunk", pa.string()), ("docs", pa.int64())])
 
-        def rows() -> Iterator[pa.RecordBatch]:
-            for lid, own in held.items():
-                yield pa.RecordBatch.from_pydict({"lid": pa.repeat(pa.scalar(lid, pa.int32()), len(own)), "chunk": pa.array(own, pa.binary()).cast(pa.string()),
-                                                  "docs": pa.array(own.values(), pa.int64())})
-            held.clear()
+        def merged() -> pa.Table:
+            table = pa.concat_tables(held)
+            if len(held) > 1:
+                table = table.group_by(["lid", "chunk"], use_threads=False).aggregate([("docs", "sum")]).rename_columns(["lid", "chunk", "docs"]).cast(kinds)
+            held[:] = [table]
+            return table
 
-        for block in _blocks(batches):
+        def count(block: dict[str, pa.Array]) -> None:
             langs = block["lang"].dictionary_encode()
             chunks, of, code, _ = _counts(block["text"])
             in_lang = langs.indices.to_numpy()[of]
             for i, lang in enumerate(langs.dictionary.to_pylist()):
                 documents = np.bincount(code[in_lang == i], minlength=len(chunks))
                 found = np.flatnonzero(documents)
-                own, names = held.setdefault(lid_of[lang], Counter()), chunks.take(pa.array(found)).cast(pa.binary()).to_pylist()
-                own.update(dict(zip(names, documents[found].tolist())))
-            if sum(map(len, held.values())) >= HELD:
-                yield from rows()
-        yield from rows()
+                held.append(pa.table([pa.repeat(pa.scalar(lid_of[lang], pa.int32()), len(found)), chunks.take(pa.array(found)), pa.array(documents[found])], kinds))
+
+        for _ in map(count, _blocks(batches)):              # a block goes when it is counted
+            table = merged()
+            if len(table) >= HELD or table.nbytes >= HELD_BYTES:
+                yield from table.to_batches(ROWS)
+                held.clear()
+        if held:
+            yield from merged().to_batches(ROWS)
+        pa.default_memory_pool().release_unused()           # workers outlive their tasks
 
     # one exchange, by chunk, for both groupings; a chunk has one row a language and task
     parts = _texts(docs).mapInArrow(run, "lid int, chunk string, docs long").repartition(shuffle_partitions(docs.sparkSession), "chunk")
@@ -125,17 +155,27 @@ def chunk_occurrences(docs: DataFrame, sid_of: dict[tuple[str, str], int], lid_o
             yield pa.RecordBatch.from_pydict({"chunk": chunks.take(pa.array(code[part])), "sid": pa.array(sid[part].astype(np.int32)),
                                               "n": pa.array(n[part].astype(np.int64)), "doc": doc[part]})
 
+    def counted(block: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
+        sids = np.array([sid_of[g] for g in zip(block["lang"].to_pylist(), block["source"].to_pylist())], dtype=np.int32)
+        chunks, of, code, n = _counts(block["text"])
+        sid, size = sids[of], max(len(chunks), 1)
+        key = lids[sid] * size + code
+        each, documents = np.unique(key, return_counts=True)
+        often = pc.is_in(pa.array(key), pa.array(each[documents >= min_docs])).to_numpy(zero_copy_only=False)
+        del key, each, documents
+        rare = ~often
+        yield from frame(chunks, code[rare], sid[rare], n[rare], pa.array(block["doc"].to_numpy()[of[rare]]))
+        key, n = sid[often].astype(np.int64) * size + code[often], n[often]
+        order = np.argsort(key)
+        key, n = key[order], n[order]
+        heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else order
+        key, n = key[heads], np.add.reduceat(n, heads, dtype=np.int64)
+        yield from frame(chunks, key % size, key // size, n, pa.nulls(len(key), pa.int64()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches):
-            sids = np.array([sid_of[g] for g in zip(block["lang"].to_pylist(), block["source"].to_pylist())], dtype=np.int64)
-            chunks, of, code, n = _counts(block["text"])
-            sid, size = sids[of], max(len(chunks), 1)
-            _, where, documents = np.unique(lids[sid] * size + code, return_inverse=True, return_counts=True)
-            rare = documents[where] < min_docs
-            yield from frame(chunks, code[rare], sid[rare], n[rare], pa.array(block["doc"].to_numpy()[of[rare]]))
-            key, where = np.unique(sid[~rare] * size + code[~rare], return_inverse=True)
-            total = np.bincount(where, n[~rare], len(key))
-            yield from frame(chunks, key % size, key // size, total, pa.nulls(len(key), pa.int64()))
+        for rows in map(counted, _blocks(batches)):         # a block goes when it is counted
+            yield from rows
+        pa.default_memory_pool().release_unused()
 
     return _texts(docs, F.monotonically_increasing_id().alias("doc")).mapInArrow(run, "chunk string, sid int, n long, doc long")
 
@@ -239,6 +279,7 @@ def _measures(terms: DataFrame, whole: np.ndarray, in_lang: dict[str, tuple[int,
             yield frame("own", s[heads], np.diff(np.r_[heads, len(s)]), b=m[heads])
             for a, b, value in _shared(sid, size, p, p0):
                 yield frame("shared", a, value, b=b)
+        pa.default_memory_pool().release_unused()
 
     def frame(part: str, a: np.ndarray, value: np.ndarray, b: np.ndarray | None = None, item: pa.Array | None = None) -> pa.RecordBatch:
         size = len(a)

@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 from fractions import Fraction
 from urllib.parse import urljoin
@@ -9,6 +10,7 @@ from urllib.parse import urljoin
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from helpers import LONG, ROWS, frame, lower
 from test_oracle import _canon
@@ -310,3 +312,32 @@ def test_divergence_counts_chunks_of_whole_texts(monkeypatch):
                 own[i][chunks[int(c)].as_py().encode()] += int(k)
             got += own
         assert got == [Counter(t.encode().lower().split()) for t in texts] * 2
+
+
+@pytest.mark.parametrize("held, held_bytes", [(600_000, 1 << 20), (600_000, 3_000), (40, 1 << 20)])
+def test_divergence_adds_up_blocks_and_pieces(spark, monkeypatch, held, held_bytes):
+    """Documents of a chunk in several blocks of a task are added up, whenever the counts leave it."""
+    for name, value in (("HELD", held), ("HELD_BYTES", held_bytes), ("BYTES", 60), ("PIECE", 7), ("ROWS", 9)):
+        monkeypatch.setattr(divergence, name, value)
+    rows = edge_rows()
+    df = frame(spark, [(i, *r) for i, r in enumerate(rows)]).repartition(2)
+    assert Counter(map(tuple, divergence.audit(df).collect())) == audited(rows)
+
+
+def test_divergence_counts_in_little_memory():
+    """Cutting and counting texts takes a few times their bytes, not ten times (one executor runs several such tasks)."""
+    rng = np.random.default_rng(5)
+    words = np.array([f"word{i}" for i in range(30_000)])
+    texts = pa.array([" ".join(rng.choice(words, 500)).encode() for _ in range(2_000)])
+    size, usual = pc.sum(pc.binary_length(texts)).as_py(), pa.default_memory_pool()
+    pool = pa.proxy_memory_pool(usual)
+    pa.set_memory_pool(pool)
+    tracemalloc.start()
+    try:
+        _, of, _, n = divergence._counts(texts)
+        taken = pool.max_memory() + tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        pa.set_memory_pool(usual)
+    assert (n.sum(), of[-1]) == (1_000_000, 1_999)
+    assert taken < 6 * size, taken / size
